@@ -42,7 +42,7 @@ MART_SQL: dict[str, str] = {
                     ELSE CAST(o_orderdate AS DATE) + CAST(4 + o_orderkey % 3 AS INTEGER)
                          + (CASE WHEN o_orderpriority = '5-LOW' THEN 3 ELSE -CAST(o_orderkey % 2 AS INTEGER) END)
                END AS actual_delivery_date,
-               CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'processing' ELSE 'shipped' END AS order_status
+               CASE WHEN o_orderstatus = 'P' THEN 'partially_fulfilled' ELSE 'delivered' END AS order_status
         FROM orders""",
     "m_order_lines": """
         SELECT l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey * 10 + CAST(l_linenumber AS BIGINT) AS order_line_id,
@@ -79,8 +79,7 @@ MART_SQL: dict[str, str] = {
                                  WHEN 2 THEN 'Regional Haul' ELSE 'Coastal Cargo' END AS carrier,
                actual_ship_date AS ship_date, actual_delivery_date AS delivery_date,
                CAST(500 + (order_id % 40) * 25 AS BIGINT) AS shipping_cost_cents,
-               CASE WHEN actual_delivery_date IS NOT NULL THEN 'delivered'
-                    WHEN actual_ship_date IS NOT NULL THEN 'in_transit' ELSE 'pending' END AS shipment_status
+               CASE WHEN actual_delivery_date IS NOT NULL THEN 'delivered' ELSE 'partially_delivered' END AS shipment_status
         FROM m_orders""",
 }
 

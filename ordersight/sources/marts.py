@@ -103,9 +103,7 @@ class Marts:
         act_deliv = F.when(partial & (k % 7 == 0), F.lit(None).cast("date")).otherwise(
             _plus_days(req_deliv, F.when(F.col("o_orderpriority") == "5-LOW", F.lit(3))
                        .otherwise(-(k % 2).cast("int"))))
-        status = (F.when(F.col("o_orderstatus") == "F", F.lit("delivered"))
-                  .when(F.col("o_orderstatus") == "O", F.lit("processing"))
-                  .otherwise(F.lit("shipped")))
+        status = F.when(partial, F.lit("partially_fulfilled")).otherwise(F.lit("delivered"))
         return o.select((k + 1).alias("order_id"),
                         (F.col("o_custkey") + 1).alias("customer_id"),
                         ((k % WAREHOUSE_MODULUS).cast("int") + 1).cast("bigint").alias("warehouse_id"),
@@ -169,9 +167,8 @@ class Marts:
     def shipments(self) -> DataFrame:
         o = self.orders
         carrier = F.element_at(F.array(*[F.lit(c) for c in CARRIERS]), ((F.col("order_id") % 4) + 1).cast("int"))
-        status = (F.when(F.col("actual_delivery_date").isNotNull(), F.lit("delivered"))
-                  .when(F.col("actual_ship_date").isNotNull(), F.lit("in_transit"))
-                  .otherwise(F.lit("pending")))
+        status = F.when(F.col("actual_delivery_date").isNotNull(), F.lit("delivered")).otherwise(
+            F.lit("partially_delivered"))
         return o.select(F.col("order_id").alias("shipment_id"), "order_id",
                         carrier.alias("carrier"),
                         F.col("actual_ship_date").alias("ship_date"),
