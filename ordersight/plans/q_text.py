@@ -1,3 +1,171 @@
-"""Registered queries (filled in below)."""
+"""Registered text / vector queries and their oracle SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ordersight.operators import chunker, embed, search
+from ordersight.plans import params as P
+from ordersight.plans.registry import register
 
 ORACLE: dict[str, str] = {}
+NQ = P.QUERY_VECTOR_IDS
+
+
+def _hit_cols(vec_id, label):
+    s = vec_id.cast("string")
+    doc = F.concat(F.lit("doc_"), label.cast("string"))
+    return [doc.alias("document"),
+            F.concat(F.lit("Section "), (vec_id % 7).cast("string")).alias("section"),
+            F.concat(doc, F.lit("#"), F.lpad(s, F.greatest(F.lit(4), F.length(s)), "0")).alias("chunk_id")]
+
+
+def vector_index(m):
+    """The ``embeddings`` table as a search index (vec_id >= 5) with hit labels."""
+    e = m.t.embeddings
+    return e.filter(F.col("vec_id") >= NQ).select("vec_id", "label", *_hit_cols(F.col("vec_id"), F.col("label")),
+                                                   "embedding")
+
+
+def vector_queries(m):
+    """Query vectors: the first five embeddings (vec_id < 5)."""
+    e = m.t.embeddings
+    return e.filter(F.col("vec_id") < NQ).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def vector_hits(m, k, floor=-1.0):
+    return search.cosine_top_k(vector_index(m), vector_queries(m), k=k, min_similarity=floor, id_col="vec_id")
+
+
+_SIM = ("CASE WHEN list_dot_product(v, v) = 0 OR list_dot_product(qv, qv) = 0 THEN 0.0 "
+        "ELSE list_dot_product(v, qv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv))) END")
+
+
+def _topk_sql(k: int, floor: float = -1.0) -> str:
+    return f"""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < {NQ}),
+    ix AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id >= {NQ}),
+    s AS (SELECT q.query_id, ix.vec_id, ix.label, {_SIM} AS sim FROM q CROSS JOIN ix),
+    s2 AS (SELECT query_id, vec_id, label, CAST(round(sim * 1000000) AS BIGINT) / 1000000.0 AS similarity
+           FROM s WHERE sim >= {floor}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s2),
+    hits AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, label, 'doc_' || CAST(label AS VARCHAR) AS document,
+                    'Section ' || CAST(vec_id % 7 AS VARCHAR) AS section,
+                    'doc_' || CAST(label AS VARCHAR) || '#' || lpad(CAST(vec_id AS VARCHAR),
+                        CAST(greatest(4, length(CAST(vec_id AS VARCHAR))) AS INTEGER), '0') AS chunk_id,
+                    similarity FROM r WHERE rank <= {k})"""
+
+
+@register("vector_topk")
+def q_vector_topk(m):
+    """Exact cosine top-3 for 5 query vectors over the index."""
+    return vector_hits(m, P.TOP_K)
+
+
+ORACLE["vector_topk"] = _topk_sql(P.TOP_K) + " SELECT * FROM hits"
+
+
+@register("vector_topk_min_similarity")
+def q_vector_topk_min_similarity(m):
+    """Top-50 with a similarity floor (>=)."""
+    return vector_hits(m, 50, P.MIN_SIMILARITY)
+
+
+ORACLE["vector_topk_min_similarity"] = _topk_sql(50, P.MIN_SIMILARITY) + " SELECT * FROM hits"
+
+
+def _hits_with_text(m, k):
+    h = vector_hits(m, k)
+    d = m.t.documents.select(F.col("doc_id").alias("vec_id"), "text")
+    return h.join(d, "vec_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+_HITS_TEXT_SQL = _topk_sql(10) + """,
+    ht AS (SELECT h.*, COALESCE(d.text, '') AS text FROM hits h LEFT JOIN documents d ON d.doc_id = h.vec_id),
+    src AS (SELECT query_id, document, section, MIN(rank) AS position,
+                   arg_max(chunk_id, rank) AS chunk_id, arg_max(similarity, rank) AS similarity,
+                   substr(trim(regexp_replace(arg_max(text, rank), '\\s+', ' ', 'g')), 1, 240) AS preview
+            FROM ht GROUP BY query_id, document, section)"""
+
+
+@register("policy_sources")
+def q_policy_sources(m):
+    """Search hits deduplicated per document::section (last value at first position)."""
+    return search.policy_sources(_hits_with_text(m, 10))
+
+
+ORACLE["policy_sources"] = _HITS_TEXT_SQL + """
+    SELECT query_id, CAST(position AS INTEGER) AS position, document, section, chunk_id, similarity, preview FROM src"""
+
+
+@register("sources_by_document")
+def q_sources_by_document(m):
+    """X11: deduplicated passages grouped per document (count + ordered sections)."""
+    return search.sources_by_document(search.policy_sources(_hits_with_text(m, 10)))
+
+
+ORACLE["sources_by_document"] = _HITS_TEXT_SQL + """
+    SELECT query_id, document, COUNT(*) AS passages, list(section ORDER BY position) AS sections
+    FROM src GROUP BY query_id, document"""
+
+# ---- chunking / embedding (Python inside Arrow batches) ---------------------
+
+
+def doc_chunks(m):
+    return chunker.chunk_documents(chunker.documents_as_markdown(m.t.documents), max_characters=P.CHUNK_MAX_CHARACTERS)
+
+
+@register("policy_chunks")
+def q_policy_chunks(m):
+    """Heading-aware chunks of every document (rows-only check)."""
+    return doc_chunks(m)
+
+
+@register("policy_chunk_coverage")
+def q_policy_chunk_coverage(m):
+    """Per document, non-whitespace characters over all chunks and
+    whether every chunk is within the size cap -- proves no text is lost or
+    duplicated by the chunker, checked against the raw ``documents`` text."""
+    c = doc_chunks(m)
+    g = c.groupBy("document").agg(
+        F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("non_ws_chars"),
+        F.max(F.length("text")).alias("max_len"))
+    return g.select(F.regexp_extract("document", r"^doc_(\d+)\.md$", 1).cast("bigint").alias("doc_id"),
+                    F.col("non_ws_chars").cast("bigint").alias("non_ws_chars"),
+                    (F.col("max_len") <= P.CHUNK_MAX_CHARACTERS).alias("within_limit"))
+
+
+ORACLE["policy_chunk_coverage"] = r"""
+    SELECT doc_id, CAST(length(regexp_replace(text, '\s', '', 'g')) AS BIGINT) AS non_ws_chars, TRUE AS within_limit
+    FROM documents WHERE length(trim(text)) > 0"""
+
+
+@register("embedding_input_text")
+def q_embedding_input_text(m):
+    """The embedding input text of every chunk (rows-only check)."""
+    c = doc_chunks(m)
+    return c.select("chunk_id", embed.embedding_input_text(F.col("document_title"), F.col("section"),
+                                                           F.col("text")).alias("input_text"))
+
+
+@register("embed_chunks")
+def q_embed_chunks(m):
+    """Every chunk embedded through the pluggable hook (rows-only check)."""
+    return embed.embed_column(doc_chunks(m), "text", "embedding", embed.HashingEmbedder(P.EMBED_DIM))
+
+
+@register("vector_index_manifest")
+def q_vector_index_manifest(m):
+    """Index rows (chunk + embedding + schema version, model, document count)."""
+    return embed.index_rows(doc_chunks(m), embed.HashingEmbedder(P.EMBED_DIM))
+
+
+@register("policy_search")
+def q_policy_search(m):
+    """X8 end to end: benchmark texts as queries against embedded document chunks."""
+    emb = embed.HashingEmbedder(P.EMBED_DIM)
+    chunks = doc_chunks(m).withColumn("id", F.xxhash64("chunk_id"))
+    idx = embed.embed_column(chunks.withColumn(
+        "_in", embed.embedding_input_text(F.col("document_title"), F.col("section"), F.col("text"))),
+        "_in", "embedding", emb).drop("_in", "text")
+    qs = embed.embed_column(m.t.benchmark.select(F.col("item_id").alias("query_id"), "text"), "text", "embedding", emb)
+    return search.cosine_top_k(idx, qs, k=P.TOP_K)
