@@ -1,3 +1,206 @@
-"""Registered queries (filled in below)."""
+"""Registered policy-rule and generator queries and their oracle SQL."""
 
+from __future__ import annotations
+
+from ordersight.operators import policy_rules as R
+from ordersight.operators import vendors
+from ordersight.plans import params as P
+from ordersight.plans.mart_sql import with_marts
+from ordersight.plans.q_supply import _vendor_perf_select, _vendor_perf_sql
+from ordersight.plans.registry import register
+from ordersight.plans.sqlfrag import between, cnt, d, tenths_sql
+from ordersight.sources import synth
+
+CUR = P.CURRENT
 ORACLE: dict[str, str] = {}
+
+_POLICY_FACTS = """pf AS (SELECT o.order_id, o.customer_id, o.warehouse_id, o.order_date,
+        o.actual_delivery_date IS NOT NULL AND o.actual_delivery_date <= o.requested_delivery_date
+        AND NOT EXISTS (SELECT 1 FROM m_order_lines l WHERE l.order_id = o.order_id
+                        AND l.quantity_shipped < l.quantity_ordered) AS policy_otif
+      FROM m_orders o WHERE {where})"""
+
+
+def _tier_sql(t: str) -> str:
+    return (f"CASE WHEN {t} >= {R.OTIF_TARGET_TENTHS} THEN 'routine monitoring' "
+            f"WHEN {t} >= {R.OTIF_REVIEW_TENTHS} THEN 'operations review' "
+            f"WHEN {t} >= {R.OTIF_CORRECTIVE_TENTHS} THEN 'escalate to operations manager' "
+            f"ELSE 'formal corrective action' END")
+
+
+@register("otif_policy_tier")
+def q_otif_policy_tier(m):
+    """Policy OTIF tier per warehouse and month (delivery-only on-time)."""
+    return R.otif_policy_tier(m)
+
+
+ORACLE["otif_policy_tier"] = with_marts("m_orders", "m_order_lines") + ",\n" + _POLICY_FACTS.format(where="TRUE") + f""",
+    g AS (SELECT warehouse_id, strftime(order_date, '%Y-%m') AS month, COUNT(*) AS orders,
+                 {cnt('policy_otif')} AS otif_orders FROM pf GROUP BY 1, 2)
+    SELECT warehouse_id, month, orders, otif_orders, CAST({tenths_sql('otif_orders', 'orders')} AS DOUBLE) / 10.0 AS otif_percentage,
+           {_tier_sql(tenths_sql('otif_orders', 'orders'))} AS tier
+    FROM g"""
+
+
+@register("customer_target_gap")
+def q_customer_target_gap(m):
+    """R2: customer policy OTIF vs max(95 %, own target), current month."""
+    return R.customer_target_gap(m, *CUR)
+
+
+_TT = f"greatest(CAST({R.OTIF_TARGET_TENTHS} AS BIGINT), CAST(round(c.service_level_target * 1000) AS BIGINT))"
+ORACLE["customer_target_gap"] = with_marts("m_orders", "m_order_lines", "m_customers") + ",\n" + \
+    _POLICY_FACTS.format(where=between("o.order_date", CUR)) + f""",
+    g AS (SELECT customer_id, COUNT(*) AS orders, {cnt('policy_otif')} AS otif_orders FROM pf GROUP BY 1)
+    SELECT g.customer_id, orders, otif_orders, CAST({tenths_sql('otif_orders', 'orders')} AS DOUBLE) / 10.0 AS otif_percentage,
+           CAST({_TT} AS DOUBLE) / 10.0 AS target_percentage,
+           CAST({tenths_sql('otif_orders', 'orders')} - {_TT} AS DOUBLE) / 10.0 AS gap_points,
+           otif_orders * 1000 >= {_TT} * orders AS meets_target
+    FROM g JOIN m_customers c ON c.customer_id = g.customer_id"""
+
+_END = d(CUR[1])
+
+
+@register("po_escalation_tier")
+def q_po_escalation_tier(m):
+    """Escalation tier of each late PO by days late."""
+    return R.po_escalation_tier(m, *CUR)
+
+
+ORACLE["po_escalation_tier"] = with_marts("m_purchase_orders") + f""",
+    late AS (SELECT po_id, vendor_id, product_id,
+                    CAST(CASE WHEN actual_delivery_date > expected_delivery_date THEN actual_delivery_date - expected_delivery_date
+                              ELSE {_END} - expected_delivery_date END AS INTEGER) AS days_late
+             FROM m_purchase_orders WHERE {between('expected_delivery_date', CUR)}
+               AND (actual_delivery_date > expected_delivery_date
+                    OR (actual_delivery_date IS NULL AND expected_delivery_date < {_END})))
+    SELECT po_id AS purchase_order_id, vendor_id, product_id, days_late,
+           CASE WHEN days_late <= 0 THEN 'not late' WHEN days_late <= 2 THEN 'monitor and contact vendor'
+                WHEN days_late <= 5 THEN 'formal purchasing escalation'
+                WHEN days_late <= 10 THEN 'supply chain leadership escalation'
+                ELSE 'critical supplier incident' END AS tier
+    FROM late"""
+
+
+@register("vendor_repeat_failure")
+def q_vendor_repeat_failure(m):
+    """Rolling 90-day late-PO count per vendor (>= 3 is a repeat failure)."""
+    return R.vendor_repeat_failure(m)
+
+
+ORACLE["vendor_repeat_failure"] = with_marts("m_purchase_orders") + f""",
+    daily AS (SELECT vendor_id, expected_delivery_date AS day, COUNT(*) AS late_pos_day FROM m_purchase_orders
+              WHERE actual_delivery_date > expected_delivery_date GROUP BY 1, 2),
+    r AS (SELECT *, SUM(late_pos_day) OVER (PARTITION BY vendor_id ORDER BY CAST(day - DATE '1970-01-01' AS BIGINT)
+                 RANGE BETWEEN {R.REPEAT_FAILURE_WINDOW_DAYS - 1} PRECEDING AND CURRENT ROW) AS w FROM daily)
+    SELECT vendor_id, day, late_pos_day, CAST(w AS BIGINT) AS late_pos_90d, w >= {R.REPEAT_FAILURE_LATE_POS} AS repeat_failure
+    FROM r"""
+
+
+@register("consecutive_late")
+def q_consecutive_late(m):
+    """Two consecutive late deliveries per vendor x product."""
+    return R.consecutive_late(m)
+
+
+ORACLE["consecutive_late"] = with_marts("m_purchase_orders") + """,
+    s AS (SELECT po_id, vendor_id, product_id, expected_delivery_date,
+                 actual_delivery_date > expected_delivery_date AS late,
+                 lag(po_id) OVER w AS previous_po_id,
+                 lag(actual_delivery_date > expected_delivery_date) OVER w AS previous_late
+          FROM m_purchase_orders
+          WINDOW w AS (PARTITION BY vendor_id, product_id ORDER BY expected_delivery_date, po_id))
+    SELECT vendor_id, product_id, po_id, previous_po_id, expected_delivery_date FROM s WHERE late AND previous_late"""
+
+
+@register("inventory_alert_tier")
+def q_inventory_alert_tier(m):
+    """Available stock below safety (critical below 50 %), current month."""
+    return R.inventory_alert_tier(m, *CUR)
+
+
+ORACLE["inventory_alert_tier"] = with_marts("m_inventory", "m_products") + f"""
+    SELECT i.warehouse_id, i.product_id, i.inventory_date, i.quantity_on_hand, i.quantity_allocated,
+           i.quantity_on_hand - i.quantity_allocated AS available, p.safety_stock AS safety_stock_target,
+           CASE WHEN (i.quantity_on_hand - i.quantity_allocated) * 2 < p.safety_stock THEN 'critical'
+                ELSE 'below safety stock' END AS tier
+    FROM m_inventory i JOIN m_products p ON p.product_id = i.product_id
+    WHERE {between('i.inventory_date', CUR)} AND i.quantity_on_hand - i.quantity_allocated < p.safety_stock"""
+
+_CAL_SQL = with_marts("m_inventory", "m_products", "m_purchase_orders") + f""",
+    inv AS (SELECT * FROM m_inventory WHERE {between('inventory_date', CUR)}),
+    fst AS (SELECT warehouse_id, product_id, MIN(inventory_date) AS first_date FROM inv GROUP BY 1, 2),
+    days AS (SELECT warehouse_id, product_id,
+                    CAST(unnest(generate_series(first_date, {_END}, INTERVAL 1 DAY)) AS DATE) AS calendar_date FROM fst),
+    j AS (SELECT d.*, i.quantity_on_hand, i.quantity_allocated FROM days d LEFT JOIN inv i
+          ON i.warehouse_id = d.warehouse_id AND i.product_id = d.product_id AND i.inventory_date = d.calendar_date),
+    filled AS (SELECT warehouse_id, product_id, calendar_date,
+                      last_value(quantity_on_hand IGNORE NULLS) OVER w AS quantity_on_hand,
+                      last_value(quantity_allocated IGNORE NULLS) OVER w AS quantity_allocated
+               FROM j WINDOW w AS (PARTITION BY warehouse_id, product_id ORDER BY calendar_date
+                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    cal AS (SELECT f.warehouse_id, f.product_id, f.calendar_date, f.quantity_on_hand, f.quantity_allocated,
+                   f.quantity_on_hand - f.quantity_allocated AS available, p.safety_stock
+            FROM filled f JOIN m_products p ON p.product_id = f.product_id),
+    bd AS (SELECT *, CAST(calendar_date - DATE '1970-01-05' AS BIGINT) AS dd FROM cal
+           WHERE isodow(calendar_date) < 6 AND available < safety_stock),
+    isl AS (SELECT *, (dd // 7) * 5 + least(dd - (dd // 7) * 7, 5)
+                      - row_number() OVER (PARTITION BY warehouse_id, product_id ORDER BY calendar_date) AS island FROM bd),
+    runs AS (SELECT warehouse_id, product_id, MIN(calendar_date) AS run_start, MAX(calendar_date) AS run_end,
+                    COUNT(*) AS business_days, MIN(available) AS lowest_available, MIN(safety_stock) AS safety_stock_target
+             FROM isl GROUP BY warehouse_id, product_id, island
+             HAVING COUNT(*) >= {R.SHORTAGE_RUN_BUSINESS_DAYS + 1})"""
+
+
+@register("synth_inventory_calendar")
+def q_synth_inventory_calendar(m):
+    """Dense daily inventory calendar (carry-forward) for the current month."""
+    return synth.inventory_calendar(m, *CUR)
+
+
+ORACLE["synth_inventory_calendar"] = _CAL_SQL + " SELECT * FROM cal"
+
+
+@register("synth_order_lines")
+def q_synth_order_lines(m):
+    """1-4 generated order lines per order, hash-derived (rows-only check)."""
+    return synth.synth_order_lines(m)
+
+
+@register("shortage_runs")
+def q_shortage_runs(m):
+    """> 3 consecutive business days below safety on available stock."""
+    return R.shortage_runs(synth.inventory_calendar(m, *CUR))
+
+
+ORACLE["shortage_runs"] = _CAL_SQL + " SELECT * FROM runs"
+
+
+@register("shortage_exceptions")
+def q_shortage_exceptions(m):
+    """Shortage exception records with the SKU's open PO count."""
+    return R.shortage_exceptions(R.shortage_runs(synth.inventory_calendar(m, *CUR)), m)
+
+
+ORACLE["shortage_exceptions"] = _CAL_SQL + """,
+    op AS (SELECT product_id, COUNT(*) AS open_po_count FROM m_purchase_orders WHERE actual_delivery_date IS NULL GROUP BY 1)
+    SELECT r.warehouse_id, r.product_id, r.run_start AS first_date_below, r.business_days, r.lowest_available,
+           r.safety_stock_target, COALESCE(op.open_po_count, 0) AS open_po_count
+    FROM runs r LEFT JOIN op ON op.product_id = r.product_id"""
+
+
+@register("vendor_target_gap")
+def q_vendor_target_gap(m):
+    """Vendor on-time % vs the vendor's target, current month."""
+    return R.vendor_target_gap(vendors.vendor_performance(m, *CUR), m)
+
+
+ORACLE["vendor_target_gap"] = _vendor_perf_sql() + f""",
+    perf AS ({_vendor_perf_select()})
+    SELECT p.vendor_id, p.vendor_name, p.purchase_orders, p.on_time_deliveries, p.on_time_percentage,
+           CAST(CAST(round(v.target_ontime_percentage * 1000) AS BIGINT) AS DOUBLE) / 10.0 AS target_percentage,
+           CAST({tenths_sql('p.on_time_deliveries', 'p.purchase_orders')}
+                - CAST(round(v.target_ontime_percentage * 1000) AS BIGINT) AS DOUBLE) / 10.0 AS gap_points,
+           p.on_time_deliveries * 1000 >= CAST(round(v.target_ontime_percentage * 1000) AS BIGINT) * p.purchase_orders
+             AS meets_target
+    FROM perf p JOIN m_vendors v ON v.vendor_id = p.vendor_id WHERE p.purchase_orders > 0"""
