@@ -275,3 +275,51 @@ ORACLE["overview"] = _comparison_sql() + f""",
            dec.warehouse_id AS largest_decline_warehouse_id, dec.warehouse_name AS largest_decline_warehouse_name,
            dec.change_points AS largest_decline_change_points
     FROM tot, dec"""
+
+
+# ---- one-line tool summaries (C5 / A17) ---------------------------------------
+
+def _num(x: str) -> str:
+    return f"CASE WHEN {x} = floor({x}) THEN CAST(CAST({x} AS BIGINT) AS VARCHAR) ELSE CAST({x} AS VARCHAR) END"
+
+
+@register("tool_summaries")
+def q_tool_summaries(m):
+    """One summary sentence per business tool, current month."""
+    from ordersight.operators import summaries
+    return summaries.tool_summaries(m, *CUR)
+
+
+def _tool_summaries_sql() -> str:
+    from ordersight.plans import q_supply
+    a1 = ORACLE["otif_metrics"]
+    a2 = ORACLE["warehouse_performance"]
+    a4 = q_supply.ORACLE["inventory_health"]
+    a5 = q_supply.ORACLE["vendor_performance"]
+    c2 = q_supply.ORACLE["late_purchase_orders"]
+    a7 = ORACLE["customer_impact"]
+    return f"""
+    SELECT 'get_otif_metrics' AS tool, CAST(total_orders AS VARCHAR) || ' orders; ' || CAST(otif_orders AS VARCHAR)
+           || ' OTIF (' || {_num('otif_percentage')} || '%).' AS summary FROM ({a1}) a1
+    UNION ALL
+    SELECT 'get_warehouse_performance', CAST((SELECT COUNT(*) FROM ({a2}) x) AS VARCHAR) || ' warehouses; lowest OTIF is '
+           || lo.warehouse_name || ' (' || {_num('lo.otif_percentage')} || '%).'
+    FROM (SELECT * FROM ({a2}) y ORDER BY otif_percentage, warehouse_id LIMIT 1) lo
+    UNION ALL
+    SELECT 'get_inventory_health', CAST(products_below_safety_stock AS VARCHAR) || ' products below safety stock across '
+           || CAST(number_of_days_below_safety_stock AS VARCHAR) || ' product-location-days.' FROM ({a4}) a4
+    UNION ALL
+    SELECT 'get_vendor_performance', CAST((SELECT COUNT(*) FROM ({a5}) x) AS VARCHAR) || ' vendors; highest late count is '
+           || top.vendor_name || ' (' || CAST(top.late_deliveries AS VARCHAR) || '); destinations: '
+           || COALESCE((SELECT string_agg(warehouse_name, ', ' ORDER BY first_rn) FROM (
+                 SELECT warehouse_name, MIN(rn) AS first_rn FROM (
+                   SELECT warehouse_name, row_number() OVER (ORDER BY actual_delivery_date DESC NULLS LAST, purchase_order_id) AS rn
+                   FROM ({c2}) c WHERE c.vendor_id = top.vendor_id) z GROUP BY warehouse_name) w), 'not specified') || '.'
+    FROM (SELECT * FROM ({a5}) y ORDER BY late_deliveries DESC, vendor_id LIMIT 1) top
+    UNION ALL
+    SELECT 'get_customer_impact', CAST(COUNT(*) AS VARCHAR) || ' customers; '
+           || CAST(COUNT(*) FILTER (WHERE estimated_affected_revenue > 0) AS VARCHAR) || ' with affected revenue.'
+    FROM ({a7}) a7"""
+
+
+ORACLE["tool_summaries"] = _tool_summaries_sql()
