@@ -179,7 +179,7 @@ def documents_as_markdown(documents: DataFrame) -> DataFrame:
 def read_markdown_corpus(spark, directory: str) -> DataFrame:
     """S3: every ``*.md`` file (any case) of a directory as (document, markdown),
     one row per file, sorted by name; errors when there is none."""
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.[mM][dD]").text(directory)
+    df = (spark.read.option("pathGlobFilter", "*.[mM][dD]").text(directory, wholetext=True)
           .select(F.col("_metadata.file_name").alias("document"), F.col("value").alias("markdown")))
     if df.limit(1).count() == 0:
         raise FileNotFoundError("No Markdown policy documents found in the approved documents directory.")
