@@ -3,15 +3,17 @@
 ``order_facts`` is the one physical design decision of the service queries:
 
     orders (date filter pushed into the scan)
-      -> order lines restricted to those orders (left-semi join)
-      -> per-order line aggregate (partial + final hash aggregate on order_id)
-      -> orders LEFT JOIN per-order aggregate (one row per order on both sides)
+    order lines -> per-order aggregate (partial aggregate in the scan tasks)
+    orders LEFT JOIN per-order aggregate (one row per order on both sides)
 
 Pre-aggregating the lines before the join makes it skew-proof: an order with
 a huge number of lines collapses map-side to one partial row per task, and
-the final join only ever sees one row per order.  When the date slice is
-small, AQE turns the semi join into a broadcast (size-checked at runtime), so
-lines are filtered in the scan stage and never shuffled raw.
+the join only ever sees one row per order.  Lines are restricted to the date
+range by partition pruning (month-partitioned store, ``sources.store``) or,
+on raw tables, by the runtime bloom filter Spark derives from the filtered
+orders and pushes below the aggregate into the line scan.  Plan: two
+exchanges (aggregated lines, filtered orders); AQE broadcasts either side
+only when its measured size is under the threshold.
 """
 
 from __future__ import annotations
@@ -32,6 +34,13 @@ def date_between(col: str, start, end) -> Column:
     return F.col(col).between(F.lit(as_date(start)), F.lit(as_date(end)))
 
 
+def in_range(m: Marts, name: str, date_col: str, start, end) -> DataFrame:
+    """Rows of a fact mart whose ``date_col`` is in [start, end]; a stored
+    layout (``sources.store``) first prunes to the covering month partitions."""
+    df = m.mart_in(name, start, end) if hasattr(m, "mart_in") else m.mart(name)
+    return df.filter(date_between(date_col, start, end))
+
+
 def on_time_expr() -> Column:
     """Both actual dates present and neither later than requested (P5)."""
     return (F.col("actual_ship_date").isNotNull() & (F.col("actual_ship_date") <= F.col("requested_ship_date"))
@@ -42,9 +51,7 @@ def on_time_expr() -> Column:
 def filtered_orders(m: Marts, start=None, end=None, warehouse_id: int | None = None,
                     customer_id: int | None = None) -> DataFrame:
     """Orders in an inclusive date range with optional id filters."""
-    o = m.orders
-    if start is not None:
-        o = o.filter(date_between("order_date", start, end))
+    o = m.orders if start is None else in_range(m, "orders", "order_date", start, end)
     if warehouse_id is not None:
         o = o.filter(F.col("warehouse_id") == F.lit(warehouse_id))
     if customer_id is not None:
@@ -52,11 +59,16 @@ def filtered_orders(m: Marts, start=None, end=None, warehouse_id: int | None = N
     return o
 
 
-def line_facts(m: Marts, orders: DataFrame | None = None) -> DataFrame:
-    """Per-order line aggregate: line_count, short_lines, order_value_cents."""
-    lines = m.order_lines
-    if orders is not None:
-        lines = lines.join(orders.select("order_id"), "order_id", "left_semi")
+def line_facts(m: Marts, start=None, end=None) -> DataFrame:
+    """Per-order line aggregate: line_count, short_lines, order_value_cents.
+
+    Aggregated before any join: the partial aggregate runs in the scan tasks,
+    so only one row per (order, task) is shuffled even if one order holds a
+    third of all lines.  ``order_lines_in`` lets a month-partitioned store
+    prune line partitions to the date range; on raw tables the later join
+    with the filtered orders lets Spark inject a runtime bloom filter into
+    the line scan, below this aggregate."""
+    lines = m.order_lines_in(start, end) if start is not None and hasattr(m, "order_lines_in") else m.order_lines
     short = F.col("quantity_shipped") < F.col("quantity_ordered")
     return lines.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("line_count"),
@@ -73,10 +85,9 @@ def order_facts(m: Marts, start=None, end=None, warehouse_id: int | None = None,
     has_short, in_full (strict: >=1 line and none short), not_short
     (lenient: zero-line orders pass), otif (strict), otif_lenient, affected.
     """
-    restricted = start is not None or warehouse_id is not None or customer_id is not None
     o = filtered_orders(m, start, end, warehouse_id, customer_id).select(
         "order_id", "customer_id", "warehouse_id", "order_date", on_time_expr().alias("on_time"))
-    lf = line_facts(m, o if restricted else None)
+    lf = line_facts(m, start, end)
     f = o.join(lf, "order_id", "left")
     line_count = F.coalesce(F.col("line_count"), F.lit(0).cast("bigint"))
     short_lines = F.coalesce(F.col("short_lines"), F.lit(0).cast("bigint"))
@@ -101,7 +112,7 @@ def po_facts(m: Marts, start, end, vendor_id: int | None = None) -> DataFrame:
     delivered late, ``end`` - expected when open and late, else 0.
     """
     end_d = F.lit(as_date(end))
-    po = m.purchase_orders.filter(date_between("expected_delivery_date", start, end))
+    po = in_range(m, "purchase_orders", "expected_delivery_date", start, end)
     if vendor_id is not None:
         po = po.filter(F.col("vendor_id") == F.lit(vendor_id))
     exp, act = F.col("expected_delivery_date"), F.col("actual_delivery_date")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.operators.facts import as_date, date_between
+from ordersight.operators.facts import as_date, in_range
 from ordersight.sources.marts import Marts
 
 
@@ -15,7 +15,7 @@ def below_safety_days(m: Marts, start, end, warehouse_id: int | None = None,
     product's safety stock (P10).  Only (product_id, safety_stock) of the
     product dimension is joined here; attributes are added after the
     aggregate, so the wide dimension never meets the raw snapshot rows."""
-    inv = m.inventory.filter(date_between("inventory_date", start, end))
+    inv = in_range(m, "inventory", "inventory_date", start, end)
     if warehouse_id is not None:
         inv = inv.filter(F.col("warehouse_id") == F.lit(warehouse_id))
     if product_id is not None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ordersight.functions.metrics import pct_tenths
 from ordersight.functions.windows import sequence_number
-from ordersight.operators.facts import as_date, date_between, filtered_orders, line_facts, po_facts
+from ordersight.operators.facts import as_date, filtered_orders, in_range, line_facts, po_facts
 from ordersight.sources.marts import Marts
 
 # Fixed policy thresholds.
@@ -47,7 +47,7 @@ def policy_order_facts(m: Marts, start=None, end=None) -> DataFrame:
     """Orders with the policy OTIF flag: delivered on or before the requested
     delivery date and no short line (zero-line orders count as in full)."""
     o = filtered_orders(m, start, end)
-    lf = line_facts(m, o if start is not None else None)
+    lf = line_facts(m, start, end)
     d = o.join(lf, "order_id", "left")
     on_time = F.col("actual_delivery_date").isNotNull() & (F.col("actual_delivery_date") <= F.col("requested_delivery_date"))
     in_full = F.coalesce(F.col("short_lines"), F.lit(0)) == 0
@@ -127,7 +127,7 @@ def consecutive_late(m: Marts, critical_products: list[int] | None = None) -> Da
 def inventory_alert_tier(m: Marts, start, end) -> DataFrame:
     """Snapshot rows whose available stock (on hand - allocated) is below
     safety stock; below half of it is critical."""
-    inv = m.inventory.filter(date_between("inventory_date", start, end))
+    inv = in_range(m, "inventory", "inventory_date", start, end)
     j = inv.join(m.products.select("product_id", "safety_stock"), "product_id")
     avail = F.col("quantity_on_hand") - F.col("quantity_allocated")
     j = j.withColumn("available", avail).filter(F.col("available") < F.col("safety_stock"))

@@ -31,6 +31,10 @@ def build_session(master: str | None = None, app: str = "ordersight",
         # bigger than this falls back to a shuffle join.
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
         "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        # Without column statistics a filtered month of orders is estimated at
+        # full-table size; let it still build the (size-capped) bloom filter.
+        "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
+        "spark.sql.optimizer.runtime.bloomFilter.maxNumBits": str(256 * 1024 * 1024),
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

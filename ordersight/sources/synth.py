@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordersight.operators.facts import as_date, date_between
+from ordersight.operators.facts import as_date, in_range
 from ordersight.sources.marts import Marts
 
 
@@ -22,7 +22,7 @@ def inventory_calendar(m: Marts, start, end) -> DataFrame:
     (``last(..., ignorenulls)`` over the pair's own days, at most the number
     of days in the range).  Each pair expands with ``explode(sequence(...))``
     -- linear in pairs x days, no cross join."""
-    inv = m.inventory.filter(date_between("inventory_date", start, end))
+    inv = in_range(m, "inventory", "inventory_date", start, end)
     first = inv.groupBy("warehouse_id", "product_id").agg(F.min("inventory_date").alias("first_date"))
     days = first.select("warehouse_id", "product_id",
                         F.explode(F.sequence(F.col("first_date"), F.lit(as_date(end)))).alias("calendar_date"))
