@@ -1,0 +1,12 @@
+"""Streaming.
+
+The analytics this package reproduces are batch reports over an operational
+store: there are no streams, event-time windows, watermarks or per-key state
+in their definition, so no streaming operator is provided for parity.
+
+The batch operators are plain DataFrame functions of the marts, so they can be
+applied unchanged inside ``foreachBatch`` of a Structured Streaming query over
+newly arriving Parquet files when incremental refresh is wanted; the
+month-partitioned store (``ordersight.sources.store``) is the intended sink
+for such a refresh.
+"""
