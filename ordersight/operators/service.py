@@ -196,3 +196,28 @@ def otif_metrics_json(m: Marts, start, end) -> DataFrame:
     """Structured result sink, ``{"result": {...}}`` as one JSON string."""
     a = otif_metrics(m, start, end)
     return a.select(F.to_json(F.struct(F.struct(*a.columns).alias("result"))).alias("json"))
+
+
+def percent_display(c):
+    """``12.3%`` (one decimal)."""
+    return F.format_string("%.1f%%", c)
+
+
+def signed_points_display(c):
+    """``+1.2 pts`` / ``-3.4 pts`` / ``0.0 pts``."""
+    return F.concat(F.when(c > 0, F.lit("+")).otherwise(F.lit("")), F.format_string("%.1f", c), F.lit(" pts"))
+
+
+def count_display(c):
+    """thousands separators (``1,234``)."""
+    return F.format_number(c, 0)
+
+
+def warehouse_comparison_display(m: Marts, prev: tuple, cur: tuple) -> DataFrame:
+    """F13 over J7: the per-warehouse comparison formatted for display."""
+    c = warehouse_period_comparison(m, prev, cur)
+    return c.select("warehouse_id", "warehouse_name",
+                    percent_display(F.col("previous_otif")).alias("previous_otif_display"),
+                    percent_display(F.col("current_otif")).alias("current_otif_display"),
+                    signed_points_display(F.col("change_points")).alias("change_display"),
+                    count_display(F.col("current_orders")).alias("current_orders_display"))

@@ -179,40 +179,101 @@ def sanitize_arguments(trace: DataFrame) -> DataFrame:
     return a.select("run_id", "seq", "name", "key", "json_type", shown.alias("sanitized"), kept.alias("whitelisted"))
 
 
+MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "August", "September",
+               "October", "November", "December")
+QUESTION_LEAD_DAYS = 105
+ASKED_MONTH = r"(?i)(" + "|".join(MONTH_NAMES) + r")\s+(20\d{2})"
+
+
+def month_end_from_text(text: Column) -> Column:
+    """last day of the first "<Month> <YYYY>" mentioned in a text (NULL if none)."""
+    found = F.regexp_extract(text, ASKED_MONTH, 0)
+    return F.when(found != "", F.last_day(F.to_date(F.initcap(found), "MMMM yyyy")))
+
+
+def evidence_date_coverage(trace: DataFrame) -> DataFrame:
+    """X16 date-coverage gap per run: the question asks about the month
+    ``QUESTION_LEAD_DAYS`` after the run's first call; when the latest requested ``endDate`` (valid ISO strings
+    only, compared as text) is on or before that month's end, the gap
+    sentence says where the evidence ends.  Two per-run aggregates joined on
+    run_id (both hash-partitioned by run_id already)."""
+    q = trace.groupBy("run_id").agg(F.min("ts").alias("first_ts")).select(
+        "run_id", F.concat(F.lit("How did service perform in "),
+                           F.date_format(F.date_add(F.col("first_ts").cast("date"), QUESTION_LEAD_DAYS), "MMMM yyyy"),
+                           F.lit("?")).alias("question"))
+    a = argument_values(trace)
+    s = F.try_variant_get("value", "$", "string")
+    ends = a.filter((F.col("key") == "endDate") & (F.col("json_type") == "string") & s.rlike(DATE_REGEX)) \
+        .groupBy("run_id").agg(F.max(s).alias("latest_requested_end"))
+    j = q.join(ends, "run_id", "left")
+    month_end = F.date_format(month_end_from_text(F.col("question")), "yyyy-MM-dd")
+    gap = F.when(F.col("latest_requested_end") <= month_end, F.concat(
+        F.lit("The investigation's tool evidence ends on "), F.col("latest_requested_end"),
+        F.lit("; later performance was not assessed.")))
+    return j.select("run_id", "question", month_end.alias("month_end"), "latest_requested_end",
+                    gap.alias("coverage_gap"))
+
+
 def contract_table(spark: SparkSession) -> DataFrame:
+    """The fixed contract as a DataFrame (for inspection / reporting)."""
     return spark.createDataFrame(CONTRACT, CONTRACT_SCHEMA)
 
 
+def _rule_map() -> Column:
+    """"tool<TAB>key" -> rule struct, as a literal map (a fixed ~20-entry contract)."""
+    entries = []
+    for tool, key, typ, _req, mn, mx, pat, lo, hi in CONTRACT:
+        entries += [F.lit(f"{tool}\t{key}"),
+                    F.struct(F.lit(typ).alias("type"), F.lit(mn).cast("int").alias("min_len"),
+                             F.lit(mx).cast("int").alias("max_len"), F.lit(pat).cast("string").alias("pattern"),
+                             F.lit(lo).cast("double").alias("minimum"), F.lit(hi).cast("double").alias("maximum"))]
+    return F.create_map(*entries)
+
+
+def _required_map() -> Column:
+    req: dict[str, list[str]] = {}
+    for tool, key, _t, required, *_ in CONTRACT:
+        if required:
+            req.setdefault(tool, []).append(key)
+    return F.create_map(*[x for tool, keys in req.items() for x in (F.lit(tool), F.array(*map(F.lit, keys)))])
+
+
 def contract_violations(trace: DataFrame) -> DataFrame:
     """Validate every call's arguments against its tool's contract.
 
     Violations: missing_required, unexpected_key (strict tools only),
     invalid_type, invalid_value (length, pattern, minimum, maximum).  The
-    contract is a fixed ~20-row table, so it is broadcast."""
-    spark = trace.sparkSession
-    rules = F.broadcast(contract_table(spark))
-    a = argument_values(trace)
-    calls = trace.select("run_id", "seq", "name")
-    req = calls.join(rules.filter("required").select(F.col("tool").alias("name"), "key"), "name")
-    missing = req.join(a.select("run_id", "seq", "key"), ["run_id", "seq", "key"], "left_anti") \
-        .select("run_id", "seq", "name", "key", F.lit("missing_required").alias("violation"))
-    known = rules.select(F.col("tool").alias("name"), "key")
-    unexpected = a.filter(F.col("name").isin(*STRICT_TOOLS)).join(known, ["name", "key"], "left_anti") \
-        .select("run_id", "seq", "name", "key", F.lit("unexpected_key").alias("violation"))
-    j = a.join(rules.withColumnRenamed("tool", "name"), ["name", "key"])
-    is_int = F.col("json_type") == "integer"
-    type_ok = (F.when(F.col("type") == "string", F.col("json_type") == "string")
-               .when(F.col("type") == "integer", is_int)
-               .when(F.col("type") == "number", F.col("json_type").isin("integer", "number"))
-               .otherwise(F.lit(True)))
-    s = F.try_variant_get("value", "$", "string")
-    num = F.try_variant_get("value", "$", "double")
-    value_ok = (F.coalesce(F.length(s) >= F.col("min_len"), F.lit(True))
-                & F.coalesce(F.length(s) <= F.col("max_len"), F.lit(True))
-                & F.coalesce(F.regexp_like(s, F.col("pattern")), F.lit(True))
-                & F.coalesce(num >= F.col("minimum"), F.lit(True))
-                & F.coalesce(num <= F.col("maximum"), F.lit(True)))
-    bad = j.select("run_id", "seq", "name", "key",
-                   F.when(~type_ok, F.lit("invalid_type")).when(~value_ok, F.lit("invalid_value")).alias("violation")) \
-        .filter(F.col("violation").isNotNull())
-    return missing.unionByName(unexpected).unionByName(bad)
+    contract is a literal map, so the whole check is row-local: each call's
+    violations are computed from its own parsed arguments and exploded once
+    -- no join, no shuffle."""
+    args = F.variant_get(F.parse_json("arguments"), "$", "map<string,variant>")
+    calls = trace.select("run_id", "seq", "name", args.alias("args"))
+    rules, required = _rule_map(), _required_map()
+    name = F.col("name")
+    present = F.map_keys("args")
+    missing = F.transform(
+        F.filter(F.coalesce(required[name], F.array().cast("array<string>")), lambda k: ~F.array_contains(present, k)),
+        lambda k: F.struct(k.alias("key"), F.lit("missing_required").alias("violation")))
+
+    def check(e):
+        rule = rules[F.concat(name, F.lit("\t"), e["key"])]
+        jt = json_type(F.schema_of_variant(e["value"]))
+        s = F.try_variant_get(e["value"], "$", "string")
+        num = F.try_variant_get(e["value"], "$", "double")
+        type_ok = (F.when(rule["type"] == "string", jt == "string")
+                   .when(rule["type"] == "integer", jt == "integer")
+                   .when(rule["type"] == "number", jt.isin("integer", "number"))
+                   .otherwise(F.lit(True)))
+        value_ok = (F.coalesce(F.length(s) >= rule["min_len"], F.lit(True))
+                    & F.coalesce(F.length(s) <= rule["max_len"], F.lit(True))
+                    & F.coalesce(F.regexp_like(s, rule["pattern"]), F.lit(True))
+                    & F.coalesce(num >= rule["minimum"], F.lit(True))
+                    & F.coalesce(num <= rule["maximum"], F.lit(True)))
+        v = (F.when(rule.isNull(), F.when(name.isin(*STRICT_TOOLS), F.lit("unexpected_key")))
+             .when(~type_ok, F.lit("invalid_type"))
+             .when(~value_ok, F.lit("invalid_value")))
+        return F.struct(e["key"].alias("key"), v.alias("violation"))
+
+    per_key = F.filter(F.transform(F.map_entries("args"), check), lambda x: x["violation"].isNotNull())
+    out = calls.select("run_id", "seq", "name", F.explode(F.concat(missing, per_key)).alias("v"))
+    return out.select("run_id", "seq", "name", "v.key", "v.violation")

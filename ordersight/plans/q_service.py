@@ -323,3 +323,17 @@ def _tool_summaries_sql() -> str:
 
 
 ORACLE["tool_summaries"] = _tool_summaries_sql()
+
+
+@register("warehouse_comparison_display")
+def q_warehouse_comparison_display(m):
+    """period comparison formatted for display (12.3%, +1.2 pts, 1,234)."""
+    return service.warehouse_comparison_display(m, PREV, CUR)
+
+
+ORACLE["warehouse_comparison_display"] = _comparison_sql() + """
+    SELECT warehouse_id, warehouse_name, printf('%.1f%%', previous_otif) AS previous_otif_display,
+           printf('%.1f%%', current_otif) AS current_otif_display,
+           CASE WHEN change_points > 0 THEN '+' ELSE '' END || printf('%.1f', change_points) || ' pts' AS change_display,
+           format('{:,}', current_orders) AS current_orders_display
+    FROM comp"""

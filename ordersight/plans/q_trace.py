@@ -310,3 +310,25 @@ def q_redact_credentials(m):
 ORACLE["redact_credentials"] = f"""WITH t AS (SELECT conv_id, turn, text || {_SECRET_PARTS} AS text FROM conversations)
     SELECT conv_id, turn, {_REDACT_SQL.format(x='text')} AS redacted, {_REDACT_SQL.format(x='text')} <> text AS was_redacted
     FROM t"""
+
+
+@register("evidence_date_coverage")
+def q_evidence_date_coverage(m):
+    """Month end parsed from the question text vs the latest requested end date."""
+    return trace.evidence_date_coverage(_trace(m))
+
+
+ORACLE["evidence_date_coverage"] = _ARGS_CTE + f""",
+    q AS (SELECT run_id, 'How did service perform in '
+                 || strftime(CAST(MIN(ts) AS DATE) + {trace.QUESTION_LEAD_DAYS}, '%B %Y') || '?' AS question
+          FROM tr GROUP BY run_id),
+    e AS (SELECT run_id, MAX(s) AS latest_requested_end FROM kv
+          WHERE key = 'endDate' AND json_type = 'string' AND regexp_matches(s, '{trace.DATE_REGEX}') GROUP BY run_id),
+    j AS (SELECT q.run_id, q.question, e.latest_requested_end,
+                 strftime(last_day(strptime(regexp_extract(q.question, '{trace.ASKED_MONTH}', 0), '%B %Y')), '%Y-%m-%d')
+                   AS month_end
+          FROM q LEFT JOIN e ON e.run_id = q.run_id)
+    SELECT run_id, question, month_end, latest_requested_end,
+           CASE WHEN latest_requested_end <= month_end THEN 'The investigation''s tool evidence ends on '
+                || latest_requested_end || '; later performance was not assessed.' END AS coverage_gap
+    FROM j"""
