@@ -4,7 +4,10 @@
 rows of a key in one task; if one key holds a third of the data, that task
 holds a third of the data.  ``prefix_sums`` splits such keys instead, using a
 caller-supplied *bucket*: a deterministic column that is non-decreasing in the
-order (the hour of a timestamp, ``seq div 1024``, ...):
+order.  Pick a calendar unit (hour of a timestamp, day of a date): then the
+number of buckets per key is bounded by the key's time span and the offsets
+window (step 3) stays small however hot the key is, while each bucket holds
+only one key's rows of one hour / day:
 
 1. local running sums within (key, bucket) -- a window whose groups are
    bounded by the bucket width, not by the size of the key;

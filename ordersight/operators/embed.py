@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,10 +38,16 @@ class HashingEmbedder:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float64)
+        cache: dict[str, int] = {}          # prose repeats words: hash each once per call
         for i, t in enumerate(texts):
-            for tok in _TOKEN.findall((t or "").lower()):
-                h = zlib.crc32(tok.encode("utf-8"))
-                out[i, h % self.dim] += 1.0 if (h >> 16) & 1 else -1.0
+            counts = Counter(_TOKEN.findall((t or "").lower()))
+            if not counts:
+                continue
+            h = np.fromiter((cache[w] if w in cache else cache.setdefault(w, zlib.crc32(w.encode("utf-8")))
+                             for w in counts), dtype=np.int64, count=len(counts))
+            weights = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+            weights *= np.where((h >> 16) & 1, 1.0, -1.0)
+            out[i] = np.bincount(h % self.dim, weights=weights, minlength=self.dim)
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         np.divide(out, norms, out=out, where=norms > 0)
         return out

@@ -116,7 +116,9 @@ def consecutive_late(m: Marts, critical_products: list[int] | None = None) -> Da
         po = po.filter(F.col("product_id").isin(*critical_products))
     po = po.select("po_id", "vendor_id", "product_id", "expected_delivery_date",
                    (F.col("actual_delivery_date") > F.col("expected_delivery_date")).alias("late"))
-    bucket = F.struct(F.col("expected_delivery_date"), F.floor(F.col("po_id") / F.lit(1_000_000_000)))
+    # Day buckets: buckets per pair are bounded by the calendar, rows per
+    # bucket by one pair's POs on one day.
+    bucket = F.datediff(F.col("expected_delivery_date"), F.lit(dt.date(1970, 1, 1))).cast("bigint")
     s = sequence_number(po, ["vendor_id", "product_id"], ["expected_delivery_date", "po_id"], bucket)
     prev = s.select("vendor_id", "product_id", (F.col("seq") + 1).alias("seq"),
                     F.col("po_id").alias("previous_po_id"), F.col("late").alias("previous_late"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordersight.functions.text import redact_credentials
-from ordersight.functions.windows import block_bucket, hour_bucket, prefix_sums, sequence_number
+from ordersight.functions.windows import hour_bucket, prefix_sums, sequence_number
 
 # Fixed values of the tool catalogue.
 TOOL_LABELS = {
@@ -121,7 +121,9 @@ def trace_cap_audit(trace: DataFrame) -> DataFrame:
     prev = trace.select("run_id", (F.col("seq") + 1).alias("seq"), micros.alias("prev_us"))
     t = trace.join(prev, ["run_id", "seq"], "left")
     new_round = F.coalesce(micros - F.col("prev_us") > ROUND_GAP_SECONDS * 1_000_000, F.lit(False))
-    t = prefix_sums(t, ["run_id"], ["seq"], {"round": new_round.cast("int")}, block_bucket("seq"))
+    # Hour of ts is monotone in seq (seq is ordered by ts): buckets per run are
+    # bounded by the run's time span, not by its number of calls.
+    t = prefix_sums(t, ["run_id"], ["seq"], {"round": new_round.cast("int")}, hour_bucket("ts"))
     rnd = (F.col("round") + 1).cast("int")
     return t.select("run_id", "seq", "name", rnd.alias("round"), F.col("seq").alias("call_number"),
                     (rnd <= MAX_TOOL_CALL_ROUNDS).alias("within_round_cap"),

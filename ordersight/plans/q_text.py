@@ -74,8 +74,12 @@ ORACLE["vector_topk_min_similarity"] = _topk_sql(50, P.MIN_SIMILARITY) + " SELEC
 
 
 def _hits_with_text(m, k):
+    """Hits joined to their passage text.  Documents are first semi-filtered by
+    the hit ids (k per query: AQE broadcasts the id list when small), so full
+    texts of non-hits are never shuffled."""
     h = vector_hits(m, k)
-    d = m.t.documents.select(F.col("doc_id").alias("vec_id"), "text")
+    d = m.t.documents.select(F.col("doc_id").alias("vec_id"), "text") \
+        .join(h.select("vec_id").distinct(), "vec_id", "left_semi")
     return h.join(d, "vec_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 

@@ -56,3 +56,26 @@ def test_entry_and_every_query_runs_on_smoke_data(spark):
         out = fn(spark, E.SMOKE_DIR)
         assert out.columns, name
         out.limit(1).collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_flagship_pushes_date_filter_and_prunes_columns(spark):
+    import __spark_entry__ as E
+    plan = E.queries()["otif_metrics"](spark, E.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate,1996-08-01T00:00)" in plan
+    # order value is unused by A1, so even l_extendedprice is pruned from the line scan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_linenumber:int,l_quantity:double,l_returnflag:string>" in plan
+
+
+def test_month_end_and_display_helpers(spark):
+    from ordersight.operators.service import count_display, percent_display, signed_points_display
+    from ordersight.operators.trace import month_end_from_text
+    r = spark.createDataFrame([("What happened in february 2024 at site 3?", 12.25, 1234567, -3.5)],
+                              "q string, p double, n long, c double").select(
+        month_end_from_text(F.col("q")).alias("e"), percent_display(F.col("p")).alias("p"),
+        count_display(F.col("n")).alias("n"), signed_points_display(F.col("c")).alias("c"),
+        signed_points_display(F.lit(1.2)).alias("c2")).first()
+    import datetime as dt
+    assert r.e == dt.date(2024, 2, 29) and r.n == "1,234,567" and r.c == "-3.5 pts" and r.c2 == "+1.2 pts"
+    assert r.p in ("12.3%", "12.2%")
