@@ -149,6 +149,19 @@ def cosine_top_k(index: DataFrame, queries: DataFrame, k: int = 3, min_similarit
     return ranked.select("query_id", "rank", *cols)
 
 
+def search_policies(index: DataFrame, query: str, embedder, top_k: int = 3, min_similarity: float = -1.0,
+                    id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
+    """X8 single-query form: validate (X9), embed the trimmed query through the
+    same hook as the index, and rank the index (similarity desc, id asc)."""
+    validate_search_args(query, top_k, min_similarity)
+    vec = np.asarray(embedder([query.strip()]), dtype=np.float64)
+    if vec.shape[0] != 1:
+        raise RuntimeError("Embedding response count did not match submitted chunks.")
+    q = index.sparkSession.createDataFrame([(0, vec[0].tolist())], "query_id long, embedding array<double>")
+    return cosine_top_k(index, q, k=top_k, min_similarity=min_similarity, id_col=id_col, vec_col=vec_col) \
+        .drop("query_id")
+
+
 # ---- shaping of search hits --------------------------------------------------
 
 def collapse_ws_preview(c, n: int):
