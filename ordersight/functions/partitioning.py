@@ -1,0 +1,21 @@
+"""Partitioning guards for the Python (Arrow batch) stages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_for_python(df: DataFrame, key: str | None = None, factor: int = 2) -> DataFrame:
+    """Give a Python-heavy stage enough tasks.
+
+    Per-row Python work (chunking, embedding, similarity products) runs once
+    per input partition; a table stored as a few large files would run it in a
+    few tasks.  When the input has fewer partitions than ``factor`` x the
+    cluster's default parallelism, hash-partition it on ``key`` (deterministic
+    on retry) to that many partitions; on a large input with many file splits
+    this is a no-op, so no shuffle is added where parallelism already exists.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ordersight.functions.partitioning import spread_for_python
+
 # Fixed patterns of the chunking contract.
 HEADING_RE = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$")
 LINE_SPLIT_RE = re.compile(r"\r?\n")
@@ -160,7 +162,7 @@ def chunk_documents(df: DataFrame, document_col: str = "document", markdown_col:
             yield pd.DataFrame(rows, columns=cols).astype({"chunk_seq": "int32"})
 
     src = df.select(F.col(document_col).alias("document"), F.col(markdown_col).alias("markdown"))
-    return src.mapInPandas(run, CHUNK_SCHEMA)
+    return spread_for_python(src, "document").mapInPandas(run, CHUNK_SCHEMA)
 
 
 def documents_as_markdown(documents: DataFrame) -> DataFrame:

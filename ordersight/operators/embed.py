@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ordersight.functions.partitioning import spread_for_python
+
 Embedder = Callable[[list[str]], np.ndarray]
 
 # Fixed values of the index contract.
@@ -76,7 +78,7 @@ def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
                 vecs.extend(got.tolist())
             yield pd.Series(vecs)
 
-    return df.withColumn(out_col, _embed(F.col(text_col)))
+    return spread_for_python(df).withColumn(out_col, _embed(F.col(text_col)))
 
 
 def index_rows(chunks: DataFrame, embedder: Embedder | None = None, model: str | None = None) -> DataFrame:

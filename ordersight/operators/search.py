@@ -124,6 +124,8 @@ def cosine_top_k(index: DataFrame, queries: DataFrame, k: int = 3, min_similarit
     n, dim = int(stats["n"] or 0), int(stats["d"] or 0)
     if n and dim != stats["dmin"]:
         raise ValueError("Embedding dimensions do not match.")
+    # No repartition here: per-row work is one vectorised matrix product, so
+    # the scan's own partitions (file splits) are enough parallelism.
     idx = index.withColumn(vec_col, F.col(vec_col).cast("array<double>"))
     blocks = max(1, math.ceil(n * max(dim, 1) * 8 / MAX_QUERY_MATRIX_BYTES))
     parts = []
