@@ -51,9 +51,16 @@ def sequence_number(df: DataFrame, keys: list[str], order: list[str], bucket: Co
     return out.withColumn(name, F.col(name).cast("int"))
 
 
+def epoch_micros(ts_col: str) -> Column:
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ column, independent of
+    the session time zone (no DST shifts)."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", epoch, F.col(ts_col).cast("timestamp_ntz"))
+
+
 def hour_bucket(ts_col: str) -> Column:
-    """Hour number of a (NTZ or session) timestamp: monotone in time."""
-    return F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / F.lit(3_600_000_000)).cast("bigint")
+    """Hour number of a timestamp: monotone in time."""
+    return F.floor(epoch_micros(ts_col) / F.lit(3_600_000_000)).cast("bigint")
 
 
 def block_bucket(seq_col: str, width: int = 1024) -> Column:

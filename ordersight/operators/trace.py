@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordersight.functions.text import redact_credentials
-from ordersight.functions.windows import hour_bucket, prefix_sums, sequence_number
+from ordersight.functions.windows import epoch_micros, hour_bucket, prefix_sums, sequence_number
 
 # Fixed values of the tool catalogue.
 TOOL_LABELS = {
@@ -117,7 +117,7 @@ def trace_cap_audit(trace: DataFrame) -> DataFrame:
     The previous call comes from an equi-join on (run_id, seq - 1) -- unique
     keys, so a hot run is spread over many tasks -- and the round number is a
     skew-safe running count of gap flags."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    micros = epoch_micros("ts")
     prev = trace.select("run_id", (F.col("seq") + 1).alias("seq"), micros.alias("prev_us"))
     t = trace.join(prev, ["run_id", "seq"], "left")
     new_round = F.coalesce(micros - F.col("prev_us") > ROUND_GAP_SECONDS * 1_000_000, F.lit(False))
