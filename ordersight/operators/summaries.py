@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from ordersight.operators import inventory, service, vendors
 from ordersight.sources.marts import Marts
 
+# One-line summary templates per tool.
+SUMMARY_TEMPLATES = {
+    "get_otif_metrics": "%s orders; %s OTIF (%s%%).",
+    "get_warehouse_performance": "%s warehouses; lowest OTIF is %s (%s%%).",
+    "get_inventory_health": "%s products below safety stock across %s product-location-days.",
+    "get_vendor_performance": "%s vendors; highest late count is %s (%s); destinations: %s.",
+    "get_customer_impact": "%s customers; %s with affected revenue.",
+}
+
 
 def js_number(c: Column) -> Column:
     """Render a number the way a JS template literal does (50 -> "50", 63.6 -> "63.6")."""
@@ -23,17 +32,17 @@ def _row(tool: str, df: DataFrame, summary: Column) -> DataFrame:
 
 def tool_summaries(m: Marts, start, end) -> DataFrame:
     a1 = service.otif_metrics(m, start, end)
-    otif = _row("get_otif_metrics", a1, F.format_string("%s orders; %s OTIF (%s%%).", F.col("total_orders"),
+    otif = _row("get_otif_metrics", a1, F.format_string(SUMMARY_TEMPLATES["get_otif_metrics"], F.col("total_orders"),
                                                         F.col("otif_orders"), js_number(F.col("otif_percentage"))))
     a2 = service.warehouse_performance(m, start, end).agg(
         F.count(F.lit(1)).alias("n"),
         F.min_by(F.struct("warehouse_name", "otif_percentage"), F.struct("otif_percentage", "warehouse_id")).alias("lo"))
     wh = _row("get_warehouse_performance", a2, F.format_string(
-        "%s warehouses; lowest OTIF is %s (%s%%).", F.col("n"), F.coalesce(F.col("lo.warehouse_name"), F.lit("n/a")),
+        SUMMARY_TEMPLATES["get_warehouse_performance"], F.col("n"), F.coalesce(F.col("lo.warehouse_name"), F.lit("n/a")),
         F.coalesce(js_number(F.col("lo.otif_percentage")), F.lit("n/a"))))
     a4 = inventory.inventory_health(m, start, end)
     inv = _row("get_inventory_health", a4, F.format_string(
-        "%s products below safety stock across %s product-location-days.",
+        SUMMARY_TEMPLATES["get_inventory_health"],
         F.col("products_below_safety_stock"), F.col("number_of_days_below_safety_stock")))
     # Late-PO destinations per vendor, distinct in detail order (actual date
     # desc, nulls last, then PO id): at most one entry per site per vendor.
@@ -48,11 +57,11 @@ def tool_summaries(m: Marts, start, end) -> DataFrame:
                           F.struct("late_deliveries", -F.col("vendor_id"))).alias("top"))
     dests = F.array_join(F.transform(F.col("top.d"), lambda x: x["warehouse_name"]), ", ")
     ven = _row("get_vendor_performance", top, F.format_string(
-        "%s vendors; highest late count is %s (%s); destinations: %s.", F.col("n"),
+        SUMMARY_TEMPLATES["get_vendor_performance"], F.col("n"),
         F.coalesce(F.col("top.vendor_name"), F.lit("n/a")), F.coalesce(F.col("top.late_deliveries"), F.lit(0)),
         F.when(F.coalesce(F.size("top.d"), F.lit(0)) > 0, dests).otherwise(F.lit("not specified"))))
     ci = service.customer_impact(m, start, end).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("estimated_affected_revenue") > 0).alias("affected"))
-    cust = _row("get_customer_impact", ci, F.format_string("%s customers; %s with affected revenue.",
+    cust = _row("get_customer_impact", ci, F.format_string(SUMMARY_TEMPLATES["get_customer_impact"],
                                                            F.col("n"), F.col("affected")))
     return reduce(DataFrame.unionByName, [otif, wh, inv, ven, cust])

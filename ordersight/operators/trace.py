@@ -184,6 +184,8 @@ def sanitize_arguments(trace: DataFrame) -> DataFrame:
 MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "August", "September",
                "October", "November", "December")
 QUESTION_LEAD_DAYS = 105
+# Fixed value: the date-coverage gap sentence.
+COVERAGE_GAP_TEMPLATE = "The investigation's tool evidence ends on %s; later performance was not assessed."
 ASKED_MONTH = r"(?i)(" + "|".join(MONTH_NAMES) + r")\s+(20\d{2})"
 
 
@@ -209,9 +211,8 @@ def evidence_date_coverage(trace: DataFrame) -> DataFrame:
         .groupBy("run_id").agg(F.max(s).alias("latest_requested_end"))
     j = q.join(ends, "run_id", "left")
     month_end = F.date_format(month_end_from_text(F.col("question")), "yyyy-MM-dd")
-    gap = F.when(F.col("latest_requested_end") <= month_end, F.concat(
-        F.lit("The investigation's tool evidence ends on "), F.col("latest_requested_end"),
-        F.lit("; later performance was not assessed.")))
+    gap = F.when(F.col("latest_requested_end") <= month_end,
+                 F.format_string(COVERAGE_GAP_TEMPLATE, F.col("latest_requested_end")))
     return j.select("run_id", "question", month_end.alias("month_end"), "latest_requested_end",
                     gap.alias("coverage_gap"))
 

@@ -81,10 +81,23 @@ ORACLE["otif_metrics_customer"] = _otif_sql(("1990-01-01", "2005-12-31"), cust=P
 
 @register("otif_metrics_json")
 def q_otif_metrics_json(m):
-    """OTIF result wrapped as {"result": ...} JSON (rows-only check)."""
+    """OTIF result wrapped as {"result": ...} JSON (null fields omitted)."""
     return service.otif_metrics_json(m, *CUR)
 
 
+def _json_sql() -> str:
+    num = ["total_orders", "on_time_orders", "in_full_orders", "otif_orders"]
+    pcts = ["on_time_percentage", "in_full_percentage", "otif_percentage"]
+    fields = ([f"'\"start_date\":\"' || strftime(start_date, '%Y-%m-%d') || '\"'",
+               f"'\"end_date\":\"' || strftime(end_date, '%Y-%m-%d') || '\"'"]
+              + [f"'\"{c}\":' || CAST({c} AS VARCHAR)" for c in num + pcts])
+    return ("SELECT '{\"result\":{' || " + " || ',' || ".join(fields) + " || '}}' AS json FROM ("
+            + _otif_sql(CUR) + ") a")
+
+
+ORACLE["otif_metrics_json"] = _json_sql()
+
+
 @register("order_service_facts")
 def q_order_service_facts(m):
     """Per-order service flags for the current month."""

@@ -8,6 +8,26 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Sizing for a large cluster (e.g. 1000 executors over ~100 TB of Parquet).
+# Applied only for keys the cluster config has not set.
+CLUSTER_PROFILE = {
+    "spark.sql.files.maxPartitionBytes": "512m",              # ~200k scan tasks per 100 TB
+    "spark.sql.shuffle.partitions": "8000",                   # upper bound; AQE coalesces
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",   # bounded Arrow batches for long texts
+}
+
+
+def apply_cluster_profile(spark: SparkSession) -> None:
+    """Fill in the large-cluster sizing for every key the cluster left unset."""
+    conf = spark.sparkContext.getConf()
+    for k, v in CLUSTER_PROFILE.items():
+        if not conf.contains(k):
+            spark.conf.set(k, v)
+
+
 def build_session(master: str | None = None, app: str = "ordersight",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
