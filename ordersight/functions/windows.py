@@ -66,3 +66,25 @@ def hour_bucket(ts_col: str) -> Column:
 def block_bucket(seq_col: str, width: int = 1024) -> Column:
     """``seq div width``: monotone in an integer sequence."""
     return F.floor(F.col(seq_col) / F.lit(width)).cast("bigint")
+
+
+def previous_values(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
+                    bucket: Column, prefix: str = "previous_") -> DataFrame:
+    """Skew-safe ``lag(col)`` per key in ``order`` for each of ``cols``.
+
+    Within a (key, bucket) group the previous row comes from a local ``lag``;
+    for the first row of a bucket it is the last row of the key's previous
+    non-empty bucket, taken from a per-bucket summary (one row per bucket,
+    ``max_by`` on the order) lagged over the key's buckets.  One shuffle of
+    the data (the local window); the summaries are small."""
+    base = df.select("*", bucket.alias("_bucket"))
+    w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    local = base.select("*", F.row_number().over(w).alias("_rn"),
+                        *[F.lag(c).over(w).alias(f"_lag_{c}") for c in cols])
+    last = base.groupBy(*keys, "_bucket").agg(
+        F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
+    prev = last.select(*keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket"))
+                       .alias("_prev"))
+    out = local.join(prev, keys + ["_bucket"], "left")
+    return out.select(*df.columns, *[F.when(F.col("_rn") == 1, F.col(f"_prev.{c}")).otherwise(F.col(f"_lag_{c}"))
+                                     .alias(f"{prefix}{c}") for c in cols])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.functions.metrics import pct_tenths
-from ordersight.functions.windows import sequence_number
+from ordersight.functions.windows import previous_values
 from ordersight.operators.facts import as_date, filtered_orders, in_range, line_facts, po_facts
 from ordersight.sources.marts import Marts
 
@@ -110,20 +110,19 @@ def vendor_repeat_failure(m: Marts) -> DataFrame:
 def consecutive_late(m: Marts, critical_products: list[int] | None = None) -> DataFrame:
     """Two consecutive late deliveries for a vendor x product, in
     (expected date, po id) order.  The predecessor comes from a skew-safe
-    sequence number and an equi-join on (vendor, product, seq - 1)."""
+    ``lag`` (``functions.windows.previous_values``) bucketed by day: buckets
+    per pair are bounded by the calendar, rows per bucket by one pair's POs
+    on one day."""
     po = m.purchase_orders
     if critical_products:
         po = po.filter(F.col("product_id").isin(*critical_products))
     po = po.select("po_id", "vendor_id", "product_id", "expected_delivery_date",
                    (F.col("actual_delivery_date") > F.col("expected_delivery_date")).alias("late"))
-    # Day buckets: buckets per pair are bounded by the calendar, rows per
-    # bucket by one pair's POs on one day.
     bucket = F.datediff(F.col("expected_delivery_date"), F.lit(dt.date(1970, 1, 1))).cast("bigint")
-    s = sequence_number(po, ["vendor_id", "product_id"], ["expected_delivery_date", "po_id"], bucket)
-    prev = s.select("vendor_id", "product_id", (F.col("seq") + 1).alias("seq"),
-                    F.col("po_id").alias("previous_po_id"), F.col("late").alias("previous_late"))
-    j = s.filter("late").join(prev.filter("previous_late"), ["vendor_id", "product_id", "seq"])
-    return j.select("vendor_id", "product_id", "po_id", "previous_po_id", "expected_delivery_date")
+    p = previous_values(po, ["vendor_id", "product_id"], ["expected_delivery_date", "po_id"],
+                        ["po_id", "late"], bucket)
+    return p.filter(F.col("late") & F.col("previous_late")).select(
+        "vendor_id", "product_id", "po_id", F.col("previous_po_id"), "expected_delivery_date")
 
 
 def inventory_alert_tier(m: Marts, start, end) -> DataFrame:

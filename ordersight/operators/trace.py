@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordersight.functions.text import redact_credentials
-from ordersight.functions.windows import epoch_micros, hour_bucket, prefix_sums, sequence_number
+from ordersight.functions.windows import epoch_micros, hour_bucket, prefix_sums, previous_values, sequence_number
 
 # Fixed values of the tool catalogue.
 TOOL_LABELS = {
@@ -114,13 +114,12 @@ def trace_cap_audit(trace: DataFrame) -> DataFrame:
     """Round number (a new round after a > 6 h gap) and call number per
     run; calls beyond 6 rounds or 18 calls are flagged as rejected.
 
-    The previous call comes from an equi-join on (run_id, seq - 1) -- unique
-    keys, so a hot run is spread over many tasks -- and the round number is a
-    skew-safe running count of gap flags."""
-    micros = epoch_micros("ts")
-    prev = trace.select("run_id", (F.col("seq") + 1).alias("seq"), micros.alias("prev_us"))
-    t = trace.join(prev, ["run_id", "seq"], "left")
-    new_round = F.coalesce(micros - F.col("prev_us") > ROUND_GAP_SECONDS * 1_000_000, F.lit(False))
+    The previous call's time is a skew-safe ``lag`` and the round number a
+    skew-safe running count of gap flags, both bucketed by hour, so a run
+    with a third of all calls is spread over its hours."""
+    t = trace.withColumn("_us", epoch_micros("ts"))
+    t = previous_values(t, ["run_id"], ["seq"], ["_us"], hour_bucket("ts"))
+    new_round = F.coalesce(F.col("_us") - F.col("previous__us") > ROUND_GAP_SECONDS * 1_000_000, F.lit(False))
     # Hour of ts is monotone in seq (seq is ordered by ts): buckets per run are
     # bounded by the run's time span, not by its number of calls.
     t = prefix_sums(t, ["run_id"], ["seq"], {"round": new_round.cast("int")}, hour_bucket("ts"))

@@ -79,3 +79,14 @@ def test_month_end_and_display_helpers(spark):
     import datetime as dt
     assert r.e == dt.date(2024, 2, 29) and r.n == "1,234,567" and r.c == "-3.5 pts" and r.c2 == "+1.2 pts"
     assert r.p in ("12.3%", "12.2%")
+
+
+def test_previous_values_matches_lag_on_a_hot_key(spark):
+    from ordersight.functions.windows import previous_values
+    df = spark.range(0, 4000).select((F.when(F.col("id") % 9 == 0, F.col("id") % 5).otherwise(0)).alias("k"),
+                                     (F.col("id") * 7919 % 4001).alias("o"), F.col("id"),
+                                     (F.col("id") % 3 == 0).alias("flag"))
+    got = previous_values(df, ["k"], ["o", "id"], ["id", "flag"], F.floor(F.col("o") / 37))
+    w = Window.partitionBy("k").orderBy("o", "id")
+    ref = df.select("id", F.lag("id").over(w).alias("previous_id"), F.lag("flag").over(w).alias("previous_flag"))
+    assert sorted(got.select("id", "previous_id", "previous_flag").collect()) == sorted(ref.collect())
