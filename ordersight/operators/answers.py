@@ -102,6 +102,13 @@ def list_items(content: Column) -> Column:
     return F.when(F.size(items) > 1, items).when(F.size(paras) > 1, paras).otherwise(whole)
 
 
+def list_item_rows(df: DataFrame, content_col: str = "actions") -> DataFrame:
+    """X17 as rows: (keys..., item_no, item)."""
+    keep = [c for c in df.columns if c != content_col]
+    return df.select(*keep, F.posexplode(list_items(F.col(content_col))).alias("pos", "item")) \
+        .select(*keep, (F.col("pos") + 1).cast("int").alias("item_no"), "item")
+
+
 def action_items(df: DataFrame, content_col: str = "actions") -> DataFrame:
     """X17 + X18: one row per action item with its title (bold prefix, else
     the first clause up to 90 characters), body and policy-basis sentences."""

@@ -167,6 +167,12 @@ def q_synth_order_lines(m):
     return synth.synth_order_lines(m)
 
 
+@register("synth_orders")
+def q_synth_orders(m):
+    """Hash-generated orders (one per order key) over a quarter (rows-only check)."""
+    return synth.synth_orders(m)
+
+
 @register("shortage_runs")
 def q_shortage_runs(m):
     """> 3 consecutive business days below safety on available stock."""

@@ -256,6 +256,13 @@ ORACLE["evidence_gaps"] = _SECTIONS_CTE + f""",
     SELECT conv_id, turn, CAST(gap_rank AS INTEGER) AS gap_rank, sentence AS gap FROM rk WHERE gap_rank <= {answers.MAX_GAPS}"""
 
 
+@register("list_items")
+def q_list_items(m):
+    """Recommended-action content split into list items (bullets, else paragraphs)."""
+    s = _sections(m)
+    return answers.list_item_rows(s.select("conv_id", "turn", "actions"), "actions")
+
+
 @register("action_policy_basis")
 def q_action_policy_basis(m):
     """Action items with title, body and policy-basis sentences."""
@@ -267,6 +274,19 @@ def _trim(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
+def _list_items_sql() -> str:
+    return _SECTIONS_CTE + f""",
+    li AS (SELECT conv_id, turn, actions,
+             list_filter(list_transform(string_split(regexp_replace(actions, '(?m)^(\\s*(?:[-*+]\\s|\\d+[.)]\\s))',
+               chr(1) || '\\1', 'g'), chr(1)), lambda x: {_trim('x')}), lambda x: x <> '') AS items,
+             list_filter(list_transform(regexp_split_to_array(actions, '\\n\\s*\\n'), lambda x: {_trim('x')}),
+                         lambda x: x <> '') AS paras
+           FROM sec),
+    ch AS (SELECT conv_id, turn, CASE WHEN len(items) > 1 THEN items WHEN len(paras) > 1 THEN paras
+                  ELSE list_filter([{_trim('actions')}], lambda x: x <> '') END AS arr FROM li),
+    it AS (SELECT conv_id, turn, unnest(arr) AS item, unnest(range(1, len(arr) + 1)) AS item_no FROM ch)"""
+
+
 ORACLE["action_policy_basis"] = _SECTIONS_CTE + f""",
     li AS (SELECT conv_id, turn, actions,
              list_filter(list_transform(string_split(regexp_replace(actions, '(?m)^(\\s*(?:[-*+]\\s|\\d+[.)]\\s))',
@@ -332,3 +352,13 @@ ORACLE["evidence_date_coverage"] = _ARGS_CTE + f""",
            CASE WHEN latest_requested_end <= month_end THEN 'The investigation''s tool evidence ends on '
                 || latest_requested_end || '; later performance was not assessed.' END AS coverage_gap
     FROM j"""
+
+
+def _list_items_sql() -> str:
+    # the item split is the first part of the action-basis statement (up to the items CTE)
+    full = ORACLE["action_policy_basis"]
+    head = full[: full.index(",\n    cl AS (")]
+    return head + " SELECT conv_id, turn, CAST(item_no AS INTEGER) AS item_no, item FROM it"
+
+
+ORACLE["list_items"] = _list_items_sql()

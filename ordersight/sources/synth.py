@@ -56,3 +56,25 @@ def synth_order_lines(m: Marts, n_products: int | None = None) -> DataFrame:
         qty.alias("quantity_ordered"),
         F.when(short, F.floor(qty * 0.6).cast("int")).otherwise(qty).alias("quantity_shipped"),
         (h("price") % 50_000 + 500).cast("bigint").alias("unit_price_cents"))
+
+
+def synth_orders(m: Marts, start: str = "2026-07-01", days: int = 92, warehouses: int = 3) -> DataFrame:
+    """Generate one synthetic order per order key of the orders mart: order
+    date within a quarter, warehouse, and requested / actual ship and delivery
+    dates with hash-drawn delays (about 15 % of orders missing a delivery
+    date when still in flight).  Pure functions of the key -> reproducible on
+    any partitioning."""
+    o = m.orders.select("order_id", "customer_id")
+    h = lambda salt: F.pmod(F.xxhash64("order_id", F.lit(salt)), F.lit(1_000_000))
+    od = F.date_add(F.lit(as_date(start)), (h("day") % days).cast("int"))
+    req_ship = F.date_add(od, 1 + (h("ship") % 2).cast("int"))
+    req_del = F.date_add(od, 3 + (h("del") % 4).cast("int"))
+    ship_delay = F.when(h("sd") < 800_000, F.lit(0)).otherwise((h("sd2") % 3 + 1).cast("int"))
+    del_delay = F.when(h("dd") < 700_000, F.lit(0)).otherwise((h("dd2") % 4 + 1).cast("int"))
+    in_flight = h("open") < 150_000
+    return o.select(
+        "order_id", "customer_id", ((h("wh") % warehouses) + 1).cast("bigint").alias("warehouse_id"),
+        od.alias("order_date"), req_ship.alias("requested_ship_date"),
+        F.date_add(req_ship, ship_delay).alias("actual_ship_date"), req_del.alias("requested_delivery_date"),
+        F.when(in_flight, F.lit(None).cast("date")).otherwise(F.date_add(req_del, del_delay)).alias("actual_delivery_date"),
+        F.when(in_flight, F.lit("partially_fulfilled")).otherwise(F.lit("delivered")).alias("order_status"))
