@@ -15,7 +15,10 @@ def spread_for_python(df: DataFrame, key: str | None = None, factor: int = 2) ->
     on retry) to that many partitions; on a large input with many file splits
     this is a no-op, so no shuffle is added where parallelism already exists.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism * factor
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 -- no RDD API (e.g. a Connect session): leave partitioning to Spark
         return df
     return df.repartition(target, key) if key else df.repartition(target)

@@ -83,7 +83,12 @@ def _batch_topk(ids: np.ndarray, mat: np.ndarray, qids: np.ndarray, qmat: np.nda
 def _pass(index: DataFrame, id_col: str, vec_col: str, qids: np.ndarray, qmat: np.ndarray,
           k: int, floor: float) -> DataFrame:
     spark = index.sparkSession
-    bq = spark.sparkContext.broadcast((qids, qmat))
+    try:
+        bq = spark.sparkContext.broadcast((qids, qmat))       # once per executor
+        get = lambda: bq.value
+    except Exception:  # noqa: BLE001 -- no SparkContext (Connect): ship the bounded block in the closure
+        held = (qids, qmat)
+        get = lambda: held
     dim = qmat.shape[1]
     carry = [f for f in index.schema.fields if f.name != vec_col]
     schema = T.StructType([T.StructField("query_id", T.LongType(), False), *carry,
@@ -91,7 +96,7 @@ def _pass(index: DataFrame, id_col: str, vec_col: str, qids: np.ndarray, qmat: n
     carry_names = [f.name for f in carry]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q_mat = bq.value
+        q_ids, q_mat = get()
         for pdf in batches:
             if pdf.empty:
                 continue
