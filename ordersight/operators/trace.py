@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ordersight.functions.text import redact_credentials
 from ordersight.functions.windows import epoch_micros, hour_bucket, prefix_sums, previous_values, sequence_number

@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordersight.plans import params as P
 from ordersight.sources.marts import Marts
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -38,4 +37,4 @@ def _load_all() -> None:
     from ordersight.plans import q_quality, q_rules, q_service, q_supply, q_text, q_trace  # noqa: F401
 
 
-__all__ = ["register", "queries", "P"]
+__all__ = ["register", "queries"]

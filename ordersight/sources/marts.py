@@ -32,7 +32,7 @@ def _plus_days(d: Column, n: Column) -> Column:
     return F.date_add(d, n.cast("int"))
 
 
-def po_key(l: DataFrame | None = None) -> Column:
+def po_key() -> Column:
     """Synthetic purchase-order / order-line id from a lineitem row."""
     return (F.col("l_orderkey") * F.lit(1_000_000_000) + F.col("l_partkey") * F.lit(10_000)
             + F.col("l_suppkey") * F.lit(10) + F.col("l_linenumber").cast("bigint"))
