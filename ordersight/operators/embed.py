@@ -81,14 +81,16 @@ def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
     return spread_for_python(df).withColumn(out_col, _embed(F.col(text_col)))
 
 
-def index_rows(chunks: DataFrame, embedder: Embedder | None = None, model: str | None = None) -> DataFrame:
-    """Chunks + embedding + index metadata columns.  ``document_count`` is
-    one scalar aggregate (a single bounded value) added as a literal."""
+def index_rows(chunks: DataFrame, embedder: Embedder | None = None, model: str | None = None,
+               document_count: int | None = None) -> DataFrame:
+    """Chunks + embedding + index metadata columns.  ``document_count`` is the
+    number of loaded documents (pass it from the source table; otherwise one
+    scalar aggregate over the chunks), added as a literal."""
     emb = embedder or HashingEmbedder()
     model = model or getattr(emb, "model", DEFAULT_MODEL)
     text = embedding_input_text(F.col("document_title"), F.col("section"), F.col("text"))
     rows = embed_column(chunks.withColumn("_input", text), "_input", "embedding", emb).drop("_input")
-    n_docs = chunks.select("document").distinct().count()
+    n_docs = document_count if document_count is not None else chunks.select("document").distinct().count()
     return rows.select(F.lit(INDEX_SCHEMA_VERSION).alias("schema_version"), F.lit(model).alias("embedding_model"),
                        F.lit(n_docs).cast("bigint").alias("document_count"), *rows.columns)
 

@@ -160,7 +160,8 @@ def q_embed_chunks(m):
 @register("vector_index_manifest")
 def q_vector_index_manifest(m):
     """Index rows (chunk + embedding + schema version, model, document count)."""
-    return embed.index_rows(doc_chunks(m), embed.HashingEmbedder(P.EMBED_DIM))
+    return embed.index_rows(doc_chunks(m), embed.HashingEmbedder(P.EMBED_DIM),
+                            document_count=m.t.documents.count())
 
 
 @register("policy_search")
