@@ -88,3 +88,38 @@ def previous_values(df: DataFrame, keys: list[str], order: list[str], cols: list
     out = local.join(prev, keys + ["_bucket"], "left")
     return out.select(*df.columns, *[F.when(F.col("_rn") == 1, F.col(f"_prev.{c}")).otherwise(F.col(f"_lag_{c}"))
                                      .alias(f"{prefix}{c}") for c in cols])
+
+
+def gap_sessions(df: DataFrame, keys: list[str], order: list[str], time_col: str, gap: int,
+                 bucket: Column, name: str = "session") -> DataFrame:
+    """1-based session (round) number per key: a new session starts at a row
+    whose ``time_col`` exceeds the previous row's by more than ``gap`` (same
+    units).  Skew-safe in one data shuffle:
+
+    * local window per (key, bucket): lag within the bucket, local flags and
+      their running count;
+    * per-bucket summary (first / last time, local flag total) from that
+      window's output -- already partitioned by (key, bucket), no new shuffle;
+    * over the key's buckets (bounded by its time span): the boundary flag
+      (bucket's first row vs the previous bucket's last row) and the running
+      offset; joined back on (key, bucket).
+
+    ``bucket`` must be non-decreasing in ``order`` and ``order`` must sort
+    ``time_col`` ascending."""
+    t = F.col(time_col)
+    base = df.select("*", bucket.alias("_bucket"))
+    w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    flag = F.coalesce(t - F.lag(t).over(w) > gap, F.lit(False)).cast("int")
+    local = base.withColumn("_f", flag).withColumn("_lrun", F.sum("_f").over(run))
+    summ = local.groupBy(*keys, "_bucket").agg(F.min(time_col).alias("_first"), F.max(time_col).alias("_last"),
+                                               F.sum("_f").alias("_ftot"))
+    wb = Window.partitionBy(*keys).orderBy("_bucket")
+    boundary = F.coalesce(F.col("_first") - F.lag("_last").over(wb) > gap, F.lit(False)).cast("bigint")
+    summ = summ.withColumn("_b", boundary)
+    before = wb.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = summ.select(*keys, "_bucket",
+                          (F.coalesce(F.sum(F.col("_ftot") + F.col("_b")).over(before), F.lit(0)) + F.col("_b"))
+                          .alias("_off"))
+    out = local.join(offsets, keys + ["_bucket"], "inner")
+    return out.select(*df.columns, (F.col("_off") + F.col("_lrun") + 1).cast("int").alias(name))

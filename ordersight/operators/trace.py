@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordersight.functions.text import redact_credentials
-from ordersight.functions.windows import epoch_micros, hour_bucket, prefix_sums, previous_values, sequence_number
+from ordersight.functions.windows import epoch_micros, gap_sessions, hour_bucket, sequence_number
 
 # Fixed values of the tool catalogue.
 TOOL_LABELS = {
@@ -113,16 +113,14 @@ def trace_cap_audit(trace: DataFrame) -> DataFrame:
     """Round number (a new round after a > 6 h gap) and call number per
     run; calls beyond 6 rounds or 18 calls are flagged as rejected.
 
-    The previous call's time is a skew-safe ``lag`` and the round number a
-    skew-safe running count of gap flags, both bucketed by hour, so a run
-    with a third of all calls is spread over its hours."""
+    Rounds are gap sessions computed in one skew-safe pass bucketed by hour
+    (``functions.windows.gap_sessions``), so a run with a third of all calls
+    is spread over its hours."""
     t = trace.withColumn("_us", epoch_micros("ts"))
-    t = previous_values(t, ["run_id"], ["seq"], ["_us"], hour_bucket("ts"))
-    new_round = F.coalesce(F.col("_us") - F.col("previous__us") > ROUND_GAP_SECONDS * 1_000_000, F.lit(False))
     # Hour of ts is monotone in seq (seq is ordered by ts): buckets per run are
     # bounded by the run's time span, not by its number of calls.
-    t = prefix_sums(t, ["run_id"], ["seq"], {"round": new_round.cast("int")}, hour_bucket("ts"))
-    rnd = (F.col("round") + 1).cast("int")
+    t = gap_sessions(t, ["run_id"], ["seq"], "_us", ROUND_GAP_SECONDS * 1_000_000, hour_bucket("ts"), "round")
+    rnd = F.col("round")
     return t.select("run_id", "seq", "name", rnd.alias("round"), F.col("seq").alias("call_number"),
                     (rnd <= MAX_TOOL_CALL_ROUNDS).alias("within_round_cap"),
                     (F.col("seq") <= MAX_TOTAL_TOOL_CALLS).alias("within_call_cap"),

@@ -90,3 +90,16 @@ def test_previous_values_matches_lag_on_a_hot_key(spark):
     w = Window.partitionBy("k").orderBy("o", "id")
     ref = df.select("id", F.lag("id").over(w).alias("previous_id"), F.lag("flag").over(w).alias("previous_flag"))
     assert sorted(got.select("id", "previous_id", "previous_flag").collect()) == sorted(ref.collect())
+
+
+def test_gap_sessions_matches_plain_window(spark):
+    from ordersight.functions.windows import gap_sessions
+    # times in minutes; gaps of 0-130 min, threshold 60 (gaps of exactly 60 do not split)
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 11 == 0, F.lit(1)).otherwise(F.lit(0)).alias("k"),
+                                     F.col("id").alias("seq"), ((F.col("id") * 37) % 131).alias("g"))
+    df = df.withColumn("t", F.sum("g").over(Window.partitionBy("k").orderBy("seq")))
+    got = gap_sessions(df, ["k"], ["seq"], "t", 60, F.floor(F.col("t") / 500), "s")
+    w = Window.partitionBy("k").orderBy("seq")
+    flag = F.coalesce(F.col("t") - F.lag("t").over(w) > 60, F.lit(False)).cast("int")
+    ref = df.withColumn("f", flag).withColumn("s", (F.sum("f").over(w) + 1).cast("int"))
+    assert sorted(got.select("seq", "s").collect()) == sorted(ref.select("seq", "s").collect())
