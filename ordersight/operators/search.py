@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ordersight.functions.text import collapse_ws
+
 MAX_QUERY_MATRIX_BYTES = 64 * 1024 * 1024
 SIM_SCALE = 1_000_000.0   # similarity is reported in exact micro-units
 
@@ -171,18 +173,13 @@ def search_policies(index: DataFrame, query: str, embedder, top_k: int = 3, min_
 
 # ---- shaping of search hits --------------------------------------------------
 
-def collapse_ws_preview(c, n: int):
-    """F8: collapse whitespace runs, trim, keep the first n characters."""
-    return F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, n)
-
-
 def policy_sources(hits: DataFrame, run_col: str = "query_id", seq_col: str = "rank",
                    preview_chars: int = 240) -> DataFrame:
     """One entry per (document, section) within a run: the LAST hit's
     values kept at the FIRST hit's position."""
     g = hits.groupBy(run_col, "document", "section").agg(
         F.min(seq_col).alias("position"),
-        F.max_by(F.struct("chunk_id", "similarity", collapse_ws_preview(F.col("text"), preview_chars).alias("preview")),
+        F.max_by(F.struct("chunk_id", "similarity", collapse_ws(F.col("text"), preview_chars).alias("preview")),
                  F.col(seq_col)).alias("last"))
     return g.select(run_col, "position", "document", "section", "last.chunk_id", "last.similarity", "last.preview")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ordersight.functions.text import pad_number
 from ordersight.operators import chunker, embed, search
 from ordersight.plans import params as P
 from ordersight.plans.registry import register
@@ -13,11 +14,10 @@ NQ = P.QUERY_VECTOR_IDS
 
 
 def _hit_cols(vec_id, label):
-    s = vec_id.cast("string")
     doc = F.concat(F.lit("doc_"), label.cast("string"))
     return [doc.alias("document"),
             F.concat(F.lit("Section "), (vec_id % 7).cast("string")).alias("section"),
-            F.concat(doc, F.lit("#"), F.lpad(s, F.greatest(F.lit(4), F.length(s)), "0")).alias("chunk_id")]
+            F.concat(doc, F.lit("#"), pad_number(vec_id, 4)).alias("chunk_id")]
 
 
 def vector_index(m):
