@@ -63,7 +63,8 @@ def build_session(master: str | None = None, app: str = "ordersight",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local") or spark.sparkContext.getConf().contains("spark.checkpoint.dir"):
+        checkpoint_dir(spark)
     return spark
 
 
@@ -76,6 +77,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            # A machine-local folder would not survive losing that machine.
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder before cutting lineage")
         d = tempfile.mkdtemp(prefix="ordersight-ckpt-", dir=os.environ.get("ORDERSIGHT_SCRATCH", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
