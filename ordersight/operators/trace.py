@@ -140,7 +140,9 @@ def argument_values(trace: DataFrame) -> DataFrame:
     """(run_id, seq, name, key, value VARIANT, json_type) per argument."""
     m = F.variant_get(F.parse_json("arguments"), "$", "map<string,variant>")
     kv = trace.select("run_id", "seq", "name", F.explode(m).alias("key", "value"))
-    return kv.withColumn("json_type", json_type(F.schema_of_variant("value")))
+    # the schema string once per value, then classified (not once per CASE branch)
+    kv = kv.withColumn("_schema", F.schema_of_variant("value"))
+    return kv.select("run_id", "seq", "name", "key", "value", json_type(F.col("_schema")).alias("json_type"))
 
 
 def json_type(schema: Column) -> Column:
@@ -243,8 +245,9 @@ def contract_violations(trace: DataFrame) -> DataFrame:
     Violations: missing_required, unexpected_key (strict tools only),
     invalid_type, invalid_value (length, pattern, minimum, maximum).  The
     contract is a literal map, so the whole check is row-local: each call's
-    violations are computed from its own parsed arguments and exploded once
-    -- no join, no shuffle."""
+    missing required keys and its (key, value) arguments are exploded once and
+    checked with plain column expressions (whole-stage codegen; no lambda per
+    key) -- no join, no shuffle."""
     args = F.variant_get(F.parse_json("arguments"), "$", "map<string,variant>")
     calls = trace.select("run_id", "seq", "name", args.alias("args"))
     rules, required = _rule_map(), _required_map()
@@ -252,27 +255,35 @@ def contract_violations(trace: DataFrame) -> DataFrame:
     present = F.map_keys("args")
     missing = F.transform(
         F.filter(F.coalesce(required[name], F.array().cast("array<string>")), lambda k: ~F.array_contains(present, k)),
-        lambda k: F.struct(k.alias("key"), F.lit("missing_required").alias("violation")))
-
-    def check(e):
-        rule = rules[F.concat(name, F.lit("\t"), e["key"])]
-        jt = json_type(F.schema_of_variant(e["value"]))
-        s = F.try_variant_get(e["value"], "$", "string")
-        num = F.try_variant_get(e["value"], "$", "double")
-        type_ok = (F.when(rule["type"] == "string", jt == "string")
-                   .when(rule["type"] == "integer", jt == "integer")
-                   .when(rule["type"] == "number", jt.isin("integer", "number"))
-                   .otherwise(F.lit(True)))
-        value_ok = (F.coalesce(F.length(s) >= rule["min_len"], F.lit(True))
-                    & F.coalesce(F.length(s) <= rule["max_len"], F.lit(True))
-                    & F.coalesce(F.regexp_like(s, rule["pattern"]), F.lit(True))
-                    & F.coalesce(num >= rule["minimum"], F.lit(True))
-                    & F.coalesce(num <= rule["maximum"], F.lit(True)))
-        v = (F.when(rule.isNull(), F.when(name.isin(*STRICT_TOOLS), F.lit("unexpected_key")))
-             .when(~type_ok, F.lit("invalid_type"))
-             .when(~value_ok, F.lit("invalid_value")))
-        return F.struct(e["key"].alias("key"), v.alias("violation"))
-
-    per_key = F.filter(F.transform(F.map_entries("args"), check), lambda x: x["violation"].isNotNull())
-    out = calls.select("run_id", "seq", "name", F.explode(F.concat(missing, per_key)).alias("v"))
-    return out.select("run_id", "seq", "name", "v.key", "v.violation")
+        lambda k: F.struct(k.alias("key"), F.lit(None).cast("variant").alias("value"), F.lit(True).alias("missing")))
+    given = F.transform(F.map_entries("args"),
+                        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"),
+                                           F.lit(False).alias("missing")))
+    kv = calls.select("run_id", "seq", "name", F.explode(F.concat(missing, given)).alias("a")) \
+        .select("run_id", "seq", "name", "a.key", "a.value", "a.missing",
+                F.schema_of_variant("a.value").alias("_schema"))
+    # Look the rule up and read the value once per argument (one projection),
+    # then decide from plain columns: keeps the generated code small.
+    kv = kv.select("run_id", "seq", "name", "key", "missing",
+                   rules[F.concat(name, F.lit("\t"), F.col("key"))].alias("rule"),
+                   json_type(F.col("_schema")).alias("jt"),
+                   F.try_variant_get("value", "$", "string").alias("s"),
+                   F.try_variant_get("value", "$", "double").alias("num"))
+    rule, jt, s, num = F.col("rule"), F.col("jt"), F.col("s"), F.col("num")
+    type_ok = (F.when(rule["type"] == "string", jt == "string")
+               .when(rule["type"] == "integer", jt == "integer")
+               .when(rule["type"] == "number", jt.isin("integer", "number"))
+               .otherwise(F.lit(True)))
+    value_ok = (F.coalesce(F.length(s) >= rule["min_len"], F.lit(True))
+                & F.coalesce(F.length(s) <= rule["max_len"], F.lit(True))
+                & F.coalesce(F.regexp_like(s, rule["pattern"]), F.lit(True))
+                & F.coalesce(num >= rule["minimum"], F.lit(True))
+                & F.coalesce(num <= rule["maximum"], F.lit(True)))
+    v = (F.when(F.col("missing"), F.lit("missing_required"))
+         .when(rule.isNull(), F.when(name.isin(*STRICT_TOOLS), F.lit("unexpected_key")))
+         .when(~type_ok, F.lit("invalid_type"))
+         .when(~value_ok, F.lit("invalid_value")))
+    # Keep only real violations with a generator rather than a Filter: a
+    # filter on ``violation`` would be pushed below the projection above and
+    # re-evaluate the rule lookup once per reference.
+    return kv.select("run_id", "seq", "name", "key", F.explode(F.array_compact(F.array(v))).alias("violation"))
