@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.functions.metrics import avg_signed_round1, avg_tenths_nonneg, pct
+from ordersight.functions.windows import sequence_number
 from ordersight.operators.facts import po_facts
 from ordersight.sources.marts import Marts
 
@@ -65,6 +66,60 @@ def evidence_vendor_pos(m: Marts, start, end, n: int = 20) -> DataFrame:
                     "quantity_received"))
 
 
+SCORECARD_PAGE_SIZE = 100
+# ids per rank bucket: bounds one (vendor, bucket) window group
+_RANK_ID_BLOCK = 4096
+
+
+def _paged(df: DataFrame, order: list[str], bucket, page_size: int, fields: list[str], name: str) -> DataFrame:
+    """Rank rows per vendor in ``order`` (skew-safe, bucketed by ``bucket``)
+    and fold them into pages of at most ``page_size`` rank-sorted structs."""
+    r = sequence_number(df, ["vendor_id"], order, bucket, "position")
+    page = F.floor((F.col("position") - 1) / F.lit(page_size)).cast("int")
+    return (r.groupBy("vendor_id", page.alias("page"))
+            .agg(F.array_sort(F.collect_list(F.struct("position", *fields))).alias(name)))
+
+
+def vendor_scorecard_nested(m: Marts, start, end, vendor_id: int | None = None,
+                            page_size: int = SCORECARD_PAGE_SIZE) -> DataFrame:
+    """The vendor scorecard -- A5 metrics with the affected products
+    (late count desc, product id) and the late POs (actual date desc, nulls
+    last, PO id) nested under each vendor.
+
+    Nesting all of a vendor's late POs in one row would hold an unbounded
+    group in one row / task, so the children are nested in pages: one row per
+    (vendor, page), page p holding ranks ``p*page_size+1 .. (p+1)*page_size``
+    of both lists.  Nothing is dropped: the pages of a vendor together hold
+    every child, in order (``position`` is the 1-based rank).  Idle vendors
+    keep one page 0 with empty lists.  Ranks come from the bucketed
+    ``sequence_number`` (no single-task window per vendor); every page group
+    holds at most ``page_size`` rows."""
+    perf = vendor_performance(m, start, end, vendor_id)
+    prod = vendor_late_products(m, start, end, vendor_id).withColumn(
+        "_neg_late", -F.col("late_purchase_orders"))
+    prod_pages = _paged(prod, ["_neg_late", "product_id"],
+                        F.struct("_neg_late", F.floor(F.col("product_id") / _RANK_ID_BLOCK)), page_size,
+                        ["product_id", "sku", "product_name", "late_purchase_orders"], "products_affected")
+    actual = F.col("actual_delivery_date")
+    pos = late_purchase_orders(m, start, end, vendor_id).select(
+        "*", actual.isNull().alias("_open"),
+        (-F.datediff(actual, F.lit("1970-01-01").cast("date"))).alias("_neg_day"))
+    po_pages = _paged(pos, ["_open", "_neg_day", "purchase_order_id"],
+                      F.struct("_open", "_neg_day", F.floor(F.col("purchase_order_id") / _RANK_ID_BLOCK)),
+                      page_size,
+                      ["purchase_order_id", "warehouse_id", "warehouse_name", "product_id", "sku", "product_name",
+                       "expected_delivery_date", "actual_delivery_date", "days_late", "quantity_ordered",
+                       "quantity_received"], "late_purchase_orders")
+    pages = prod_pages.join(po_pages, ["vendor_id", "page"], "full")
+    j = perf.join(pages, "vendor_id", "left")
+
+    def or_empty(c):
+        return F.coalesce(F.col(c), F.array().cast(pages.schema[c].dataType)).alias(c)
+
+    return j.select(*perf.columns, F.coalesce(F.col("page"), F.lit(0)).alias("page"),
+                    or_empty("products_affected"), or_empty("late_purchase_orders"))
+
+
 def evidence_vendors(m: Marts, start, end, n: int = 3) -> DataFrame:
     """T-9: the first n vendors (by id) that have late deliveries."""
     return vendor_performance(m, start, end).filter(F.col("late_deliveries") > 0).orderBy("vendor_id").limit(n)

@@ -182,6 +182,13 @@ def q_late_purchase_orders(m):
 ORACLE["late_purchase_orders"] = _C2_SQL + " SELECT * FROM c2"
 
 
+@register("vendor_scorecard_nested")
+def q_vendor_scorecard_nested(m):
+    """Vendor scorecard with affected products and late POs nested
+    in pages of at most 100 per vendor row (no oracle: nested result)."""
+    return vendors.vendor_scorecard_nested(m, *CUR)
+
+
 @register("evidence_vendor_pos")
 def q_evidence_vendor_pos(m):
     """T-7: first 20 late POs per vendor."""

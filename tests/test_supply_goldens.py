@@ -84,3 +84,27 @@ def test_shortage_runs_business_days(fixture_marts):
     # a holiday inside the run removes one business day but does not break the run
     runs_h = policy_rules.shortage_runs(synth.inventory_calendar(m, *AUG), holidays=["2026-08-12"]).collect()
     assert {x.business_days for x in runs_h} == {13}
+
+
+def test_vendor_scorecard_nested_pages_hold_every_child_in_order(fixture_marts):
+    """Vendor 4's ten late POs (plus an open one) nested in pages of 3,
+    in actual-date-desc / nulls-last / id order; idle vendors keep one empty page."""
+    pos = vendor4_pos() + [(11, 4, 3, 2, D("2026-07-01"), D("2026-08-02"), None, 100, 0)]
+    m = fixture_marts(purchase_orders=pos, vendors=VENDORS, products=PRODUCTS, warehouses=WAREHOUSES)
+    rows = vendors.vendor_scorecard_nested(m, *AUG, page_size=3).collect()
+    v4 = sorted((r for r in rows if r.vendor_id == 4), key=lambda r: r.page)
+    assert [r.page for r in v4] == [0, 1, 2, 3]
+    assert all(r.late_deliveries == 11 for r in v4)
+    assert all(len(r.late_purchase_orders) <= 3 and len(r.products_affected) <= 3 for r in v4)
+    got = [po.purchase_order_id for r in v4 for po in r.late_purchase_orders]
+    flat = vendors.late_purchase_orders(m, *AUG).collect()
+    want = [r.purchase_order_id for r in sorted(
+        flat, key=lambda r: (r.actual_delivery_date is None, -(r.actual_delivery_date or D("1970-01-01")).toordinal(),
+                             r.purchase_order_id))]
+    assert got == want and got[-1] == 11
+    assert [po.position for r in v4 for po in r.late_purchase_orders] == list(range(1, 12))
+    prods = [(p.product_id, p.late_purchase_orders) for r in v4 for p in r.products_affected]
+    assert prods == [(3, 2)] + [(p, 1) for p in (1, 2, 4, 5, 6, 7, 8, 9, 10)]
+    idle = [r for r in rows if r.vendor_id == 10]
+    assert len(idle) == 1 and idle[0].page == 0
+    assert idle[0].late_purchase_orders == [] and idle[0].products_affected == []
