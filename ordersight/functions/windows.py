@@ -81,8 +81,10 @@ def previous_values(df: DataFrame, keys: list[str], order: list[str], cols: list
     w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     local = base.select("*", F.row_number().over(w).alias("_rn"),
                         *[F.lag(c).over(w).alias(f"_lag_{c}") for c in cols])
-    last = base.groupBy(*keys, "_bucket").agg(
-        F.max_by(F.struct(*cols), F.struct(*order)).alias("_last"))
+    # summary from the local window's output (already partitioned by (key,
+    # bucket)): no second scan of the input and no extra shuffle of it
+    last = local.groupBy(*keys, "_bucket").agg(
+        F.max_by(F.struct(*cols), F.col("_rn")).alias("_last"))
     prev = last.select(*keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket"))
                        .alias("_prev"))
     out = local.join(prev, keys + ["_bucket"], "left")
