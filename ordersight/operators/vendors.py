@@ -111,13 +111,21 @@ def vendor_scorecard_nested(m: Marts, start, end, vendor_id: int | None = None,
                        "expected_delivery_date", "actual_delivery_date", "days_late", "quantity_ordered",
                        "quantity_received"], "late_purchase_orders")
     pages = prod_pages.join(po_pages, ["vendor_id", "page"], "full")
-    j = perf.join(pages, "vendor_id", "left")
 
     def or_empty(c):
         return F.coalesce(F.col(c), F.array().cast(pages.schema[c].dataType)).alias(c)
 
-    return j.select(*perf.columns, F.coalesce(F.col("page"), F.lit(0)).alias("page"),
-                    or_empty("products_affected"), or_empty("late_purchase_orders"))
+    # Inner join, not perf LEFT JOIN pages: a hot vendor's pages are the skewed
+    # side, and AQE can split either side of an inner join but only the
+    # preserved side of an outer one.  Idle vendors come from an anti join
+    # against the vendors that have pages (a partial+final distinct).
+    paged = perf.join(pages, "vendor_id").select(*perf.columns, F.coalesce(F.col("page"), F.lit(0)).alias("page"),
+                                                 or_empty("products_affected"), or_empty("late_purchase_orders"))
+    idle = perf.join(pages.select("vendor_id").distinct(), "vendor_id", "left_anti").select(
+        *perf.columns, F.lit(0).alias("page"),
+        F.array().cast(pages.schema["products_affected"].dataType).alias("products_affected"),
+        F.array().cast(pages.schema["late_purchase_orders"].dataType).alias("late_purchase_orders"))
+    return paged.unionByName(idle)
 
 
 def evidence_vendors(m: Marts, start, end, n: int = 3) -> DataFrame:
