@@ -3,6 +3,7 @@ with strictly validated arguments (P3, P4, X9).
 
     from ordersight.plans.catalog import run_tool
     df = run_tool(marts, "get_vendor_performance", startDate="1996-08-01", endDate="1996-08-31", vendorId=4)
+    df = run_tool(marts, "get_vendor_performance", public=True, ...)   # camelCase public columns
 
 Validation runs on the driver before any plan is built; the result is a lazy
 DataFrame (nothing is collected here).
@@ -15,6 +16,8 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ordersight.operators import inventory, service, vendors
 from ordersight.sources.marts import Marts
@@ -78,8 +81,9 @@ TOOLS: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
 }
 
 
-def run_tool(m: Marts, name: str, **args) -> DataFrame:
-    """Validate arguments strictly (no unknown keys) and build the query."""
+def run_tool(m: Marts, name: str, public: bool = False, **args) -> DataFrame:
+    """Validate arguments strictly (no unknown keys) and build the query;
+    ``public=True`` returns the camelCase public shape (P13)."""
     if name not in TOOLS:
         raise KeyError(f"Unknown business tool: {name}")
     ids, build = TOOLS[name]
@@ -88,4 +92,33 @@ def run_tool(m: Marts, name: str, **args) -> DataFrame:
         raise TypeError("Unexpected tool argument")
     s, e = validate_date_range(args.get("startDate"), args.get("endDate"))
     clean = {k: validate_optional_id(args.get(k), k) for k in ids}
-    return build(m, s, e, clean)
+    out = build(m, s, e, clean)
+    return public_shape(out) if public else out
+
+
+def camel_case(name: str) -> str:
+    """snake_case -> camelCase (``on_time_percentage`` -> ``onTimePercentage``)."""
+    head, *rest = name.split("_")
+    return head + "".join(w[:1].upper() + w[1:] for w in rest)
+
+
+def _camel_type(t: T.DataType) -> T.DataType:
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(camel_case(f.name), _camel_type(f.dataType), f.nullable) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_camel_type(t.elementType), t.containsNull)
+    if isinstance(t, T.MapType):
+        return T.MapType(t.keyType, _camel_type(t.valueType), t.valueContainsNull)
+    return t
+
+
+def public_shape(df: DataFrame) -> DataFrame:
+    """Rename columns -- and fields of nested structs, e.g. scorecard
+    pages -- to the camelCase public names.  A projection only: struct casts
+    rename fields by position, so no data moves and nothing is shuffled."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        t = _camel_type(f.dataType)
+        cols.append((c.cast(t) if t != f.dataType else c).alias(camel_case(f.name)))
+    return df.select(*cols)

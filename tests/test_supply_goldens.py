@@ -108,3 +108,18 @@ def test_vendor_scorecard_nested_pages_hold_every_child_in_order(fixture_marts):
     idle = [r for r in rows if r.vendor_id == 10]
     assert len(idle) == 1 and idle[0].page == 0
     assert idle[0].late_purchase_orders == [] and idle[0].products_affected == []
+
+
+def test_public_shape_camel_cases_columns_and_nested_fields(fixture_marts):
+    """Public camelCase names, also inside the scorecard's nested pages."""
+    from ordersight.plans.catalog import public_shape
+    m = fixture_marts(purchase_orders=vendor4_pos(), vendors=VENDORS, products=PRODUCTS, warehouses=WAREHOUSES)
+    vp = run_tool(m, "get_vendor_performance", public=True, startDate=AUG[0], endDate=AUG[1], vendorId=4)
+    assert vp.columns == ["vendorId", "vendorName", "purchaseOrders", "onTimeDeliveries", "lateDeliveries",
+                          "onTimePercentage", "averageDaysLate"]
+    assert vp.first().averageDaysLate == 21.5
+    sc = public_shape(vendors.vendor_scorecard_nested(m, *AUG))
+    assert "latePurchaseOrders" in sc.columns and "productsAffected" in sc.columns
+    v4 = [r for r in sc.collect() if r.vendorId == 4][0]
+    assert v4.latePurchaseOrders[0].purchaseOrderId is not None and v4.latePurchaseOrders[0].daysLate > 0
+    assert v4.productsAffected[0].latePurchaseOrders == 1
