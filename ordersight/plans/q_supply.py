@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ordersight.operators import inventory, vendors
 from ordersight.plans import params as P
 from ordersight.plans.mart_sql import with_marts
@@ -189,6 +191,40 @@ def q_vendor_scorecard_nested(m):
     return vendors.vendor_scorecard_nested(m, *CUR)
 
 
+@register("vendor_scorecard_pages")
+def q_vendor_scorecard_pages(m):
+    """C3 flat check: the scorecard's pages exploded back to one row per
+    child (list, 1-based position, id, measure), SQL-checkable."""
+    sc = vendors.vendor_scorecard_nested(m, *CUR)
+    po = sc.select("vendor_id", "page", F.explode("late_purchase_orders").alias("c")).select(
+        "vendor_id", "page", F.lit("late_purchase_orders").alias("list"), "c.position",
+        F.col("c.purchase_order_id").alias("child_id"), F.col("c.days_late").cast("bigint").alias("measure"))
+    pr = sc.select("vendor_id", "page", F.explode("products_affected").alias("c")).select(
+        "vendor_id", "page", F.lit("products_affected").alias("list"), "c.position",
+        F.col("c.product_id").alias("child_id"), F.col("c.late_purchase_orders").alias("measure"))
+    return po.unionByName(pr)
+
+
+ORACLE["vendor_scorecard_pages"] = _C2_SQL + f""",
+    vlp AS (SELECT po.vendor_id, po.product_id, COUNT(*) AS late_purchase_orders
+            FROM m_purchase_orders po JOIN m_products p ON p.product_id = po.product_id
+                 JOIN m_vendors v ON v.vendor_id = po.vendor_id
+            WHERE {between('po.expected_delivery_date', CUR)} AND {_LATE}
+            GROUP BY po.vendor_id, po.product_id),
+    rp AS (SELECT vendor_id, purchase_order_id, days_late,
+                  row_number() OVER (PARTITION BY vendor_id ORDER BY actual_delivery_date DESC NULLS LAST,
+                                     purchase_order_id) AS rn FROM c2),
+    rv AS (SELECT vendor_id, product_id, late_purchase_orders,
+                  row_number() OVER (PARTITION BY vendor_id ORDER BY late_purchase_orders DESC, product_id) AS rn
+           FROM vlp)
+    SELECT vendor_id, CAST((rn - 1) // {vendors.SCORECARD_PAGE_SIZE} AS INTEGER) AS page,
+           'late_purchase_orders' AS list, CAST(rn AS INTEGER) AS position, purchase_order_id AS child_id,
+           CAST(days_late AS BIGINT) AS measure FROM rp
+    UNION ALL
+    SELECT vendor_id, CAST((rn - 1) // {vendors.SCORECARD_PAGE_SIZE} AS INTEGER), 'products_affected',
+           CAST(rn AS INTEGER), product_id, CAST(late_purchase_orders AS BIGINT) FROM rv"""
+
+
 @register("evidence_vendor_pos")
 def q_evidence_vendor_pos(m):
     """T-7: first 20 late POs per vendor."""
