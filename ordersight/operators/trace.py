@@ -251,14 +251,14 @@ def contract_violations(trace: DataFrame) -> DataFrame:
     rules, required = _rule_map(), _required_map()
     name = F.col("name")
     present = F.map_keys("args")
+    # Missing required keys get a SQL NULL value; a given key's value is never
+    # SQL NULL (JSON null parses to a VOID variant), so ``value IS NULL``
+    # marks the missing ones after one explode of both lists.
     missing = F.transform(
-        F.filter(F.coalesce(required[name], F.array().cast("array<string>")), lambda k: ~F.array_contains(present, k)),
-        lambda k: F.struct(k.alias("key"), F.lit(None).cast("variant").alias("value"), F.lit(True).alias("missing")))
-    given = F.transform(F.map_entries("args"),
-                        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"),
-                                           F.lit(False).alias("missing")))
-    kv = calls.select("run_id", "seq", "name", F.explode(F.concat(missing, given)).alias("a")) \
-        .select("run_id", "seq", "name", "a.key", "a.value", "a.missing",
+        F.array_except(F.coalesce(required[name], F.array().cast("array<string>")), present),
+        lambda k: F.struct(k.alias("key"), F.lit(None).cast("variant").alias("value")))
+    kv = calls.select("run_id", "seq", "name", F.explode(F.concat(missing, F.map_entries("args"))).alias("a")) \
+        .select("run_id", "seq", "name", "a.key", "a.value", F.col("a.value").isNull().alias("missing"),
                 F.schema_of_variant("a.value").alias("_schema"))
     # Look the rule up and read the value once per argument (one projection),
     # then decide from plain columns: keeps the generated code small.
