@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ordersight.llm import mixing, warc
+from ordersight.llm import mixing, secret_scan, warc
 
 QUERIES = {
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op6_warc": warc.op6_warc,
     "op9_mixing": mixing.op9_mixing,
 }
