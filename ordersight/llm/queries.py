@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ordersight.llm import mixing, secret_scan, warc
+from ordersight.llm import mixing, secret_scan, simhash_dedup, warc
 
 QUERIES = {
+    "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op6_warc": warc.op6_warc,
     "op9_mixing": mixing.op9_mixing,

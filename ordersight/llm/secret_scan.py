@@ -152,11 +152,11 @@ def masked(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     ends = F.concat(F.transform(parts, lambda p: p["s"]), F.array(F.length(text).cast("bigint")))
     cut = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda z: F.substring(
         text, (z["a"] + 1).cast("int"), (z["b"] - z["a"]).cast("int"))), mask)
-    new = {text_col: F.when(parts.isNull(), text).otherwise(cut)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(parts.isNull(), F.col("n_chars")).otherwise(
-            F.length(cut).cast(docs.schema["n_chars"].dataType))
-    return rows.withColumns(new).select(*[col(c) for c in docs.columns])
+        rows = rows.withColumn("n_chars", F.when(parts.isNull(), F.col("n_chars")).otherwise(
+            F.length(cut).cast(docs.schema["n_chars"].dataType)))
+    rows = rows.withColumn(text_col, F.when(parts.isNull(), text).otherwise(cut))
+    return rows.select(*[col(c) for c in docs.columns])
 
 
 def stage(spark, docs, sf_dir):
