@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from ordersight.llm import mixing, secret_scan, simhash_dedup, warc
+from ordersight.llm import langid, mixing, secret_scan, simhash_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op6_warc": warc.op6_warc,
+    "op7_langid": langid.op7_langid,
     "op9_mixing": mixing.op9_mixing,
 }
 
