@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ordersight.llm import langid, mixing, secret_scan, simhash_dedup, toxicity, warc
+from ordersight.llm import langid, mixing, packing, secret_scan, simhash_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op6_warc": warc.op6_warc,
     "op7_langid": langid.op7_langid,
+    "op8_packing": packing.op8_packing,
     "op9_mixing": mixing.op9_mixing,
 }
 
