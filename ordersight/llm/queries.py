@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from ordersight.llm import langid, mixing, packing, secret_scan, simhash_dedup, toxicity, warc
+from ordersight.llm import fingerprints, langid, mixing, packing, secret_scan, simhash_dedup, toxicity, warc
 
 QUERIES = {
+    "op10_fingerprints": fingerprints.op10_fingerprints,
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
