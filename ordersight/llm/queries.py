@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ordersight.llm import fingerprints, langid, mixing, packing, secret_scan, simhash_dedup, toxicity, warc
+from ordersight.llm import ann, fingerprints, langid, mixing, packing, secret_scan, simhash_dedup, toxicity, warc
 
 QUERIES = {
     "op10_fingerprints": fingerprints.op10_fingerprints,
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_ann": ann.op2_ann,
     "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
     "op6_warc": warc.op6_warc,
