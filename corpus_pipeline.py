@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from ordersight.llm import mixing
+from ordersight.llm import langid, mixing, packing, secret_scan, simhash_dedup
 from ordersight.llm.common import scratch_path, table
 
 STAGES = [
+    ("language_id", langid.stage),
+    ("simhash_dedup", simhash_dedup.stage),
+    ("secret_scan", secret_scan.stage),
     ("mixing", mixing.stage),
+    ("packing", packing.stage),
 ]
 
+#: Trained models, XXH64 and a tokenizer have no SQL form; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 

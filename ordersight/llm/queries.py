@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ordersight.llm import ann, fingerprints, langid, mixing, packing, secret_scan, simhash_dedup, toxicity, warc
+from ordersight.llm import ann, fingerprints, langid, mixing, packing, secret_scan, simhash_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op10_fingerprints": fingerprints.op10_fingerprints,
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_ann": ann.op2_ann,
     "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
     "op4_secret_scan": secret_scan.op4_secret_scan,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_warc": warc.op6_warc,
     "op7_langid": langid.op7_langid,
     "op8_packing": packing.op8_packing,
