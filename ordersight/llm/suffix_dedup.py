@@ -64,7 +64,7 @@ def gram_hashes(b: np.ndarray, gram: int = GRAM) -> np.ndarray:
     while size < gram:
         h = _mix(h[:-size], h[size:])
         size *= 2
-    return h
+    return h[:max(0, len(b) - gram + 1)]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
