@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     def vector(text: pd.Series) -> pd.Series:
         return pd.Series([text_features(lexicon, t) for t in text])
 
-    sampled = rows.select("toxic", vector("text").alias("x")).orderBy("toxic", "x").collect()
+    sampled = sorted(rows.select("toxic", vector("text").alias("x")).collect())  # 2 * sample rows at most
     y = np.array([r["toxic"] for r in sampled], float)
     x = np.array([r["x"] for r in sampled], float).reshape(-1, len(FEATURES))
     if 0 < y.sum() < len(y):
