@@ -12,6 +12,9 @@ REDACTIONS = [
     (r"(?i)OPENAI_API_KEY\s*[=:]\s*\S+", "OPENAI_API_KEY=[credential-redacted]"),
 ]
 
+# White space as JavaScript's trim and \s see it (fixed values).
+WS = r"[\t\n\x0B\f\r    -     　﻿]"
+
 
 def redact_credentials(c: Column, patterns: list[tuple[str, str]] | None = None) -> Column:
     """Chained ``regexp_replace`` over a pattern list (an argument)."""
@@ -21,13 +24,14 @@ def redact_credentials(c: Column, patterns: list[tuple[str, str]] | None = None)
 
 
 def js_trim(c: Column) -> Column:
-    """Trim all leading/trailing whitespace (Spark's ``trim`` only trims spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Trim all leading/trailing whitespace, Unicode spaces included
+    (Spark's ``trim`` only trims spaces)."""
+    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
 
 
 def collapse_ws(c: Column, n: int | None = None) -> Column:
     """F8: collapse whitespace runs to one space and trim; optionally keep n chars."""
-    out = F.trim(F.regexp_replace(c, r"\s+", " "))
+    out = F.trim(F.regexp_replace(c, rf"{WS}+", " "))
     return F.substring(out, 1, n) if n else out
 
 

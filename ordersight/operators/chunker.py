@@ -1,38 +1,30 @@
-"""Heading-aware Markdown chunking (one document per row, parallel over rows).
-
-A document is split into sections at ATX headings: an H1 sets the document
-title and opens an "Overview" section; H2..H6 build an ``A > B > C`` path
-(a skipped level leaves an empty slot).  Each non-empty section is split into
-blank-line blocks and greedily packed into chunks of at most
-``max_characters``; a block longer than that is split by line, and a line
-longer than that is cut at the last space within the limit (or hard-cut when
-that space would leave a chunk shorter than 55 % of the limit).
-
-The packing is sequential within a document, so the unit of parallelism is
-the document row: ``mapInPandas`` runs it over Arrow batches of documents.
+"""Heading-aware Markdown chunking as a DataFrame plan.
+
+Lines are numbered rows.  A heading's path is read off windows over the lines
+before it: slot j holds the last heading of level j unless one of a smaller
+level came later.  Lines between headings are put together again into
+sections; a section's blank-line blocks become *units* (a block, or the lines
+and cut pieces of a block over the limit), and one fold over the unit lengths
+gives the places where chunks start.  No Python runs on the executors; all
+rows of a document meet in one shuffle by document.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordersight.functions.partitioning import spread_for_python
+from ordersight.functions.text import WS, js_trim, pad_number
 
-# Fixed patterns of the chunking contract.
-HEADING_RE = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$")
-LINE_SPLIT_RE = re.compile(r"\r?\n")
-BLOCK_SPLIT_RE = re.compile(r"\n\s*\n")
+# Fixed patterns and values of the chunking contract.
+HEADING = rf"^(#{{1,6}}){WS}+(.+?){WS}*#*{WS}*\z"
 DEFAULT_MAX_CHARACTERS = 1800
 MIN_MAX_CHARACTERS = 200
 SOFT_CUT_FLOOR = 0.55
+OVERVIEW = "Overview"
+PATH_SEPARATOR = " > "
 
-CHUNK_SCHEMA = ("document string, document_title string, section string, chunk_id string, "
-                "chunk_seq int, text string")
+COLUMNS = ("document", "document_title", "section", "chunk_id", "chunk_seq", "text")
 
 
 def validate_max_characters(max_characters) -> int:
@@ -42,127 +34,119 @@ def validate_max_characters(max_characters) -> int:
     return max_characters
 
 
-def _cut_line(line: str, limit: int) -> tuple[list[str], str]:
-    """Cut an over-long line into pieces; returns (pieces, leftover)."""
-    pieces: list[str] = []
-    rest = line
-    floor = int(limit * SOFT_CUT_FLOOR)
-    while len(rest) > limit:
-        space = rest.rfind(" ", 0, limit + 1)
-        at = space if space >= floor else limit
-        pieces.append(rest[:at].strip())
-        rest = rest[at:].strip()
-    return pieces, rest
-
-
-def split_long_block(block: str, limit: int) -> list[str]:
-    """Split one over-long block by lines, cutting over-long lines."""
-    out: list[str] = []
-    acc = ""
-    for line in block.split("\n"):
-        if len(line) > limit:
-            if acc.strip():
-                out.append(acc.strip())
-            pieces, acc = _cut_line(line, limit)
-            out.extend(pieces)
-            continue
-        joined = f"{acc}\n{line}" if acc else line
-        if len(joined) > limit and acc.strip():
-            out.append(acc.strip())
-            acc = line
-        else:
-            acc = joined
-    if acc.strip():
-        out.append(acc.strip())
-    return out
-
-
-def split_section(text: str, limit: int) -> list[str]:
-    """Blank-line blocks greedily packed into chunks joined by a blank line."""
-    chunks: list[str] = []
-    acc = ""
-    for raw in BLOCK_SPLIT_RE.split(text):
-        block = raw.strip()
-        if not block:
-            continue
-        for part in (split_long_block(block, limit) if len(block) > limit else [block]):
-            joined = f"{acc}\n\n{part}" if acc else part
-            if len(joined) > limit and acc:
-                chunks.append(acc)
-                acc = part
-            else:
-                acc = joined
-    if acc:
-        chunks.append(acc)
-    return chunks
-
-
-def parse_sections(document: str, markdown: str) -> tuple[str, list[tuple[str, str]]]:
-    """(title, [(section path, section text)]) with empty sections dropped.
-
-    The title is the last H1 seen (it titles every chunk of the document), or
-    the file name without ``.md`` and with underscores as spaces."""
-    title = re.sub(r"\.md$", "", document, flags=re.IGNORECASE).replace("_", " ")
-    path: list[str] = []
-    sections: list[tuple[str, str]] = []
-    heading: str | None = None
-    body: list[str] = []
-
-    def close():
-        if heading is not None:
-            text = "\n".join(body)
-            if text.strip():
-                sections.append((heading, text))
-
-    for line in LINE_SPLIT_RE.split(markdown):
-        m = HEADING_RE.match(line)
-        if m:
-            close()
-            level, name = len(m.group(1)), m.group(2).strip()
-            if level == 1:
-                title = name
-                path = []
-                heading = "Overview"
-            else:
-                path = (path + [""] * (level - 2))[: level - 2] + [name]
-                heading = " > ".join(path)
-            body = []
-        else:
-            if heading is None:
-                heading, body = "Overview", []
-            body.append(line)
-    close()
-    return title, sections
-
-
-def chunk_markdown(document: str, markdown: str, max_characters: int = DEFAULT_MAX_CHARACTERS) -> list[dict]:
-    """All chunks of one document, numbered ``document#0001`` onward."""
-    limit = validate_max_characters(max_characters)
-    title, sections = parse_sections(document, markdown or "")
-    out: list[dict] = []
-    for heading, text in sections:
-        for piece in split_section(text.strip(), limit):
-            seq = len(out) + 1
-            out.append({"document": document, "document_title": title, "section": heading,
-                        "chunk_id": f"{document}#{str(seq).zfill(4)}", "chunk_seq": seq, "text": piece})
-    return out
+def sections(df: DataFrame, document_col: str = "document", markdown_col: str = "markdown") -> DataFrame:
+    """(document, document_title, section_no, section, text) of every section with text.
+
+    The last H1 titles all sections of its document (without one: the file name
+    without ``.md``, underscores as spaces) and opens an "Overview" section."""
+    doc = F.col(document_col)
+    lines = df.select(doc.alias("document"), F.posexplode(
+        F.split(F.coalesce(F.col(markdown_col), F.lit("")), r"\r?\n", -1)).alias("pos", "line"))
+    lines = lines.select("document", "pos", "line", F.length(F.regexp_extract("line", HEADING, 1)).alias("level"),
+                         js_trim(F.regexp_extract("line", HEADING, 2)).alias("name"))
+    w = Window.partitionBy("document").orderBy("pos")
+    level, name = F.col("level"), F.col("name")
+
+    def slot(j: int) -> Column:
+        """Name of the heading that stands at level j above this line ('' for a skipped level)."""
+        last = F.last(F.when((level > 0) & (level <= j), F.struct("level", "name")), ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, -1))
+        return F.when(last["level"] == j, last["name"]).otherwise(F.lit(""))
+
+    path = F.when(level == 1, F.lit(OVERVIEW)).when(level > 1, F.array_join(F.concat(
+        F.slice(F.array(*[slot(j) for j in range(2, 6)]), F.lit(1), F.greatest(level - 2, F.lit(0))),
+        F.array(name)), PATH_SEPARATOR))
+    lines = lines.select(
+        "document", "pos", "line", "level", path.alias("path"),
+        F.sum((level > 0).cast("int")).over(w).alias("section_no"),
+        F.max_by(F.when(level == 1, name), F.when(level == 1, F.col("pos"))).over(
+            Window.partitionBy("document")).alias("title"))
+    body = F.transform(F.array_sort(F.collect_list(F.when(level == 0, F.struct("pos", "line")))), lambda x: x["line"])
+    found = lines.groupBy("document", "section_no").agg(
+        F.max("path").alias("section"), F.max("title").alias("title"), js_trim(F.array_join(body, "\n")).alias("text"))
+    file_name = F.replace(F.regexp_replace("document", r"(?i)\.md\z", ""), F.lit("_"), F.lit(" "))
+    return found.where(F.col("text") != "").select(
+        "document", F.coalesce("title", file_name).alias("document_title"), "section_no",
+        F.coalesce("section", F.lit(OVERVIEW)).alias("section"), "text")
+
+
+def pieces_of_line(line: Column, limit: int) -> Column:
+    """A line over the limit (no white space at its end) in pieces: up to the last space at or before
+    the limit, or up to the limit if that space comes before ``SOFT_CUT_FLOOR`` of it; the rest is trimmed."""
+    cut = rf"(?:.{{{int(limit * SOFT_CUT_FLOOR)},{limit}}}(?= )|.{{{limit}}})"
+    pattern = rf"(?s)\A{cut}|\G(?!\A){WS}*(?:(?=.{{{limit + 1}}}){cut}|.+)"
+    found = F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), js_trim)
+    return F.filter(found, lambda x: x != "")
+
+
+def _unit(s: Column, alone: bool = False, closed: bool = False) -> Column:
+    return F.struct(s.alias("s"), F.lit(alone).alias("alone"), F.lit(closed).alias("closed"))
+
+
+def line_units(line: Column, limit: int) -> Column:
+    """A line as units: itself, or the pieces it is cut into.  Every piece opens a part; lines that
+    follow may join the last one, unless only white space took the line over the limit."""
+    bare = F.regexp_replace(line, rf"{WS}+\z", "")
+    return (F.when(F.length(line) <= limit, F.array(_unit(line)))
+            .when(F.length(bare) <= limit, F.array(_unit(bare, True, True)))
+            .otherwise(F.transform(pieces_of_line(bare, limit), lambda p: _unit(p, True))))
+
+
+def starts(units: Column, gap: int, limit: int) -> Column:
+    """Indices (from 0) of the units that open a new chunk when units are joined greedily with ``gap``
+    characters between them; the state grows by one number per chunk, not per unit.
+
+    A unit is a struct of ``s`` text, ``alone`` (it opens a chunk) and ``closed`` (the next one does)."""
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.lit(True).alias("open"),
+                     F.array().cast("array<int>").alias("at"))
+
+    def step(acc: Column, u: Column) -> Column:
+        n = F.length(u["s"])
+        new = acc["open"] | u["alone"] | ((acc["size"] > 0) & (acc["size"] + gap + n > limit))
+        return F.struct((acc["i"] + 1).alias("i"),
+                        F.when(new, n).otherwise(acc["size"] + gap + n).alias("size"),
+                        u["closed"].alias("open"),
+                        F.when(new, F.array_append(acc["at"], acc["i"])).otherwise(acc["at"]).alias("at"))
+
+    return F.aggregate(units, state, step)["at"]
+
+
+def packed(df: DataFrame, gap: str, limit: int) -> DataFrame:
+    """``df`` with its ``units`` column replaced by ``parts``: greedily joined units, trimmed, without empty
+    ones.  Each step is a column of its own, so no fold is evaluated twice."""
+    df = df.withColumn("at", starts(F.col("units"), len(gap), limit))
+    ends = F.concat(F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0))), F.array(F.size("units")))
+    df = df.withColumn("ranges", F.arrays_zip(F.col("at").alias("a"), ends.alias("b")))
+    parts = F.transform("ranges", lambda r: js_trim(F.array_join(F.transform(
+        F.slice("units", r["a"] + 1, r["b"] - r["a"]), lambda u: u["s"]), gap)))
+    return df.withColumn("parts", F.filter(parts, lambda p: p != "")).drop("units", "at", "ranges")
 
 
 def chunk_documents(df: DataFrame, document_col: str = "document", markdown_col: str = "markdown",
                     max_characters: int = DEFAULT_MAX_CHARACTERS) -> DataFrame:
-    """Chunk a (document, markdown) DataFrame with ``mapInPandas``."""
+    """Chunks of every (document, markdown) row, numbered ``document#0001`` onward."""
     limit = validate_max_characters(max_characters)
-    cols = ["document", "document_title", "section", "chunk_id", "chunk_seq", "text"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows: list[dict] = []
-            for doc, md in zip(pdf["document"], pdf["markdown"]):
-                rows.extend(chunk_markdown(doc, md, limit))
-            yield pd.DataFrame(rows, columns=cols).astype({"chunk_seq": "int32"})
-
-    src = df.select(F.col(document_col).alias("document"), F.col(markdown_col).alias("markdown"))
-    return spread_for_python(src, "document").mapInPandas(run, CHUNK_SCHEMA)
+    found = sections(df, document_col, markdown_col)
+    keys = ["document", "section_no"]
+    blocks = found.select(*keys, "document_title", "section", F.posexplode(
+        F.split("text", rf"\n{WS}*\n", -1)).alias("block_no", "block"))
+    blocks = blocks.withColumn("block", js_trim(F.col("block"))).where("block <> ''")
+    # Blocks over the limit become parts of whole lines and cut pieces.
+    units = F.when(F.length("block") <= limit, F.array(_unit(F.col("block")))).otherwise(
+        F.flatten(F.transform(F.split("block", "\n", -1), lambda x: line_units(x, limit))))
+    blocks = packed(blocks.withColumn("units", units), "\n", limit)
+    # A section's parts in order, packed into chunks joined by a blank line.
+    parts = blocks.select(*keys, "document_title", "section", "block_no", F.posexplode("parts").alias("part_no", "part"))
+    ordered = F.array_sort(F.collect_list(F.struct("block_no", "part_no", "part")))
+    whole = parts.groupBy(*keys).agg(F.first("document_title").alias("document_title"),
+                                     F.first("section").alias("section"), ordered.alias("parts"))
+    whole = whole.withColumn("units", F.transform("parts", lambda p: _unit(p["part"]))).drop("parts")
+    chunks = packed(whole, "\n\n", limit).select(
+        *keys, "document_title", "section", F.posexplode("parts").alias("part_no", "text"))
+    order = Window.partitionBy("document").orderBy("section_no", "part_no")
+    chunks = chunks.withColumn("chunk_seq", F.row_number().over(order))
+    return chunks.withColumn("chunk_id", F.concat("document", F.lit("#"), pad_number(F.col("chunk_seq"), 4))).select(
+        *COLUMNS)
 
 
 def documents_as_markdown(documents: DataFrame) -> DataFrame:
@@ -180,9 +164,17 @@ def documents_as_markdown(documents: DataFrame) -> DataFrame:
 
 def read_markdown_corpus(spark, directory: str) -> DataFrame:
     """S3: every ``*.md`` file (any case) of a directory as (document, markdown),
-    one row per file, sorted by name; errors when there is none."""
+    one row per file; errors when there is none."""
     df = (spark.read.option("pathGlobFilter", "*.[mM][dD]").text(directory, wholetext=True)
           .select(F.col("_metadata.file_name").alias("document"), F.col("value").alias("markdown")))
     if df.limit(1).count() == 0:
         raise FileNotFoundError("No Markdown policy documents found in the approved documents directory.")
-    return df.orderBy("document")
+    return df
+
+
+def load_policy_chunks(spark, directory: str, max_characters: int = DEFAULT_MAX_CHARACTERS) -> DataFrame:
+    """S3: the chunks of a directory; errors when its files hold no text to chunk."""
+    chunks = chunk_documents(read_markdown_corpus(spark, directory), max_characters=max_characters)
+    if chunks.limit(1).count() == 0:
+        raise ValueError("Policy documents did not contain any chunkable text.")
+    return chunks

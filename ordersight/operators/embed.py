@@ -9,8 +9,8 @@ deterministic feature-hashing embedder (no model, no network).
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -20,19 +20,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordersight.functions.partitioning import spread_for_python
-
 Embedder = Callable[[list[str]], np.ndarray]
 
 # Fixed values of the index contract.
 EMBEDDING_BATCH_SIZE = 64
 INDEX_SCHEMA_VERSION = 1
 DEFAULT_MODEL = "hashing-64"
-_TOKEN = re.compile(r"\w+", re.UNICODE)
+_TOKEN = re.compile(r"\w+")
 
 
 class HashingEmbedder:
-    """Signed feature hashing of lower-cased word tokens, L2-normalised."""
+    """Signed feature hashing of lower-cased word tokens, length 1.
+
+    A token's number is the first 8 hex digits of its MD5; bucket and sign are
+    read off it, and the components are integers over one square root, so any
+    engine with MD5 gets the same vector."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -45,12 +47,13 @@ class HashingEmbedder:
             counts = Counter(_TOKEN.findall((t or "").lower()))
             if not counts:
                 continue
-            h = np.fromiter((cache[w] if w in cache else cache.setdefault(w, zlib.crc32(w.encode("utf-8")))
-                             for w in counts), dtype=np.int64, count=len(counts))
+            h = np.fromiter((cache[w] if w in cache else cache.setdefault(
+                w, int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16)) for w in counts),
+                dtype=np.int64, count=len(counts))
             weights = np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
-            weights *= np.where((h >> 16) & 1, 1.0, -1.0)
+            weights *= np.where((h // self.dim) % 2 == 1, 1.0, -1.0)
             out[i] = np.bincount(h % self.dim, weights=weights, minlength=self.dim)
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
+        norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         np.divide(out, norms, out=out, where=norms > 0)
         return out
 
@@ -78,21 +81,22 @@ def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
                 vecs.extend(got.tolist())
             yield pd.Series(vecs)
 
-    return spread_for_python(df).withColumn(out_col, _embed(F.col(text_col)))
+    return df.withColumn(out_col, _embed(F.col(text_col)))
 
 
 def index_rows(chunks: DataFrame, embedder: Embedder | None = None, model: str | None = None,
-               document_count: int | None = None) -> DataFrame:
-    """Chunks + embedding + index metadata columns.  ``document_count`` is the
-    number of loaded documents (pass it from the source table; otherwise one
-    scalar aggregate over the chunks), added as a literal."""
+               documents: DataFrame | None = None) -> DataFrame:
+    """Chunks + embedding + index metadata columns.  ``documents``: the loaded documents, counted inside the
+    plan (without them, those that have a chunk)."""
     emb = embedder or HashingEmbedder()
     model = model or getattr(emb, "model", DEFAULT_MODEL)
     text = embedding_input_text(F.col("document_title"), F.col("section"), F.col("text"))
     rows = embed_column(chunks.withColumn("_input", text), "_input", "embedding", emb).drop("_input")
-    n_docs = document_count if document_count is not None else chunks.select("document").distinct().count()
+    loaded = documents if documents is not None else chunks.select("document").distinct()
+    counted = loaded.agg(F.count(F.lit(1)).alias("document_count"))          # one row
+    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(counted.withColumn("_one", F.lit(1))), "_one").drop("_one")
     return rows.select(F.lit(INDEX_SCHEMA_VERSION).alias("schema_version"), F.lit(model).alias("embedding_model"),
-                       F.lit(n_docs).cast("bigint").alias("document_count"), *rows.columns)
+                       "document_count", *[c for c in rows.columns if c != "document_count"])
 
 
 def write_vector_index(index: DataFrame, base_path: str, version: str) -> str:
@@ -110,8 +114,9 @@ def read_vector_index(spark, path: str, model: str) -> DataFrame:
     required = {"schema_version", "embedding_model", "embedding"}
     if not required <= set(df.columns):
         raise ValueError("Policy vector index is incompatible. Rebuild it.")
-    bad = df.filter((F.col("schema_version") != INDEX_SCHEMA_VERSION) | (F.col("embedding_model") != model)
-                    | F.col("embedding").isNull()).limit(1).count()
+    # Metadata columns only (the vectors' validity bits, not the vectors); NULL metadata is incompatible too.
+    bad = df.filter(~F.col("schema_version").eqNullSafe(F.lit(INDEX_SCHEMA_VERSION))
+                    | ~F.col("embedding_model").eqNullSafe(F.lit(model))).limit(1).count()
     if bad:
         raise ValueError("Policy vector index is incompatible. Rebuild it.")
     return df

@@ -1,13 +1,13 @@
 """Exact cosine top-k search (X7, X8, J9, W2) and search-hit shaping.
 
-Plan: the query matrix is small and size-checked, so it is shipped to every
-task as a broadcast variable; each index partition streams Arrow batches
-through ``mapInPandas``, computes similarities with one matrix product and
-keeps only the best k rows per query per batch.  The final ``row_number()``
-per query therefore ranks at most k x batches candidates (it also plans as a
-WindowGroupLimit), never the whole index.  If the query matrix is larger
-than the broadcast budget, queries are split into hash blocks and the index
-is scanned once per block -- still exact, still without a cross join.
+Plan: one path whatever the sizes.  Index rows are dealt to cells by a hash of
+their id, queries to blocks by a hash of theirs; queries go to every cell, index
+rows to every block.  The rows of one (cell, block) arrive as one sorted stream,
+queries first: a task holds one block of queries, reads the index rows in Arrow
+batches, multiplies bounded tiles and keeps a running top-k per query, so it
+emits at most k rows per query once.  The final ``row_number()`` ranks
+k x cells candidates.  Nothing goes through the driver and no job runs while
+the plan is built.
 
 Similarity is rounded to 6 decimals before ranking so that engines that sum
 in a different order rank identically; ties go to the lower index id.
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,7 +26,7 @@ from pyspark.sql import types as T
 
 from ordersight.functions.text import collapse_ws
 
-MAX_QUERY_MATRIX_BYTES = 64 * 1024 * 1024
+TILE = 1024               # index rows x queries of one product: at most TILE x TILE doubles
 SIM_SCALE = 1_000_000.0   # similarity is reported in exact micro-units
 
 
@@ -44,118 +43,114 @@ def validate_search_args(query: str | None = None, top_k: int = 3, min_similarit
         raise ValueError("minSimilarity must be a finite number between -1 and 1.")
 
 
-def cosine(left, right) -> float:
-    """Reference scalar form: 0 when either norm is 0; error on a length
-    mismatch, an empty vector or a non-finite component."""
-    a, b = np.asarray(left, dtype=np.float64), np.asarray(right, dtype=np.float64)
-    if a.shape != b.shape or a.size == 0:
+def _matrix(vectors, what: str) -> np.ndarray:
+    if any(v is None for v in vectors) or len({len(v) for v in vectors}) > 1:
         raise ValueError("Embedding dimensions do not match.")
-    if not (np.isfinite(a).all() and np.isfinite(b).all()):
-        raise ValueError("Index contains an invalid embedding vector.")
-    na, nb = float(a @ a), float(b @ b)
-    if na == 0 or nb == 0:
-        return 0.0
-    return float(a @ b) / (math.sqrt(na) * math.sqrt(nb))
-
-
-def _batch_topk(ids: np.ndarray, mat: np.ndarray, qids: np.ndarray, qmat: np.ndarray,
-                k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best k (rounded similarity desc, id asc) per query within one batch."""
-    nm = np.sqrt(np.einsum("ij,ij->i", mat, mat))
-    nq = np.sqrt(np.einsum("ij,ij->i", qmat, qmat))
-    sims = mat @ qmat.T
-    den = np.outer(nm, nq)
-    sims = np.divide(sims, den, out=np.zeros_like(sims), where=den > 0)
-    rounded = np.round(sims * SIM_SCALE)
-    rows, cols, vals = [], [], []
-    for j in range(qmat.shape[0]):
-        ok = np.nonzero(sims[:, j] >= floor)[0]
-        if ok.size == 0:
-            continue
-        order = np.lexsort((ids[ok], -rounded[ok, j]))[:k]
-        sel = ok[order]
-        rows.append(sel)
-        cols.append(np.full(sel.size, j))
-        vals.append(sims[sel, j])
-    if not rows:
-        return np.array([], dtype=np.int64), np.array([], dtype=np.int64), np.array([], dtype=np.float64)
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-
-
-def _pass(index: DataFrame, id_col: str, vec_col: str, qids: np.ndarray, qmat: np.ndarray,
-          k: int, floor: float) -> DataFrame:
-    spark = index.sparkSession
-    try:
-        bq = spark.sparkContext.broadcast((qids, qmat))       # once per executor
-        get = lambda: bq.value
-    except Exception:  # noqa: BLE001 -- no SparkContext (Connect): ship the bounded block in the closure
-        held = (qids, qmat)
-        get = lambda: held
-    dim = qmat.shape[1]
-    carry = [f for f in index.schema.fields if f.name != vec_col]
-    schema = T.StructType([T.StructField("query_id", T.LongType(), False), *carry,
-                           T.StructField("similarity", T.DoubleType(), False)])
-    carry_names = [f.name for f in carry]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q_mat = get()
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            vecs = pdf[vec_col].tolist()
-            if any(v is None or len(v) != dim for v in vecs):
-                raise ValueError("Embedding dimensions do not match.")
-            mat = np.asarray(np.stack(vecs), dtype=np.float64)
-            if not np.isfinite(mat).all():
-                raise ValueError("Index contains an invalid embedding vector.")
-            ids = pdf[id_col].to_numpy()
-            r, c, v = _batch_topk(ids, mat, q_ids, q_mat, k, floor)
-            out = pdf.iloc[r][carry_names].reset_index(drop=True)
-            out.insert(0, "query_id", q_ids[c].astype(np.int64))
-            out["similarity"] = v
-            yield out
-
-    return index.mapInPandas(run, schema)
+    out = np.asarray(np.stack(list(vectors)), dtype=np.float64)
+    if not np.isfinite(out).all():
+        raise ValueError(f"{what} contains an invalid embedding vector.")
+    return out
+
+
+def _unit(mat: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; zero rows stay zero (their similarity is 0)."""
+    norm = np.sqrt(np.einsum("ij,ij->i", mat, mat))[:, None]
+    return np.divide(mat, norm, out=np.zeros_like(mat), where=norm > 0)
+
+
+class _Best:
+    """Running top-k index rows of a block of queries: rounded similarity descending, id ascending."""
+
+    def __init__(self, q_ids: np.ndarray, q_mat: np.ndarray, k: int, floor: float):
+        self.q_ids, self.q, self.k, self.floor = q_ids, _unit(q_mat), k, floor
+        self.found: list[list[tuple]] = [[] for _ in q_ids]          # (-rounded, id, similarity, other columns)
+        self.least = np.full(len(q_ids), -np.inf)                    # k-th rounded similarity so far
+
+    def add(self, ids: np.ndarray, mat: np.ndarray, rows: pd.DataFrame) -> None:
+        if mat.shape[1] != self.q.shape[1]:
+            raise ValueError("Embedding dimensions do not match.")
+        unit = _unit(mat)
+        for i in range(0, len(ids), TILE):
+            for j in range(0, len(self.q), TILE):
+                sims = self.q[j:j + TILE] @ unit[i:i + TILE].T
+                rounded = np.round(sims * SIM_SCALE)
+                hit = (sims >= self.floor) & (rounded >= self.least[j:j + TILE, None])
+                for n in np.flatnonzero(hit.any(axis=1)):
+                    at = np.flatnonzero(hit[n])
+                    at = at[np.lexsort((ids[i + at], -rounded[n, at]))[:self.k]]
+                    new = [(-rounded[n, x], ids[i + x], sims[n, x], tuple(rows.iloc[i + x])) for x in at]
+                    best = sorted(self.found[j + n] + new, key=lambda r: r[:2])[:self.k]
+                    self.found[j + n] = best
+                    if len(best) == self.k:
+                        self.least[j + n] = -best[-1][0]
+
+    def rows(self):
+        for q, found in zip(self.q_ids, self.found):
+            for _, _, sim, other in found:
+                yield (int(q), *other, float(sim))
 
 
 def cosine_top_k(index: DataFrame, queries: DataFrame, k: int = 3, min_similarity: float = -1.0,
                  id_col: str = "id", vec_col: str = "embedding", query_id_col: str = "query_id",
-                 query_vec_col: str = "embedding") -> DataFrame:
+                 query_vec_col: str = "embedding", cells: int | None = None, query_blocks: int = 1) -> DataFrame:
     """For every query, the k most similar index rows with similarity >= the
     floor.  Output: query_id, rank, the index columns (minus the vector),
-    similarity (rounded to 6 decimals)."""
+    similarity (rounded to 6 decimals).
+
+    ``cells`` (default: the session's shuffle partitions) deals the index, ``query_blocks`` the queries; a task
+    holds the vectors of one block, so choose ``query_blocks`` near queries x dimensions x 8 bytes / 64 MB."""
     validate_search_args(None, k, min_similarity)
-    q = queries.select(F.col(query_id_col).cast("long").alias("qid"),
-                       F.col(query_vec_col).cast("array<double>").alias("qv"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d"), F.min(F.size("qv")).alias("dmin")).first()
-    n, dim = int(stats["n"] or 0), int(stats["d"] or 0)
-    if n and dim != stats["dmin"]:
-        raise ValueError("Embedding dimensions do not match.")
-    # No repartition here: per-row work is one vectorised matrix product, so
-    # the scan's own partitions (file splits) are enough parallelism.
-    idx = index.withColumn(vec_col, F.col(vec_col).cast("array<double>"))
-    blocks = max(1, math.ceil(n * max(dim, 1) * 8 / MAX_QUERY_MATRIX_BYTES))
-    parts = []
-    for b in range(blocks):
-        qb = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        pdf = qb.toPandas()          # bounded by MAX_QUERY_MATRIX_BYTES per block
-        if pdf.empty:
-            continue
-        qmat = np.asarray(np.stack(pdf["qv"].tolist()), dtype=np.float64)
-        if not np.isfinite(qmat).all():
-            raise ValueError("Query embedding contains an invalid value.")
-        parts.append(_pass(idx, id_col, vec_col, pdf["qid"].to_numpy(np.int64), qmat, k, min_similarity))
-    if not parts:
-        carry = [f for f in idx.schema.fields if f.name != vec_col]
-        schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()),
-                               *carry, T.StructField("similarity", T.DoubleType())])
-        return index.sparkSession.createDataFrame([], schema)
-    cand = reduce(DataFrame.unionByName, parts).withColumn(
+    cells = cells or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    carry = [f for f in index.schema.fields if f.name != vec_col]
+    names = [f.name for f in carry]
+    vec = F.col(vec_col).cast("array<double>").alias("_v")
+    stream = index.select(
+        F.pmod(F.xxhash64(id_col), F.lit(cells)).cast("int").alias("_cell"),
+        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("_block"),
+        F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_q"), vec, *names)
+    asked = queries.select(
+        F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("_cell"),
+        F.pmod(F.xxhash64(query_id_col), F.lit(query_blocks)).cast("int").alias("_block"),
+        F.lit(0).alias("_kind"), F.col(query_id_col).cast("long").alias("_q"),
+        F.col(query_vec_col).cast("array<double>").alias("_v"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in carry])
+    schema = T.StructType([T.StructField("query_id", T.LongType()), *[T.StructField(f.name, f.dataType) for f in carry],
+                           T.StructField("similarity", T.DoubleType())])
+
+    def emit(best: _Best):
+        rows = list(best.rows())
+        if rows:
+            yield pd.DataFrame(rows, columns=["query_id", *names, "similarity"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, asked_ids, asked_vecs, best = None, [], [], None
+        for pdf in batches:
+            where = pdf[["_cell", "_block", "_kind"]].to_numpy()
+            cuts = np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(pdf)]):
+                if e == s:
+                    continue
+                part = pdf.iloc[s:e]
+                if tuple(where[s, :2]) != key:
+                    if best is not None:
+                        yield from emit(best)
+                    key, asked_ids, asked_vecs, best = tuple(where[s, :2]), [], [], None
+                if where[s, 2] == 0:
+                    asked_ids.append(part["_q"].to_numpy(np.int64))
+                    asked_vecs += part["_v"].tolist()
+                elif asked_vecs:
+                    if best is None:
+                        best = _Best(np.concatenate(asked_ids), _matrix(asked_vecs, "Query"), k, min_similarity)
+                    best.add(np.array(part[id_col].tolist()), _matrix(part["_v"].tolist(), "Index"), part[names])
+        if best is not None:
+            yield from emit(best)
+
+    both = stream.unionByName(asked).repartition("_cell", "_block").sortWithinPartitions("_cell", "_block", "_kind")
+    found = both.mapInPandas(run, schema).withColumn(
         "similarity", F.round(F.col("similarity") * SIM_SCALE).cast("bigint") / SIM_SCALE)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col(id_col).asc())
-    ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    cols = [c for c in ranked.columns if c not in ("query_id", "rank")]
-    return ranked.select("query_id", "rank", *cols)
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", *names, "similarity")
 
 
 def search_policies(index: DataFrame, query: str, embedder, top_k: int = 3, min_similarity: float = -1.0,

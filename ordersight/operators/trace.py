@@ -43,7 +43,7 @@ CONTRACT = [
     ("search_company_policies", "query", "string", True, 1, 4000, None, None, None),
     ("search_company_policies", "topK", "integer", False, None, None, None, 1.0, 50.0),
 ]
-STRICT_TOOLS = ("get_warehouse_performance",)
+MAX_SAFE_INTEGER = 2.0**53 - 1
 CONTRACT_SCHEMA = ("tool string, key string, type string, required boolean, min_len int, max_len int, "
                    "pattern string, minimum double, maximum double")
 
@@ -70,11 +70,12 @@ def context_type_expr(name: Column) -> Column:
         F.lit("operational_facts"))
 
 
-def events_trace(events: DataFrame) -> DataFrame:
+def events_trace(events: DataFrame, numbered: bool = True) -> DataFrame:
     """Map the ``events`` table onto tool-call traces: run = user, seq by
     (ts, event_id), tool by event type (every tenth k is a policy search),
     arguments JSON built from the event; some calls deliberately break the
-    contract (id 0, slash dates, extra keys, topK > 50, credentials)."""
+    contract (id 0, slash dates, extra keys, topK > 50, credentials).
+    ``numbered=False`` leaves ``seq`` out, and with it the shuffles that number the calls."""
     k = F.get_json_object("props", "$.k").cast("int")
     tool = F.when(k % 10 == 0, F.lit("search_company_policies")).otherwise(
         F.create_map(*[F.lit(x) for kv in EVENT_TOOL.items() for x in kv])[F.col("event_type")])
@@ -98,6 +99,8 @@ def events_trace(events: DataFrame) -> DataFrame:
                    extras, F.lit("}"))
     args = F.when(tool == "search_company_policies", search_args).otherwise(biz)
     base = events.select(F.col("user_id").alias("run_id"), "ts", "event_id", tool.alias("name"), args.alias("arguments"))
+    if not numbered:
+        return base.drop("event_id")
     return sequence_number(base, ["run_id"], ["ts", "event_id"], hour_bucket("ts"), "seq").select(
         "run_id", "seq", "ts", "name", "arguments")
 
@@ -136,10 +139,14 @@ def tools_used(trace: DataFrame) -> DataFrame:
                     "first_seq")
 
 
+def parsed_arguments() -> Column:
+    """The arguments as a map; NULL if the text is NULL, not JSON or not an object (that call only is unfit)."""
+    return F.try_variant_get(F.try_parse_json("arguments"), "$", "map<string,variant>")
+
+
 def argument_values(trace: DataFrame) -> DataFrame:
     """(run_id, seq, name, key, value VARIANT, json_type) per argument."""
-    m = F.variant_get(F.parse_json("arguments"), "$", "map<string,variant>")
-    kv = trace.select("run_id", "seq", "name", F.explode(m).alias("key", "value"))
+    kv = trace.select("run_id", "seq", "name", F.explode(parsed_arguments()).alias("key", "value"))
     return kv.withColumn("json_type", json_type(F.schema_of_variant("value")))
 
 
@@ -161,8 +168,14 @@ def sanitize_arguments(trace: DataFrame) -> DataFrame:
     arrays -> "[n items]"; objects -> "[object]"; scalars as JSON) and whether
     the whitelist projection keeps it (8 known keys; strings of at most 10
     characters, 4000 for query; integers; null)."""
-    a = argument_values(trace)
+    return sanitized(argument_values(trace)).select("run_id", "seq", "name", "key", "json_type", "sanitized",
+                                                    "whitelisted")
+
+
+def sanitized(a: DataFrame) -> DataFrame:
+    """Argument rows with their display value and whether the whitelist keeps them."""
     s = F.try_variant_get("value", "$", "string")
+    num = F.try_variant_get("value", "$", "double")
     cut = F.when(F.lower("key").contains("query"), F.lit(400)).otherwise(F.lit(80))
     n_items = F.size(F.try_variant_get("value", "$", "array<variant>"))
     shown = (F.when(F.col("json_type") == "string", F.expr("substring(x, 1, c)"))
@@ -173,8 +186,20 @@ def sanitize_arguments(trace: DataFrame) -> DataFrame:
     keep_len = F.when(F.col("key") == "query", F.lit(4000)).otherwise(F.lit(10))
     kept = (F.col("key").isin(*WHITELIST_KEYS)
             & (((F.col("json_type") == "string") & (F.length(s) <= keep_len))
-               | (F.col("json_type") == "integer") | (F.col("json_type") == "null")))
-    return a.select("run_id", "seq", "name", "key", "json_type", shown.alias("sanitized"), kept.alias("whitelisted"))
+               | (F.col("json_type") == "null") | (F.col("json_type").isin("integer", "number")
+                                                  & (num == F.floor(num).cast("double")))))
+    return a.withColumns({"sanitized": shown, "whitelisted": kept}).drop("x", "c")
+
+
+def project_arguments(trace: DataFrame) -> DataFrame:
+    """Per call, the arguments that the whitelist keeps, as one JSON object with sorted keys."""
+    kept = F.struct("key", F.to_json("value").alias("value"))
+    a = argument_values(trace)
+    return (sanitized(a).groupBy("run_id", "seq", "name")
+            .agg(F.array_sort(F.collect_list(F.when(F.col("whitelisted"), kept))).alias("_kept"))
+            .select("run_id", "seq", "name", F.concat(F.lit("{"), F.array_join(F.transform(
+                "_kept", lambda x: F.concat(F.lit('"'), x["key"], F.lit('":'), x["value"])), ","), F.lit("}"))
+                .alias("projected")))
 
 
 MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "August", "September",
@@ -201,9 +226,11 @@ def evidence_date_coverage(trace: DataFrame) -> DataFrame:
         "run_id", F.concat(F.lit("How did service perform in "),
                            F.date_format(F.date_add(F.col("first_ts").cast("date"), QUESTION_LEAD_DAYS), "MMMM yyyy"),
                            F.lit("?")).alias("question"))
-    a = argument_values(trace)
-    s = F.try_variant_get("value", "$", "string")
-    ends = a.filter((F.col("key") == "endDate") & (F.col("json_type") == "string") & s.rlike(DATE_REGEX)) \
+    arg = F.try_variant_get(F.try_parse_json("arguments"), "$.endDate", "variant")
+    s = F.try_variant_get(arg, "$", "string")
+    ends = trace.select("run_id", F.when(F.schema_of_variant(arg) == "STRING", s).alias("_end"))
+    s = F.col("_end")
+    ends = ends.filter(s.rlike(DATE_REGEX)) \
         .groupBy("run_id").agg(F.max(s).alias("latest_requested_end"))
     j = q.join(ends, "run_id", "left")
     month_end = F.date_format(month_end_from_text(F.col("question")), "yyyy-MM-dd")
@@ -240,13 +267,13 @@ def _required_map() -> Column:
 def contract_violations(trace: DataFrame) -> DataFrame:
     """Validate every call's arguments against its tool's contract.
 
-    Violations: missing_required, unexpected_key (strict tools only),
-    invalid_type, invalid_value (length, pattern, minimum, maximum).  The
-    contract is a literal map, so the whole check is row-local: each call's
-    missing required keys and its (key, value) arguments are exploded once and
-    checked with plain column expressions (whole-stage codegen; no lambda per
-    key) -- no join, no shuffle."""
-    args = F.variant_get(F.parse_json("arguments"), "$", "map<string,variant>")
+    Violations: invalid_json (NULL, malformed or not an object; no key), missing_required, unexpected_key
+    (every tool of the contract is strict), invalid_type (an integer is a whole number up to 2^53 - 1, however
+    it is written), invalid_value (length, pattern, minimum, maximum).  The contract is a literal map, so the
+    whole check is row-local: each call's missing required keys and its (key, value) arguments are exploded
+    once and checked with plain column expressions (whole-stage codegen; no lambda per key) -- no join, no
+    shuffle."""
+    args = parsed_arguments()
     calls = trace.select("run_id", "seq", "name", args.alias("args"))
     rules, required = _rule_map(), _required_map()
     name = F.col("name")
@@ -257,7 +284,9 @@ def contract_violations(trace: DataFrame) -> DataFrame:
     missing = F.transform(
         F.array_except(F.coalesce(required[name], F.array().cast("array<string>")), present),
         lambda k: F.struct(k.alias("key"), F.lit(None).cast("variant").alias("value")))
-    kv = calls.select("run_id", "seq", "name", F.explode(F.concat(missing, F.map_entries("args"))).alias("a")) \
+    unfit = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("variant").alias("value")))
+    entries = F.when(F.col("args").isNull(), unfit).otherwise(F.concat(missing, F.map_entries("args")))
+    kv = calls.select("run_id", "seq", "name", F.explode(entries).alias("a")) \
         .select("run_id", "seq", "name", "a.key", "a.value", F.col("a.value").isNull().alias("missing"),
                 F.schema_of_variant("a.value").alias("_schema"))
     # Look the rule up and read the value once per argument (one projection),
@@ -269,7 +298,8 @@ def contract_violations(trace: DataFrame) -> DataFrame:
                    F.try_variant_get("value", "$", "double").alias("num"))
     rule, jt, s, num = F.col("rule"), F.col("jt"), F.col("s"), F.col("num")
     type_ok = (F.when(rule["type"] == "string", jt == "string")
-               .when(rule["type"] == "integer", jt == "integer")
+               .when(rule["type"] == "integer", jt.isin("integer", "number") & (num == F.floor(num).cast("double"))
+                     & (F.abs(num) <= MAX_SAFE_INTEGER))
                .when(rule["type"] == "number", jt.isin("integer", "number"))
                .otherwise(F.lit(True)))
     value_ok = (F.coalesce(F.length(s) >= rule["min_len"], F.lit(True))
@@ -277,8 +307,10 @@ def contract_violations(trace: DataFrame) -> DataFrame:
                 & F.coalesce(F.regexp_like(s, rule["pattern"]), F.lit(True))
                 & F.coalesce(num >= rule["minimum"], F.lit(True))
                 & F.coalesce(num <= rule["maximum"], F.lit(True)))
-    v = (F.when(F.col("missing"), F.lit("missing_required"))
-         .when(rule.isNull(), F.when(name.isin(*STRICT_TOOLS), F.lit("unexpected_key")))
+    known = name.isin(*sorted({c[0] for c in CONTRACT}))
+    v = (F.when(F.col("key").isNull(), F.lit("invalid_json"))
+         .when(F.col("missing"), F.lit("missing_required"))
+         .when(rule.isNull(), F.when(known, F.lit("unexpected_key")))
          .when(~type_ok, F.lit("invalid_type"))
          .when(~value_ok, F.lit("invalid_value")))
     # Keep only real violations with a generator rather than a Filter: a

@@ -9,6 +9,6 @@ FILTER_CUSTOMER = 7
 FILTER_VENDOR = 4
 TOP_K = 3
 MIN_SIMILARITY = 0.2
-QUERY_VECTOR_IDS = 5           # embeddings with vec_id < 5 are the search queries
+QUERY_VECTOR_EVERY = 50        # embeddings with vec_id % 50 = 0 are the search queries, the rest the index
 CHUNK_MAX_CHARACTERS = 1800
 EMBED_DIM = 64

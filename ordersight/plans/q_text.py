@@ -10,7 +10,7 @@ from ordersight.plans import params as P
 from ordersight.plans.registry import register
 
 ORACLE: dict[str, str] = {}
-NQ = P.QUERY_VECTOR_IDS
+EVERY = P.QUERY_VECTOR_EVERY
 
 
 def _hit_cols(vec_id, label):
@@ -21,16 +21,16 @@ def _hit_cols(vec_id, label):
 
 
 def vector_index(m):
-    """The ``embeddings`` table as a search index (vec_id >= 5) with hit labels."""
+    """The ``embeddings`` table without the query rows, as a search index with hit labels."""
     e = m.t.embeddings
-    return e.filter(F.col("vec_id") >= NQ).select("vec_id", "label", *_hit_cols(F.col("vec_id"), F.col("label")),
+    return e.filter(F.col("vec_id") % EVERY != 0).select("vec_id", "label", *_hit_cols(F.col("vec_id"), F.col("label")),
                                                    "embedding")
 
 
 def vector_queries(m):
-    """Query vectors: the first five embeddings (vec_id < 5)."""
+    """Query vectors: every 50th embedding, so the query side grows with the table."""
     e = m.t.embeddings
-    return e.filter(F.col("vec_id") < NQ).select(F.col("vec_id").alias("query_id"), "embedding")
+    return e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def vector_hits(m, k, floor=-1.0):
@@ -42,8 +42,8 @@ _SIM = ("CASE WHEN list_dot_product(v, v) = 0 OR list_dot_product(qv, qv) = 0 TH
 
 
 def _topk_sql(k: int, floor: float = -1.0) -> str:
-    return f"""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id < {NQ}),
-    ix AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id >= {NQ}),
+    return f"""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % {EVERY} = 0),
+    ix AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % {EVERY} <> 0),
     s AS (SELECT q.query_id, ix.vec_id, ix.label, {_SIM} AS sim FROM q CROSS JOIN ix),
     s2 AS (SELECT query_id, vec_id, label, CAST(round(sim * 1000000) AS BIGINT) / 1000000.0 AS similarity
            FROM s WHERE sim >= {floor}),
@@ -57,7 +57,7 @@ def _topk_sql(k: int, floor: float = -1.0) -> str:
 
 @register("vector_topk")
 def q_vector_topk(m):
-    """Exact cosine top-3 for 5 query vectors over the index."""
+    """Exact cosine top-3 for every query vector over the index."""
     return vector_hits(m, P.TOP_K)
 
 
@@ -111,19 +111,69 @@ ORACLE["sources_by_document"] = _HITS_TEXT_SQL + """
     SELECT query_id, document, COUNT(*) AS passages, list(section ORDER BY position) AS sections
     FROM src GROUP BY query_id, document"""
 
-# ---- chunking / embedding (Python inside Arrow batches) ---------------------
+# ---- chunking / embedding -----------------------------------------------------
 
 
 def doc_chunks(m):
     return chunker.chunk_documents(chunker.documents_as_markdown(m.t.documents), max_characters=P.CHUNK_MAX_CHARACTERS)
 
 
+# The oracle's own packing: every line of a text is a block; blocks over the limit are cut one
+# piece at a time, and blocks are packed one at a time, by recursion.  Limit 1800, least cut 990.
+_CHUNKS_CTE = r"""WITH RECURSIVE
+    ln AS (SELECT doc_id, bno, regexp_replace(line, '^\s+|\s+$', '', 'g') AS block
+           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                        unnest(range(1, len(string_split(text, chr(10))) + 1)) AS bno FROM documents)),
+    cut(doc_id, bno, pno, piece, rest) AS (
+      SELECT doc_id, bno, 0, CAST(NULL AS VARCHAR), block FROM ln WHERE length(block) > 1800
+      UNION ALL
+      SELECT doc_id, bno, pno + 1, trim(left(rest, CAST(c AS INTEGER))), trim(substr(rest, c + 1))
+      FROM (SELECT *, CASE WHEN sp > 0 AND 1801 - sp >= 990 THEN 1801 - sp ELSE 1800 END AS c
+            FROM (SELECT *, strpos(reverse(left(rest, 1801)), ' ') AS sp FROM cut WHERE length(rest) > 1800))),
+    part AS (SELECT doc_id, bno, 0 AS pno, block AS p FROM ln WHERE length(block) BETWEEN 1 AND 1800
+             UNION ALL SELECT doc_id, bno, pno, piece FROM cut WHERE pno > 0
+             UNION ALL SELECT doc_id, bno, pno + 1, rest FROM cut WHERE length(rest) <= 1800),
+    sq AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY bno, pno) AS rn FROM part WHERE p <> ''),
+    pk(doc_id, rn, size, seq) AS (
+      SELECT doc_id, rn, CAST(length(p) AS BIGINT), 1 FROM sq WHERE rn = 1
+      UNION ALL
+      SELECT sq.doc_id, sq.rn, CASE WHEN pk.size + 2 + length(sq.p) > 1800 THEN length(sq.p)
+                                    ELSE pk.size + 2 + length(sq.p) END,
+             CASE WHEN pk.size + 2 + length(sq.p) > 1800 THEN pk.seq + 1 ELSE pk.seq END
+      FROM pk JOIN sq ON sq.doc_id = pk.doc_id AND sq.rn = pk.rn + 1),
+    chunks AS (
+      SELECT 'doc_' || doc_id || '.md' AS document, 'Document ' || doc_id AS document_title,
+             any_value(d.source) || CASE WHEN doc_id % 4 = 0 THEN ' >  > Detail' ELSE '' END AS section,
+             'doc_' || doc_id || '.md#' || lpad(CAST(seq AS VARCHAR), CAST(greatest(4, length(CAST(seq AS VARCHAR))) AS INTEGER), '0')
+               AS chunk_id,
+             CAST(seq AS INTEGER) AS chunk_seq, string_agg(sq.p, chr(10) || chr(10) ORDER BY sq.rn) AS text
+      FROM pk JOIN sq USING (doc_id, rn) JOIN documents d USING (doc_id) GROUP BY doc_id, seq)"""
+
+_INPUT_SQL = "'Document: ' || document_title || chr(10) || 'Section: ' || section || chr(10) || chr(10) || text"
+
+
+def _embedded(name: str, src: str, key: str, text: str) -> str:
+    """CTEs that give ``name`` (key, embedding) of the texts in ``src``: signed counts by MD5 prefix, length 1."""
+    return f""",
+    {name}_tok AS (SELECT {key} AS k, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {src}),
+    {name}_n AS (SELECT k, ('0x' || substr(md5(w), 1, 8))::BIGINT AS h FROM {name}_tok),
+    {name}_c AS (SELECT k, h % {P.EMBED_DIM} AS b, SUM(CASE WHEN (h // {P.EMBED_DIM}) % 2 = 1 THEN 1 ELSE -1 END) AS n
+                 FROM {name}_n GROUP BY ALL),
+    {name}_m AS (SELECT k, map(list(b), list(n)) AS m, SUM(n * n) AS sq FROM {name}_c GROUP BY k),
+    {name} AS (SELECT s.{key}, list_transform(range(0, {P.EMBED_DIM}), lambda b: CASE WHEN sq > 0 THEN
+                 CAST(COALESCE(m[b], 0) AS DOUBLE) / sqrt(CAST(sq AS DOUBLE)) ELSE 0.0 END) AS embedding
+               FROM {src} s LEFT JOIN {name}_m ON k = s.{key})"""
+
+
 @register("policy_chunks")
 def q_policy_chunks(m):
-    """Heading-aware chunks of every document (rows-only check)."""
+    """Heading-aware chunks of every document."""
     return doc_chunks(m)
 
 
+ORACLE["policy_chunks"] = _CHUNKS_CTE + " SELECT * FROM chunks"
+
+
 @register("policy_chunk_coverage")
 def q_policy_chunk_coverage(m):
     """Per document, non-whitespace characters over all chunks and
@@ -143,34 +193,65 @@ ORACLE["policy_chunk_coverage"] = r"""
     FROM documents WHERE length(trim(text)) > 0"""
 
 
+def _input(c):
+    return embed.embedding_input_text(F.col("document_title"), F.col("section"), F.col("text"))
+
+
 @register("embedding_input_text")
 def q_embedding_input_text(m):
-    """The embedding input text of every chunk (rows-only check)."""
+    """The embedding input text of every chunk."""
     c = doc_chunks(m)
-    return c.select("chunk_id", embed.embedding_input_text(F.col("document_title"), F.col("section"),
-                                                           F.col("text")).alias("input_text"))
+    return c.select("chunk_id", _input(c).alias("input_text"))
+
+
+ORACLE["embedding_input_text"] = _CHUNKS_CTE + f" SELECT chunk_id, {_INPUT_SQL} AS input_text FROM chunks"
 
 
 @register("embed_chunks")
 def q_embed_chunks(m):
-    """Every chunk embedded through the pluggable hook (rows-only check)."""
+    """Every chunk embedded through the pluggable hook."""
     return embed.embed_column(doc_chunks(m), "text", "embedding", embed.HashingEmbedder(P.EMBED_DIM))
 
 
+ORACLE["embed_chunks"] = (_CHUNKS_CTE + _embedded("e", "chunks", "chunk_id", "text")
+                          + " SELECT c.*, e.embedding FROM chunks c JOIN e USING (chunk_id)")
+
+
 @register("vector_index_manifest")
 def q_vector_index_manifest(m):
     """Index rows (chunk + embedding + schema version, model, document count)."""
-    return embed.index_rows(doc_chunks(m), embed.HashingEmbedder(P.EMBED_DIM),
-                            document_count=m.t.documents.count())
+    return embed.index_rows(doc_chunks(m), embed.HashingEmbedder(P.EMBED_DIM), documents=m.t.documents)
+
+
+_INDEX_SQL = _CHUNKS_CTE + f", cin AS (SELECT *, {_INPUT_SQL} AS i FROM chunks)" + _embedded("e", "cin", "chunk_id", "i")
+ORACLE["vector_index_manifest"] = _INDEX_SQL + f"""
+    SELECT 1 AS schema_version, 'hashing-{P.EMBED_DIM}' AS embedding_model,
+           (SELECT COUNT(*) FROM documents) AS document_count, c.*, e.embedding
+    FROM chunks c JOIN e USING (chunk_id)"""
 
 
 @register("policy_search")
 def q_policy_search(m):
-    """X8 end to end: benchmark texts as queries against embedded document chunks."""
+    """X8 end to end: benchmark texts as queries against embedded document chunks; ties by
+    document, then chunk."""
     emb = embed.HashingEmbedder(P.EMBED_DIM)
-    chunks = doc_chunks(m).withColumn("id", F.xxhash64("chunk_id"))
-    idx = embed.embed_column(chunks.withColumn(
-        "_in", embed.embedding_input_text(F.col("document_title"), F.col("section"), F.col("text"))),
-        "_in", "embedding", emb).drop("_in", "text")
+    chunks = doc_chunks(m).withColumn("_at", F.concat("document", F.lit("#"), pad_number(F.col("chunk_seq"), 9)))
+    idx = embed.embed_column(chunks.withColumn("_in", _input(chunks)), "_in", "embedding", emb).drop("_in")
     qs = embed.embed_column(m.t.benchmark.select(F.col("item_id").alias("query_id"), "text"), "text", "embedding", emb)
-    return search.cosine_top_k(idx, qs, k=P.TOP_K)
+    return search.cosine_top_k(idx, qs, k=P.TOP_K, id_col="_at").drop("_at")
+
+
+ORACLE["policy_search"] = _INDEX_SQL + _embedded("q", "benchmark", "item_id", "text") + f""",
+    s AS (SELECT q.item_id AS query_id, e.chunk_id,
+                 CAST(round(CASE WHEN list_dot_product(q.embedding, q.embedding) = 0
+                                   OR list_dot_product(e.embedding, e.embedding) = 0 THEN 0.0
+                                 ELSE list_dot_product(q.embedding, e.embedding)
+                                      / (sqrt(list_dot_product(q.embedding, q.embedding))
+                                         * sqrt(list_dot_product(e.embedding, e.embedding))) END * 1000000) AS BIGINT)
+                   / 1000000.0 AS similarity
+          FROM q CROSS JOIN e),
+    r AS (SELECT s.query_id, c.*, s.similarity,
+                 row_number() OVER (PARTITION BY s.query_id ORDER BY s.similarity DESC, c.document, c.chunk_seq) AS rk
+          FROM s JOIN chunks c USING (chunk_id))
+    SELECT query_id, CAST(rk AS INTEGER) AS rank, document, document_title, section, chunk_id, chunk_seq, text, similarity
+    FROM r WHERE rk <= {P.TOP_K}"""

@@ -115,16 +115,18 @@ ORACLE["sanitize_arguments"] = _ARGS_CTE + f"""
     FROM kv"""
 
 
-def _contract_values() -> str:
-    def lit(v):
-        if v is None:
-            return "NULL"
-        if isinstance(v, bool):
-            return "TRUE" if v else "FALSE"
-        if isinstance(v, str):
-            return "'" + v.replace("'", "''") + "'"
-        return repr(v)
-    return ", ".join("(" + ", ".join(lit(x) for x in row) + ")" for row in trace.CONTRACT)
+# The oracle's own statement of the six strict tool contracts (fixed values).
+_RULES = """VALUES
+    ('get_otif_metrics', 'startDate', 'date', TRUE), ('get_otif_metrics', 'endDate', 'date', TRUE),
+    ('get_otif_metrics', 'warehouseId', 'id', FALSE), ('get_otif_metrics', 'customerId', 'id', FALSE),
+    ('get_warehouse_performance', 'startDate', 'date', TRUE), ('get_warehouse_performance', 'endDate', 'date', TRUE),
+    ('get_inventory_health', 'startDate', 'date', TRUE), ('get_inventory_health', 'endDate', 'date', TRUE),
+    ('get_inventory_health', 'warehouseId', 'id', FALSE), ('get_inventory_health', 'productId', 'id', FALSE),
+    ('get_vendor_performance', 'startDate', 'date', TRUE), ('get_vendor_performance', 'endDate', 'date', TRUE),
+    ('get_vendor_performance', 'vendorId', 'id', FALSE),
+    ('get_customer_impact', 'startDate', 'date', TRUE), ('get_customer_impact', 'endDate', 'date', TRUE),
+    ('get_customer_impact', 'warehouseId', 'id', FALSE),
+    ('search_company_policies', 'query', 'question', TRUE), ('search_company_policies', 'topK', 'count', FALSE)"""
 
 
 @register("json_contract_violations")
@@ -134,26 +136,37 @@ def q_json_contract_violations(m):
 
 
 ORACLE["json_contract_violations"] = _ARGS_CTE + f""",
-    rules(tool, key, type, required, min_len, max_len, pattern, minimum, maximum) AS (VALUES {_contract_values()}),
-    missing AS (SELECT tr.run_id, tr.seq, tr.name, r.key, 'missing_required' AS violation
-                FROM tr JOIN rules r ON r.tool = tr.name AND r.required
-                WHERE NOT EXISTS (SELECT 1 FROM kv WHERE kv.run_id = tr.run_id AND kv.seq = tr.seq AND kv.key = r.key)),
-    unexpected AS (SELECT run_id, seq, name, key, 'unexpected_key' AS violation FROM kv
-                   WHERE name IN ({", ".join(f"'{t}'" for t in trace.STRICT_TOOLS)})
-                     AND NOT EXISTS (SELECT 1 FROM rules r WHERE r.tool = kv.name AND r.key = kv.key)),
-    checked AS (SELECT kv.run_id, kv.seq, kv.name, kv.key,
-                  CASE WHEN NOT (CASE r.type WHEN 'string' THEN kv.json_type = 'string'
-                                             WHEN 'integer' THEN kv.json_type = 'integer'
-                                             WHEN 'number' THEN kv.json_type IN ('integer', 'number') ELSE TRUE END)
-                       THEN 'invalid_type'
-                       WHEN NOT (COALESCE(length(kv.s) >= r.min_len, TRUE) AND COALESCE(length(kv.s) <= r.max_len, TRUE)
-                                 AND COALESCE(regexp_matches(kv.s, r.pattern), TRUE)
-                                 AND COALESCE(TRY_CAST(kv.s AS DOUBLE) >= r.minimum, TRUE)
-                                 AND COALESCE(TRY_CAST(kv.s AS DOUBLE) <= r.maximum, TRUE))
-                       THEN 'invalid_value' END AS violation
-                FROM kv JOIN rules r ON r.tool = kv.name AND r.key = kv.key)
-    SELECT * FROM missing UNION ALL SELECT * FROM unexpected
-    UNION ALL SELECT * FROM checked WHERE violation IS NOT NULL"""
+    rules(tool, key, kind, required) AS ({_RULES}),
+    missing AS (SELECT run_id, seq, name, key, 'missing_required' AS violation FROM
+                  (SELECT tr.run_id, tr.seq, tr.name, r.key FROM tr JOIN rules r ON r.tool = tr.name AND r.required
+                   EXCEPT ALL SELECT run_id, seq, name, key FROM kv WHERE (name, key) IN (SELECT (tool, key) FROM rules WHERE required))),
+    given AS (SELECT kv.*, r.kind, TRY_CAST(s AS DOUBLE) AS n FROM kv LEFT JOIN rules r ON r.tool = kv.name AND r.key = kv.key),
+    checked AS (SELECT run_id, seq, name, key,
+      CASE WHEN kind IS NULL THEN 'unexpected_key'
+           WHEN kind IN ('date', 'question') AND json_type <> 'string' THEN 'invalid_type'
+           WHEN kind IN ('id', 'count') AND (json_type NOT IN ('integer', 'number') OR n <> floor(n)
+                                             OR abs(n) > 9007199254740991) THEN 'invalid_type'
+           WHEN kind = 'date' AND NOT regexp_full_match(s, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'invalid_value'
+           WHEN kind = 'question' AND length(s) NOT BETWEEN 1 AND 4000 THEN 'invalid_value'
+           WHEN kind = 'id' AND n < 1 THEN 'invalid_value'
+           WHEN kind = 'count' AND n NOT BETWEEN 1 AND 50 THEN 'invalid_value' END AS violation
+      FROM given)
+    SELECT * FROM missing UNION ALL SELECT * FROM checked WHERE violation IS NOT NULL"""
+
+
+@register("projected_arguments")
+def q_projected_arguments(m):
+    """Each call's whitelisted arguments as one JSON object."""
+    return trace.project_arguments(_trace(m))
+
+
+ORACLE["projected_arguments"] = _ARGS_CTE + """
+    SELECT run_id, seq, name, '{' || COALESCE(string_agg('"' || key || '":' || CAST(value AS VARCHAR), ',' ORDER BY key)
+             FILTER (key IN ('startDate', 'endDate', 'warehouseId', 'customerId', 'productId', 'vendorId', 'query', 'topK')
+               AND (json_type IN ('integer', 'null')
+                    OR json_type = 'string' AND length(s) <= CASE WHEN key = 'query' THEN 4000 ELSE 10 END)), '') || '}'
+           AS projected
+    FROM kv GROUP BY run_id, seq, name"""
 
 # ---- answers over conversations ----------------------------------------------
 
@@ -335,7 +348,7 @@ ORACLE["redact_credentials"] = f"""WITH t AS (SELECT conv_id, turn, text || {_SE
 @register("evidence_date_coverage")
 def q_evidence_date_coverage(m):
     """Month end parsed from the question text vs the latest requested end date."""
-    return trace.evidence_date_coverage(_trace(m))
+    return trace.evidence_date_coverage(trace.events_trace(m.t.events, numbered=False))
 
 
 ORACLE["evidence_date_coverage"] = _ARGS_CTE + f""",

@@ -1,11 +1,10 @@
-"""Chunker semantics (T11, T12, long lines) and the Spark wrapper."""
+"""Chunker semantics (T11, T12, long lines) on literal documents."""
 
 from __future__ import annotations
 
 import pytest
 
-from ordersight.operators.chunker import (chunk_documents, chunk_markdown, parse_sections, split_long_block,
-                                          validate_max_characters)
+from ordersight.operators.chunker import chunk_documents, load_policy_chunks, read_markdown_corpus, validate_max_characters
 
 MD = """Intro text before any heading.
 
@@ -28,45 +27,66 @@ beta text
 """
 
 
-def test_heading_paths_holes_and_last_h1_title():
-    title, sections = parse_sections("ops_guide.md", MD)
-    assert title == "Second Title"
-    names = [s for s, _ in sections]
-    assert names[0] == "Overview"                       # text before any heading
-    assert "Alpha >  > Deep" in names                   # H2 -> H4 leaves an empty slot
-    assert "Overview" in names[1:]                      # H1 opens an Overview section
-    assert "Beta" in names
-    chunks = chunk_markdown("ops_guide.md", MD)
-    assert {c["document_title"] for c in chunks} == {"Second Title"}
-    assert [c["chunk_id"] for c in chunks][:2] == ["ops_guide.md#0001", "ops_guide.md#0002"]
+@pytest.fixture
+def chunks(spark):
+    def run(documents: dict, limit: int = 1800):
+        df = spark.createDataFrame(list(documents.items()), "document string, markdown string")
+        return [r.asDict() for r in chunk_documents(df, max_characters=limit).orderBy("document", "chunk_seq").collect()]
+    return run
 
 
-def test_default_title_from_file_name():
-    title, _ = parse_sections("inventory_sop.MD", "text only")
-    assert title == "inventory sop"
+def test_heading_paths_holes_and_last_h1_title(chunks):
+    rows = chunks({"ops_guide.md": MD})
+    assert [r["section"] for r in rows] == ["Overview", "Overview", "Alpha", "Alpha >  > Deep", "Overview", "Beta"]
+    assert {r["document_title"] for r in rows} == {"Second Title"}     # the last H1 titles every chunk
+    assert [r["chunk_id"] for r in rows][:2] == ["ops_guide.md#0001", "ops_guide.md#0002"]
+    assert rows[3]["text"] == "deep text\n\n```" and rows[4]["text"] == "```"
 
 
-def test_long_line_cuts():
-    limit = 1800
-    no_space = "x" * 2000
-    assert [len(p) for p in split_long_block(no_space, limit)] == [1800, 200]
-    early_space = "a" * 900 + " " + "b" * 1099          # last space at 900 < 990 -> hard cut
-    assert len(split_long_block(early_space, limit)[0]) == 1800
-    late_space = "a" * 1200 + " " + "b" * 799           # last space at 1200 -> cut there
-    assert split_long_block(late_space, limit)[0] == "a" * 1200
+def test_sibling_and_parent_headings_reset_the_path(chunks):
+    md = "## A\na\n### B\nb\n##### C\nc\n### D\nd\n#### E\ne\n## F\nf\n#### G ##\ng"
+    assert [r["section"] for r in chunks({"x.md": md})] == [
+        "A", "A > B", "A > B >  > C", "A > D", "A > D > E", "F", "F >  > G"]
 
 
-def test_packing_respects_limit_and_keeps_text():
+def test_default_title_and_empty_documents(chunks):
+    rows = chunks({"inventory_sop.MD": "text only", "empty.md": "", "none.md": None, "heads.md": "# A\n## B\n"})
+    assert [(r["document"], r["document_title"], r["section"]) for r in rows] == [
+        ("inventory_sop.MD", "inventory sop", "Overview")]
+
+
+def test_long_line_cuts(chunks):
+    lengths = {
+        "no_space": "x" * 2000,
+        "early": "a" * 900 + " " + "b" * 1099,           # last space at 900 < 990: hard cut
+        "late": "a" * 1200 + " " + "b" * 799,            # last space at 1200: cut there
+        "at_limit": "a" * 1800 + " " + "b" * 10,         # a space right behind the limit counts
+    }
+    rows = chunks(lengths)
+    got = {d: [len(r["text"]) for r in rows if r["document"] == d] for d in lengths}
+    assert got == {"no_space": [1800, 200], "early": [1800, 200], "late": [1200, 799], "at_limit": [1800, 10]}
+
+
+def test_lines_of_a_long_block_join_the_rest_of_a_cut_line(chunks):
+    block = "\n".join(["s" * 50, "x" * 450, "t" * 60, "u" * 100])
+    assert [r["text"] for r in chunks({"d": block}, 200)] == [
+        "s" * 50, "x" * 200, "x" * 200, "x" * 50 + "\n" + "t" * 60, "u" * 100]
+
+
+def test_packing_respects_limit_and_keeps_text(chunks):
     paras = "\n\n".join(f"para {i} " + "w " * 150 for i in range(30))
-    chunks = chunk_markdown("d.md", "# T\n" + paras, 1000)
-    assert all(len(c["text"]) <= 1000 for c in chunks)
-    assert "".join(c["text"] for c in chunks).replace("\n", "").replace(" ", "") == paras.replace("\n", "").replace(" ", "")
+    rows = chunks({"d.md": "# T\n" + paras}, 1000)
+    assert all(len(r["text"]) <= 1000 for r in rows)
+    assert "".join(r["text"] for r in rows).replace("\n", "").replace(" ", "") == paras.replace("\n", "").replace(" ", "")
+
 
+def test_unicode_spaces_are_trimmed(chunks):
+    assert chunks({"d": "　 text \n \nnext﻿"})[0]["text"] == "text\n\nnext"
 
-def test_pad_never_truncates():
-    md = "# T\n" + "\n\n".join("block " * 40 for _ in range(60))
-    ids = [c["chunk_id"] for c in chunk_markdown("d.md", md, 200)]
-    assert ids[0] == "d.md#0001" and len(ids) > 9
+
+def test_plan_has_no_python(spark):
+    df = spark.createDataFrame([("a", "b")], "document string, markdown string")
+    assert "Pandas" not in chunk_documents(df)._jdf.queryExecution().toString()
 
 
 def test_max_characters_validation():
@@ -75,17 +95,19 @@ def test_max_characters_validation():
             validate_max_characters(bad)
 
 
-def test_spark_chunking_matches_python(spark):
-    df = spark.createDataFrame([("a.md", MD), ("b.md", "# B\nbody")], "document string, markdown string")
-    rows = chunk_documents(df).orderBy("document", "chunk_seq").collect()
-    expect = chunk_markdown("a.md", MD) + chunk_markdown("b.md", "# B\nbody")
-    assert [(r.chunk_id, r.section, r.text) for r in rows] == [(c["chunk_id"], c["section"], c["text"]) for c in expect]
-
-
 def test_markdown_corpus_reader(spark, tmp_path):
-    from ordersight.operators.chunker import read_markdown_corpus
     (tmp_path / "b_doc.md").write_text("# B\nbee")
     (tmp_path / "A_doc.MD").write_text("# A\nay")
     (tmp_path / "skip.txt").write_text("no")
     rows = read_markdown_corpus(spark, str(tmp_path)).collect()
-    assert [r.document for r in rows] == ["A_doc.MD", "b_doc.md"]
+    assert sorted(r.document for r in rows) == ["A_doc.MD", "b_doc.md"]
+    assert load_policy_chunks(spark, str(tmp_path)).count() == 2
+
+
+def test_corpus_without_files_or_text_is_an_error(spark, tmp_path):
+    (tmp_path / "skip.txt").write_text("no")
+    with pytest.raises(FileNotFoundError):
+        read_markdown_corpus(spark, str(tmp_path))
+    (tmp_path / "only.md").write_text("# Heading\n\n")
+    with pytest.raises(ValueError):
+        load_policy_chunks(spark, str(tmp_path))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,31 +10,52 @@ from ordersight.operators import answers, embed, search
 from ordersight.functions.text import redact_credentials
 
 
-def test_cosine_reference_semantics():
-    assert search.cosine([0, 0], [1, 2]) == 0.0
-    assert math.isclose(search.cosine([1, 0], [1, 1]), 1 / math.sqrt(2))
-    with pytest.raises(ValueError):
-        search.cosine([1, 2], [1, 2, 3])
-    with pytest.raises(ValueError):
-        search.cosine([1, float("nan")], [1, 2])
+def cosine(a, b):
+    size = np.linalg.norm(a) * np.linalg.norm(b)
+    return float(a @ b) / size if size else 0.0
 
 
-def test_batch_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("tile, blocks", [(1024, 1), (3, 1), (2, 3)])
+def test_batch_top_k_equals_brute_force(spark, monkeypatch, tile, blocks):
     rng = np.random.default_rng(7)
     idx = rng.normal(size=(300, 16))
-    qs = rng.normal(size=(4, 16))
+    qs = rng.normal(size=(11, 16))
     idx[5] = 0.0                                           # zero vector scores 0
-    index = spark.createDataFrame([(i, idx[i].tolist()) for i in range(300)], "id long, embedding array<double>")
-    queries = spark.createDataFrame([(100 + j, qs[j].tolist()) for j in range(4)], "query_id long, embedding array<double>")
-    got = search.cosine_top_k(index.repartition(7), queries, k=5, min_similarity=-0.1).collect()
-    for j in range(4):
-        sims = sorted(((round(search.cosine(qs[j], idx[i]) * 1e6), i) for i in range(300)
-                       if search.cosine(qs[j], idx[i]) >= -0.1), key=lambda t: (-t[0], t[1]))[:5]
+    idx[200:210] = idx[10]                                 # ties go to the lower id
+    qs[0] = idx[10]
+    monkeypatch.setattr(search, "TILE", tile)              # more queries than one tile
+    index = spark.createDataFrame([(i, idx[i].tolist(), f"t{i}") for i in range(300)],
+                                  "id long, embedding array<double>, text string")
+    queries = spark.createDataFrame([(100 + j, qs[j].tolist()) for j in range(11)], "query_id long, embedding array<double>")
+    got = search.cosine_top_k(index.repartition(7), queries, k=5, min_similarity=-0.1, cells=6,
+                              query_blocks=blocks).collect()
+    for j in range(11):
+        sims = sorted(((round(cosine(qs[j], idx[i]) * 1e6), i) for i in range(300)
+                       if cosine(qs[j], idx[i]) >= -0.1), key=lambda t: (-t[0], t[1]))[:5]
         mine = sorted((r for r in got if r.query_id == 100 + j), key=lambda r: r.rank)
-        assert [r.id for r in mine] == [i for _, i in sims]
+        assert [(r.id, r.text) for r in mine] == [(i, f"t{i}") for _, i in sims]
         assert [r.rank for r in mine] == [1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("row", [[1.0, 2.0, 3.0], [1.0, float("nan")], None])
+def test_unfit_vectors_are_errors(spark, row):
+    index = spark.createDataFrame([(1, row)], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    with pytest.raises(Exception, match="dimensions do not match|invalid embedding"):
+        search.cosine_top_k(index, queries, cells=1).collect()
+
+
+def test_search_runs_no_job_while_it_is_planned(spark):
+    tracker, group = spark.sparkContext.statusTracker(), "planning"
+    spark.sparkContext.setJobGroup(group, group)
+    index = spark.range(10).selectExpr("id", "array(cast(id as double), 1.0D) AS embedding")
+    df = search.cosine_top_k(index, index.withColumnRenamed("id", "query_id"), k=2)
+    assert not tracker.getJobIdsForGroup(group)
+    plan = df._jdf.queryExecution().toString()
+    spark.sparkContext._jsc.clearJobGroup()
+    assert "Broadcast" not in plan and "Cartesian" not in plan
+
+
 def test_search_argument_checks():
     for kw in ({"top_k": 0}, {"top_k": 51}, {"min_similarity": 1.5}, {"query": ""}, {"query": "x" * 4001}):
         with pytest.raises(ValueError):
@@ -52,6 +71,10 @@ def test_index_gate(spark, tmp_path):
     assert embed.read_vector_index(spark, path, "hashing-8").count() == 1
     with pytest.raises(ValueError):
         embed.read_vector_index(spark, path, "other-model")
+    null = idx.withColumn("schema_version", F.lit(None).cast("int"))
+    with pytest.raises(ValueError):
+        embed.read_vector_index(spark, embed.write_vector_index(idx.unionByName(null), str(tmp_path / "index"), "2"),
+                                "hashing-8")
 
 
 def test_embedder_count_check(spark):
