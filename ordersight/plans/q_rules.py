@@ -128,17 +128,13 @@ ORACLE["inventory_alert_tier"] = with_marts("m_inventory", "m_products") + f"""
     WHERE {between('i.inventory_date', CUR)} AND i.quantity_on_hand - i.quantity_allocated < p.safety_stock"""
 
 _CAL_SQL = with_marts("m_inventory", "m_products", "m_purchase_orders") + f""",
-    inv AS (SELECT * FROM m_inventory WHERE {between('inventory_date', CUR)}),
-    fst AS (SELECT warehouse_id, product_id, MIN(inventory_date) AS first_date FROM inv GROUP BY 1, 2),
+    fst AS (SELECT warehouse_id, product_id, greatest(MIN(inventory_date), {d(CUR[0])}) AS first_date
+            FROM m_inventory GROUP BY 1, 2 HAVING MIN(inventory_date) <= {_END}),
     days AS (SELECT warehouse_id, product_id,
                     CAST(unnest(generate_series(first_date, {_END}, INTERVAL 1 DAY)) AS DATE) AS calendar_date FROM fst),
-    j AS (SELECT d.*, i.quantity_on_hand, i.quantity_allocated FROM days d LEFT JOIN inv i
-          ON i.warehouse_id = d.warehouse_id AND i.product_id = d.product_id AND i.inventory_date = d.calendar_date),
-    filled AS (SELECT warehouse_id, product_id, calendar_date,
-                      last_value(quantity_on_hand IGNORE NULLS) OVER w AS quantity_on_hand,
-                      last_value(quantity_allocated IGNORE NULLS) OVER w AS quantity_allocated
-               FROM j WINDOW w AS (PARTITION BY warehouse_id, product_id ORDER BY calendar_date
-                                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    filled AS (SELECT d.*, i.quantity_on_hand, i.quantity_allocated FROM days d ASOF JOIN m_inventory i
+               ON i.warehouse_id = d.warehouse_id AND i.product_id = d.product_id
+                  AND i.inventory_date <= d.calendar_date),
     cal AS (SELECT f.warehouse_id, f.product_id, f.calendar_date, f.quantity_on_hand, f.quantity_allocated,
                    f.quantity_on_hand - f.quantity_allocated AS available, p.safety_stock
             FROM filled f JOIN m_products p ON p.product_id = f.product_id),
@@ -161,18 +157,91 @@ def q_synth_inventory_calendar(m):
 ORACLE["synth_inventory_calendar"] = _CAL_SQL + " SELECT * FROM cal"
 
 
+def _draw(salt: str, *keys: str) -> str:
+    text = " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"(('0x' || substr(md5({text} || ':{salt}'), 1, 8))::BIGINT % 1000000)"
+
+
+_SPANS = """,
+    ps AS (SELECT MIN(product_id) AS p_lo, MAX(product_id) AS p_hi FROM m_products),
+    ws AS (SELECT MIN(warehouse_id) AS w_lo, MAX(warehouse_id) AS w_hi FROM m_warehouses),
+    vs AS (SELECT MIN(vendor_id) AS v_lo, MAX(vendor_id) AS v_hi FROM m_vendors)"""
+_SYNTH = with_marts("m_orders", "m_products", "m_warehouses", "m_vendors") + _SPANS
+
+
 @register("synth_order_lines")
 def q_synth_order_lines(m):
-    """1-4 generated order lines per order, hash-derived (rows-only check)."""
+    """1-4 generated order lines per order over all products, hash-derived."""
     return synth.synth_order_lines(m)
 
 
+ORACLE["synth_order_lines"] = _SYNTH + f""",
+    x AS (SELECT order_id, unnest(range(1, {_draw('lines', 'order_id')} % 4 + 2)) AS n FROM m_orders),
+    q AS (SELECT *, CAST({_draw('qty', 'order_id', 'n')} % 20 + 1 AS INTEGER) AS qty FROM x)
+    SELECT order_id * 10 + n AS order_line_id, order_id,
+           p_lo + {_draw('product', 'order_id', 'n')} % (p_hi - p_lo + 1) AS product_id, qty AS quantity_ordered,
+           CASE WHEN {_draw('short', 'order_id', 'n')} < 80000 THEN CAST(qty * 3 // 5 AS INTEGER) ELSE qty END AS quantity_shipped,
+           {_draw('price', 'order_id', 'n')} % 50000 + 500 AS unit_price_cents
+    FROM q, ps"""
+
+
 @register("synth_orders")
 def q_synth_orders(m):
-    """Hash-generated orders (one per order key) over a quarter (rows-only check)."""
+    """Hash-generated orders (one per order key) over a quarter."""
     return synth.synth_orders(m)
 
 
+_SYNTH_ORDERS = _SYNTH + f""",
+    so AS (SELECT order_id, customer_id, w_lo + {_draw('wh', 'order_id')} % (w_hi - w_lo + 1) AS warehouse_id,
+             DATE '2026-07-01' + CAST({_draw('day', 'order_id')} % 92 AS INTEGER) AS od FROM m_orders, ws),
+    rq AS (SELECT *, od + CAST(1 + {_draw('ship', 'order_id')} % 2 AS INTEGER) AS rs,
+                     od + CAST(3 + {_draw('del', 'order_id')} % 4 AS INTEGER) AS rd,
+                     {_draw('open', 'order_id')} < 150000 AS fl FROM so),
+    ord AS (SELECT order_id, customer_id, warehouse_id, od AS order_date, rs AS requested_ship_date,
+             rs + CAST(CASE WHEN {_draw('sd', 'order_id')} < 800000 THEN 0 ELSE {_draw('sd2', 'order_id')} % 3 + 1 END AS INTEGER)
+               AS actual_ship_date, rd AS requested_delivery_date,
+             CASE WHEN NOT fl THEN rd + CAST(CASE WHEN {_draw('dd', 'order_id')} < 700000 THEN 0
+               ELSE {_draw('dd2', 'order_id')} % 4 + 1 END AS INTEGER) END AS actual_delivery_date,
+             CASE WHEN fl THEN 'partially_fulfilled' ELSE 'delivered' END AS order_status FROM rq)"""
+ORACLE["synth_orders"] = _SYNTH_ORDERS + " SELECT * FROM ord"
+
+
+@register("synth_shipments")
+def q_synth_shipments(m):
+    """One generated shipment per generated order."""
+    return synth.synth_shipments(m)
+
+
+ORACLE["synth_shipments"] = _SYNTH_ORDERS + f"""
+    SELECT order_id AS shipment_id, order_id,
+           CASE {_draw('carrier', 'order_id')} % 4 WHEN 0 THEN 'North Freight' WHEN 1 THEN 'Summit Parcel'
+                WHEN 2 THEN 'Harbor Lines' ELSE 'Prairie Transport' END AS carrier,
+           actual_ship_date AS ship_date, actual_delivery_date AS delivery_date,
+           {_draw('cost', 'order_id')} % 11000 + 1800 AS shipping_cost_cents,
+           CASE order_status WHEN 'delivered' THEN 'delivered' ELSE 'partially_delivered' END AS shipment_status
+    FROM ord"""
+
+
+@register("synth_purchase_orders")
+def q_synth_purchase_orders(m):
+    """Generated replenishments per product, with the late August receipts of critical products."""
+    return synth.synth_purchase_orders(m)
+
+
+ORACLE["synth_purchase_orders"] = _SYNTH + f""",
+    x AS (SELECT product_id, unnest(range(1, CASE WHEN product_id % 5 = 0 THEN 5 ELSE 4 END)) AS slot FROM m_products),
+    e AS (SELECT *, CASE WHEN slot = 4 THEN DATE '2026-08-05' + CAST(product_id % 4 AS INTEGER)
+                         ELSE DATE '2026-07-15' + CAST(product_id % 10 AS INTEGER) END AS expected,
+                 CAST({_draw('qty', 'product_id', 'slot')} % 161 + 150 AS INTEGER) AS qty FROM x)
+    SELECT product_id * 10 + slot AS po_id, v_lo + {_draw('vendor', 'product_id')} % (v_hi - v_lo + 1) AS vendor_id, product_id,
+           w_lo + {_draw('site', 'product_id', 'slot')} % (w_hi - w_lo + 1) AS warehouse_id, expected - 12 AS order_date,
+           expected AS expected_delivery_date,
+           CASE WHEN slot = 4 THEN DATE '2026-08-27' + CAST(product_id % 3 AS INTEGER)
+                ELSE expected + CAST({_draw('delay', 'product_id', 'slot')} % 3 AS INTEGER) END AS actual_delivery_date,
+           qty AS quantity_ordered, qty AS quantity_received
+    FROM e, vs, ws"""
+
+
 @register("shortage_runs")
 def q_shortage_runs(m):
     """> 3 consecutive business days below safety on available stock."""

@@ -1,71 +1,92 @@
 """Synthetic fact generation, derived from the given tables.
 
-The reference seeds its tables with a sequential random generator; here every
-synthetic value is a pure function of the row key (``xxhash64`` / modular
-arithmetic), so generation is embarrassingly parallel and reproducible on any
-partitioning.  Same distributions, not the same draws.
+Every synthetic value is a pure function of the row key (the first hex digits of
+an MD5), so generation is embarrassingly parallel, reproducible on any
+partitioning, and the same in any engine with MD5.  Same distributions as a
+sequential generator, not the same draws.  Keys come from the real marts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.operators.facts import as_date, in_range
 from ordersight.sources.marts import Marts
 
+CARRIERS = ("North Freight", "Summit Parcel", "Harbor Lines", "Prairie Transport")
+INCIDENT_MONTH = "2026-08-01"
+CRITICAL_EVERY = 5             # every fifth product is hit by the incident
+
 
 def inventory_calendar(m: Marts, start, end) -> DataFrame:
     """Dense daily inventory for every (warehouse, product) with a snapshot
-    in range: one row per calendar day from the pair's first snapshot in the
-    range to ``end``, stock carried forward from the latest snapshot
-    (``last(..., ignorenulls)`` over the pair's own days, at most the number
-    of days in the range).  Each pair expands with ``explode(sequence(...))``
-    -- linear in pairs x days, no cross join."""
-    inv = in_range(m, "inventory", "inventory_date", start, end)
-    first = inv.groupBy("warehouse_id", "product_id").agg(F.min("inventory_date").alias("first_date"))
-    days = first.select("warehouse_id", "product_id",
-                        F.explode(F.sequence(F.col("first_date"), F.lit(as_date(end)))).alias("calendar_date"))
-    snaps = inv.select("warehouse_id", "product_id", F.col("inventory_date").alias("calendar_date"),
-                       "quantity_on_hand", "quantity_allocated")
-    j = days.join(snaps, ["warehouse_id", "product_id", "calendar_date"], "left")
-    w = (Window.partitionBy("warehouse_id", "product_id").orderBy("calendar_date")
+    at or before ``end``: one row per calendar day from ``start`` (or the pair's
+    first snapshot, if later) to ``end``.  Stock is carried forward from the
+    latest snapshot; what a pair enters the range with is its latest snapshot at
+    or before ``start`` (a ``max_by`` aggregate, combined before the shuffle).
+    Each pair expands with ``explode(sequence(...))`` -- linear in pairs x days,
+    no cross join -- and its window holds at most the days of the range."""
+    stock = F.struct("quantity_on_hand", "quantity_allocated")
+    pair = ["warehouse_id", "product_id"]
+    carried = (in_range(m, "inventory", "inventory_date", "1900-01-01", start).groupBy(*pair)
+               .agg(F.max_by(stock, "inventory_date").alias("stock"))
+               .select(*pair, F.lit(as_date(start)).alias("calendar_date"), "stock.*"))
+    later = in_range(m, "inventory", "inventory_date", start, end).filter(
+        F.col("inventory_date") > F.lit(as_date(start)))
+    snaps = carried.unionByName(later.select(*pair, F.col("inventory_date").alias("calendar_date"),
+                                             "quantity_on_hand", "quantity_allocated"))
+    days = snaps.groupBy(*pair).agg(F.min("calendar_date").alias("first_date")).select(
+        *pair, F.explode(F.sequence(F.col("first_date"), F.lit(as_date(end)))).alias("calendar_date"))
+    j = days.join(snaps, [*pair, "calendar_date"], "left")
+    w = (Window.partitionBy(*pair).orderBy("calendar_date")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = j.select("warehouse_id", "product_id", "calendar_date",
+    filled = j.select(*pair, "calendar_date",
                       F.last("quantity_on_hand", ignorenulls=True).over(w).alias("quantity_on_hand"),
                       F.last("quantity_allocated", ignorenulls=True).over(w).alias("quantity_allocated"))
     ss = m.products.select("product_id", "safety_stock")
     return filled.join(ss, "product_id").select(
-        "warehouse_id", "product_id", "calendar_date", "quantity_on_hand", "quantity_allocated",
+        *pair, "calendar_date", "quantity_on_hand", "quantity_allocated",
         (F.col("quantity_on_hand") - F.col("quantity_allocated")).alias("available"), "safety_stock")
 
 
-def synth_order_lines(m: Marts, n_products: int | None = None) -> DataFrame:
-    """Generate 1-4 order lines per order of the orders mart, with product,
+def draw(salt: str, *keys: str) -> Column:
+    """0 .. 999,999 from the MD5 of the keys and a salt."""
+    text = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(salt))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 1_000_000
+
+
+def _with_span(df: DataFrame, mart: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with the lowest and highest ``key`` of a mart whose keys are a dense range (one row, joined)."""
+    span = mart.agg(F.min(key).alias(f"{name}_lo"), F.max(key).alias(f"{name}_hi")).withColumn("_one", F.lit(1))
+    return df.withColumn("_one", F.lit(1)).join(span, "_one").drop("_one")
+
+
+def _pick(name: str, h: Column) -> Column:
+    return F.col(f"{name}_lo") + h % (F.col(f"{name}_hi") - F.col(f"{name}_lo") + 1)
+
+
+def synth_order_lines(m: Marts) -> DataFrame:
+    """1-4 order lines per order of the orders mart, over all products of the products mart, with
     quantities and a short-shipment rate drawn from hashes of (order, line)."""
-    o = m.orders.select("order_id")
-    n_lines = (F.pmod(F.xxhash64("order_id", F.lit("lines")), F.lit(4)) + 1).cast("int")
-    x = o.select("order_id", F.explode(F.sequence(F.lit(1), n_lines)).alias("line_number"))
-    h = lambda salt: F.pmod(F.xxhash64("order_id", "line_number", F.lit(salt)), F.lit(1_000_000))
-    np_ = n_products or 50
+    o = _with_span(m.orders.select("order_id"), m.products, "product_id", "p")
+    x = o.select("*", F.explode(F.sequence(F.lit(1), (draw("lines", "order_id") % 4 + 1).cast("int"))).alias("line_number"))
+    h = lambda salt: draw(salt, "order_id", "line_number")
     qty = (h("qty") % 20 + 1).cast("int")
     short = h("short") < 80_000                                # about 8 % of lines ship short
     return x.select(
         (F.col("order_id") * 10 + F.col("line_number")).alias("order_line_id"), "order_id",
-        (h("product") % np_ + 1).cast("bigint").alias("product_id"),
-        qty.alias("quantity_ordered"),
-        F.when(short, F.floor(qty * 0.6).cast("int")).otherwise(qty).alias("quantity_shipped"),
-        (h("price") % 50_000 + 500).cast("bigint").alias("unit_price_cents"))
-
-
-def synth_orders(m: Marts, start: str = "2026-07-01", days: int = 92, warehouses: int = 3) -> DataFrame:
-    """Generate one synthetic order per order key of the orders mart: order
-    date within a quarter, warehouse, and requested / actual ship and delivery
-    dates with hash-drawn delays (about 15 % of orders missing a delivery
-    date when still in flight).  Pure functions of the key -> reproducible on
-    any partitioning."""
-    o = m.orders.select("order_id", "customer_id")
-    h = lambda salt: F.pmod(F.xxhash64("order_id", F.lit(salt)), F.lit(1_000_000))
+        _pick("p", h("product")).alias("product_id"), qty.alias("quantity_ordered"),
+        F.when(short, F.floor(qty * 3 / 5).cast("int")).otherwise(qty).alias("quantity_shipped"),
+        (h("price") % 50_000 + 500).alias("unit_price_cents"))
+
+
+def synth_orders(m: Marts, start: str = "2026-07-01", days: int = 92) -> DataFrame:
+    """One synthetic order per order key of the orders mart: order date within a quarter, any warehouse of the
+    mart, and requested / actual ship and delivery dates with hash-drawn delays (about 15 % of orders missing
+    a delivery date when still in flight)."""
+    o = _with_span(m.orders.select("order_id", "customer_id"), m.warehouses, "warehouse_id", "w")
+    h = lambda salt: draw(salt, "order_id")
     od = F.date_add(F.lit(as_date(start)), (h("day") % days).cast("int"))
     req_ship = F.date_add(od, 1 + (h("ship") % 2).cast("int"))
     req_del = F.date_add(od, 3 + (h("del") % 4).cast("int"))
@@ -73,8 +94,44 @@ def synth_orders(m: Marts, start: str = "2026-07-01", days: int = 92, warehouses
     del_delay = F.when(h("dd") < 700_000, F.lit(0)).otherwise((h("dd2") % 4 + 1).cast("int"))
     in_flight = h("open") < 150_000
     return o.select(
-        "order_id", "customer_id", ((h("wh") % warehouses) + 1).cast("bigint").alias("warehouse_id"),
+        "order_id", "customer_id", _pick("w", h("wh")).alias("warehouse_id"),
         od.alias("order_date"), req_ship.alias("requested_ship_date"),
         F.date_add(req_ship, ship_delay).alias("actual_ship_date"), req_del.alias("requested_delivery_date"),
         F.when(in_flight, F.lit(None).cast("date")).otherwise(F.date_add(req_del, del_delay)).alias("actual_delivery_date"),
         F.when(in_flight, F.lit("partially_fulfilled")).otherwise(F.lit("delivered")).alias("order_status"))
+
+
+def synth_shipments(m: Marts) -> DataFrame:
+    """One shipment per synthetic order: carrier and cost drawn, dates and status those of the order."""
+    o = synth_orders(m)
+    carriers = F.array(*map(F.lit, CARRIERS))
+    return o.select(
+        F.col("order_id").alias("shipment_id"), "order_id",
+        F.get(carriers, (draw("carrier", "order_id") % len(CARRIERS)).cast("int")).alias("carrier"),
+        F.col("actual_ship_date").alias("ship_date"), F.col("actual_delivery_date").alias("delivery_date"),
+        (draw("cost", "order_id") % 11_000 + 1_800).alias("shipping_cost_cents"),
+        F.when(F.col("order_status") == "delivered", "delivered").otherwise("partially_delivered").alias("shipment_status"))
+
+
+def synth_purchase_orders(m: Marts) -> DataFrame:
+    """Per product of the mart three regular replenishments in July (0-2 days late) and, for every fifth
+    product, one in early August that arrives weeks late: the incident."""
+    p = _with_span(_with_span(m.products.select("product_id"), m.vendors, "vendor_id", "v"),
+                   m.warehouses, "warehouse_id", "w")
+    critical = F.col("product_id") % CRITICAL_EVERY == 0
+    p = p.select("*", F.explode(F.when(critical, F.array(*map(F.lit, (1, 2, 3, 4)))).otherwise(
+        F.array(*map(F.lit, (1, 2, 3))))).alias("slot"))
+    h = lambda salt: draw(salt, "product_id", "slot")
+    late = F.col("slot") == 4
+    august = F.lit(as_date(INCIDENT_MONTH))
+    expected = F.when(late, F.date_add(august, 4 + (F.col("product_id") % 4).cast("int"))).otherwise(
+        F.date_add(F.lit(as_date("2026-07-15")), (F.col("product_id") % 10).cast("int")))
+    actual = F.when(late, F.date_add(august, 26 + (F.col("product_id") % 3).cast("int"))).otherwise(
+        F.date_add(expected, (h("delay") % 3).cast("int")))
+    qty = (h("qty") % 161 + 150).cast("int")
+    return p.select(
+        (F.col("product_id") * 10 + F.col("slot")).alias("po_id"),
+        _pick("v", draw("vendor", "product_id")).alias("vendor_id"), "product_id",
+        _pick("w", h("site")).alias("warehouse_id"), F.date_add(expected, -12).alias("order_date"),
+        expected.alias("expected_delivery_date"), actual.alias("actual_delivery_date"),
+        qty.alias("quantity_ordered"), qty.alias("quantity_received"))
