@@ -63,11 +63,6 @@ def hour_bucket(ts_col: str) -> Column:
     return F.floor(epoch_micros(ts_col) / F.lit(3_600_000_000)).cast("bigint")
 
 
-def block_bucket(seq_col: str, width: int = 1024) -> Column:
-    """``seq div width``: monotone in an integer sequence."""
-    return F.floor(F.col(seq_col) / F.lit(width)).cast("bigint")
-
-
 def previous_values(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
                     bucket: Column, prefix: str = "previous_") -> DataFrame:
     """Skew-safe ``lag(col)`` per key in ``order`` for each of ``cols``.

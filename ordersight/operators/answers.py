@@ -2,9 +2,10 @@
 action titles and policy-basis sentences, plus credential redaction.
 
 Every operator here works on one answer at a time and is written with
-higher-order array functions (``aggregate``, ``filter``, ``transform``) over
-the answer's own lines or sentences, so it is row-local: no shuffle, and the
-work per task is bounded by the size of one text.
+higher-order array functions over the answer's own lines or sentences, so it is
+row-local: no shuffle, and the work is linear in the lines of a text (folds run
+over its headings, or keep five items at most).  Each step is a column of its
+own, so none is evaluated twice.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ def heading_text(line: Column) -> Column:
 def section_bucket(heading: Column) -> Column:
     """Keyword bucket of a heading, tested in order; NULL when unknown."""
     n = F.lower(heading)
+    # Fixed keywords of the answer contract.
     return (F.when(n.contains("executive") | n.contains("investigation"), F.lit("executive"))
             .when(n.contains("observed") | n.contains("operational fact"), F.lit("observed"))
             .when(n.contains("interpret"), F.lit("interpretation"))
@@ -52,43 +54,58 @@ def answer_sections(df: DataFrame, text_col: str = "answer") -> DataFrame:
     """Split an answer into the six section buckets.  Headings switch
     the current bucket (unknown headings keep it) and are dropped; body lines
     go to the current bucket (initially executive), so an answer without
-    headings is entirely executive."""
-    lines = F.split(F.col(text_col), "\n", -1)
-    init = F.struct(F.lit("executive").alias("cur"),
-                    F.array().cast("array<struct<b:string,l:string>>").alias("out"))
-
-    def step(acc, line):
-        h = heading_text(line)
-        return F.when(h.isNotNull(), F.struct(F.coalesce(section_bucket(h), acc["cur"]).alias("cur"),
-                                              acc["out"].alias("out"))) \
-            .otherwise(F.struct(acc["cur"].alias("cur"),
-                                F.array_append(acc["out"], F.struct(acc["cur"].alias("b"), line.alias("l"))).alias("out")))
-
-    tagged = F.aggregate(lines, init, step)["out"]
-    def body_of(sec: str) -> Column:
-        return js_trim(F.array_join(F.transform(F.filter(tagged, lambda x: x["b"] == F.lit(sec)), lambda x: x["l"]), "\n"))
+    headings is entirely executive.
 
-    cols = [body_of(s).alias(s) for s in SECTIONS]
+    The headings' line numbers cut the lines into segments; a fold over the
+    headings gives each segment its bucket, and a section is its segments'
+    slices of the lines."""
     keep = [c for c in df.columns if c != text_col]
-    return df.select(*keep, *cols)
+    df = df.withColumn("_lines", F.split(F.col(text_col), "\n", -1))
+    heads = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("i"), heading_text(x).alias("h"))),
+                     lambda x: x["h"].isNotNull())
+    df = df.withColumn("_heads", F.transform(heads, lambda x: F.struct(x["i"].alias("i"), section_bucket(x["h"]).alias("b"))))
+    init = F.struct(F.lit("executive").alias("cur"), F.lit(0).alias("at"),
+                    F.array().cast("array<struct<b:string,s:int,n:int>>").alias("out"))
+
+    def segment(acc, end):
+        return F.array_append(acc["out"], F.struct(acc["cur"].alias("b"), acc["at"].alias("s"), (end - acc["at"]).alias("n")))
+
+    df = df.withColumn("_state", F.aggregate("_heads", init, lambda acc, x: F.struct(
+        F.coalesce(x["b"], acc["cur"]).alias("cur"), (x["i"] + 1).alias("at"), segment(acc, x["i"]).alias("out"))))
+    df = df.withColumn("_segments", segment(F.col("_state"), F.size("_lines")))
+
+    def body_of(sec: str) -> Column:
+        own = F.filter("_segments", lambda g: (g["b"] == F.lit(sec)) & (g["n"] > 0))
+        return js_trim(F.array_join(F.flatten(F.transform(own, lambda g: F.slice("_lines", g["s"] + 1, g["n"]))), "\n"))
 
+    return df.select(*keep, *[body_of(s).alias(s) for s in SECTIONS])
 
-def evidence_gaps(df: DataFrame, text_col: str = "gap_source") -> DataFrame:
-    """Gap sentences -- bullets and bold stripped, split into sentences,
-    kept if they match the gap pattern, de-duplicated case-insensitively
-    (ignoring a leading "1." / "2)"), first five; one row per gap."""
-    t = F.regexp_replace(F.regexp_replace(F.col(text_col), r"(?m)^\s*[-*+]\s+", ""), r"\*\*", "")
+
+def gap_list(text: Column) -> Column:
+    """Gap sentences of a text -- bullets and bold stripped, split into sentences, kept if they match the
+    gap pattern, de-duplicated case-insensitively (ignoring a leading "1." / "2)"), the first five."""
+    t = F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*[-*+]\s+", ""), r"\*\*", "")
     sents = F.transform(F.split(t, SENTENCE_SPLIT, -1), lambda s: js_trim(s))
     items = F.transform(sents, lambda s: F.struct(
         s.alias("sentence"), js_trim(F.regexp_replace(s, r"^\d+[.)]\s*", "")).alias("norm")))
     cand = F.filter(items, lambda x: (x["norm"] != "") & x["norm"].rlike(GAP_PATTERN))
     init = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("out"))
-    dedup = F.aggregate(cand, init, lambda acc, x: F.when(
-        F.array_contains(acc["keys"], F.lower(x["norm"])), acc).otherwise(
+    return F.aggregate(cand, init, lambda acc, x: F.when(
+        (F.size(acc["keys"]) >= MAX_GAPS) | F.array_contains(acc["keys"], F.lower(x["norm"])), acc).otherwise(
         F.struct(F.array_append(acc["keys"], F.lower(x["norm"])).alias("keys"),
                  F.array_append(acc["out"], x["sentence"]).alias("out"))))["out"]
-    keep = [c for c in df.columns if c != text_col]
-    return df.select(*keep, F.posexplode(F.slice(dedup, 1, MAX_GAPS)).alias("pos", "gap")) \
+
+
+def evidence_gaps(df: DataFrame, text_col: str = "gap_source", coverage_col: str | None = None) -> DataFrame:
+    """One row per evidence gap: the gap sentences and then, if ``coverage_col`` is given and not NULL, the
+    date-coverage gap; distinct, the first five."""
+    keep = [c for c in df.columns if c not in (text_col, coverage_col)]
+    df = df.withColumn("_gaps", gap_list(F.col(text_col)))
+    gaps = F.col("_gaps")
+    if coverage_col:
+        last = F.when(F.col(coverage_col).isNotNull(), F.array(coverage_col)).otherwise(F.array().cast("array<string>"))
+        gaps = F.array_distinct(F.concat(gaps, last))
+    return df.select(*keep, F.posexplode(F.slice(gaps, 1, MAX_GAPS)).alias("pos", "gap")) \
         .select(*keep, (F.col("pos") + 1).cast("int").alias("gap_rank"), "gap")
 
 

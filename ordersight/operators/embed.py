@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ordersight.functions.text import pad_number
+
 Embedder = Callable[[list[str]], np.ndarray]
 
 # Fixed values of the index contract.
@@ -63,6 +65,11 @@ def embedding_input_text(title: Column, section: Column, text: Column) -> Column
     return F.concat(F.lit("Document: "), title, F.lit("\nSection: "), section, F.lit("\n\n"), text)
 
 
+def chunk_order(chunks: DataFrame) -> Column:
+    """Text key that sorts chunks by document and number: the order of an index, and so of its ties."""
+    return F.concat("document", F.lit("#"), pad_number(F.col("chunk_seq"), 9))
+
+
 def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
                  embedder: Embedder | None = None, batch_size: int = EMBEDDING_BATCH_SIZE) -> DataFrame:
     """Append an ``array<double>`` embedding of ``text_col``."""

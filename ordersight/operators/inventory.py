@@ -26,17 +26,18 @@ def below_safety_days(m: Marts, start, end, warehouse_id: int | None = None,
 
 def inventory_below_safety(m: Marts, start, end, warehouse_id: int | None = None,
                            product_id: int | None = None) -> DataFrame:
-    """A3: per (product, warehouse) days below safety stock and lowest on hand."""
+    """A3: per (product, warehouse) days below safety stock and lowest on hand, most days first (T-2)."""
     b = below_safety_days(m, start, end, warehouse_id, product_id)
     g = b.groupBy("product_id", "warehouse_id", "safety_stock").agg(
         F.count(F.lit(1)).alias("days_below_safety_stock"),
         F.min("quantity_on_hand").alias("lowest_quantity_on_hand"))
     p = m.products.select("product_id", "sku", "product_name", "category")
-    w = F.broadcast(m.warehouses.select("warehouse_id", "warehouse_name"))  # 25-row dimension
+    w = m.warehouses.select("warehouse_id", "warehouse_name")
     return g.join(p, "product_id").join(w, "warehouse_id").select(
         "product_id", "sku", "product_name", "category", "warehouse_id", "warehouse_name",
         "days_below_safety_stock", "lowest_quantity_on_hand",
-        F.col("safety_stock").alias("safety_stock_target"))
+        F.col("safety_stock").alias("safety_stock_target")) \
+        .orderBy(F.col("days_below_safety_stock").desc(), "product_id", "warehouse_id")
 
 
 def inventory_health(m: Marts, start, end, warehouse_id: int | None = None,
@@ -70,6 +71,6 @@ def warehouse_below_safety_span(m: Marts, start, end) -> DataFrame:
         F.count_distinct("product_id").alias("products_below_safety"),
         F.count(F.lit(1)).alias("below_safety_product_days"),
         F.min("inventory_date").alias("first_date"), F.max("inventory_date").alias("last_date"))
-    w = F.broadcast(m.warehouses.select("warehouse_id", "warehouse_name"))
+    w = m.warehouses.select("warehouse_id", "warehouse_name")
     return g.join(w, "warehouse_id").select("warehouse_id", "warehouse_name", "products_below_safety",
                                             "below_safety_product_days", "first_date", "last_date")

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,6 +166,18 @@ def search_policies(index: DataFrame, query: str, embedder, top_k: int = 3, min_
         .drop("query_id")
 
 
+# Fixed display titles by a word in the document's name, tested in order.
+DOCUMENT_TITLES = (("shipping", "Shipping SLA"), ("inventory", "Inventory SOP"), ("vendor", "Vendor Escalation Procedure"))
+
+
+def document_title(document: Column) -> Column:
+    """display title of a document; other names pass through."""
+    out = document
+    for word, title in reversed(DOCUMENT_TITLES):
+        out = F.when(document.contains(word), F.lit(title)).otherwise(out)
+    return out
+
+
 # ---- shaping of search hits --------------------------------------------------
 
 def policy_sources(hits: DataFrame, run_col: str = "query_id", seq_col: str = "rank",

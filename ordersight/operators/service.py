@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.functions.metrics import cents_to_amount, pct, pct_tenths
+from ordersight.functions.shape import result_json
 from ordersight.operators.facts import as_date, filtered_orders, order_facts
 from ordersight.sources.marts import Marts
 
@@ -45,24 +46,25 @@ def _warehouse_counts(f: DataFrame) -> DataFrame:
 def warehouse_performance(m: Marts, start, end) -> DataFrame:
     """A2: every warehouse (idle ones with zeros), strict OTIF %.
 
-    Facts are aggregated per warehouse first; the warehouse dimension is
-    derived from the 25-row nation table, so broadcasting it is bounded.
+    Facts are aggregated per warehouse first; whether the warehouse dimension
+    is broadcast is left to Spark, which knows its size.  Ordered by id (T-1).
     """
     counts = _warehouse_counts(order_facts(m, start, end))
-    w = F.broadcast(m.warehouses.select("warehouse_id", "warehouse_name"))
+    w = m.warehouses.select("warehouse_id", "warehouse_name")
     j = w.join(counts, "warehouse_id", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
     return j.select("warehouse_id", "warehouse_name",
                     z("total_orders").alias("total_orders"),
                     pct(z("otif_orders"), z("total_orders")).alias("otif_percentage"),
                     z("late_order_count").alias("late_order_count"),
-                    z("partial_shipment_count").alias("partial_shipment_count"))
+                    z("partial_shipment_count").alias("partial_shipment_count")).orderBy("warehouse_id")
 
 
 def customer_impact(m: Marts, start, end, warehouse_id: int | None = None) -> DataFrame:
     """Per customer with orders in range (inner join), lenient OTIF.
 
     Revenue of an affected order is its whole value (all lines), in cents.
+    Ordered by revenue, then id (T-4).
     """
     f = order_facts(m, start, end, warehouse_id)
     per_cust = f.groupBy("customer_id").agg(
@@ -76,7 +78,8 @@ def customer_impact(m: Marts, start, end, warehouse_id: int | None = None) -> Da
         "customer_id", "customer_name", "customer_segment", "region", "total_orders",
         pct(F.col("otif_orders"), F.col("total_orders")).alias("otif_percentage"),
         "late_orders", "partial_orders",
-        cents_to_amount(F.coalesce(F.col("affected_cents"), F.lit(0).cast("bigint"))).alias("estimated_affected_revenue"))
+        cents_to_amount(F.coalesce(F.col("affected_cents"), F.lit(0).cast("bigint"))).alias("estimated_affected_revenue")) \
+        .orderBy(F.col("estimated_affected_revenue").desc(), "customer_id")
 
 
 def monthly_otif(m: Marts) -> DataFrame:
@@ -92,7 +95,7 @@ def warehouse_monthly_otif(m: Marts) -> DataFrame:
     f = order_facts(m)
     g = f.groupBy("warehouse_id", F.date_format("order_date", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("orders"), F.count_if("otif_lenient").alias("otif_orders"))
-    w = F.broadcast(m.warehouses.select("warehouse_id", "warehouse_name"))
+    w = m.warehouses.select("warehouse_id", "warehouse_name")
     return g.join(w, "warehouse_id").select(
         "warehouse_id", "warehouse_name", "month", "orders",
         pct(F.col("otif_orders"), F.col("orders")).alias("otif_percentage"))
@@ -103,20 +106,21 @@ def orders_in_range(m: Marts, start, end) -> DataFrame:
     return filtered_orders(m, start, end)
 
 
-def _short_line_orders(m: Marts) -> DataFrame:
-    return m.order_lines.filter(F.col("quantity_shipped") < F.col("quantity_ordered")).select("order_id")
+def _short_line_orders(m: Marts, start, end) -> DataFrame:
+    lines = m.order_lines_in(start, end) if hasattr(m, "order_lines_in") else m.order_lines
+    return lines.filter(F.col("quantity_shipped") < F.col("quantity_ordered")).select("order_id")
 
 
 def orders_with_short_lines(m: Marts, start, end) -> DataFrame:
     """EXISTS a short line, as a left-semi join."""
     o = filtered_orders(m, start, end).select("order_id", "customer_id", "warehouse_id", "order_date")
-    return o.join(_short_line_orders(m), "order_id", "left_semi")
+    return o.join(_short_line_orders(m, start, end), "order_id", "left_semi")
 
 
 def orders_without_short_lines(m: Marts, start, end) -> DataFrame:
     """NOT EXISTS a short line (zero-line orders included), left-anti join."""
     o = filtered_orders(m, start, end).select("order_id", "customer_id", "warehouse_id", "order_date")
-    return o.join(_short_line_orders(m), "order_id", "left_anti")
+    return o.join(_short_line_orders(m, start, end), "order_id", "left_anti")
 
 
 def _period_comparison(m: Marts, prev: tuple, cur: tuple) -> DataFrame:
@@ -124,9 +128,9 @@ def _period_comparison(m: Marts, prev: tuple, cur: tuple) -> DataFrame:
     union range (conditional aggregation instead of two queries + self-join)."""
     lo = min(as_date(prev[0]), as_date(cur[0]))
     hi = max(as_date(prev[1]), as_date(cur[1]))
-    f = order_facts(m, lo, hi)
     in_prev = F.col("order_date").between(F.lit(as_date(prev[0])), F.lit(as_date(prev[1])))
     in_cur = F.col("order_date").between(F.lit(as_date(cur[0])), F.lit(as_date(cur[1])))
+    f = order_facts(m, lo, hi).filter(in_prev | in_cur)      # reaches the orders scan
     g = f.groupBy("warehouse_id").agg(
         F.count_if(in_prev).alias("previous_orders"), F.count_if(in_cur).alias("current_orders"),
         F.count_if(in_prev & F.col("otif")).alias("previous_otif_orders"),
@@ -135,7 +139,7 @@ def _period_comparison(m: Marts, prev: tuple, cur: tuple) -> DataFrame:
         F.count_if(in_cur & F.col("late")).alias("current_late_orders"),
         F.count_if(in_prev & F.col("has_short")).alias("previous_partial_shipments"),
         F.count_if(in_cur & F.col("has_short")).alias("current_partial_shipments"))
-    w = F.broadcast(m.warehouses.select("warehouse_id", "warehouse_name"))
+    w = m.warehouses.select("warehouse_id", "warehouse_name")
     j = w.join(g, "warehouse_id", "left")
     cols = [c for c in g.columns if c != "warehouse_id"]
     j = j.select("warehouse_id", "warehouse_name",
@@ -193,14 +197,45 @@ def top_affected_customers(m: Marts, start, end, k: int = 5) -> DataFrame:
 
 
 def otif_metrics_json(m: Marts, start, end) -> DataFrame:
-    """Structured result sink, ``{"result": {...}}`` as one JSON string."""
-    a = otif_metrics(m, start, end)
-    return a.select(F.to_json(F.struct(F.struct(*a.columns).alias("result"))).alias("json"))
+    """Structured result sink, ``{"result": {...}}`` as one JSON string (public names, nulls kept)."""
+    return result_json(otif_metrics(m, start, end))
+
+
+COMPARISON = ("warehouse_id", "warehouse_name", "previous_otif", "current_otif", "change_points", "previous_orders",
+              "current_orders", "previous_late_orders", "current_late_orders", "previous_partial_shipments",
+              "current_partial_shipments")
+
+
+def overview_json(m: Marts, prev: tuple, cur: tuple) -> DataFrame:
+    """C1 whole: the overview with ``warehouseComparison[]`` and ``largestWarehouseDecline`` as one JSON string,
+    from one facts scan.  The list has one entry per site."""
+    comp = _period_comparison(m, prev, cur)
+    site = F.struct(*COMPARISON)
+    tot = comp.agg(
+        F.sum("previous_orders").alias("pn"), F.sum("previous_otif_orders").alias("po"),
+        F.sum("current_orders").alias("cn"), F.sum("current_otif_orders").alias("co"),
+        F.sum("current_late_orders").alias("late_orders"),
+        F.sum("current_partial_shipments").alias("partial_shipments"),
+        F.array_sort(F.collect_list(site)).alias("warehouse_comparison"),
+        F.min_by(site, F.struct("change_points", "warehouse_id")).alias("largest_warehouse_decline"))
+    pt, ct = pct_tenths(F.col("po"), F.col("pn")), pct_tenths(F.col("co"), F.col("cn"))
+    return result_json(tot.select((ct.cast("double") / 10.0).alias("current_otif"),
+                                  ((ct - pt).cast("double") / 10.0).alias("month_over_month_change"),
+                                  "late_orders", "partial_shipments", "warehouse_comparison",
+                                  "largest_warehouse_decline"))
+
+
+NO_VALUE = "—"
 
 
 def percent_display(c):
-    """``12.3%`` (one decimal)."""
-    return F.format_string("%.1f%%", c)
+    """``12.3%`` (one decimal); a dash for no value."""
+    return F.when(c.isNull(), F.lit(NO_VALUE)).otherwise(F.format_string("%.1f%%", c))
+
+
+def date_range_display(start):
+    """a range by the month that it starts in (``August``); empty without one."""
+    return F.coalesce(F.date_format(start, "MMMM"), F.lit(""))
 
 
 def signed_points_display(c):
@@ -209,14 +244,15 @@ def signed_points_display(c):
 
 
 def count_display(c):
-    """thousands separators (``1,234``)."""
-    return F.format_number(c, 0)
+    """thousands separators (``1,234``); a dash for no value."""
+    return F.coalesce(F.format_number(c, 0), F.lit(NO_VALUE))
 
 
 def warehouse_comparison_display(m: Marts, prev: tuple, cur: tuple) -> DataFrame:
     """F13 over J7: the per-warehouse comparison formatted for display."""
     c = warehouse_period_comparison(m, prev, cur)
     return c.select("warehouse_id", "warehouse_name",
+                    date_range_display(F.lit(as_date(cur[0]))).alias("period_display"),
                     percent_display(F.col("previous_otif")).alias("previous_otif_display"),
                     percent_display(F.col("current_otif")).alias("current_otif_display"),
                     signed_points_display(F.col("change_points")).alias("change_display"),

@@ -65,3 +65,23 @@ def tool_summaries(m: Marts, start, end) -> DataFrame:
     cust = _row("get_customer_impact", ci, F.format_string(SUMMARY_TEMPLATES["get_customer_impact"],
                                                            F.col("n"), F.col("affected")))
     return reduce(DataFrame.unionByName, [otif, wh, inv, ven, cust])
+
+
+def policy_summaries(hits: DataFrame) -> DataFrame:
+    """C5 for searches: passages in rank order (at most top-k per query)."""
+    refs = F.transform(F.array_sort(F.collect_list(F.struct("rank", "document", "section"))), lambda h: F.concat(
+        F.coalesce(h["document"], F.lit("unknown")), F.lit(" — "), F.coalesce(h["section"], F.lit("unknown"))))
+    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), refs.alias("refs")).select(
+        "query_id", F.concat(F.col("n").cast("string"), F.lit(" policy passages; "), F.array_join("refs", "; "),
+                             F.lit(".")).alias("summary"))
+
+
+def fallback_summary(kind: str, n: int = 0, fields: list[str] | None = None) -> str:
+    """The sentence for a result of no known tool: a list of n records, an object with fields, or neither."""
+    if kind == "records":
+        return f"{n} records returned."
+    if kind == "object":
+        return f"Structured result with fields: {', '.join((fields or [])[:8])}."
+    if kind == "passages" and not n:
+        return "0 policy passages; none returned."
+    return "Tool returned a structured result."

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import calendar
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.functions.metrics import avg_signed_round1, avg_tenths_nonneg, pct
 from ordersight.functions.windows import sequence_number
-from ordersight.operators.facts import po_facts
+from ordersight.operators.facts import in_range, po_facts
 from ordersight.sources.marts import Marts
 
 
 def vendor_performance(m: Marts, start, end, vendor_id: int | None = None) -> DataFrame:
     """A5: every vendor (idle ones with zeros): POs expected in range,
-    on-time, late (as of ``end``), on-time %, average days late (over late POs)."""
+    on-time, late (as of ``end``), on-time %, average days late (over late POs); by id (T-1)."""
     po = po_facts(m, start, end, vendor_id)
     g = po.groupBy("vendor_id").agg(
         F.count(F.lit(1)).alias("purchase_orders"),
@@ -30,7 +33,8 @@ def vendor_performance(m: Marts, start, end, vendor_id: int | None = None) -> Da
                     z("on_time_deliveries").alias("on_time_deliveries"),
                     z("late_deliveries").alias("late_deliveries"),
                     pct(z("on_time_deliveries"), z("purchase_orders")).alias("on_time_percentage"),
-                    avg_tenths_nonneg(F.col("late_days"), z("late_deliveries")).alias("average_days_late"))
+                    avg_tenths_nonneg(F.col("late_days"), z("late_deliveries")).alias("average_days_late")) \
+        .orderBy("vendor_id")
 
 
 def vendor_late_products(m: Marts, start, end, vendor_id: int | None = None) -> DataFrame:
@@ -42,15 +46,16 @@ def vendor_late_products(m: Marts, start, end, vendor_id: int | None = None) ->
 
 
 def late_purchase_orders(m: Marts, start, end, vendor_id: int | None = None) -> DataFrame:
-    """Flat late-PO detail with vendor, warehouse and product attributes."""
+    """Flat late-PO detail with vendor, warehouse and product attributes, latest delivery first (T-3)."""
     late = po_facts(m, start, end, vendor_id).filter("late")
     v = m.vendors.select("vendor_id", "vendor_name")
-    w = F.broadcast(m.warehouses.select("warehouse_id", "warehouse_name"))  # 25 rows
+    w = m.warehouses.select("warehouse_id", "warehouse_name")
     p = m.products.select("product_id", "sku", "product_name")
     return (late.join(v, "vendor_id").join(w, "warehouse_id").join(p, "product_id")
             .select(F.col("po_id").alias("purchase_order_id"), "vendor_id", "vendor_name", "warehouse_id",
                     "warehouse_name", "product_id", "sku", "product_name", "expected_delivery_date",
-                    "actual_delivery_date", "days_late", "quantity_ordered", "quantity_received"))
+                    "actual_delivery_date", "days_late", "quantity_ordered", "quantity_received")
+            .orderBy(F.col("actual_delivery_date").desc_nulls_last(), "purchase_order_id"))
 
 
 def evidence_vendor_pos(m: Marts, start, end, n: int = 20) -> DataFrame:
@@ -67,8 +72,10 @@ def evidence_vendor_pos(m: Marts, start, end, n: int = 20) -> DataFrame:
 
 
 SCORECARD_PAGE_SIZE = 100
-# ids per rank bucket: bounds one (vendor, bucket) window group
+# Ids per rank bucket.  A purchase order's id steps by _PO_STEP from one order to the next, so a block of orders
+# is _PO_STEP times as wide.
 _RANK_ID_BLOCK = 4096
+_PO_STEP = 1_000_000_000
 
 
 def _paged(df: DataFrame, order: list[str], bucket, page_size: int, fields: list[str], name: str) -> DataFrame:
@@ -90,8 +97,9 @@ def vendor_scorecard_nested(m: Marts, start, end, vendor_id: int | None = None,
     group in one row / task, so the children are nested in pages: one row per
     (vendor, page), page p holding ranks ``p*page_size+1 .. (p+1)*page_size``
     of both lists.  Nothing is dropped: the pages of a vendor together hold
-    every child, in order (``position`` is the 1-based rank).  Idle vendors
-    keep one page 0 with empty lists.  Ranks come from the bucketed
+    every child, in order (``position`` is the 1-based rank).  The counts stand
+    on page 0 only (NULL on later pages), so sums over the result are right.
+    Idle vendors keep one page 0 with empty lists.  Ranks come from the bucketed
     ``sequence_number`` (no single-task window per vendor); every page group
     holds at most ``page_size`` rows."""
     perf = vendor_performance(m, start, end, vendor_id)
@@ -105,7 +113,8 @@ def vendor_scorecard_nested(m: Marts, start, end, vendor_id: int | None = None,
         "*", actual.isNull().alias("_open"),
         (-F.datediff(actual, F.lit("1970-01-01").cast("date"))).alias("_neg_day"))
     po_pages = _paged(pos, ["_open", "_neg_day", "purchase_order_id"],
-                      F.struct("_open", "_neg_day", F.floor(F.col("purchase_order_id") / _RANK_ID_BLOCK)),
+                      F.struct("_open", "_neg_day",
+                               F.floor(F.col("purchase_order_id") / (_RANK_ID_BLOCK * _PO_STEP))),
                       page_size,
                       ["purchase_order_id", "warehouse_id", "warehouse_name", "product_id", "sku", "product_name",
                        "expected_delivery_date", "actual_delivery_date", "days_late", "quantity_ordered",
@@ -119,7 +128,8 @@ def vendor_scorecard_nested(m: Marts, start, end, vendor_id: int | None = None,
     # side, and AQE can split either side of an inner join but only the
     # preserved side of an outer one.  Idle vendors come from an anti join
     # against the vendors that have pages (a partial+final distinct).
-    paged = perf.join(pages, "vendor_id").select(*perf.columns, F.coalesce(F.col("page"), F.lit(0)).alias("page"),
+    once = [F.when(F.col("page") == 0, F.col(c)).alias(c) for c in perf.columns[2:]]
+    paged = perf.join(pages, "vendor_id").select(*perf.columns[:2], *once, "page",
                                                  or_empty("products_affected"), or_empty("late_purchase_orders"))
     idle = perf.join(pages.select("vendor_id").distinct(), "vendor_id", "left_anti").select(
         *perf.columns, F.lit(0).alias("page"),
@@ -138,11 +148,9 @@ def vendor_month_variance(m: Marts, month: str) -> DataFrame:
     and the signed average (actual - expected), early deliveries included,
     open POs skipped; SQL ROUND (half away from zero) to 0.1."""
     y, mo = (int(x) for x in month.split("-"))
-    import calendar
-    import datetime as dt
     start = dt.date(y, mo, 1)
     end = dt.date(y, mo, calendar.monthrange(y, mo)[1])
-    po = m.purchase_orders.filter(F.col("expected_delivery_date").between(F.lit(start), F.lit(end)))
+    po = in_range(m, "purchase_orders", "expected_delivery_date", start, end)
     diff = F.datediff("actual_delivery_date", "expected_delivery_date")
     g = po.groupBy("vendor_id").agg(
         F.count(F.lit(1)).alias("purchase_orders"),
@@ -151,4 +159,5 @@ def vendor_month_variance(m: Marts, month: str) -> DataFrame:
     v = m.vendors.select("vendor_id", "vendor_name")
     return g.join(v, "vendor_id").select(
         "vendor_id", "vendor_name", "purchase_orders", "late_orders",
-        avg_signed_round1(F.col("s"), F.col("n")).alias("average_days_vs_expected"))
+        avg_signed_round1(F.col("s"), F.col("n")).alias("average_days_vs_expected")) \
+        .orderBy(F.col("late_orders").desc(), F.col("average_days_vs_expected").desc(), "vendor_id")

@@ -16,10 +16,9 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ordersight.operators import inventory, service, vendors
+from ordersight.functions.shape import camel_case, public_shape  # noqa: F401
+from ordersight.operators import embed, inventory, search, service, vendors
 from ordersight.sources.marts import Marts
 
 _DATE_RE = re.compile(r"^\d{4}-\d{2}-\d{2}$")
@@ -71,6 +70,14 @@ def _customers(m, s, e, a):
     return service.customer_impact(m, s, e, a.get("warehouseId"))
 
 
+def search_company_policies(index: DataFrame, embedder, query, top_k=3) -> DataFrame:
+    """The sixth tool: the passages nearest to a question in an index of embedded chunks, text included."""
+    if not isinstance(query, str):
+        raise TypeError("query must be a string")
+    at = index.withColumn("_at", embed.chunk_order(index))
+    return search.search_policies(at, query.strip(), embedder, top_k=top_k, id_col="_at").drop("_at")
+
+
 # name -> (optional id arguments, builder)
 TOOLS: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
     "get_otif_metrics": (("warehouseId", "customerId"), _otif),
@@ -81,44 +88,47 @@ TOOLS: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
 }
 
 
-def run_tool(m: Marts, name: str, public: bool = False, **args) -> DataFrame:
-    """Validate arguments strictly (no unknown keys) and build the query;
-    ``public=True`` returns the camelCase public shape (P13)."""
-    if name not in TOOLS:
-        raise KeyError(f"Unknown business tool: {name}")
+def _checked(name: str, args: dict):
     ids, build = TOOLS[name]
     extra = set(args) - {"startDate", "endDate", *ids}
     if extra:
         raise TypeError("Unexpected tool argument")
     s, e = validate_date_range(args.get("startDate"), args.get("endDate"))
-    clean = {k: validate_optional_id(args.get(k), k) for k in ids}
-    out = build(m, s, e, clean)
+    return build, s, e, {k: validate_optional_id(args.get(k), k) for k in ids}
+
+
+def run_tool(m: Marts, name: str, public: bool = False, **args) -> DataFrame:
+    """Validate arguments strictly (no unknown keys) and build the query;
+    ``public=True`` returns the camelCase public shape (P13).
+
+    ``search_company_policies`` takes the index to search and the embedder that
+    made it as ``index`` and ``embedder``, besides query and topK."""
+    if name == "search_company_policies":
+        if set(args) - {"index", "embedder", "query", "topK"}:
+            raise TypeError("Unexpected tool argument")
+        out = search_company_policies(args["index"], args["embedder"], args.get("query"), args.get("topK", 3))
+    elif name in TOOLS:
+        build, s, e, clean = _checked(name, args)
+        out = build(m, s, e, clean)
+    else:
+        raise KeyError(f"Unknown business tool: {name}")
     return public_shape(out) if public else out
 
 
-def camel_case(name: str) -> str:
-    """snake_case -> camelCase (``on_time_percentage`` -> ``onTimePercentage``)."""
-    head, *rest = name.split("_")
-    return head + "".join(w[:1].upper() + w[1:] for w in rest)
-
-
-def _camel_type(t: T.DataType) -> T.DataType:
-    if isinstance(t, T.StructType):
-        return T.StructType([T.StructField(camel_case(f.name), _camel_type(f.dataType), f.nullable) for f in t.fields])
-    if isinstance(t, T.ArrayType):
-        return T.ArrayType(_camel_type(t.elementType), t.containsNull)
-    if isinstance(t, T.MapType):
-        return T.MapType(t.keyType, _camel_type(t.valueType), t.valueContainsNull)
-    return t
-
-
-def public_shape(df: DataFrame) -> DataFrame:
-    """Rename columns -- and fields of nested structs, e.g. scorecard
-    pages -- to the camelCase public names.  A projection only: struct casts
-    rename fields by position, so no data moves and nothing is shuffled."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
-        t = _camel_type(f.dataType)
-        cols.append((c.cast(t) if t != f.dataType else c).alias(camel_case(f.name)))
-    return df.select(*cols)
+def run_tool_parts(m: Marts, name: str, **args) -> dict[str, DataFrame]:
+    """C6 whole results: every list of a tool's result as a DataFrame of its own, in the result's order, under
+    its public name (a list has no bound, so none is folded into one row)."""
+    if name not in ("get_inventory_health", "get_vendor_performance", "get_customer_impact"):
+        return {"result": run_tool(m, name, public=True, **args)}
+    build, s, e, clean = _checked(name, args)
+    if name == "get_inventory_health":
+        ids = clean["warehouseId"], clean["productId"]
+        parts = {"result": inventory.inventory_health(m, s, e, *ids),
+                 "affectedProducts": inventory.inventory_below_safety(m, s, e, *ids)}
+    elif name == "get_vendor_performance":
+        parts = {"vendors": vendors.vendor_performance(m, s, e, clean["vendorId"]),
+                 "productsAffected": vendors.vendor_late_products(m, s, e, clean["vendorId"]),
+                 "latePurchaseOrders": vendors.late_purchase_orders(m, s, e, clean["vendorId"])}
+    else:
+        parts = {"customers": build(m, s, e, clean)}
+    return {k: public_shape(v) for k, v in parts.items()}

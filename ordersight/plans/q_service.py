@@ -9,6 +9,7 @@ from ordersight.plans import params as P
 from ordersight.plans.mart_sql import with_marts
 from ordersight.plans.registry import register
 from ordersight.plans.sqlfrag import between, cnt, d, pct_sql, tenths_sql, with_facts
+from ordersight.sources.store import stored
 
 CUR, PREV = P.CURRENT, P.PREVIOUS
 ORACLE: dict[str, str] = {}
@@ -32,6 +33,11 @@ def q_mart_order_lines(m):
 ORACLE["mart_order_lines"] = with_marts("m_order_lines") + " SELECT * FROM m_order_lines"
 
 
+for _dim in ("customers", "products", "warehouses", "vendors", "shipments"):
+    register(f"mart_{_dim}")(lambda m, _name=_dim: m.mart(_name))
+    ORACLE[f"mart_{_dim}"] = with_marts(f"m_{_dim}") + f" SELECT * FROM m_{_dim}"
+
+
 @register("otif_metrics")
 def q_otif_metrics(m):
     """A1 (flagship): OTIF metrics for the current month."""
@@ -81,21 +87,17 @@ ORACLE["otif_metrics_customer"] = _otif_sql(("1990-01-01", "2005-12-31"), cust=P
 
 @register("otif_metrics_json")
 def q_otif_metrics_json(m):
-    """OTIF result wrapped as {"result": ...} JSON (null fields omitted)."""
+    """OTIF result wrapped as {"result": ...} JSON (public names, nulls kept)."""
     return service.otif_metrics_json(m, *CUR)
 
 
-def _json_sql() -> str:
-    num = ["total_orders", "on_time_orders", "in_full_orders", "otif_orders"]
-    pcts = ["on_time_percentage", "in_full_percentage", "otif_percentage"]
-    fields = ([f"'\"start_date\":\"' || strftime(start_date, '%Y-%m-%d') || '\"'",
-               f"'\"end_date\":\"' || strftime(end_date, '%Y-%m-%d') || '\"'"]
-              + [f"'\"{c}\":' || CAST({c} AS VARCHAR)" for c in num + pcts])
-    return ("SELECT '{\"result\":{' || " + " || ',' || ".join(fields) + " || '}}' AS json FROM ("
-            + _otif_sql(CUR) + ") a")
-
-
-ORACLE["otif_metrics_json"] = _json_sql()
+ORACLE["otif_metrics_json"] = f"""
+    SELECT CAST(to_json({{'result': {{'startDate': strftime(start_date, '%Y-%m-%d'), 'endDate': strftime(end_date, '%Y-%m-%d'),
+             'warehouseId': warehouse_id, 'customerId': customer_id, 'totalOrders': total_orders,
+             'onTimeOrders': on_time_orders, 'inFullOrders': in_full_orders, 'otifOrders': otif_orders,
+             'onTimePercentage': on_time_percentage, 'inFullPercentage': in_full_percentage,
+             'otifPercentage': otif_percentage}}}}) AS VARCHAR) AS json
+    FROM ({_otif_sql(CUR)}) a"""
 
 
 @register("order_service_facts")
@@ -290,6 +292,30 @@ ORACLE["overview"] = _comparison_sql() + f""",
     FROM tot, dec"""
 
 
+@register("overview_json")
+def q_overview_json(m):
+    """C1 whole: overview with the per-warehouse comparison and the largest decline, as one JSON result."""
+    return service.overview_json(m, PREV, CUR)
+
+
+_SITE = """{'warehouseId': warehouse_id, 'warehouseName': warehouse_name, 'previousOtif': previous_otif,
+             'currentOtif': current_otif, 'changePoints': change_points, 'previousOrders': previous_orders,
+             'currentOrders': current_orders, 'previousLateOrders': previous_late_orders,
+             'currentLateOrders': current_late_orders, 'previousPartialShipments': previous_partial_shipments,
+             'currentPartialShipments': current_partial_shipments}"""
+ORACLE["overview_json"] = _comparison_sql() + f""",
+    tot AS (SELECT SUM(previous_orders) AS pn, SUM(previous_otif_orders) AS po, SUM(current_orders) AS cn,
+                   SUM(current_otif_orders) AS co, CAST(SUM(current_late_orders) AS BIGINT) AS late,
+                   CAST(SUM(current_partial_shipments) AS BIGINT) AS part,
+                   list({_SITE} ORDER BY warehouse_id) AS sites FROM comp),
+    dec AS (SELECT {_SITE} AS d FROM comp ORDER BY change_points, warehouse_id LIMIT 1)
+    SELECT CAST(to_json({{'result': {{'currentOtif': CAST({tenths_sql('co', 'cn')} AS DOUBLE) / 10.0,
+             'monthOverMonthChange': CAST({tenths_sql('co', 'cn')} - {tenths_sql('po', 'pn')} AS DOUBLE) / 10.0,
+             'lateOrders': late, 'partialShipments': part, 'warehouseComparison': sites,
+             'largestWarehouseDecline': d}}}}) AS VARCHAR) AS json
+    FROM tot, dec"""
+
+
 # ---- one-line tool summaries (C5 / A17) ---------------------------------------
 
 def _num(x: str) -> str:
@@ -345,8 +371,29 @@ def q_warehouse_comparison_display(m):
 
 
 ORACLE["warehouse_comparison_display"] = _comparison_sql() + """
-    SELECT warehouse_id, warehouse_name, printf('%.1f%%', previous_otif) AS previous_otif_display,
+    SELECT warehouse_id, warehouse_name, 'August' AS period_display, printf('%.1f%%', previous_otif) AS previous_otif_display,
            printf('%.1f%%', current_otif) AS current_otif_display,
            CASE WHEN change_points > 0 THEN '+' ELSE '' END || printf('%.1f', change_points) || ' pts' AS change_display,
            format('{:,}', current_orders) AS current_orders_display
     FROM comp"""
+
+
+# ---- over the month-partitioned store ------------------------------------------
+
+
+@register("otif_metrics_stored")
+def q_otif_metrics_stored(m):
+    """A1 over the persisted layout: one month's partitions of orders and lines."""
+    return service.otif_metrics(stored(m), *CUR)
+
+
+ORACLE["otif_metrics_stored"] = _otif_sql(CUR)
+
+
+@register("warehouse_performance_stored")
+def q_warehouse_performance_stored(m):
+    """A2 over the persisted layout."""
+    return service.warehouse_performance(stored(m), *CUR)
+
+
+ORACLE["warehouse_performance_stored"] = ORACLE["warehouse_performance"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ordersight.functions.text import pad_number
-from ordersight.operators import chunker, embed, search
+from ordersight.operators import chunker, embed, search, summaries
 from ordersight.plans import params as P
 from ordersight.plans.registry import register
 
@@ -235,7 +235,8 @@ def q_policy_search(m):
     """X8 end to end: benchmark texts as queries against embedded document chunks; ties by
     document, then chunk."""
     emb = embed.HashingEmbedder(P.EMBED_DIM)
-    chunks = doc_chunks(m).withColumn("_at", F.concat("document", F.lit("#"), pad_number(F.col("chunk_seq"), 9)))
+    chunks = doc_chunks(m)
+    chunks = chunks.withColumn("_at", embed.chunk_order(chunks))
     idx = embed.embed_column(chunks.withColumn("_in", _input(chunks)), "_in", "embedding", emb).drop("_in")
     qs = embed.embed_column(m.t.benchmark.select(F.col("item_id").alias("query_id"), "text"), "text", "embedding", emb)
     return search.cosine_top_k(idx, qs, k=P.TOP_K, id_col="_at").drop("_at")
@@ -255,3 +256,30 @@ ORACLE["policy_search"] = _INDEX_SQL + _embedded("q", "benchmark", "item_id", "t
           FROM s JOIN chunks c USING (chunk_id))
     SELECT query_id, CAST(rk AS INTEGER) AS rank, document, document_title, section, chunk_id, chunk_seq, text, similarity
     FROM r WHERE rk <= {P.TOP_K}"""
+
+
+@register("policy_search_summaries")
+def q_policy_search_summaries(m):
+    """One sentence per search: how many passages, and from which documents and sections."""
+    return summaries.policy_summaries(q_policy_search(m))
+
+
+ORACLE["policy_search_summaries"] = f"""
+    SELECT query_id, CAST(COUNT(*) AS VARCHAR) || ' policy passages; '
+           || string_agg(document || ' — ' || section, '; ' ORDER BY rank) || '.' AS summary
+    FROM ({ORACLE['policy_search']}) h GROUP BY query_id"""
+
+
+@register("document_titles")
+def q_document_titles(m):
+    """display title of a policy document by its file name."""
+    name = F.concat(F.element_at(F.array(*map(F.lit, ("shipping_sla_", "inventory_sop_", "vendor_escalation_", "other_"))),
+                                 (F.col("doc_id") % 4 + 1).cast("int")), F.col("doc_id").cast("string"), F.lit(".md"))
+    return m.t.documents.select("doc_id", name.alias("document"), search.document_title(name).alias("title"))
+
+
+ORACLE["document_titles"] = """
+    SELECT doc_id, d AS document, CASE doc_id % 4 WHEN 0 THEN 'Shipping SLA' WHEN 1 THEN 'Inventory SOP'
+             WHEN 2 THEN 'Vendor Escalation Procedure' ELSE d END AS title
+    FROM (SELECT doc_id, ['shipping_sla_', 'inventory_sop_', 'vendor_escalation_', 'other_'][doc_id % 4 + 1]
+                         || CAST(doc_id AS VARCHAR) || '.md' AS d FROM documents)"""

@@ -170,9 +170,11 @@ ORACLE["projected_arguments"] = _ARGS_CTE + """
 
 # ---- answers over conversations ----------------------------------------------
 
-# The answer template: literal parts and column references, shared by the
-# Spark side and the oracle so both build identical answer texts.
-_ANSWER_PARTS = [
+# Answer templates: literal parts and column references, shared by the Spark
+# side and the oracle so both build identical answer texts.  One in four answers
+# is the raw text; the templates differ in heading forms, order, unknown and
+# repeated headings, lists and sentence ends.
+_T1 = [
     "## Executive summary\n", ("col", "text"),
     "\n\n### Observed operational facts\n- Orders late in turn ", ("col", "turn"), ".\n",
     "## Appendix notes\nThe data does not prove a cause. The cause remains unknown. no direct link was found. "
@@ -183,20 +185,39 @@ _ANSWER_PARTS = [
     "## Limitations\nThe evidence does not establish causation. 1) Carrier delays remain unverified. "
     "2) carrier delays remain unverified.",
 ]
+_T2 = [
+    "Opening words before any heading.\n# Investigation ", ("col", "conv_id"), " #\n", ("col", "text"),
+    "\n**Policy basis**\nAbove 5 days late a review is required.\n\n## Recommendations\n\nCall the carrier; then wait.\n\n"
+    "Move stock to site ", ("col", "turn"), "\n   \nOTIF must recover!\n## Policy again ##\nSecond policy part\n"
+    "### Interpretation\nDemand rose. Lack of scan data. Not enough evidence? Nothing else. Unknown carrier. A lack of labels. "
+    "Cannot confirm the route. Cannot verify the dock. Would need to be verified\n",
+]
+_T3 = [
+    "**Observed**\n* first ", ("col", "turn"), "\n* second\n#### Too deep for a heading\n##NoSpace\n**Not bold** tail\n",
+    "# Management actions\n+ **Ship early:** within 2 business days. Nothing more\n+ plain item without a clause end\n+ : odd start\n"
+    "# Evidence gaps\n- ", ("col", "text"), "\n- Without detailed counts. WITHOUT DETAILED COUNTS. **No direct** proof! 3. No direct proof!",
+]
+_TEMPLATES = {1: _T1, 2: _T2, 3: _T3}
 
 
 def _answer_col():
-    parts = [F.col(p[1]).cast("string") if isinstance(p, tuple) else F.lit(p) for p in _ANSWER_PARTS]
-    return F.when(F.col("conv_id") % 3 == 0, F.col("text")).otherwise(F.concat(*parts))
+    def build(parts):
+        return F.concat(*[F.col(p[1]).cast("string") if isinstance(p, tuple) else F.lit(p) for p in parts])
+
+    pick = (F.col("conv_id") + F.col("turn")) % 4
+    out = F.when(pick == 0, F.col("text"))
+    for k, parts in _TEMPLATES.items():
+        out = out.when(pick == k, build(parts))
+    return out
 
 
 def _sql_lit(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-_ANSWER_SQL = ("CASE WHEN conv_id % 3 = 0 THEN text ELSE "
-               + " || ".join(f"CAST({p[1]} AS VARCHAR)" if isinstance(p, tuple) else _sql_lit(p) for p in _ANSWER_PARTS)
-               + " END")
+_ANSWER_SQL = ("CASE (conv_id + turn) % 4 WHEN 0 THEN text " + " ".join(
+    f"WHEN {k} THEN " + " || ".join(f"CAST({p[1]} AS VARCHAR)" if isinstance(p, tuple) else _sql_lit(p) for p in parts)
+    for k, parts in _TEMPLATES.items()) + " END")
 
 
 def _answers(m):
@@ -269,6 +290,17 @@ ORACLE["evidence_gaps"] = _SECTIONS_CTE + f""",
     SELECT conv_id, turn, CAST(gap_rank AS INTEGER) AS gap_rank, sentence AS gap FROM rk WHERE gap_rank <= {answers.MAX_GAPS}"""
 
 
+@register("run_evidence_gaps")
+def q_run_evidence_gaps(m):
+    """X16 whole: an answer's gap sentences, then its run's date-coverage gap, distinct, first five."""
+    s = _sections(m)
+    src = F.when(F.col("limitations") != "", F.col("limitations")).otherwise(F.col("answer"))
+    cover = trace.evidence_date_coverage(trace.events_trace(m.t.events, numbered=False))
+    both = s.select("conv_id", "turn", src.alias("gap_source")).join(
+        cover.select(F.col("run_id").alias("conv_id"), "coverage_gap"), "conv_id", "left")
+    return answers.evidence_gaps(both, "gap_source", "coverage_gap")
+
+
 @register("list_items")
 def q_list_items(m):
     """Recommended-action content split into list items (bullets, else paragraphs)."""
@@ -287,19 +319,6 @@ def _trim(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
-def _list_items_sql() -> str:
-    return _SECTIONS_CTE + f""",
-    li AS (SELECT conv_id, turn, actions,
-             list_filter(list_transform(string_split(regexp_replace(actions, '(?m)^(\\s*(?:[-*+]\\s|\\d+[.)]\\s))',
-               chr(1) || '\\1', 'g'), chr(1)), lambda x: {_trim('x')}), lambda x: x <> '') AS items,
-             list_filter(list_transform(regexp_split_to_array(actions, '\\n\\s*\\n'), lambda x: {_trim('x')}),
-                         lambda x: x <> '') AS paras
-           FROM sec),
-    ch AS (SELECT conv_id, turn, CASE WHEN len(items) > 1 THEN items WHEN len(paras) > 1 THEN paras
-                  ELSE list_filter([{_trim('actions')}], lambda x: x <> '') END AS arr FROM li),
-    it AS (SELECT conv_id, turn, unnest(arr) AS item, unnest(range(1, len(arr) + 1)) AS item_no FROM ch)"""
-
-
 ORACLE["action_policy_basis"] = _SECTIONS_CTE + f""",
     li AS (SELECT conv_id, turn, actions,
              list_filter(list_transform(string_split(regexp_replace(actions, '(?m)^(\\s*(?:[-*+]\\s|\\d+[.)]\\s))',
@@ -367,6 +386,18 @@ ORACLE["evidence_date_coverage"] = _ARGS_CTE + f""",
     FROM j"""
 
 
+_GAPS = ORACLE["evidence_gaps"]
+_COVER = ORACLE["evidence_date_coverage"]
+ORACLE["run_evidence_gaps"] = f"""
+    WITH g AS (SELECT conv_id, turn, gap_rank AS pos, gap FROM ({_GAPS}) x),
+    c AS (SELECT a.conv_id, a.turn, 99 AS pos, coverage_gap AS gap
+          FROM (SELECT conv_id, turn FROM conversations WHERE role = 'assistant') a JOIN ({_COVER}) y ON y.run_id = a.conv_id
+          WHERE coverage_gap IS NOT NULL),
+    u AS (SELECT conv_id, turn, gap, MIN(pos) AS pos FROM (SELECT * FROM g UNION ALL SELECT * FROM c) z GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) AS rk FROM u)
+    SELECT conv_id, turn, CAST(rk AS INTEGER) AS gap_rank, gap FROM r WHERE rk <= 5"""
+
+
 def _list_items_sql() -> str:
     # the item split is the first part of the action-basis statement (up to the items CTE)
     full = ORACLE["action_policy_basis"]

@@ -1,31 +1,11 @@
-"""SparkSession construction and lineage-cut helpers."""
+"""SparkSession construction and the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-# Sizing for a large cluster (e.g. 1000 executors over ~100 TB of Parquet).
-# Applied only for keys the cluster config has not set.
-CLUSTER_PROFILE = {
-    "spark.sql.files.maxPartitionBytes": "512m",              # ~200k scan tasks per 100 TB
-    "spark.sql.shuffle.partitions": "8000",                   # upper bound; AQE coalesces
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
-    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",   # bounded Arrow batches for long texts
-}
-
-
-def apply_cluster_profile(spark: SparkSession) -> None:
-    """Fill in the large-cluster sizing for every key the cluster left unset."""
-    conf = spark.sparkContext.getConf()
-    for k, v in CLUSTER_PROFILE.items():
-        if not conf.contains(k):
-            spark.conf.set(k, v)
+from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, app: str = "ordersight",
@@ -63,8 +43,6 @@ def build_session(master: str | None = None, app: str = "ordersight",
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    if spark.sparkContext.master.startswith("local") or spark.sparkContext.getConf().contains("spark.checkpoint.dir"):
-        checkpoint_dir(spark)
     return spark
 
 
@@ -83,9 +61,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="ordersight-ckpt-", dir=os.environ.get("ORDERSIGHT_SCRATCH", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -20,12 +20,14 @@ filter that the month range implies.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordersight.operators.facts import as_date
+from ordersight.session import checkpoint_dir
 from ordersight.sources.marts import Marts
 
 _MONTH = "yyyy-MM"
@@ -57,6 +59,17 @@ def write_store(m: Marts, path: str, mode: str = "errorifexists") -> str:
     return base
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def stored(m: Marts) -> StoredMarts:
+    """The store of a table folder, written once per session under the shared checkpoint folder."""
+    key = (m.spark.sparkContext.applicationId, m.root)
+    if key not in _STORES:
+        _STORES[key] = write_store(m, f"{checkpoint_dir(m.spark).rstrip('/')}/marts-{uuid.uuid4().hex}")
+    return StoredMarts(m.spark, _STORES[key])
+
+
 def _months(start, end) -> list[str]:
     s, e = as_date(start), as_date(end)
     out, y, mo = [], s.year, s.month

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ordersight.functions.windows import block_bucket, prefix_sums, sequence_number
+from ordersight.functions.windows import prefix_sums, sequence_number
 from ordersight.plans import catalog
 
 
@@ -21,7 +21,7 @@ def test_sequence_number_matches_row_number_on_a_hot_key(spark):
 
 def test_prefix_sums_running_total(spark):
     df = spark.range(1, 3001).select(F.lit(1).alias("k"), F.col("id").alias("seq"), (F.col("id") % 3).alias("v"))
-    out = prefix_sums(df, ["k"], ["seq"], {"run": F.col("v")}, block_bucket("seq", 128))
+    out = prefix_sums(df, ["k"], ["seq"], {"run": F.col("v")}, F.floor(F.col("seq") / 128))
     ref = df.withColumn("run", F.sum("v").over(Window.partitionBy("k").orderBy("seq")))
     assert sorted(out.select("seq", "run").collect()) == sorted(ref.select("seq", "run").collect())
 
