@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ordersight.llm import ann, fingerprints, langid, mixing, packing, secret_scan, simhash_dedup, suffix_dedup, toxicity, warc
+from ordersight.llm import (ann, fingerprints, langid, mixing, packing, secret_scan, simhash_dedup, suffix_dedup,
+                            toxicity, warc)
 
 QUERIES = {
     "op10_fingerprints": fingerprints.op10_fingerprints,
@@ -18,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_secret_scan": secret_scan.ORACLE,
     "op6_warc": warc.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }

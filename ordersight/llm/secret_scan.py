@@ -162,3 +162,35 @@ def masked(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
 def stage(spark, docs, sf_dir):
     """Pipeline stage: every document stays; credentials that aren't widely copied examples are masked."""
     return masked(docs, scan(docs))
+
+
+def _oracle() -> str:
+    kinds = [("assign", r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+             ("access", "AKIA[A-Z0-9]+", 0, 20), ("hex", "[0-9a-f]{24,}", 0, 24)]
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, source, {n} AS k, '{name}' AS kind, {least} AS least, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i,"
+        f" unnest(regexp_extract_all(t, '{p}')) AS hit, unnest(regexp_extract_all(t, '{p}', {group})) AS v,"
+        f" unnest(regexp_split_to_array(t, '{p}')[1:len(regexp_extract_all(t, '{p}'))]) AS gap FROM d"
+        f" WHERE regexp_matches(t, '{p}')" for n, (name, p, group, least) in enumerate(kinds))
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS ({found}),
+c AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM m),
+s AS (SELECT doc_id, source, k, kind, v, CAST(e - length(hit) AS BIGINT) AS b, CAST(e AS BIGINT) AS e FROM c WHERE length(v) >= least),
+own AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM s GROUP BY v),
+j AS (SELECT s.*, owners >= {EXAMPLE_OWNERS} AS example,
+             owners = 1 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AS live FROM s JOIN own USING (v)),
+a AS (SELECT doc_id, k, kind, b, e FROM j UNION ALL
+      SELECT DISTINCT doc_id, {len(KINDS)}, '{LIVE}', CAST(e - length(v) AS BIGINT), e FROM j WHERE live),
+t AS (SELECT doc_id, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k, e) FILTER (k < {len(KINDS)}) AS base,
+             string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k, e) AS spans FROM a GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
+             count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (example) AS n_example, count(*) FILTER (live) AS n_live
+      FROM j GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+ORACLE = _oracle()
