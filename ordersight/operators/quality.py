@@ -20,6 +20,7 @@ UNIQUE_KEYS: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("vendors", ("vendor_id",)),
     ("orders", ("order_id",)),
     ("order_lines", ("order_line_id",)),
+    ("inventory", ("inventory_id",)),
     ("inventory", ("warehouse_id", "product_id", "inventory_date")),
     ("purchase_orders", ("po_id",)),
     ("shipments", ("shipment_id",)),

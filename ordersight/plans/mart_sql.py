@@ -21,7 +21,8 @@ MART_SQL: dict[str, str] = {
                15 + CAST(p_size % 20 AS INTEGER) AS safety_stock
         FROM part""",
     "m_warehouses": """
-        SELECT CAST(n_nationkey + 1 AS BIGINT) AS warehouse_id, n_name AS warehouse_name, r_name AS state
+        SELECT CAST(n_nationkey + 1 AS BIGINT) AS warehouse_id, n_name AS warehouse_name, r_name AS state,
+               'City of ' || n_name AS city
         FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "m_vendors": """
         SELECT s_suppkey + 1 AS vendor_id, s_name AS vendor_name,
@@ -71,8 +72,10 @@ MART_SQL: dict[str, str] = {
         SELECT CAST(CAST(l_suppkey % 25 AS INTEGER) + 1 AS BIGINT) AS warehouse_id, l_partkey + 1 AS product_id,
                CAST(l_shipdate AS DATE) AS inventory_date,
                min(CAST(l_quantity AS INTEGER)) AS quantity_on_hand,
-               min(CAST(floor(l_quantity * l_tax * 4) AS INTEGER)) AS quantity_allocated
-        FROM lineitem GROUP BY 1, 2, 3""",
+               min(CAST(floor(l_quantity * l_tax * 4) AS INTEGER)) AS quantity_allocated,
+               ((l_partkey + 1) * 100 + CAST(l_suppkey % 25 AS INTEGER) + 1) * 100000
+                 + CAST(CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS BIGINT) AS inventory_id
+        FROM lineitem GROUP BY 1, 2, 3, 6""",
     "m_shipments": """
         SELECT order_id AS shipment_id, order_id,
                CASE order_id % 4 WHEN 0 THEN 'Parcel Express' WHEN 1 THEN 'Freightline'

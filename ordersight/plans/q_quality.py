@@ -40,12 +40,13 @@ def _not_null_sql() -> str:
     cols = {
         "customers": ["customer_id", "customer_name", "customer_segment", "region", "service_level_target"],
         "products": ["product_id", "sku", "product_name", "category", "unit_cost_cents", "unit_price_cents", "safety_stock"],
-        "warehouses": ["warehouse_id", "warehouse_name", "state"],
+        "warehouses": ["warehouse_id", "warehouse_name", "state", "city"],
         "vendors": ["vendor_id", "vendor_name", "average_lead_time_days", "target_ontime_percentage"],
         "orders": ["order_id", "customer_id", "warehouse_id", "order_date", "requested_ship_date",
                    "requested_delivery_date", "order_status"],
         "order_lines": ["order_line_id", "order_id", "product_id", "quantity_ordered", "quantity_shipped", "unit_price_cents"],
-        "inventory": ["warehouse_id", "product_id", "inventory_date", "quantity_on_hand", "quantity_allocated"],
+        "inventory": ["warehouse_id", "product_id", "inventory_date", "quantity_on_hand", "quantity_allocated",
+                      "inventory_id"],
         "purchase_orders": ["po_id", "vendor_id", "product_id", "warehouse_id", "order_date", "expected_delivery_date",
                             "quantity_ordered", "quantity_received"],
         "shipments": ["shipment_id", "order_id", "carrier", "shipping_cost_cents", "shipment_status"],

@@ -236,6 +236,33 @@ def _scorecard_sql(size: int) -> str:
     FROM perf LEFT JOIN pages USING (vendor_id)"""
 
 
+@register("vendor_scorecard_pages")
+def q_vendor_scorecard_pages(m):
+    """C3 flat check: the scorecard's pages exploded back to one row per
+    child (list, 1-based position, id, measure)."""
+    sc = vendors.vendor_scorecard_nested(m, *CUR)
+    po = sc.select("vendor_id", "page", F.explode("late_purchase_orders").alias("c")).select(
+        "vendor_id", "page", F.lit("late_purchase_orders").alias("list"), "c.position",
+        F.col("c.purchase_order_id").alias("child_id"), F.col("c.days_late").cast("bigint").alias("measure"))
+    pr = sc.select("vendor_id", "page", F.explode("products_affected").alias("c")).select(
+        "vendor_id", "page", F.lit("products_affected").alias("list"), "c.position",
+        F.col("c.product_id").alias("child_id"), F.col("c.late_purchase_orders").alias("measure"))
+    return po.unionByName(pr)
+
+
+ORACLE["vendor_scorecard_pages"] = _C2_SQL + """,
+    kids AS (
+      SELECT vendor_id, 'late_purchase_orders' AS list, purchase_order_id AS child_id, CAST(days_late AS BIGINT) AS measure,
+             row_number() OVER (PARTITION BY vendor_id ORDER BY actual_delivery_date DESC NULLS LAST, purchase_order_id) AS rn
+      FROM c2
+      UNION ALL
+      SELECT vendor_id, 'products_affected', product_id, COUNT(*),
+             row_number() OVER (PARTITION BY vendor_id ORDER BY COUNT(*) DESC, product_id)
+      FROM c2 GROUP BY vendor_id, product_id)
+    SELECT vendor_id, CAST((rn - 1) // 100 AS INTEGER) AS page, list, CAST(rn AS INTEGER) AS position, child_id, measure
+    FROM kids"""
+
+
 ORACLE["vendor_scorecard_nested"] = _scorecard_sql(100)
 ORACLE["vendor_scorecard_small_pages"] = _scorecard_sql(3)
 

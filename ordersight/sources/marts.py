@@ -78,7 +78,8 @@ class Marts:
         return (n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
                 .select((F.col("n_nationkey") + 1).cast("bigint").alias("warehouse_id"),
                         F.col("n_name").alias("warehouse_name"),
-                        F.col("r_name").alias("state")))
+                        F.col("r_name").alias("state"),
+                        F.concat(F.lit("City of "), F.col("n_name")).alias("city")))
 
     @cached_property
     def vendors(self) -> DataFrame:
@@ -161,7 +162,9 @@ class Marts:
                          F.floor(F.col("l_quantity") * F.col("l_tax") * 4).cast("int").alias("q_alloc"))
                 .groupBy("warehouse_id", "product_id", "inventory_date")
                 .agg(F.min("q_on_hand").alias("quantity_on_hand"),
-                     F.min("q_alloc").alias("quantity_allocated")))
+                     F.min("q_alloc").alias("quantity_allocated"))
+                .withColumn("inventory_id", (F.col("product_id") * 100 + F.col("warehouse_id")) * 100_000
+                            + F.datediff("inventory_date", F.lit("1970-01-01").cast("date"))))
 
     @cached_property
     def shipments(self) -> DataFrame:

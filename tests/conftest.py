@@ -15,14 +15,14 @@ SCHEMAS = {
                  "service_level_target double",
     "products": "product_id bigint, sku string, product_name string, category string, unit_cost_cents bigint, "
                 "unit_price_cents bigint, safety_stock int",
-    "warehouses": "warehouse_id bigint, warehouse_name string, state string",
+    "warehouses": "warehouse_id bigint, warehouse_name string, state string, city string",
     "vendors": "vendor_id bigint, vendor_name string, average_lead_time_days int, target_ontime_percentage double",
     "orders": "order_id bigint, customer_id bigint, warehouse_id bigint, order_date date, requested_ship_date date, "
               "actual_ship_date date, requested_delivery_date date, actual_delivery_date date, order_status string",
     "order_lines": "order_line_id bigint, order_id bigint, product_id bigint, quantity_ordered int, "
                    "quantity_shipped int, unit_price_cents bigint",
     "inventory": "warehouse_id bigint, product_id bigint, inventory_date date, quantity_on_hand int, "
-                 "quantity_allocated int",
+                 "quantity_allocated int, inventory_id bigint",
     "purchase_orders": "po_id bigint, vendor_id bigint, product_id bigint, warehouse_id bigint, order_date date, "
                        "expected_delivery_date date, actual_delivery_date date, quantity_ordered int, "
                        "quantity_received int",
@@ -38,6 +38,9 @@ class FixtureMarts:
 
     def __init__(self, spark, **rows):
         self.spark = spark
+        # Columns that no case is about are filled in.
+        rows["warehouses"] = [(*r, f"{r[1]} City") for r in rows.get("warehouses", [])]
+        rows["inventory"] = [(*r, n) for n, r in enumerate(rows.get("inventory", []), 1)]
         for name, schema in SCHEMAS.items():
             setattr(self, name, spark.createDataFrame(rows.get(name, []), schema))
 
