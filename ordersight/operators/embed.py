@@ -100,10 +100,8 @@ def index_rows(chunks: DataFrame, embedder: Embedder | None = None, model: str |
     text = embedding_input_text(F.col("document_title"), F.col("section"), F.col("text"))
     rows = embed_column(chunks.withColumn("_input", text), "_input", "embedding", emb).drop("_input")
     loaded = documents if documents is not None else chunks.select("document").distinct()
-    counted = loaded.agg(F.count(F.lit(1)).alias("document_count"))          # one row
-    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(counted.withColumn("_one", F.lit(1))), "_one").drop("_one")
     return rows.select(F.lit(INDEX_SCHEMA_VERSION).alias("schema_version"), F.lit(model).alias("embedding_model"),
-                       "document_count", *[c for c in rows.columns if c != "document_count"])
+                       loaded.agg(F.count(F.lit(1))).scalar().alias("document_count"), *rows.columns)
 
 
 def write_vector_index(index: DataFrame, base_path: str, version: str) -> str:

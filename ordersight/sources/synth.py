@@ -56,27 +56,22 @@ def draw(salt: str, *keys: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 1_000_000
 
 
-def _with_span(df: DataFrame, mart: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` with the lowest and highest ``key`` of a mart whose keys are a dense range (one row, joined)."""
-    span = mart.agg(F.min(key).alias(f"{name}_lo"), F.max(key).alias(f"{name}_hi")).withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(span, "_one").drop("_one")
-
-
-def _pick(name: str, h: Column) -> Column:
-    return F.col(f"{name}_lo") + h % (F.col(f"{name}_hi") - F.col(f"{name}_lo") + 1)
+def _pick(mart: DataFrame, key: str, h: Column) -> Column:
+    """A key of a mart whose keys are a dense range: lowest + h mod (number of keys), as scalar subqueries."""
+    lo, hi = mart.agg(F.min(key)).scalar(), mart.agg(F.max(key)).scalar()
+    return lo + h % (hi - lo + 1)
 
 
 def synth_order_lines(m: Marts) -> DataFrame:
     """1-4 order lines per order of the orders mart, over all products of the products mart, with
     quantities and a short-shipment rate drawn from hashes of (order, line)."""
-    o = _with_span(m.orders.select("order_id"), m.products, "product_id", "p")
-    x = o.select("*", F.explode(F.sequence(F.lit(1), (draw("lines", "order_id") % 4 + 1).cast("int"))).alias("line_number"))
+    x = m.orders.select("order_id", F.explode(F.sequence(F.lit(1), (draw("lines", "order_id") % 4 + 1).cast("int"))).alias("line_number"))
     h = lambda salt: draw(salt, "order_id", "line_number")
     qty = (h("qty") % 20 + 1).cast("int")
     short = h("short") < 80_000                                # about 8 % of lines ship short
     return x.select(
         (F.col("order_id") * 10 + F.col("line_number")).alias("order_line_id"), "order_id",
-        _pick("p", h("product")).alias("product_id"), qty.alias("quantity_ordered"),
+        _pick(m.products, "product_id", h("product")).alias("product_id"), qty.alias("quantity_ordered"),
         F.when(short, F.floor(qty * 3 / 5).cast("int")).otherwise(qty).alias("quantity_shipped"),
         (h("price") % 50_000 + 500).alias("unit_price_cents"))
 
@@ -85,7 +80,7 @@ def synth_orders(m: Marts, start: str = "2026-07-01", days: int = 92) -> DataFra
     """One synthetic order per order key of the orders mart: order date within a quarter, any warehouse of the
     mart, and requested / actual ship and delivery dates with hash-drawn delays (about 15 % of orders missing
     a delivery date when still in flight)."""
-    o = _with_span(m.orders.select("order_id", "customer_id"), m.warehouses, "warehouse_id", "w")
+    o = m.orders.select("order_id", "customer_id")
     h = lambda salt: draw(salt, "order_id")
     od = F.date_add(F.lit(as_date(start)), (h("day") % days).cast("int"))
     req_ship = F.date_add(od, 1 + (h("ship") % 2).cast("int"))
@@ -94,7 +89,7 @@ def synth_orders(m: Marts, start: str = "2026-07-01", days: int = 92) -> DataFra
     del_delay = F.when(h("dd") < 700_000, F.lit(0)).otherwise((h("dd2") % 4 + 1).cast("int"))
     in_flight = h("open") < 150_000
     return o.select(
-        "order_id", "customer_id", _pick("w", h("wh")).alias("warehouse_id"),
+        "order_id", "customer_id", _pick(m.warehouses, "warehouse_id", h("wh")).alias("warehouse_id"),
         od.alias("order_date"), req_ship.alias("requested_ship_date"),
         F.date_add(req_ship, ship_delay).alias("actual_ship_date"), req_del.alias("requested_delivery_date"),
         F.when(in_flight, F.lit(None).cast("date")).otherwise(F.date_add(req_del, del_delay)).alias("actual_delivery_date"),
@@ -116,10 +111,8 @@ def synth_shipments(m: Marts) -> DataFrame:
 def synth_purchase_orders(m: Marts) -> DataFrame:
     """Per product of the mart three regular replenishments in July (0-2 days late) and, for every fifth
     product, one in early August that arrives weeks late: the incident."""
-    p = _with_span(_with_span(m.products.select("product_id"), m.vendors, "vendor_id", "v"),
-                   m.warehouses, "warehouse_id", "w")
     critical = F.col("product_id") % CRITICAL_EVERY == 0
-    p = p.select("*", F.explode(F.when(critical, F.array(*map(F.lit, (1, 2, 3, 4)))).otherwise(
+    p = m.products.select("product_id", F.explode(F.when(critical, F.array(*map(F.lit, (1, 2, 3, 4)))).otherwise(
         F.array(*map(F.lit, (1, 2, 3))))).alias("slot"))
     h = lambda salt: draw(salt, "product_id", "slot")
     late = F.col("slot") == 4
@@ -131,7 +124,7 @@ def synth_purchase_orders(m: Marts) -> DataFrame:
     qty = (h("qty") % 161 + 150).cast("int")
     return p.select(
         (F.col("product_id") * 10 + F.col("slot")).alias("po_id"),
-        _pick("v", draw("vendor", "product_id")).alias("vendor_id"), "product_id",
-        _pick("w", h("site")).alias("warehouse_id"), F.date_add(expected, -12).alias("order_date"),
+        _pick(m.vendors, "vendor_id", draw("vendor", "product_id")).alias("vendor_id"), "product_id",
+        _pick(m.warehouses, "warehouse_id", h("site")).alias("warehouse_id"), F.date_add(expected, -12).alias("order_date"),
         expected.alias("expected_delivery_date"), actual.alias("actual_delivery_date"),
         qty.alias("quantity_ordered"), qty.alias("quantity_received"))

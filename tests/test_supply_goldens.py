@@ -94,7 +94,7 @@ def test_vendor_scorecard_nested_pages_hold_every_child_in_order(fixture_marts):
     rows = vendors.vendor_scorecard_nested(m, *AUG, page_size=3).collect()
     v4 = sorted((r for r in rows if r.vendor_id == 4), key=lambda r: r.page)
     assert [r.page for r in v4] == [0, 1, 2, 3]
-    assert all(r.late_deliveries == 11 for r in v4)
+    assert [r.late_deliveries for r in v4] == [11, None, None, None]      # counts once per vendor
     assert all(len(r.late_purchase_orders) <= 3 and len(r.products_affected) <= 3 for r in v4)
     got = [po.purchase_order_id for r in v4 for po in r.late_purchase_orders]
     flat = vendors.late_purchase_orders(m, *AUG).collect()
