@@ -11,8 +11,8 @@ empty or the cell has no more bins than its tokens need.  Bins that stay under
 
 Tokenising goes word by word: where a text has only plain Latin-1 characters
 and common punctuation, the tokenizer's own normalisation and splitting are
-applied with a pattern, and each distinct word is encoded once by the tokenizer;
-any other text, or one holding a special token, is encoded whole.
+applied with a pattern, and each distinct word is encoded once by the tokenizer's
+model (``MEMO`` words are kept at most); any other text, or one holding a special token, is encoded whole.
 
 Defined cases: a null or empty text is one piece holding the end id; rows that
 repeat, also with equal ids, are packed each by itself; null ids are kept; an
@@ -54,6 +54,22 @@ def _of(kind: str) -> str:
 _SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_of('L')}]+|[{_of('N')}]|[^\s{_of('L')}{_of('N')}]+")
 
 
+class WordIds(dict):
+    """Ids of words as little-endian 32-bit bytes, encoded by the tokenizer's model when first asked for."""
+
+    def __init__(self, tokenizer):
+        from tokenizers import pre_tokenizers
+
+        super().__init__()
+        self.tokenize = tokenizer.model.tokenize
+        self.bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def __missing__(self, word: str) -> bytes:
+        shown = word if word.isascii() else self.bytes_of(word)[0][0]
+        out = self[word] = np.array([t.id for t in self.tokenize(shown)], "<u4").tobytes()
+        return out
+
+
 class WordTokenizer:
     """Ids of texts as little-endian 32-bit bytes; each distinct word is encoded once."""
 
@@ -62,40 +78,14 @@ class WordTokenizer:
 
         self.full = Tokenizer.from_file(path)
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.ids: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            part = words[at:at + 2000]
-            e = self.full.encode(" ".join(part), add_special_tokens=False)
-            owner, ids = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4")
-            cut = np.searchsorted(owner, np.arange(len(part) + 1))
-            if len(owner) == 0 or owner[-1] != len(part) - 1 or (np.diff(owner) < 0).any():
-                for w in part:
-                    self.ids[w] = np.array(self.full.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                for k, w in enumerate(part):
-                    self.ids[w] = ids[cut[k]:cut[k + 1]].tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        new: set[str] = set()
-        for text in texts:
-            words = None
-            if not _OTHER.search(text) and not any(s in text for s in self.special):
-                words = _SPLIT.findall(text.lower())
-                new.update(set(words).difference(self.ids))
-            split.append(words)
-        self._learn(sorted(new))
-        out = []
-        for text, words in zip(texts, split):
-            if words is None:
-                out.append(np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(self.ids.__getitem__, words)))
+        self.ids = WordIds(self.full)
+
+    def encode(self, text: str) -> bytes:
+        if _OTHER.search(text) or any(s in text for s in self.special):
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.ids) > MEMO:
-            self.ids = {}
-        return out
+            self.ids.clear()
+        return b"".join(map(self.ids.__getitem__, _SPLIT.findall(text.lower())))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -108,9 +98,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             for at in range(0, len(batch), 64):
                 rows = []
-                ids = batch["id"].iloc[at:at + 64]
-                for doc, data in zip(ids, tok.encode([t or "" for t in batch["text"].iloc[at:at + 64]])):
-                    data += end
+                for doc, text in zip(batch["id"].iloc[at:at + 64], batch["text"].iloc[at:at + 64]):
+                    data = tok.encode(text or "") + end
                     for k, s in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[s:s + 4 * capacity]
                         rows.append((doc, k, s // 4, len(part) // 4, zlib.crc32(part)))
