@@ -34,7 +34,7 @@ from ordersight.llm import hamming
 from ordersight.llm.common import col, table, written
 
 RADIUS = 3
-RANGE_ROWS = 8192
+RANGE_ROWS = 2048
 MAX_RANGES = 8192
 SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
