@@ -39,10 +39,12 @@ from ordersight.llm.common import col, table, written
 
 LENGTH = 200
 GRAM = 32
-SHARD = 1 << 21
-HOT = 16384
-#: Bytes of text hashed at once.
-SLICE = 1 << 21
+SHARD = 1 << 20
+HOT = 8192
+#: Bytes of contexts read before they are sorted, equal ones included.
+READ = 1 << 23
+#: Bytes of text hashed at once (the arrays then stay in the processor's cache).
+SLICE = 1 << 17
 CONTEXTS = "key long, salt int, salts int, tid long, bytes int, start int, context binary"
 FOUND = "tid long, bytes int, first int, last int, d1 long, d2 long, local boolean"
 
@@ -53,12 +55,16 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h
 
 
+def words_at(b: np.ndarray, order: str) -> np.ndarray:
+    """The 8 bytes from each position (zeros behind the end) as one number, least (``<``) or most (``>``)
+    significant byte first."""
+    pad = np.r_[b, np.zeros(8, np.uint8)]
+    return np.ndarray(len(b), f"{order}u8", pad, strides=(1,)).astype(np.uint64)
+
+
 def gram_hashes(b: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """64-bit hash of the ``gram`` bytes (a power of two, 8 at least) from each position."""
-    pad = np.r_[b, np.zeros(7, np.uint8)]
-    h = np.zeros(len(b), np.uint64)
-    for k in range(8):
-        h |= pad[k:k + len(b)].astype(np.uint64) << np.uint64(8 * k)
+    h = words_at(b, "<")
     size = 8
     h = _mix(h, h >> np.uint64(32))
     while size < gram:
@@ -87,25 +93,27 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
             size += len(texts[stop])
             stop += 1
         joined = b"".join(texts[at:stop])
-        ends = np.cumsum([len(t) for t in texts[at:stop]])
+        sizes = np.array([len(t) for t in texts[at:stop]], np.int64)
+        ends = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         for s in range(0, max(1, len(joined) - length + 1), SLICE):
             piece = np.frombuffer(joined, np.uint8, min(len(joined) - s, SLICE + length - 1), s)
             if len(piece) >= length:
-                parts.append(_contexts(piece, s, at, ends, length, gram))
+                parts.append(_contexts(piece, s, at, ends, owner[s:s + len(piece)], length, gram))
         at = stop
     if not parts:
         return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _contexts(piece, offset, first_text, ends, length, gram):
+def _contexts(piece, offset, first_text, ends, text, length, gram):
     h = gram_hashes(piece, gram)
     low = np.uint64(0xFFFFFFFF)
     packed = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     owner = (sliding_min(packed, length - gram + 1) & low).astype(np.int64)
-    start = np.arange(len(owner)) + offset
-    text = np.searchsorted(ends, start, side="right")
-    ok = start + length <= ends[np.minimum(text, len(ends) - 1)]
+    start = np.arange(offset, offset + len(owner))
+    text = text[:len(owner)]
+    ok = start + length <= ends[text]
     start, owner, text = start[ok], owner[ok], text[ok]
     new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (text[1:] != text[:-1])])[:len(start)]
     last = np.r_[new[1:], len(start)] - 1
@@ -118,10 +126,7 @@ def suffix_order(b: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     Larsson-Sadakane refinement.  ``left``: bytes up to the end of a position's context;
     ranks hold for positions with ``depth`` of them."""
     n = len(b)
-    pad = np.r_[b, np.zeros(8, np.uint8)]
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word |= pad[k:k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
+    word = words_at(b, ">")
     slots = np.arange(n)
     pos = np.argsort(word)
     key = word[pos]
@@ -155,10 +160,7 @@ def kasai(b: np.ndarray, begin: np.ndarray, count: np.ndarray, before: np.ndarra
     shrinks by one at most.  Where it was ``depth`` the order of the two successors is
     open, and the comparison starts anew.
     """
-    pad = np.r_[b, np.zeros(8, np.uint8)]
-    word = np.zeros(len(b), np.uint64)
-    for k in range(8):
-        word |= pad[k:k + len(b)].astype(np.uint64) << np.uint64(8 * k)
+    word = words_at(b, "<")
     lcp = np.zeros(len(b), np.int64)
     have = np.zeros(len(begin), np.int64)
     live = np.argsort(-count, kind="stable")
@@ -196,80 +198,101 @@ def _digests(b: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np
     return out[0], out[1]
 
 
-def shard_repeats(rows: pd.DataFrame, length: int = LENGTH) -> pd.DataFrame:
-    """Runs of repeated window starts of one shard's contexts, and digests for hot anchors."""
-    # Equal contexts of an anchor are sorted once.
-    group = rows.groupby(["key", "salt", "context"], sort=False).ngroup().to_numpy()
-    times = np.bincount(group)
-    _, first = np.unique(group, return_index=True)
-    texts = rows["context"].iloc[first].tolist()
+def sorted_repeats(texts: list[bytes], times: np.ndarray, hot: np.ndarray, length: int):
+    """Repeated window starts of distinct contexts by suffix array and common prefixes.
+
+    ``times``: how often each context came; ``hot``: whether its anchor has other shards.  Gives (context,
+    first, last) of runs of repeated starts, and (context, start, digest, digest) of one start per distinct
+    window of the hot ones."""
     sizes = np.array([len(t) for t in texts], np.int64)
     b = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.cumsum(sizes) - sizes
-    count = sizes - length + 1
     left = np.repeat(begin + sizes, sizes) - np.arange(len(b))
     rank = suffix_order(b, left, length)
     starts = np.flatnonzero(left >= length)
-    owner = np.repeat(np.arange(len(texts)), sizes)[starts]
+    owner = np.repeat(np.arange(len(texts)), sizes - length + 1)
     order = starts[np.argsort(rank[starts], kind="stable")]
     before = np.full(len(b), -1, np.int64)
     before[order[1:]] = order[:-1]
-    lcp = kasai(b, begin, count, before, length)
-    # A start repeats if its neighbour shares all bytes, or its context came more than once.
+    joined = kasai(b, begin, sizes - length + 1, before, length)[order[1:]] >= length
+    # A start repeats if a neighbour shares all its bytes, or its context came more than once.
     same = np.zeros(len(b), bool)
-    joined = lcp[order[1:]] >= length
     same[order[1:][joined]] = True
     same[order[:-1][joined]] = True
-    repeated = same.copy()
-    repeated[starts[times[owner] > 1]] = True
-
-    # Runs of repeated starts by distinct context, then for each row that has it.
-    flag = repeated[starts]
-    edge = np.r_[True, (owner[1:] != owner[:-1]) | (flag[1:] != flag[:-1])]
-    at = np.flatnonzero(edge)
+    flag = same[starts] | (times[owner] > 1)
+    at = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (flag[1:] != flag[:-1])])
     stop = np.r_[at[1:], len(starts)] - 1
     at, stop = at[flag[at]], stop[flag[at]]
-    runs = pd.DataFrame({"group": owner[at], "first": starts[at] - begin[owner[at]],
-                         "last": starts[stop] - begin[owner[at]]})
-    members = pd.DataFrame({"group": group, "tid": rows["tid"].to_numpy(), "bytes": rows["bytes"].to_numpy(),
-                            "start": rows["start"].to_numpy()})
-    out = members.merge(runs, on="group")
+    runs = owner[at], starts[at] - begin[owner[at]], starts[stop] - begin[owner[at]]
+    if not hot.any():
+        return runs, None
+    head = np.zeros(len(b), bool)
+    head[order[np.r_[True, ~joined]]] = True
+    pick = hot[owner] & head[starts]
+    return runs, (owner[pick], starts[pick] - begin[owner[pick]], *_digests(b, starts[pick], length))
+
+
+def shard_repeats(rows: pd.DataFrame, length: int = LENGTH, size: int = SHARD) -> pd.DataFrame:
+    """Runs of repeated window starts of whole anchors' contexts (sorted by key, salt), and digests for hot anchors."""
+    # Equal contexts of an anchor are sorted once.
+    group = rows.groupby(["key", "salt", "context"], sort=False).ngroup().to_numpy()
+    times = np.bincount(group)
+    _, first = np.unique(group, return_index=True)
+    rank_of = np.argsort(np.argsort(first))  # distinct contexts in the order of the rows
+    group, first = rank_of[group], np.sort(first)
+    times = np.bincount(group)
+    keys = rows[["key", "salt"]].to_numpy()[first]
+    hot = rows["salts"].to_numpy()[first] > 1
+    new = np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]
+    anchor = np.cumsum(new) - 1
+    # A context that is its anchor's only one has no other to be compared with.
+    alone = (np.bincount(anchor)[anchor] == 1) & ~hot
+    sizes = rows["context"].str.len().to_numpy()[first]
+    only = np.flatnonzero(alone & (times > 1))
+    runs = [(only, np.zeros(len(only), np.int64), sizes[only] - length)]
+    sent = []
+    others = np.flatnonzero(~alone)
+    if len(others):
+        # Shards of about ``size`` bytes, cut between anchors.
+        part = np.cumsum(sizes[others]) // size
+        part = np.maximum.accumulate(part[np.searchsorted(anchor[others], anchor[others])])
+        for k in np.split(others, np.flatnonzero(np.diff(part)) + 1):
+            found, digests = sorted_repeats(rows["context"].iloc[first[k]].tolist(), times[k], hot[k], length)
+            runs.append((k[found[0]], *found[1:]))
+            if digests is not None:
+                sent.append((k[digests[0]], *digests[1:]))
+    runs = pd.DataFrame(dict(zip(("group", "first", "last"), (np.concatenate(x) for x in zip(*runs)))))
+    where = rows[["tid", "bytes", "start"]].assign(group=group)
+    out = where.merge(runs, on="group")
     out = pd.DataFrame({"tid": out["tid"], "bytes": out["bytes"], "first": out["first"] + out["start"],
                         "last": out["last"] + out["start"], "d1": 0, "d2": 0, "local": True})
-    hot = (rows["salts"].to_numpy()[first] > 1)[owner]
-    if hot.any():
-        # One start for each distinct window of the hot anchors: those that repeat here are known already.
-        head = np.zeros(len(b), bool)
-        head[order[np.r_[True, ~joined]]] = True
-        sent = starts[hot & head[starts]]
-        own = np.repeat(np.arange(len(texts)), sizes)[sent]
-        d1, d2 = _digests(b, sent, length)
-        row = first[own]
-        place = rows["start"].to_numpy()[row] + sent - begin[own]
-        out = pd.concat([out, pd.DataFrame({
-            "tid": rows["tid"].to_numpy()[row], "bytes": rows["bytes"].to_numpy()[row], "first": place,
-            "last": place, "d1": d1, "d2": d2, "local": False})])
+    for k, start, d1, d2 in sent:
+        row = where.iloc[first[k]]
+        place = row["start"].to_numpy() + start
+        out = pd.concat([out, pd.DataFrame({"tid": row["tid"].to_numpy(), "bytes": row["bytes"].to_numpy(),
+                                            "first": place, "last": place, "d1": d1, "d2": d2, "local": False})])
     return out.astype({"bytes": "int32", "first": "int32", "last": "int32"})
 
 
 def _shards(batches, length, size):
+    """Whole anchors, about ``READ`` bytes of contexts at a time."""
     rest, held = [], 0
     for batch in batches:
         for s in range(0, len(batch), 2048):
             part = batch.iloc[s:s + 2048]
             rest.append(part)
             held += int(part["context"].str.len().sum())
-            if held >= size:
+            if held >= READ:
                 rows = pd.concat(rest, ignore_index=True)
                 keys = rows[["key", "salt"]].to_numpy()
                 change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
                 cut = int(change[-1]) + 1 if len(change) else 0
                 if cut:
-                    yield shard_repeats(rows.iloc[:cut].reset_index(drop=True), length)
+                    yield shard_repeats(rows.iloc[:cut].reset_index(drop=True), length, size)
                     rows = rows.iloc[cut:]
                 rest, held = [rows], int(rows["context"].str.len().sum())
     if held:
-        yield shard_repeats(pd.concat(rest, ignore_index=True), length)
+        yield shard_repeats(pd.concat(rest, ignore_index=True), length, size)
 
 
 def _merge(batches):
