@@ -53,11 +53,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     (local runs, tests) create a scratch folder for it.
     """
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    d = sc.getCheckpointDir()
+    if d:  # set already: setting it again would make a folder inside it
+        return d
+    d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         if not sc.master.startswith("local"):
             # A machine-local folder would not survive losing that machine.
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder before cutting lineage")
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         d = tempfile.mkdtemp(prefix="ordersight-ckpt-", dir=os.environ.get("ORDERSIGHT_SCRATCH", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
