@@ -38,7 +38,7 @@ SAMPLE = 8192
 SAMPLE_VALUES = 1 << 22
 BRANCH = 8
 LEAF = 64
-CELL = 8192
+CELL = 4096
 CALIBRATION = 256
 RECALL = 0.97
 PROBES = 1 << 18
