@@ -51,3 +51,9 @@ def test_single_query_policy_search(spark):
     idx = embed.embed_column(docs, "text", "embedding", emb)
     hits = search.search_policies(idx, "  safety stock  ", emb, top_k=2).collect()
     assert hits[0].id == 2 and [h.rank for h in hits] == [1, 2]
+
+
+def test_checkpoint_folder_is_set_once(spark):
+    from ordersight.session import checkpoint_dir
+    first = checkpoint_dir(spark)
+    assert checkpoint_dir(spark) == first == spark.sparkContext.getCheckpointDir()
