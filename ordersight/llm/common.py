@@ -13,6 +13,18 @@ from ordersight.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch to Python at most: two tasks of an executor hold a few of them as text and objects.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_BYTES`` (a lower one stays); narrow rows don't notice."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of ``spark.checkpoint.dir``, removed when the driver ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -33,6 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     computed twice, and has a known size, so Spark itself decides on broadcasts.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -61,4 +74,5 @@ def word_count(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

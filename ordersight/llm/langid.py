@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordersight.llm.common import col, free, table, written
+from ordersight.llm.common import bounded_batches, col, free, table
 
 DIM = 4096
 PER_LANGUAGE = 400
@@ -195,6 +195,7 @@ def op7_langid(spark, sf_dir):
 
 def stage(spark, docs, sf_dir):
     """Pipeline stage: documents without a language (no text, no letter) go; all others stay as they are."""
+    bounded_batches(spark)
     out = predicted(docs, fit(docs, learnable()))
     lang = out.columns[len(docs.columns)]
     return out.where(col(lang) != UND).select(*[col(c) for c in docs.columns])

@@ -119,3 +119,16 @@ def test_stages_keep_what_they_are_not_about(spark):
     clean = docs.where("length(text) > 200")
     for name, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:3]:
         assert stage(spark, clean, SF).count() == clean.count(), name
+
+
+def test_batches_to_python_are_bounded(spark):
+    from ordersight.llm.common import BATCH_BYTES, bounded_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, str(64 << 20))
+    bounded_batches(spark)
+    assert spark.conf.get(key) == str(BATCH_BYTES)
+    spark.conf.set(key, "1000")
+    bounded_batches(spark)
+    assert spark.conf.get(key) == "1000"
+    spark.conf.unset(key)
