@@ -8,7 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.operators import inventory, service, vendors
+from ordersight.functions.metrics import pct
+from ordersight.operators import inventory, vendors
+from ordersight.operators.facts import order_facts
 from ordersight.sources.marts import Marts
 
 # One-line summary templates per tool.
@@ -30,16 +32,47 @@ def _row(tool: str, df: DataFrame, summary: Column) -> DataFrame:
     return df.select(F.lit(tool).alias("tool"), summary.alias("summary"))
 
 
+def _service_row(m: Marts, start, end) -> DataFrame:
+    """One row with what the three order-side summaries need, from ONE pass over the order facts: grouped by
+    warehouse, by customer and in all at once.  Every warehouse adds a row that counts no order, so idle ones are
+    groups too, with their names."""
+    site, customer = "warehouse_id", "customer_id"
+    f = order_facts(m, start, end).select(
+        site, customer, F.lit(1).alias("n"), F.col("otif").cast("int").alias("otif"),
+        F.when(F.col("affected"), F.col("order_value_cents")).alias("cents"), F.lit(None).cast("string").alias("name"))
+    sites = m.warehouses.select(site, F.lit(None).cast("bigint").alias(customer), F.lit(0).alias("n"), F.lit(0).alias("otif"),
+                                F.lit(None).cast("bigint").alias("cents"), F.col("warehouse_name").alias("name"))
+    g = f.unionByName(sites).groupingSets([[site], [customer], []], site, customer).agg(
+        F.grouping(site).alias("gs"), F.grouping(customer).alias("gc"), F.sum("n").alias("n"), F.sum("otif").alias("otif"),
+        F.sum("cents").alias("cents"), F.max("name").alias("name"))
+    is_site = (F.col("gs") == 0) & (F.col("gc") == 1)
+    is_customer = (F.col("gs") == 1) & (F.col("gc") == 0) & (F.col("n") > 0)
+    is_all = (F.col("gs") == 1) & (F.col("gc") == 1)
+    pct_otif = pct(F.col("otif"), F.col("n"))
+    return g.agg(
+        F.max(F.when(is_all, F.col("n"))).alias("orders"), F.max(F.when(is_all, F.col("otif"))).alias("otif"),
+        F.max(F.when(is_all, pct_otif)).alias("otif_percentage"),
+        F.count_if(is_site).alias("sites"),
+        F.min_by(F.when(is_site, F.struct("name", pct_otif.alias("pct"))),
+                 F.when(is_site, F.struct(pct_otif.alias("pct"), site))).alias("lo"),
+        F.count_if(is_customer).alias("customers"),
+        F.count_if(is_customer & (F.col("cents") > 0)).alias("affected"))
+
+
 def tool_summaries(m: Marts, start, end) -> DataFrame:
-    a1 = service.otif_metrics(m, start, end)
-    otif = _row("get_otif_metrics", a1, F.format_string(SUMMARY_TEMPLATES["get_otif_metrics"], F.col("total_orders"),
-                                                        F.col("otif_orders"), js_number(F.col("otif_percentage"))))
-    a2 = service.warehouse_performance(m, start, end).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min_by(F.struct("warehouse_name", "otif_percentage"), F.struct("otif_percentage", "warehouse_id")).alias("lo"))
-    wh = _row("get_warehouse_performance", a2, F.format_string(
-        SUMMARY_TEMPLATES["get_warehouse_performance"], F.col("n"), F.coalesce(F.col("lo.warehouse_name"), F.lit("n/a")),
-        F.coalesce(js_number(F.col("lo.otif_percentage")), F.lit("n/a"))))
+    """One sentence per business tool."""
+    none = F.lit("n/a")
+    lines = {
+        "get_otif_metrics": F.format_string(
+            SUMMARY_TEMPLATES["get_otif_metrics"], F.coalesce("orders", F.lit(0)), F.coalesce("otif", F.lit(0)),
+            js_number(F.coalesce("otif_percentage", F.lit(0.0)))),
+        "get_warehouse_performance": F.format_string(
+            SUMMARY_TEMPLATES["get_warehouse_performance"], "sites", F.coalesce(F.col("lo.name"), none),
+            F.coalesce(js_number(F.col("lo.pct")), none)),
+        "get_customer_impact": F.format_string(SUMMARY_TEMPLATES["get_customer_impact"], "customers", "affected"),
+    }
+    served = _service_row(m, start, end).select(F.explode(F.array(*[
+        F.struct(F.lit(tool).alias("tool"), text.alias("summary")) for tool, text in lines.items()])).alias("x")).select("x.*")
     a4 = inventory.inventory_health(m, start, end)
     inv = _row("get_inventory_health", a4, F.format_string(
         SUMMARY_TEMPLATES["get_inventory_health"],
@@ -60,11 +93,7 @@ def tool_summaries(m: Marts, start, end) -> DataFrame:
         SUMMARY_TEMPLATES["get_vendor_performance"], F.col("n"),
         F.coalesce(F.col("top.vendor_name"), F.lit("n/a")), F.coalesce(F.col("top.late_deliveries"), F.lit(0)),
         F.when(F.coalesce(F.size("top.d"), F.lit(0)) > 0, dests).otherwise(F.lit("not specified"))))
-    ci = service.customer_impact(m, start, end).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("estimated_affected_revenue") > 0).alias("affected"))
-    cust = _row("get_customer_impact", ci, F.format_string(SUMMARY_TEMPLATES["get_customer_impact"],
-                                                           F.col("n"), F.col("affected")))
-    return reduce(DataFrame.unionByName, [otif, wh, inv, ven, cust])
+    return reduce(DataFrame.unionByName, [served, inv, ven])
 
 
 def policy_summaries(hits: DataFrame) -> DataFrame:
