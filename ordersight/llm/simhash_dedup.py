@@ -13,9 +13,10 @@ spanning edges leave the tasks.
 
 Defined cases: a null text, or one without words, has fingerprint zero and is
 linked like any other; a text with fewer words than a shingle is one shingle;
-rows that repeat are linked as equal fingerprints; rows with a null id are
-reported and linked, but never name a component that has an id; an empty table
-gives an empty result; very long texts are processed in slices of shingles.
+rows that repeat are linked as equal fingerprints; an id may be null or repeat
+with other texts, for links are between fingerprints: a component is named by the
+smallest id of its rows, and by null where none has an id; an empty table gives
+an empty result; very long texts are processed in slices of shingles.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.llm import hamming
@@ -59,14 +60,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp) with the fingerprint as a signed long, one row per row of ``docs``."""
+def fingerprint_of(text: Column, shingle: int = SHINGLE) -> Column:
+    """The fingerprint of a text column as a signed long."""
 
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in text], np.uint64).view(np.int64))
 
-    return written(docs.select(col(id_col).alias("id"), fp(col(text_col)).alias("fp")), "fingerprints")
+    return fp(text)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(id, fp) with the fingerprint as a signed long, one row per row of ``docs``."""
+    return written(docs.select(col(id_col).alias("id"), fingerprint_of(col(text_col), shingle).alias("fp")), "fingerprints")
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:
@@ -176,20 +182,24 @@ def bucket_keys(groups: list[list[int]], radii: list[int]):
     return keys
 
 
+def groups(rows: DataFrame, distance: int = DISTANCE, parts: int = PARTITIONS) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of ``rows``: root is the smallest one reachable over links."""
+    nodes = written(rows.select("fp").distinct().withColumn("id", F.col("fp")), "distinct-fingerprints")
+    bits, radii = plan(nodes, distance, parts)
+    edges = hamming.spanning_edges(hamming.expand(nodes, bucket_keys(bits, radii)), distance)
+    found = connected_components(edges)
+    return (nodes.join(found, F.col("fp") == F.col("node"), "left")
+            .select("fp", F.coalesce("component", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     distance: int = DISTANCE, parts: int = PARTITIONS) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links of at most ``distance`` bits."""
     rows = fingerprints(docs, id_col, text_col, shingle)
-    # Node of a distinct fingerprint: its smallest id; null ids only count where there is no other.
-    last = F.lit((1 << 63) - 1)
-    nodes = written(rows.groupBy("fp").agg(F.min(F.coalesce("id", last)).alias("id")), "distinct-fingerprints")
-    groups, radii = plan(nodes, distance, parts)
-    edges = hamming.spanning_edges(hamming.expand(nodes, bucket_keys(groups, radii)), distance)
-    found = connected_components(edges)
-    nodes = (nodes.join(found, F.col("id") == F.col("node"), "left")
-             .select("fp", F.coalesce("component", "id").alias("component")))
-    nodes = nodes.withColumn("component", F.nullif(F.col("component"), last))
-    return rows.join(nodes, "fp").select("id", "fp", "component")
+    least = rows.groupBy("fp").agg(F.min("id").alias("id"))
+    nodes = written(groups(rows, distance, parts).join(least, "fp"), "groups")
+    names = nodes.groupBy("root").agg(F.min("id").alias("component"))
+    return rows.join(nodes.select("fp", "root").join(names, "root"), "fp").select("id", "fp", "component")
 
 
 def op3_simhash_dedup(spark, sf_dir):
@@ -199,10 +209,15 @@ def op3_simhash_dedup(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: of each group of near-duplicates the document with the smallest id stays, once."""
-    found = written(near_duplicates(docs), "components")
-    n_id, = free(docs, "kept_id")
-    keep = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(n_id)).distinct()
-    rows = docs.join(keep, col("doc_id").eqNullSafe(F.col(n_id)), "left_semi")
-    # A repeated id stays once: its rows are either equal or all in the group that it names.
-    return rows.dropDuplicates(["doc_id"])
+    """Pipeline stage: of each group of near-duplicates one row stays, of those with the smallest id (null last)
+    one with the smallest fingerprint.  The row is found by id and fingerprint: an id may be null or name several texts."""
+    n_fp, k_id, k_fp = free(docs, "own_fp", "kept_id", "kept_fp")
+    marked = written(docs.withColumn(n_fp, fingerprint_of(col("text"))), "marked")
+    rows = marked.select(col("doc_id").alias("id"), F.col(n_fp).alias("fp"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "fp")
+    least = rows.groupBy("fp").agg(F.min(order).alias("least"))
+    keep = (groups(rows).join(least, "fp").groupBy("root").agg(F.min("least").alias("least"))
+            .select(F.col("least.id").alias(k_id), F.col("least.fp").alias(k_fp)))
+    same = (F.col(n_fp) == F.col(k_fp)) & col("doc_id").eqNullSafe(F.col(k_id))
+    # Rows that are equal in id and fingerprint are copies of each other.
+    return marked.join(keep, same, "left_semi").dropDuplicates(["doc_id", n_fp]).drop(n_fp)

@@ -89,6 +89,20 @@ def test_dedup_defined_cases(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10]
 
 
+def test_dedup_null_and_repeated_ids(spark):
+    text = {n: " ".join(f"topic{n}word{k}" for k in range(60)) for n in range(1, 9)}
+    rows = [(None, text[1]), (None, text[2]), (None, text[2]), (None, text[3]), (7, text[3]), (None, text[4]), (9, text[4]),
+            (5, text[5]), (5, text[6]), (5, text[6]), (6, text[7]), (4, text[7]), (4, text[8])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted({(r["id"] or 0, r["fp"], r["component"] or 0) for r in sd.near_duplicates(docs).collect()})
+    name = {1: 0, 2: 0, 3: 7, 4: 9, 5: 5, 6: 5, 7: 4, 8: 4}
+    of = {t: n for n, t in text.items()}
+    fp = {n: int(np.uint64(sd.fingerprint(t)).view(np.int64)) for n, t in text.items()}
+    assert found == sorted({(i or 0, fp[of[t]], name[of[t]]) for i, t in rows})
+    kept = sorted((r["doc_id"] or 0, of[r["text"]]) for r in sd.stage(spark, docs, None).collect())
+    assert kept == [(0, 1), (0, 2), (4, 7), (4, 8), (5, 5), (5, 6), (7, 3), (9, 4)]
+
+
 def test_edited_pairs_against_plain_code(spark):
     docs = documents(spark)
     hasher = fg.Hasher()
