@@ -7,7 +7,7 @@ holds the branches not taken by their distance, and leaves are visited in that
 order.  How many leaves is calibrated: for up to ``CALIBRATION`` queries the exact
 neighbours over all rows are found, and the visits widen until the share of them
 that lies in visited leaves reaches ``RECALL``; a query also goes on until its
-leaves hold more rows than neighbours asked for.
+leaves hold more ids than neighbours asked for.
 
 Leaves are laid out in cells of about ``CELL`` rows: small neighbouring leaves
 share one, large ones are split by a hash of the id, so no task holds a hot
@@ -18,7 +18,7 @@ in double precision on the original vectors before anything is cut off.
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite
 component take no part, nor do those of another length than the most frequent
 one (ties: the longer); rows with a null id take no part; of rows with an equal
-id the best counts once, and a query never finds its own id; equal scores go to
+id the best counts once and takes one place, and a query never finds its own id; equal scores go to
 the smaller id; with fewer candidates than neighbours asked for all are returned;
 an empty table gives an empty result; extra columns play no part.
 """
@@ -135,11 +135,13 @@ def _matrix(values) -> np.ndarray:
 def _best(ids: np.ndarray, rows: np.ndarray, own: int, q: np.ndarray, rough: np.ndarray, k: int):
     """The k best (score, id) of candidate rows by rough cosines: exact scores, ties to smaller ids."""
     rough = np.where(ids == own, -np.inf, rough)
-    if len(rough) > k:
-        rough_k = np.partition(rough, len(rough) - k)[len(rough) - k]
-        at = np.flatnonzero(rough >= rough_k - 1e-9)
-    else:
-        at = np.arange(len(rough))
+    at, most = np.arange(len(rough)), k
+    while most < len(rough):  # wider until the rows at or above the cut hold k ids
+        cut = np.partition(rough, len(rough) - most)[len(rough) - most]
+        if len(np.unique(ids[rough >= cut])) >= k:
+            at = np.flatnonzero(rough >= cut - 1e-9)
+            break
+        most *= 2
     at = at[ids[at] != own]
     score = cosines(q, rows[at])
     order = np.lexsort((ids[at], -score))
@@ -188,7 +190,7 @@ def calibrate(rows: DataFrame, tree: Tree, queries: list[tuple[int, np.ndarray]]
 def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5,
            recall: float = RECALL, sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row where ``is_query`` (on id) holds."""
-    rows = written(usable(vectors, id_col, vec_col), "vectors")
+    rows = written(usable(vectors, id_col, vec_col).dropDuplicates(["id", "v"]), "vectors")
     queries = rows.where(is_query).dropDuplicates(["id"])
     spark = rows.sparkSession
     one = rows.first()
@@ -206,9 +208,12 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
         return pd.Series(tree.assign(unit(_matrix(v))).astype(np.int32)) if len(v) else pd.Series([], dtype="int32")
 
     index = written(rows.withColumn("leaf", leaf_of("v")), "ann-index")
-    count = np.zeros(tree.leaves, np.int64)
+    count, fresh = np.zeros(tree.leaves, np.int64), np.zeros(tree.leaves, np.int64)
     for r in index.groupBy("leaf").count().collect():  # one row per leaf of the bounded tree
         count[r["leaf"]] = r["count"]
+    # Ids counted once, in the first leaf that holds them: visited leaves hold at least so many ids.
+    for r in index.groupBy("id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect():
+        fresh[r["leaf"]] = r["count"]
     # Cells: runs of small leaves, or slices of a large one.  first[leaf], slices[leaf].
     first, slices, at, held = np.zeros(tree.leaves, np.int64), np.ones(tree.leaves, np.int64), 0, 0
     for n, c in enumerate(count):
@@ -233,11 +238,11 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
                 part, out = batch.iloc[s:s + 256], []
                 for i, v, u in zip(part["id"], part["v"], unit(_matrix(part["v"]))):
                     cells: dict[int, list[int]] = {}
-                    rows_seen = 0
+                    ids_seen = 0
                     for n, leaf in enumerate(tree.visit(u)):
-                        if n >= visits and rows_seen > k:
+                        if n >= visits and ids_seen > k:
                             break
-                        rows_seen += count[leaf]
+                        ids_seen += fresh[leaf]
                         for c in range(int(slices[leaf])):
                             cells.setdefault(int(first[leaf]) + c, []).append(leaf)
                     out += [(c, i, v, leaves) for c, leaves in cells.items()]

@@ -258,6 +258,23 @@ def test_ann_defined_cases(spark):
     assert [(r["rank"], r["vec_id"]) for r in sorted(got)] == [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4)]
 
 
+def test_ann_repeated_ids_take_one_place(spark):
+    x = np.random.default_rng(11).normal(size=(40, 6))
+    rows = [(k, v.tolist()) for k, v in enumerate(x) for _ in range(2)]  # each row twice
+    near = ann.cosines(x[0], x)
+    near[0] = -9
+    first, second = (int(k) for k in np.argsort(-near)[:2])
+    rows += [(first, x[first].tolist())] * 12 + [(second, (x[second] * (n + 2)).tolist()) for n in range(12)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"]) for r in ann.search(df, F.col("id") == 0).collect())
+    assert got == list(enumerate(np.argsort(-near)[:5].tolist(), 1))
+    few = spark.createDataFrame([(k, [1.0, k / 10]) for k in range(6) for _ in range(9)], "vec_id bigint, embedding array<double>")
+    assert sorted(r["vec_id"] for r in ann.search(few, F.col("id") == 0).collect()) == [1, 2, 3, 4, 5]
+    ids, v = np.repeat(np.arange(30), 7), np.repeat(x[:30], 7, axis=0)
+    _, found = ann._best(ids, v, 0, x[0], ann.unit(x[:1])[0] @ ann.unit(v).T, 5)
+    assert found.tolist() == np.argsort(-near[:30])[:5].tolist()
+
+
 def test_base_sha_is_of_the_joined_spans():
     assert hashlib.sha256(",".join(plain_spans(SECRETS[5])).encode()).hexdigest()
     assert len(LONG) > 100_000
