@@ -178,6 +178,34 @@ def shortage_runs(calendar: DataFrame, holidays: list[str] | None = None,
     return g.filter(F.col("business_days") >= min_days).drop("island")
 
 
+def whole_shortage_runs(m: Marts, start, end, min_days: int = SHORTAGE_RUN_BUSINESS_DAYS + 1) -> DataFrame:
+    """The runs of ``shortage_runs`` that touch [start, end], each from its first day below however long
+    before ``start``, as known at ``end``.
+
+    A snapshot holds until the pair's next one, so runs are found over these spans
+    and their counts of business days; spans without a business day neither end nor
+    make a run.  A window holds one pair's snapshots, at most one a day."""
+    pair = ["warehouse_id", "product_id"]
+    past = Window.partitionBy(*pair).orderBy("inventory_date", "inventory_id")
+    until = F.lead("inventory_date", 1).over(past)
+    held = in_range(m, "inventory", "inventory_date", "1900-01-01", end).select(
+        *pair, "inventory_date", "inventory_id",
+        F.coalesce(until, F.date_add(F.lit(as_date(end)), 1)).alias("until"),
+        (F.last("quantity_on_hand", ignorenulls=True).over(past)
+         - F.last("quantity_allocated", ignorenulls=True).over(past)).alias("available"))
+    held = held.withColumn("days", business_day_ordinal(F.col("until")) - business_day_ordinal(F.col("inventory_date"))) \
+        .filter("days > 0").join(m.products.select("product_id", "safety_stock"), "product_id") \
+        .withColumn("below", F.coalesce(F.col("available") < F.col("safety_stock"), F.lit(False)))
+    c = held.withColumn("island", F.sum(F.when(F.col("below"), 0).otherwise(1)).over(past)).filter("below")
+    last = F.date_sub("until", 1)
+    first_day = F.date_add("inventory_date", F.expr("CASE dayofweek(inventory_date) WHEN 7 THEN 2 WHEN 1 THEN 1 ELSE 0 END"))
+    last_day = F.date_sub(last, F.when(F.dayofweek(last) == 7, 1).when(F.dayofweek(last) == 1, 2).otherwise(0))
+    g = c.groupBy(*pair, "island").agg(
+        F.min(first_day).alias("run_start"), F.max(last_day).alias("run_end"), F.sum("days").alias("business_days"),
+        F.min("available").alias("lowest_available"), F.first("safety_stock").alias("safety_stock_target"))
+    return g.filter((F.col("business_days") >= min_days) & (F.col("run_end") >= F.lit(as_date(start)))).drop("island")
+
+
 def shortage_exceptions(runs: DataFrame, m: Marts) -> DataFrame:
     """Exception record per shortage run: first date below, lowest
     available, safety target and the SKU's open purchase orders (counted per

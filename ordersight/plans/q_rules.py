@@ -245,7 +245,7 @@ ORACLE["synth_purchase_orders"] = _SYNTH + f""",
 @register("shortage_runs")
 def q_shortage_runs(m):
     """> 3 consecutive business days below safety on available stock."""
-    return R.shortage_runs(synth.inventory_calendar(m, *CUR))
+    return R.whole_shortage_runs(m, *CUR)
 
 
 ORACLE["shortage_runs"] = _CAL_SQL + " SELECT * FROM runs"
@@ -254,7 +254,7 @@ ORACLE["shortage_runs"] = _CAL_SQL + " SELECT * FROM runs"
 @register("shortage_exceptions")
 def q_shortage_exceptions(m):
     """Shortage exception records with the SKU's open PO count."""
-    return R.shortage_exceptions(R.shortage_runs(synth.inventory_calendar(m, *CUR)), m)
+    return R.shortage_exceptions(R.whole_shortage_runs(m, *CUR), m)
 
 
 ORACLE["shortage_exceptions"] = _CAL_SQL + """,

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 from conftest import CUSTOMERS, PRODUCTS, VENDORS, WAREHOUSES, D
 from pyspark.sql import functions as F
 
 from ordersight.operators import policy_rules as R
 from ordersight.operators import service, vendors
+from ordersight.plans import q_rules
 from ordersight.sources import synth
 
 
@@ -70,6 +72,44 @@ def test_available_stock_tiers_and_exceptions(fixture_marts):
     assert ex[1].first_date_below == D("2026-08-03")
 
 
+def test_shortage_runs_reach_back_before_the_month(fixture_marts):
+    rng = random.Random(4)
+    # Product 1: below from 10 June, recovered on 4 August (a run of 1 business day in the month), lowest in July.
+    stock = {(1, D("2026-05-01")): 50, (1, D("2026-06-10")): 9, (1, D("2026-07-06")): 3, (1, D("2026-07-20")): 12,
+             (1, D("2026-08-04")): 60}
+    for p in range(2, 11):
+        for day in rng.sample(range(150), 25):
+            stock[p, D("2026-04-15") + dt.timedelta(days=day)] = rng.choice((5, 12, 18, 19, 20, 45))
+    m = fixture_marts(inventory=[(1, p, day, n, 0) for (p, day), n in stock.items()], products=PRODUCTS,
+                      warehouses=WAREHOUSES, vendors=VENDORS)
+    want = []
+    for p in range(1, 11):
+        run, now, day = [], None, D("2026-04-15")
+        while day <= D("2026-09-01"):
+            now = stock.get((p, day), now)
+            if day.weekday() < 5:
+                if day <= D("2026-08-31") and now is not None and now < 20:
+                    run.append((day, now))
+                else:
+                    if len(run) > 3 and run[-1][0] >= D("2026-08-01"):
+                        want.append((p, run[0][0], run[-1][0], len(run), min(n for _, n in run)))
+                    run = []
+            day += dt.timedelta(days=1)
+    assert want[0] == (1, D("2026-06-10"), D("2026-08-03"), 39, 3)
+    runs = R.whole_shortage_runs(m, "2026-08-01", "2026-08-31")
+    got = sorted((r.product_id, r.run_start, r.run_end, r.business_days, r.lowest_available) for r in runs.collect())
+    assert got == want
+    assert R.shortage_exceptions(runs, m).filter("product_id = 1").first().first_date_below == D("2026-06-10")
+
+
+def test_registered_shortage_queries_are_not_clipped(fixture_marts):
+    inv = [(1, 1, D("1996-05-01"), 50, 0), (1, 1, D("1996-07-01"), 5, 0), (1, 1, D("1996-08-02"), 50, 0)]
+    m = fixture_marts(inventory=inv, products=PRODUCTS, warehouses=WAREHOUSES, vendors=VENDORS)
+    r = q_rules.q_shortage_runs(m).first()
+    assert (r.run_start, r.run_end, r.business_days) == (D("1996-07-01"), D("1996-08-01"), 24)
+    assert q_rules.q_shortage_exceptions(m).first().first_date_below == D("1996-07-01")
+
+
 def test_vendor_target_gap_exact(fixture_marts):
     pos = [po(i, 1, 1, "2026-08-10", "2026-08-10" if i <= 19 else "2026-08-12") for i in range(1, 21)]
     m = fixture_marts(purchase_orders=pos, vendors=VENDORS, products=PRODUCTS, warehouses=WAREHOUSES)
