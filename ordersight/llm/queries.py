@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from ordersight.llm import (ann, fingerprints, langid, mixing, packing, secret_scan, simhash_dedup, suffix_dedup,
-                            toxicity, warc)
+                            toxicity, vector_packing, warc)
 
 QUERIES = {
     "op10_fingerprints": fingerprints.op10_fingerprints,
+    "op11_vector_packing": vector_packing.op11_vector_packing,
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_ann": ann.op2_ann,
     "op3_simhash_dedup": simhash_dedup.op3_simhash_dedup,
