@@ -14,6 +14,7 @@ REDACTIONS = [
 
 # White space as JavaScript's trim and \s see it (fixed values).
 WS = r"[\t\n\x0B\f\r    -     　﻿]"
+SPACES = "\t\n\x0b\x0c\r \xa0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def redact_credentials(c: Column, patterns: list[tuple[str, str]] | None = None) -> Column:

@@ -1,29 +1,38 @@
-"""Heading-aware Markdown chunking as a DataFrame plan.
-
-Lines are numbered rows.  A heading's path is read off windows over the lines
-before it: slot j holds the last heading of level j unless one of a smaller
-level came later.  Lines between headings are put together again into
-sections; a section's blank-line blocks become *units* (a block, or the lines
-and cut pieces of a block over the limit), and one fold over the unit lengths
-gives the places where chunks start.  No Python runs on the executors; all
-rows of a document meet in one shuffle by document.
+"""Heading-aware Markdown chunking over Arrow batches of documents.
+
+A task takes its documents a batch at a time and all lines of a batch together:
+lines, their lengths, blank lines and headings are columns; sections and
+blank-line blocks are runs of lines, found by comparing neighbours; and greedy
+packing is prefix sums, a binary search for the end of a part begun anywhere, and
+jumps from part to part for all sections of the batch at once.  Python sees single
+lines only where they begin with ``#`` or are over the limit.  Documents are rows:
+nothing is shuffled, and a lost executor repeats its own documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.functions.text import WS, js_trim, pad_number
+from ordersight.functions.text import SPACES
 
 # Fixed patterns and values of the chunking contract.
-HEADING = rf"^(#{{1,6}}){WS}+(.+?){WS}*#*{WS}*\z"
 DEFAULT_MAX_CHARACTERS = 1800
 MIN_MAX_CHARACTERS = 200
 SOFT_CUT_FLOOR = 0.55
 OVERVIEW = "Overview"
 PATH_SEPARATOR = " > "
 
+_S = f"[{SPACES}]"
+_HEADING = re.compile(rf"(#{{1,6}}){_S}+([^\n\r\u2028\u2029]+?){_S}*#*{_S}*\Z")
+_SPACES = re.compile(f"{_S}*")
+_MD = re.compile(r"\.md\Z", re.IGNORECASE)
+
 COLUMNS = ("document", "document_title", "section", "chunk_id", "chunk_seq", "text")
 
 
@@ -34,119 +43,182 @@ def validate_max_characters(max_characters) -> int:
     return max_characters
 
 
-def sections(df: DataFrame, document_col: str = "document", markdown_col: str = "markdown") -> DataFrame:
-    """(document, document_title, section_no, section, text) of every section with text.
-
-    The last H1 titles all sections of its document (without one: the file name
-    without ``.md``, underscores as spaces) and opens an "Overview" section."""
-    doc = F.col(document_col)
-    lines = df.select(doc.alias("document"), F.posexplode(
-        F.split(F.coalesce(F.col(markdown_col), F.lit("")), r"\r?\n", -1)).alias("pos", "line"))
-    lines = lines.select("document", "pos", "line", F.length(F.regexp_extract("line", HEADING, 1)).alias("level"),
-                         js_trim(F.regexp_extract("line", HEADING, 2)).alias("name"))
-    w = Window.partitionBy("document").orderBy("pos")
-    level, name = F.col("level"), F.col("name")
-
-    def slot(j: int) -> Column:
-        """Name of the heading that stands at level j above this line ('' for a skipped level)."""
-        last = F.last(F.when((level > 0) & (level <= j), F.struct("level", "name")), ignorenulls=True).over(
-            w.rowsBetween(Window.unboundedPreceding, -1))
-        return F.when(last["level"] == j, last["name"]).otherwise(F.lit(""))
-
-    path = F.when(level == 1, F.lit(OVERVIEW)).when(level > 1, F.array_join(F.concat(
-        F.slice(F.array(*[slot(j) for j in range(2, 6)]), F.lit(1), F.greatest(level - 2, F.lit(0))),
-        F.array(name)), PATH_SEPARATOR))
-    lines = lines.select(
-        "document", "pos", "line", "level", path.alias("path"),
-        F.sum((level > 0).cast("int")).over(w).alias("section_no"),
-        F.max_by(F.when(level == 1, name), F.when(level == 1, F.col("pos"))).over(
-            Window.partitionBy("document")).alias("title"))
-    body = F.transform(F.array_sort(F.collect_list(F.when(level == 0, F.struct("pos", "line")))), lambda x: x["line"])
-    found = lines.groupBy("document", "section_no").agg(
-        F.max("path").alias("section"), F.max("title").alias("title"), js_trim(F.array_join(body, "\n")).alias("text"))
-    file_name = F.replace(F.regexp_replace("document", r"(?i)\.md\z", ""), F.lit("_"), F.lit(" "))
-    return found.where(F.col("text") != "").select(
-        "document", F.coalesce("title", file_name).alias("document_title"), "section_no",
-        F.coalesce("section", F.lit(OVERVIEW)).alias("section"), "text")
-
-
-def pieces_of_line(line: Column, limit: int) -> Column:
-    """A line over the limit (no white space at its end) in pieces: up to the last space at or before
-    the limit, or up to the limit if that space comes before ``SOFT_CUT_FLOOR`` of it; the rest is trimmed."""
-    cut = rf"(?:.{{{int(limit * SOFT_CUT_FLOOR)},{limit}}}(?= )|.{{{limit}}})"
-    pattern = rf"(?s)\A{cut}|\G(?!\A){WS}*(?:(?=.{{{limit + 1}}}){cut}|.+)"
-    found = F.transform(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), js_trim)
-    return F.filter(found, lambda x: x != "")
-
-
-def _unit(s: Column, alone: bool = False, closed: bool = False) -> Column:
-    return F.struct(s.alias("s"), F.lit(alone).alias("alone"), F.lit(closed).alias("closed"))
-
-
-def line_units(line: Column, limit: int) -> Column:
-    """A line as units: itself, or the pieces it is cut into.  Every piece opens a part; lines that
-    follow may join the last one, unless only white space took the line over the limit."""
-    bare = F.regexp_replace(line, rf"{WS}+\z", "")
-    return (F.when(F.length(line) <= limit, F.array(_unit(line)))
-            .when(F.length(bare) <= limit, F.array(_unit(bare, True, True)))
-            .otherwise(F.transform(pieces_of_line(bare, limit), lambda p: _unit(p, True))))
-
-
-def starts(units: Column, gap: int, limit: int) -> Column:
-    """Indices (from 0) of the units that open a new chunk when units are joined greedily with ``gap``
-    characters between them; the state grows by one number per chunk, not per unit.
-
-    A unit is a struct of ``s`` text, ``alone`` (it opens a chunk) and ``closed`` (the next one does)."""
-    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.lit(True).alias("open"),
-                     F.array().cast("array<int>").alias("at"))
-
-    def step(acc: Column, u: Column) -> Column:
-        n = F.length(u["s"])
-        new = acc["open"] | u["alone"] | ((acc["size"] > 0) & (acc["size"] + gap + n > limit))
-        return F.struct((acc["i"] + 1).alias("i"),
-                        F.when(new, n).otherwise(acc["size"] + gap + n).alias("size"),
-                        u["closed"].alias("open"),
-                        F.when(new, F.array_append(acc["at"], acc["i"])).otherwise(acc["at"]).alias("at"))
-
-    return F.aggregate(units, state, step)["at"]
-
-
-def packed(df: DataFrame, gap: str, limit: int) -> DataFrame:
-    """``df`` with its ``units`` column replaced by ``parts``: greedily joined units, trimmed, without empty
-    ones.  Each step is a column of its own, so no fold is evaluated twice."""
-    df = df.withColumn("at", starts(F.col("units"), len(gap), limit))
-    ends = F.concat(F.slice("at", 2, F.greatest(F.size("at") - 1, F.lit(0))), F.array(F.size("units")))
-    df = df.withColumn("ranges", F.arrays_zip(F.col("at").alias("a"), ends.alias("b")))
-    parts = F.transform("ranges", lambda r: js_trim(F.array_join(F.transform(
-        F.slice("units", r["a"] + 1, r["b"] - r["a"]), lambda u: u["s"]), gap)))
-    return df.withColumn("parts", F.filter(parts, lambda p: p != "")).drop("units", "at", "ranges")
+def greedy_starts(length: np.ndarray, opens: np.ndarray, gap: int, limit: int) -> np.ndarray:
+    """Mask of the units that begin a part when units are joined greedily, ``gap`` characters apart, up to ``limit``.
+
+    ``opens`` marks the units that begin a part in any case.  With prefix sums the unit at which a part begun
+    anywhere would end is one binary search; the parts are the jumps from each opening unit, all at once."""
+    n = len(length)
+    total = np.r_[0, np.cumsum(length + gap)]
+    at = np.flatnonzero(opens)
+    end = np.r_[at, n][np.searchsorted(at, np.arange(n), side="right")]
+    after = np.searchsorted(total, total[:-1] + limit + gap, side="right") - 1
+    after = np.minimum(np.maximum(after, np.arange(1, n + 1)), end)
+    begin = np.zeros(n, bool)
+    while len(at):
+        begin[at] = True
+        at = after[at]
+        at = at[at < n]
+        at = at[~opens[at]]
+    return begin
+
+
+def _joined(texts: list[str], begin: np.ndarray, gap: str) -> list[str]:
+    cuts = [*np.flatnonzero(begin).tolist(), len(texts)]
+    return [texts[a] if b - a == 1 else gap.join(texts[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+class _Cutter:
+    """A line over the limit in pieces: up to the last space at or before the limit, or up to the limit if
+    that space comes before ``SOFT_CUT_FLOOR`` of it; pieces are trimmed, empty ones dropped."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.cut = re.compile(rf"(?s:.{{{int(limit * SOFT_CUT_FLOOR)},{limit}}}(?= )|.{{{limit}}})")
+
+    def __call__(self, line: str) -> list[str]:
+        out, at = [], 0
+        while len(line) - at > self.limit:
+            end = self.cut.match(line, at).end()
+            out.append(line[at:end].strip(SPACES))
+            at = _SPACES.match(line, end).end()
+        return [p for p in [*out, line[at:]] if p]
+
+
+def _headings(lines: pa.Array, row: np.ndarray):
+    """(line numbers, levels, names) of the headings among the lines; few lines begin with ``#``."""
+    found = [(i, _HEADING.match(text)) for i, text in
+             ((i, lines[i].as_py()) for i in np.flatnonzero(pc.starts_with(lines, "#").to_numpy(zero_copy_only=False)))]
+    found = [(int(i), len(m[1]), m[2].strip(SPACES)) for i, m in found if m]
+    return found
+
+
+def _paths(headings, row: np.ndarray) -> tuple[dict[int, str], dict[int, str]]:
+    """(path by heading line, last H1 by row).  A path names the last heading of every level above, a skipped
+    level is empty."""
+    paths, titles, slots, of = {}, {}, [""] * 7, -1
+    for line, level, name in headings:
+        if row[line] != of or level == 1:
+            slots, of = [""] * 7, row[line]
+        if level == 1:
+            titles[int(of)] = name
+            paths[line] = OVERVIEW
+        else:
+            slots[level:] = [""] * (7 - level)
+            slots[level] = name
+            paths[line] = PATH_SEPARATOR.join(slots[2:level + 1])
+    return paths, titles
+
+
+def chunk_batch(documents: pa.Array, markdown: pa.Array, limit: int) -> pa.RecordBatch:
+    """The chunks of a batch of documents, all lines of the batch at a time."""
+    split = pc.split_pattern(pc.replace_substring(pc.fill_null(markdown.cast(pa.large_string()), ""), "\r\n", "\n"), "\n")
+    row = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
+    lines = split.flatten()
+    headings = _headings(lines, row)
+    paths, titles = _paths(headings, row)
+    is_heading = np.zeros(len(row), bool)
+    is_heading[list(paths)] = True
+    # Sections open at headings and at the first line of a document; blocks are runs of lines that aren't blank.
+    section = np.cumsum(is_heading | np.r_[True, row[1:] != row[:-1]])
+    blank = pc.equal(pc.utf8_trim(lines, SPACES), "").to_numpy(zero_copy_only=False)
+    body = np.flatnonzero(~is_heading & ~blank)
+    first = np.r_[True, (np.diff(body) > 1) | (np.diff(section[body]) > 0)][:len(body)]
+    last = np.r_[first[1:], True][:len(body)]
+    text = lines.take(pa.array(body))
+    text = pc.if_else(pa.array(first), pc.utf8_ltrim(text, SPACES), text)
+    text = pc.if_else(pa.array(last), pc.utf8_rtrim(text, SPACES), text)
+    size = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+    texts = text.to_pylist()
+    begin = np.flatnonzero(first)
+    stop = np.r_[begin[1:], len(body)]
+    total = np.r_[0, np.cumsum(size + 1)]
+    block_size = total[stop] - total[begin] - 1
+    long_parts = _long_blocks(texts, size, begin, stop, np.flatnonzero(block_size > limit), limit)
+    # Units: blocks, or the parts of a long block.
+    units: list[str] = []
+    count = np.ones(len(begin), np.int64)
+    lengths: list[int] = []
+    for b, (a, e, n) in enumerate(zip(begin.tolist(), stop.tolist(), block_size.tolist())):
+        if n > limit:
+            units += long_parts[b]
+            lengths += map(len, long_parts[b])
+            count[b] = len(long_parts[b])
+        else:
+            units.append(texts[a] if e - a == 1 else "\n".join(texts[a:e]))
+            lengths.append(n)
+    unit_line = np.repeat(body[begin], count)
+    unit_section = section[unit_line]
+    opens = np.r_[True, unit_section[1:] != unit_section[:-1]][:len(units)]
+    starts = greedy_starts(np.array(lengths, np.int64), opens, 2, limit)
+    chunk_line = unit_line[starts]
+    chunk_row = row[chunk_line]
+    new_row = np.r_[True, chunk_row[1:] != chunk_row[:-1]][:len(chunk_row)]
+    at = np.arange(len(chunk_row))
+    seq = at - np.maximum.accumulate(np.where(new_row, at, 0)) + 1
+    opened = np.array([p for p, _, _ in headings], np.int64)
+    which = np.searchsorted(opened, chunk_line, side="right") - 1
+    names = documents.to_pylist()
+    out_names = [names[r] for r in chunk_row.tolist()]
+    default = {r: _MD.sub("", names[r] or "").replace("_", " ") for r in set(chunk_row.tolist()) - titles.keys()}
+    heads = [titles[r] if r in titles else default[r] for r in chunk_row.tolist()]
+    # A heading of an earlier document is no section of this one.
+    where = [paths[opened[w]] if w >= 0 and row[opened[w]] == r else OVERVIEW
+             for w, r in zip(which.tolist(), chunk_row.tolist())]
+    ids = [None if d is None else f"{d}#{n:04d}" for d, n in zip(out_names, seq.tolist())]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(out_names, pa.string()), pa.array(heads, pa.string()), pa.array(where, pa.string()),
+         pa.array(ids, pa.string()), pa.array(seq.astype(np.int32)), pa.array(_joined(units, starts, "\n\n"), pa.string())],
+        list(COLUMNS))
+
+
+def _long_blocks(texts, size, begin, stop, blocks, limit) -> dict[int, list[str]]:
+    """The parts of the blocks over the limit: their lines joined greedily, lines over the limit in pieces.
+
+    Every piece opens a part, and lines that follow may join a line's last one, unless only white space
+    took the line over the limit."""
+    cutter, units, opens, of = _Cutter(limit), [], [], []
+    for b in blocks.tolist():
+        fresh = True
+        for k in range(begin[b], stop[b]):
+            line, closed = texts[k], False
+            if size[k] > limit:
+                line = line.rstrip(SPACES)
+                closed = len(line) <= limit
+                pieces = [line] if closed else cutter(line)
+                opens += [True] * len(pieces)
+            else:
+                pieces = [line]
+                opens.append(fresh)
+            units += pieces
+            of += [b] * len(pieces)
+            fresh = closed
+    starts = greedy_starts(np.array([len(u) for u in units], np.int64), np.array(opens, bool), 1, limit)
+    out: dict[int, list[str]] = {b: [] for b in blocks.tolist()}
+    for b, part in zip(np.array(of, np.int64)[starts].tolist(), _joined(units, starts, "\n")):
+        part = part.strip(SPACES)
+        if part:
+            out[b].append(part)
+    return out
 
 
 def chunk_documents(df: DataFrame, document_col: str = "document", markdown_col: str = "markdown",
                     max_characters: int = DEFAULT_MAX_CHARACTERS) -> DataFrame:
-    """Chunks of every (document, markdown) row, numbered ``document#0001`` onward."""
+    """Chunks of every (document, markdown) row, numbered ``document#0001`` onward.
+
+    Rows are chunked each by itself, whatever they are named: of two documents of one name each keeps its own
+    title, sections and numbers."""
     limit = validate_max_characters(max_characters)
-    found = sections(df, document_col, markdown_col)
-    keys = ["document", "section_no"]
-    blocks = found.select(*keys, "document_title", "section", F.posexplode(
-        F.split("text", rf"\n{WS}*\n", -1)).alias("block_no", "block"))
-    blocks = blocks.withColumn("block", js_trim(F.col("block"))).where("block <> ''")
-    # Blocks over the limit become parts of whole lines and cut pieces.
-    units = F.when(F.length("block") <= limit, F.array(_unit(F.col("block")))).otherwise(
-        F.flatten(F.transform(F.split("block", "\n", -1), lambda x: line_units(x, limit))))
-    blocks = packed(blocks.withColumn("units", units), "\n", limit)
-    # A section's parts in order, packed into chunks joined by a blank line.
-    parts = blocks.select(*keys, "document_title", "section", "block_no", F.posexplode("parts").alias("part_no", "part"))
-    ordered = F.array_sort(F.collect_list(F.struct("block_no", "part_no", "part")))
-    whole = parts.groupBy(*keys).agg(F.first("document_title").alias("document_title"),
-                                     F.first("section").alias("section"), ordered.alias("parts"))
-    whole = whole.withColumn("units", F.transform("parts", lambda p: _unit(p["part"]))).drop("parts")
-    chunks = packed(whole, "\n\n", limit).select(
-        *keys, "document_title", "section", F.posexplode("parts").alias("part_no", "text"))
-    order = Window.partitionBy("document").orderBy("section_no", "part_no")
-    chunks = chunks.withColumn("chunk_seq", F.row_number().over(order))
-    return chunks.withColumn("chunk_id", F.concat("document", F.lit("#"), pad_number(F.col("chunk_seq"), 4))).select(
-        *COLUMNS)
+
+    def run(batches):
+        for batch in batches:
+            out = chunk_batch(batch.column(0), batch.column(1), limit)
+            if out.num_rows:
+                yield out
+
+    schema = "document string, document_title string, section string, chunk_id string, chunk_seq int, text string"
+    return df.select(F.col(document_col).cast("string").alias("document"),
+                     F.col(markdown_col).cast("string").alias("markdown")).mapInArrow(run, schema)
 
 
 def documents_as_markdown(documents: DataFrame) -> DataFrame:

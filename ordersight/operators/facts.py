@@ -64,11 +64,12 @@ def line_facts(m: Marts, start=None, end=None) -> DataFrame:
 
     Aggregated before any join: the partial aggregate runs in the scan tasks,
     so only one row per (order, task) is shuffled even if one order holds a
-    third of all lines.  ``order_lines_in`` lets a month-partitioned store
-    prune line partitions to the date range; on raw tables the later join
-    with the filtered orders lets Spark inject a runtime bloom filter into
-    the line scan, below this aggregate."""
-    lines = m.order_lines_in(start, end) if start is not None and hasattr(m, "order_lines_in") else m.order_lines
+    third of all lines.  A store keeps these facts by month, bucketed like the
+    orders; on raw tables the later join with the filtered orders lets Spark
+    inject a runtime bloom filter into the line scan, below this aggregate."""
+    if hasattr(m, "line_facts_in"):
+        return m.line_facts_in(start, end)
+    lines = m.order_lines
     short = F.col("quantity_shipped") < F.col("quantity_ordered")
     return lines.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("line_count"),

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordersight.functions.metrics import pct_tenths
-from ordersight.functions.windows import previous_values
-from ordersight.operators.facts import as_date, filtered_orders, in_range, line_facts, po_facts
+from ordersight.functions.scan import ordered_scan
+from ordersight.operators import stock
+from ordersight.operators.facts import filtered_orders, in_range, line_facts, po_facts
 from ordersight.sources.marts import Marts
 
 # Fixed policy thresholds.
@@ -109,18 +110,14 @@ def vendor_repeat_failure(m: Marts) -> DataFrame:
 
 def consecutive_late(m: Marts, critical_products: list[int] | None = None) -> DataFrame:
     """Two consecutive late deliveries for a vendor x product, in
-    (expected date, po id) order.  The predecessor comes from a skew-safe
-    ``lag`` (``functions.windows.previous_values``) bucketed by day: buckets
-    per pair are bounded by the calendar, rows per bucket by one pair's POs
-    on one day."""
+    (expected date, po id) order.  The predecessor comes from an ordered scan,
+    so a pair that holds a third of all POs is spread over many tasks."""
     po = m.purchase_orders
     if critical_products:
         po = po.filter(F.col("product_id").isin(*critical_products))
     po = po.select("po_id", "vendor_id", "product_id", "expected_delivery_date",
                    (F.col("actual_delivery_date") > F.col("expected_delivery_date")).alias("late"))
-    bucket = F.datediff(F.col("expected_delivery_date"), F.lit(dt.date(1970, 1, 1))).cast("bigint")
-    p = previous_values(po, ["vendor_id", "product_id"], ["expected_delivery_date", "po_id"],
-                        ["po_id", "late"], bucket)
+    p = ordered_scan(po, ["vendor_id", "product_id"], ["expected_delivery_date", "po_id"], lag=["po_id", "late"])
     return p.filter(F.col("late") & F.col("previous_late")).select(
         "vendor_id", "product_id", "po_id", F.col("previous_po_id"), "expected_delivery_date")
 
@@ -138,72 +135,14 @@ def inventory_alert_tier(m: Marts, start, end) -> DataFrame:
                     "available", F.col("safety_stock").alias("safety_stock_target"), tier.alias("tier"))
 
 
-def business_day_ordinal(d: Column, holidays: list[str] | None = None) -> Column:
-    """Count of business days (Mon-Fri, minus listed holidays) since a fixed
-    Monday: consecutive business days get consecutive ordinals."""
-    days = F.datediff(d, F.lit(dt.date(1970, 1, 5)))        # 1970-01-05 is a Monday
-    weeks = F.floor(days / 7)
-    dow = days - weeks * 7
-    ordinal = weeks * 5 + F.least(dow, F.lit(5))
-    for h in holidays or []:
-        ordinal = ordinal - F.when(d > F.lit(as_date(h)), 1).otherwise(0)
-    return ordinal.cast("bigint")
-
-
-def is_business_day(d: Column, holidays: list[str] | None = None) -> Column:
-    wd = F.dayofweek(d)                                      # 1 = Sunday, 7 = Saturday
-    ok = (wd != 1) & (wd != 7)
-    if holidays:
-        ok = ok & ~d.isin(*[as_date(h) for h in holidays])
-    return ok
-
-
-def shortage_runs(calendar: DataFrame, holidays: list[str] | None = None,
+def shortage_runs(m: Marts, start, end, state: DataFrame | None = None, holidays: list[str] | None = None,
                   min_days: int = SHORTAGE_RUN_BUSINESS_DAYS + 1) -> DataFrame:
-    """Runs of consecutive business days with available stock below
-    safety stock, kept when longer than 3 business days.
-
-    Gaps and islands: business-day ordinal minus the row number among the
-    pair's below-safety business days is constant within a run.  Groups are
-    (warehouse, product) pairs over a dense calendar of the requested range,
-    so each window group is bounded by the number of days in the range."""
-    c = calendar.filter(is_business_day(F.col("calendar_date"), holidays)) \
-        .filter(F.col("available") < F.col("safety_stock"))
-    w = Window.partitionBy("warehouse_id", "product_id").orderBy("calendar_date")
-    c = c.withColumn("island", business_day_ordinal(F.col("calendar_date"), holidays) - F.row_number().over(w))
-    g = c.groupBy("warehouse_id", "product_id", "island").agg(
-        F.min("calendar_date").alias("run_start"), F.max("calendar_date").alias("run_end"),
-        F.count(F.lit(1)).alias("business_days"), F.min("available").alias("lowest_available"),
-        F.first("safety_stock").alias("safety_stock_target"))
-    return g.filter(F.col("business_days") >= min_days).drop("island")
-
-
-def whole_shortage_runs(m: Marts, start, end, min_days: int = SHORTAGE_RUN_BUSINESS_DAYS + 1) -> DataFrame:
-    """The runs of ``shortage_runs`` that touch [start, end], each from its first day below however long
-    before ``start``, as known at ``end``.
-
-    A snapshot holds until the pair's next one, so runs are found over these spans
-    and their counts of business days; spans without a business day neither end nor
-    make a run.  A window holds one pair's snapshots, at most one a day."""
-    pair = ["warehouse_id", "product_id"]
-    past = Window.partitionBy(*pair).orderBy("inventory_date", "inventory_id")
-    until = F.lead("inventory_date", 1).over(past)
-    held = in_range(m, "inventory", "inventory_date", "1900-01-01", end).select(
-        *pair, "inventory_date", "inventory_id",
-        F.coalesce(until, F.date_add(F.lit(as_date(end)), 1)).alias("until"),
-        (F.last("quantity_on_hand", ignorenulls=True).over(past)
-         - F.last("quantity_allocated", ignorenulls=True).over(past)).alias("available"))
-    held = held.withColumn("days", business_day_ordinal(F.col("until")) - business_day_ordinal(F.col("inventory_date"))) \
-        .filter("days > 0").join(m.products.select("product_id", "safety_stock"), "product_id") \
-        .withColumn("below", F.coalesce(F.col("available") < F.col("safety_stock"), F.lit(False)))
-    c = held.withColumn("island", F.sum(F.when(F.col("below"), 0).otherwise(1)).over(past)).filter("below")
-    last = F.date_sub("until", 1)
-    first_day = F.date_add("inventory_date", F.expr("CASE dayofweek(inventory_date) WHEN 7 THEN 2 WHEN 1 THEN 1 ELSE 0 END"))
-    last_day = F.date_sub(last, F.when(F.dayofweek(last) == 7, 1).when(F.dayofweek(last) == 1, 2).otherwise(0))
-    g = c.groupBy(*pair, "island").agg(
-        F.min(first_day).alias("run_start"), F.max(last_day).alias("run_end"), F.sum("days").alias("business_days"),
-        F.min("available").alias("lowest_available"), F.first("safety_stock").alias("safety_stock_target"))
-    return g.filter((F.col("business_days") >= min_days) & (F.col("run_end") >= F.lit(as_date(start)))).drop("island")
+    """Runs of more than 3 consecutive business days (weekends and ``holidays`` are none) with available stock
+    below safety stock that touch [start, end].
+
+    A run counts from its first day below, however long before ``start``.  ``state`` is the stock state at
+    ``start`` (``StoredMarts.stock_state``, made with the same holidays); without it the history is read."""
+    return stock.shortage_runs(m, start, end, min_days, state, holidays)
 
 
 def shortage_exceptions(runs: DataFrame, m: Marts) -> DataFrame:

@@ -4,9 +4,11 @@ run over whole tables and reported as violation counts."""
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ordersight.sources.marts import Marts
@@ -83,58 +85,130 @@ def table_counts(m: Marts) -> DataFrame:
 
 
 def duplicate_keys(m: Marts) -> DataFrame:
-    """Q1: per key constraint, keys occurring more than once and the excess
-    rows.  Each check is one partial+final aggregate on the key."""
-    out = []
-    for table, keys in UNIQUE_KEYS:
-        g = m.mart(table).groupBy(*keys).count().filter(F.col("count") > 1)
-        out.append(g.agg(F.count(F.lit(1)).alias("duplicated_keys"),
-                         F.coalesce(F.sum(F.col("count") - 1), F.lit(0).cast("bigint")).alias("excess_rows"))
-                   .select(F.lit(table).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"),
-                           "duplicated_keys", "excess_rows"))
-    return _union(out)
+    """Q1: per key constraint, keys occurring more than once and the excess rows.
 
-
-def null_violations(m: Marts) -> DataFrame:
-    """Q2: NULL count of every NOT NULL column, one pass per table, then
-    unpivoted to (table_name, column_name, null_count)."""
-    out = []
+    Every mart is scanned once: a row gives one (constraint, key) row per key constraint of its table, all go
+    through one aggregate.  Keys are up to three integers (dates as day numbers) or a text."""
+    streams, day = [], F.lit("1970-01-01").cast("date")
     for table in m.MART_NAMES:
         df = m.mart(table)
-        cols = [c for c in df.columns if c not in NULLABLE.get(table, set())]
-        wide = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
-        out.append(wide.unpivot([], cols, "column_name", "null_count")
-                   .select(F.lit(table).alias("table_name"), "column_name", "null_count"))
-    return _union(out)
+        kind = dict(df.dtypes)
+        rows = []
+        for n, (t, keys) in enumerate(UNIQUE_KEYS):
+            if t == table:
+                whole = [F.datediff(k, day) if kind[k] == "date" else F.col(k) for k in keys if kind[k] != "string"]
+                text = [F.col(k) for k in keys if kind[k] == "string"]
+                parts = [c.cast("bigint") for c in whole] + [F.lit(None).cast("bigint")] * (3 - len(whole))
+                rows.append(F.struct(F.lit(n).alias("n"), *[c.alias(f"k{i}") for i, c in enumerate(parts)],
+                                     (text[0] if text else F.lit(None).cast("string")).alias("t")))
+        streams.append(df.select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
+    many = _union(streams).groupBy("n", "k0", "k1", "k2", "t").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    found = many.groupBy("n").agg(F.count(F.lit(1)).alias("dup"), F.sum(F.col("rows") - 1).alias("excess"))
+    names = m.spark.createDataFrame([(n, t, ",".join(k)) for n, (t, k) in enumerate(UNIQUE_KEYS)],
+                                    "n int, table_name string, key_columns string")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    return names.join(found, "n", "left").select("table_name", "key_columns", zero("dup").alias("duplicated_keys"),
+                                                 zero("excess").alias("excess_rows"))
+
+
+def constraint_metrics(table: str, columns: list[str], family: str | None = None) -> dict[tuple[str, str], Column]:
+    """(family, name) -> aggregate that counts a table's rows, NULLs and rule violations."""
+    out = {("rows", table): F.count(F.lit(1))}
+    out |= {("null", c): F.count_if(F.col(c).isNull()) for c in columns if c not in NULLABLE.get(table, set())}
+    out |= {("check", name): F.count_if(~rule) for name, rule in check_rules().get(table, [])}
+    return {k: v for k, v in out.items() if family in (None, k[0])}
+
+
+def observed(df: DataFrame, table: str, family: str | None = None) -> tuple[DataFrame, Observation, list]:
+    """``df`` that counts its violations on the way to wherever it is written (``DataFrame.observe``): no scan, no
+    shuffle and no job beside the write itself.  The observation's metric ``m<i>`` is the i-th of the list."""
+    metrics = constraint_metrics(table, df.columns, family)
+    obs = Observation(f"{table}-{uuid.uuid4().hex}")
+    return df.observe(obs, *[c.alias(f"m{i}") for i, c in enumerate(metrics.values())]), obs, list(metrics)
+
+
+def measure(m: Marts, family: str | None = None) -> list[tuple[str, str, str, int]]:
+    """(table, family, name, count) of all constraints of a family ("rows", "null", "check"; None: all), from one pass
+    over each mart that reads just the columns it counts.  A fixed number of counts per mart reaches the driver."""
+    rules = check_rules()
+
+    def one(table: str):
+        df = m.mart(table)
+        if family == "check":
+            if table not in rules:
+                return []
+            used = [c for c in df.columns if any(c in str(rule) for _, rule in rules[table])]
+            df = df.select(*used)
+        watched, obs, names = observed(df, table, family)
+        watched.write.format("noop").mode("overwrite").save()
+        got = obs.get
+        return [(table, kind, name, int(got[f"m{i}"])) for i, (kind, name) in enumerate(names)]
+
+    with ThreadPoolExecutor(4) as pool:
+        return [row for rows in pool.map(one, m.MART_NAMES) for row in rows]
+
+
+def _measured(m: Marts, family: str, name: str, count: str) -> DataFrame:
+    rows = [(t, n, k) for t, _, n, k in measure(m, family)]
+    return m.spark.createDataFrame(rows, f"table_name string, {name} string, {count} bigint")
+
+
+def null_violations(m: Marts) -> DataFrame:
+    """Q2: NULL count of every NOT NULL column, one observed pass per table."""
+    return _measured(m, "null", "column_name", "null_count")
 
 
 def check_violations(m: Marts) -> DataFrame:
-    """Q3: rows violating each CHECK rule, one pass per table."""
-    out = []
-    for table, rules in check_rules().items():
-        df = m.mart(table)
-        wide = df.agg(*[F.count_if(~rule).alias(f"r{i}") for i, (_, rule) in enumerate(rules)])
-        stacked = wide.select(F.explode(F.array(*[
-            F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("violations"))
-            for i, (name, _) in enumerate(rules)])).alias("x"))
-        out.append(stacked.select(F.lit(table).alias("table_name"), "x.rule", "x.violations"))
-    return _union(out)
+    """Q3: rows violating each CHECK rule, one observed pass per table."""
+    return _measured(m, "check", "rule", "violations")
+
+
+def constraint_suite(m: Marts) -> DataFrame:
+    """Q1-Q4 in one table (check, table_name, subject, violations): row counts, NULLs and rules from one observed
+    pass over each mart, keys and foreign keys from one stacked pass each."""
+    spark = m.spark
+    labels = {"rows": "row_count", "null": "not_null", "check": "check"}
+    found = spark.createDataFrame([(labels[f], t, t if f == "rows" else n, k) for t, f, n, k in measure(m)],
+                                  "check string, table_name string, subject string, violations bigint")
+    keys = duplicate_keys(m).select(F.lit("unique").alias("check"), "table_name", F.col("key_columns").alias("subject"),
+                                    F.col("excess_rows").alias("violations"))
+    fks = fk_violations(m).select(F.lit("foreign_key").alias("check"), F.col("child_table").alias("table_name"),
+                                  F.concat("column_name", F.lit(" -> "), "parent_table").alias("subject"), "violations")
+    return _union([found, keys, fks])
 
 
 def fk_violations(m: Marts) -> DataFrame:
     """Child rows whose foreign key has no parent.
 
-    Child keys are pre-aggregated (distinct key + row count) before the
-    left-anti join, so a hot key is one row, not a third of the table."""
-    out = []
-    for child, col, parent, pcol in FOREIGN_KEYS:
-        keys = m.mart(child).filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-        parents = m.mart(parent).select(F.col(pcol).alias(col))
-        orphan = keys.join(parents, col, "left_anti")
-        out.append(orphan.agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("violations"))
-                   .select(F.lit(child).alias("child_table"), F.lit(col).alias("column_name"),
-                           F.lit(parent).alias("parent_table"), "violations"))
-    return _union(out)
+    Every mart is scanned once: a row gives one (relationship, key) row for each foreign key it holds and each
+    relationship it is the parent of; one aggregate, combined before the shuffle, counts the children of a key and
+    whether it has a parent, so a hot key is one row per task.  Over a store, lines and orders meet in their
+    buckets instead, without an exchange on order_id."""
+    bucketed = hasattr(m, "line_facts_in")
+    in_buckets = ("order_lines", "order_id", "orders", "order_id")
+    streams = []
+    for table in m.MART_NAMES:
+        rows = []
+        for n, fk in enumerate(FOREIGN_KEYS):
+            child, col, parent, pcol = fk
+            if bucketed and fk == in_buckets:
+                continue
+            for side, key in ((0, col if child == table else None), (1, pcol if parent == table else None)):
+                if key:
+                    rows.append(F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), F.col(key).cast("bigint").alias("k")))
+        if rows:
+            streams.append(m.mart(table).select(F.explode(F.array(*rows)).alias("x")).select("x.*"))
+    keys = _union(streams).filter("k IS NOT NULL").groupBy("n", "k").agg(
+        F.count_if(F.col("side") == 0).alias("children"), F.max("side").alias("parent"))
+    found = keys.filter("parent = 0").groupBy("n").agg(F.sum("children").alias("violations"))
+    if bucketed:
+        orphans = m.line_facts_in().join(m.orders.select("order_id"), "order_id", "left_anti").filter("order_id IS NOT NULL")
+        found = found.unionByName(orphans.agg(F.sum("line_count").alias("violations")).select(
+            F.lit(FOREIGN_KEYS.index(in_buckets)).alias("n"), "violations"))
+    names = m.spark.createDataFrame([(n, c, col, p) for n, (c, col, p, _) in enumerate(FOREIGN_KEYS)],
+                                    "n int, child_table string, column_name string, parent_table string")
+    return names.join(found, "n", "left").select(
+        "child_table", "column_name", "parent_table", F.coalesce("violations", F.lit(0).cast("bigint")).alias("violations"))
 
 
 DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"

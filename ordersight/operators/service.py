@@ -10,6 +10,7 @@ from ordersight.functions.metrics import cents_to_amount, pct, pct_tenths
 from ordersight.functions.shape import result_json
 from ordersight.operators.facts import as_date, filtered_orders, order_facts
 from ordersight.sources.marts import Marts
+from ordersight.sources.scratch import written
 
 
 def otif_metrics(m: Marts, start, end, warehouse_id: int | None = None,
@@ -60,6 +61,28 @@ def warehouse_performance(m: Marts, start, end) -> DataFrame:
                     z("partial_shipment_count").alias("partial_shipment_count")).orderBy("warehouse_id")
 
 
+def service_groups(m: Marts, start, end) -> DataFrame:
+    """Order counts in all, by site and by customer from ONE pass over the order facts (GROUPING SETS), with
+    ``kind`` "all", "site" or "customer".  Every warehouse adds a row that counts no order, so idle ones are groups
+    too, and have their names.  Written, so that all that is read from it shares the pass."""
+    site, customer = "warehouse_id", "customer_id"
+    flags = ["on_time", "in_full", "otif", "otif_lenient", "late", "has_short"]
+    f = order_facts(m, start, end).select(
+        site, customer, F.lit(1).alias("orders"), *[F.col(c).cast("int").alias(c) for c in flags],
+        F.when(F.col("affected"), F.col("order_value_cents")).alias("cents"), F.lit(None).cast("string").alias("name"))
+    sites = m.warehouses.select(site, F.lit(None).cast("bigint").alias(customer), F.lit(0).alias("orders"),
+                                *[F.lit(0).alias(c) for c in flags], F.lit(None).cast("bigint").alias("cents"),
+                                F.col("warehouse_name").alias("name"))
+    g = f.unionByName(sites).groupingSets([[site], [customer], []], site, customer).agg(
+        F.grouping_id().alias("level"), *[F.sum(c).cast("bigint").alias(c) for c in ["orders", *flags, "cents"]],
+        F.max("name").alias("name"))
+    kind = F.when(F.col("level") == 3, "all").when(F.col("level") == 1, "site").otherwise("customer")
+    # The sites' own rows have no customer, and orders of an unknown site have no name.
+    kept = (F.col("kind") == "all") | F.col("name").isNotNull() & (F.col("kind") == "site") \
+        | (F.col("kind") == "customer") & (F.col("orders") > 0)
+    return written(g.withColumn("kind", kind).filter(kept).drop("level"), "service-groups")
+
+
 def customer_impact(m: Marts, start, end, warehouse_id: int | None = None) -> DataFrame:
     """Per customer with orders in range (inner join), lenient OTIF.
 
@@ -107,7 +130,9 @@ def orders_in_range(m: Marts, start, end) -> DataFrame:
 
 
 def _short_line_orders(m: Marts, start, end) -> DataFrame:
-    lines = m.order_lines_in(start, end) if hasattr(m, "order_lines_in") else m.order_lines
+    if hasattr(m, "line_facts_in"):
+        return m.line_facts_in(start, end).filter("short_lines > 0").select("order_id")
+    lines = m.order_lines
     return lines.filter(F.col("quantity_shipped") < F.col("quantity_ordered")).select("order_id")
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.functions.metrics import pct
-from ordersight.operators import inventory, vendors
-from ordersight.operators.facts import order_facts
+from ordersight.operators import inventory, service
+from ordersight.operators.facts import po_facts
 from ordersight.sources.marts import Marts
 
 # One-line summary templates per tool.
@@ -32,31 +32,38 @@ def _row(tool: str, df: DataFrame, summary: Column) -> DataFrame:
     return df.select(F.lit(tool).alias("tool"), summary.alias("summary"))
 
 
-def _service_row(m: Marts, start, end) -> DataFrame:
-    """One row with what the three order-side summaries need, from ONE pass over the order facts: grouped by
-    warehouse, by customer and in all at once.  Every warehouse adds a row that counts no order, so idle ones are
-    groups too, with their names."""
-    site, customer = "warehouse_id", "customer_id"
-    f = order_facts(m, start, end).select(
-        site, customer, F.lit(1).alias("n"), F.col("otif").cast("int").alias("otif"),
-        F.when(F.col("affected"), F.col("order_value_cents")).alias("cents"), F.lit(None).cast("string").alias("name"))
-    sites = m.warehouses.select(site, F.lit(None).cast("bigint").alias(customer), F.lit(0).alias("n"), F.lit(0).alias("otif"),
-                                F.lit(None).cast("bigint").alias("cents"), F.col("warehouse_name").alias("name"))
-    g = f.unionByName(sites).groupingSets([[site], [customer], []], site, customer).agg(
-        F.grouping(site).alias("gs"), F.grouping(customer).alias("gc"), F.sum("n").alias("n"), F.sum("otif").alias("otif"),
-        F.sum("cents").alias("cents"), F.max("name").alias("name"))
-    is_site = (F.col("gs") == 0) & (F.col("gc") == 1)
-    is_customer = (F.col("gs") == 1) & (F.col("gc") == 0) & (F.col("n") > 0)
-    is_all = (F.col("gs") == 1) & (F.col("gc") == 1)
-    pct_otif = pct(F.col("otif"), F.col("n"))
-    return g.agg(
-        F.max(F.when(is_all, F.col("n"))).alias("orders"), F.max(F.when(is_all, F.col("otif"))).alias("otif"),
-        F.max(F.when(is_all, pct_otif)).alias("otif_percentage"),
-        F.count_if(is_site).alias("sites"),
-        F.min_by(F.when(is_site, F.struct("name", pct_otif.alias("pct"))),
-                 F.when(is_site, F.struct(pct_otif.alias("pct"), site))).alias("lo"),
-        F.count_if(is_customer).alias("customers"),
-        F.count_if(is_customer & (F.col("cents") > 0)).alias("affected"))
+def _service_row(groups: DataFrame) -> DataFrame:
+    """One row with what the three order-side summaries need, from the groups of ``service.service_groups``."""
+    is_kind = lambda k: F.col("kind") == k
+    pct_otif = pct(F.col("otif"), F.col("orders"))
+    return groups.agg(
+        F.max(F.when(is_kind("all"), F.col("orders"))).alias("orders"),
+        F.max(F.when(is_kind("all"), F.col("otif"))).alias("otif"),
+        F.max(F.when(is_kind("all"), pct_otif)).alias("otif_percentage"),
+        F.count_if(is_kind("site")).alias("sites"),
+        F.min_by(F.when(is_kind("site"), F.struct("name", pct_otif.alias("pct"))),
+                 F.when(is_kind("site"), F.struct(pct_otif.alias("pct"), "warehouse_id"))).alias("lo"),
+        F.count_if(is_kind("customer")).alias("customers"),
+        F.count_if(is_kind("customer") & (F.col("cents") > 0)).alias("affected"))
+
+
+def _vendor_row(m: Marts, start, end) -> DataFrame:
+    """(n, top): number of vendors, and the one with most late POs (lowest id) with the sites of its late POs in the
+    order of the detail list.  One pass over the POs, summed up per (vendor, site)."""
+    first = F.struct(F.col("actual_delivery_date").isNull(), -F.datediff("actual_delivery_date", F.lit("1970-01-01")),
+                     F.col("po_id"))
+    late = F.col("late")
+    per_site = po_facts(m, start, end).groupBy("vendor_id", "warehouse_id").agg(
+        F.count_if("late").alias("late"), F.min(F.when(late, first)).alias("k"))
+    names = m.warehouses.select("warehouse_id", "warehouse_name")
+    seen = F.when(F.col("k").isNotNull() & F.col("warehouse_name").isNotNull(), F.struct("k", "warehouse_name"))
+    per_vendor = per_site.join(names, "warehouse_id", "left").groupBy("vendor_id").agg(
+        F.sum("late").cast("bigint").alias("late_deliveries"), F.array_sort(F.collect_list(seen)).alias("d"))
+    all_vendors = m.vendors.select("vendor_id", "vendor_name").join(per_vendor, "vendor_id", "left").withColumn(
+        "late_deliveries", F.coalesce("late_deliveries", F.lit(0).cast("bigint")))
+    return all_vendors.agg(F.count(F.lit(1)).alias("n"),
+                           F.max_by(F.struct("vendor_name", "late_deliveries", "d"),
+                                    F.struct("late_deliveries", -F.col("vendor_id"))).alias("top"))
 
 
 def tool_summaries(m: Marts, start, end) -> DataFrame:
@@ -71,25 +78,15 @@ def tool_summaries(m: Marts, start, end) -> DataFrame:
             F.coalesce(js_number(F.col("lo.pct")), none)),
         "get_customer_impact": F.format_string(SUMMARY_TEMPLATES["get_customer_impact"], "customers", "affected"),
     }
-    served = _service_row(m, start, end).select(F.explode(F.array(*[
+    served = _service_row(service.service_groups(m, start, end)).select(F.explode(F.array(*[
         F.struct(F.lit(tool).alias("tool"), text.alias("summary")) for tool, text in lines.items()])).alias("x")).select("x.*")
-    a4 = inventory.inventory_health(m, start, end)
+    a4 = inventory.health_of(inventory.below_safety_groups(m, start, end), start, end)
     inv = _row("get_inventory_health", a4, F.format_string(
         SUMMARY_TEMPLATES["get_inventory_health"],
         F.col("products_below_safety_stock"), F.col("number_of_days_below_safety_stock")))
-    # Late-PO destinations per vendor, distinct in detail order (actual date
-    # desc, nulls last, then PO id): at most one entry per site per vendor.
-    late = vendors.late_purchase_orders(m, start, end)
-    order_key = F.struct(F.col("actual_delivery_date").isNull(), -F.datediff("actual_delivery_date", F.lit("1970-01-01")),
-                         F.col("purchase_order_id"))
-    dest = (late.groupBy("vendor_id", "warehouse_name").agg(F.min(order_key).alias("k"))
-            .groupBy("vendor_id").agg(F.array_sort(F.collect_list(F.struct("k", "warehouse_name"))).alias("d")))
-    vp = vendors.vendor_performance(m, start, end).join(dest, "vendor_id", "left")
-    top = vp.agg(F.count(F.lit(1)).alias("n"),
-                 F.max_by(F.struct("vendor_name", "late_deliveries", "d"),
-                          F.struct("late_deliveries", -F.col("vendor_id"))).alias("top"))
-    dests = F.array_join(F.transform(F.col("top.d"), lambda x: x["warehouse_name"]), ", ")
-    ven = _row("get_vendor_performance", top, F.format_string(
+    # At most one entry per site per vendor; a site that occurs under several names is one entry each.
+    dests = F.array_join(F.array_distinct(F.transform(F.col("top.d"), lambda x: x["warehouse_name"])), ", ")
+    ven = _row("get_vendor_performance", _vendor_row(m, start, end), F.format_string(
         SUMMARY_TEMPLATES["get_vendor_performance"], F.col("n"),
         F.coalesce(F.col("top.vendor_name"), F.lit("n/a")), F.coalesce(F.col("top.late_deliveries"), F.lit(0)),
         F.when(F.coalesce(F.size("top.d"), F.lit(0)) > 0, dests).otherwise(F.lit("not specified"))))

@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordersight.functions.scan import ordered_scan
 from ordersight.functions.text import redact_credentials
-from ordersight.functions.windows import epoch_micros, gap_sessions, hour_bucket, sequence_number
+from ordersight.functions.windows import epoch_micros
 
 # Fixed values of the tool catalogue.
 TOOL_LABELS = {
@@ -73,7 +74,14 @@ def events_trace(events: DataFrame, numbered: bool = True) -> DataFrame:
     (ts, event_id), tool by event type (every tenth k is a policy search),
     arguments JSON built from the event; some calls deliberately break the
     contract (id 0, slash dates, extra keys, topK > 50, credentials).
-    ``numbered=False`` leaves ``seq`` out, and with it the shuffles that number the calls."""
+
+    Calls are numbered, and rounds told apart, in one ordered scan of the raw events; what is built from an event
+    is built afterwards, and only if it is asked for.  ``numbered=False`` leaves ``seq`` and ``round`` out, and with
+    them the shuffle."""
+    raw = events.select("user_id", "ts", "event_id", "event_type", "props")
+    if numbered:
+        raw = ordered_scan(raw.withColumn("_us", epoch_micros("ts")), ["user_id"], ["ts", "event_id"], "seq",
+                           session=("round", "_us", ROUND_GAP_SECONDS * 1_000_000))
     k = F.get_json_object("props", "$.k").cast("int")
     tool = F.when(k % 10 == 0, F.lit("search_company_policies")).otherwise(
         F.create_map(*[F.lit(x) for kv in EVENT_TOOL.items() for x in kv])[F.col("event_type")])
@@ -96,11 +104,8 @@ def events_trace(events: DataFrame, numbered: bool = True) -> DataFrame:
                    .otherwise(F.lit("")),
                    extras, F.lit("}"))
     args = F.when(tool == "search_company_policies", search_args).otherwise(biz)
-    base = events.select(F.col("user_id").alias("run_id"), "ts", "event_id", tool.alias("name"), args.alias("arguments"))
-    if not numbered:
-        return base.drop("event_id")
-    return sequence_number(base, ["run_id"], ["ts", "event_id"], hour_bucket("ts"), "seq").select(
-        "run_id", "seq", "ts", "name", "arguments")
+    numbers = [F.col("seq").cast("int").alias("seq"), F.col("round").cast("int").alias("round")] if numbered else []
+    return raw.select(F.col("user_id").alias("run_id"), *numbers, "ts", tool.alias("name"), args.alias("arguments"))
 
 
 def trace_sequence(trace: DataFrame) -> DataFrame:
@@ -114,13 +119,13 @@ def trace_cap_audit(trace: DataFrame) -> DataFrame:
     """Round number (a new round after a > 6 h gap) and call number per
     run; calls beyond 6 rounds or 18 calls are flagged as rejected.
 
-    Rounds are gap sessions computed in one skew-safe pass bucketed by hour
-    (``functions.windows.gap_sessions``), so a run with a third of all calls
-    is spread over its hours."""
-    t = trace.withColumn("_us", epoch_micros("ts"))
-    # Hour of ts is monotone in seq (seq is ordered by ts): buckets per run are
-    # bounded by the run's time span, not by its number of calls.
-    t = gap_sessions(t, ["run_id"], ["seq"], "_us", ROUND_GAP_SECONDS * 1_000_000, hour_bucket("ts"), "round")
+    A trace without rounds gets them from an ordered scan, which spreads a run that holds a third of all calls
+    over as many tasks as its calls need."""
+    t = trace
+    if "round" not in t.columns:
+        t = ordered_scan(t.withColumn("_us", epoch_micros("ts")), ["run_id"], ["seq"],
+                         session=("round", "_us", ROUND_GAP_SECONDS * 1_000_000))
+        t = t.withColumn("round", F.col("round").cast("int"))
     rnd = F.col("round")
     return t.select("run_id", "seq", "name", rnd.alias("round"), F.col("seq").alias("call_number"),
                     (rnd <= MAX_TOOL_CALL_ROUNDS).alias("within_round_cap"),

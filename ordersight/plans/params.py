@@ -9,6 +9,6 @@ FILTER_CUSTOMER = 7
 FILTER_VENDOR = 4
 TOP_K = 3
 MIN_SIMILARITY = 0.2
-QUERY_VECTOR_EVERY = 50        # embeddings with vec_id % 50 = 0 are the search queries, the rest the index
+QUERY_VECTOR_EVERY = 50        # embeddings with vec_id % 50 = 0 are the search queries; all rows are the index
 CHUNK_MAX_CHARACTERS = 1800
 EMBED_DIM = 64

@@ -111,6 +111,26 @@ ORACLE["fk_violations"] = with_marts(*_ALL) + " " + " UNION ALL ".join(
     for c, col, p, pc in quality.FOREIGN_KEYS)
 
 
+@register("constraint_suite")
+def q_constraint_suite(m):
+    """Q1-Q4: every declared constraint of the nine marts in one report."""
+    return quality.constraint_suite(m)
+
+
+def _within(name: str) -> str:
+    return ORACLE[name].removeprefix(with_marts(*_ALL))
+
+
+ORACLE["constraint_suite"] = with_marts(*_ALL) + f""",
+    tc AS ({_within("table_counts")}), nv AS ({_within("null_violations")}), cv AS ({_within("check_violations")}),
+    dk AS ({_within("duplicate_keys")}), fv AS ({_within("fk_violations")})
+    SELECT 'row_count' AS "check", table_name, table_name AS subject, row_count AS violations FROM tc
+    UNION ALL SELECT 'not_null', table_name, column_name, null_count FROM nv
+    UNION ALL SELECT 'check', table_name, rule, violations FROM cv
+    UNION ALL SELECT 'unique', table_name, key_columns, excess_rows FROM dk
+    UNION ALL SELECT 'foreign_key', child_table, column_name || ' -> ' || parent_table, violations FROM fv"""
+
+
 @register("date_string_quality")
 def q_date_string_quality(m):
     """Date-string validation as a column job (format, calendar, round trip)."""

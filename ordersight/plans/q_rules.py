@@ -10,8 +10,9 @@ from ordersight.plans.q_supply import _vendor_perf_select, _vendor_perf_sql
 from ordersight.plans.registry import register
 from ordersight.plans.sqlfrag import between, cnt, d, tenths_sql
 from ordersight.sources import synth
+from ordersight.sources.store import stored
 
-CUR = P.CURRENT
+CUR, PREV = P.CURRENT, P.PREVIOUS
 ORACLE: dict[str, str] = {}
 
 _POLICY_FACTS = """pf AS (SELECT o.order_id, o.customer_id, o.warehouse_id, o.order_date,
@@ -137,7 +138,9 @@ _CAL_SQL = with_marts("m_inventory", "m_products", "m_purchase_orders") + f""",
                   AND i.inventory_date <= d.calendar_date),
     cal AS (SELECT f.warehouse_id, f.product_id, f.calendar_date, f.quantity_on_hand, f.quantity_allocated,
                    f.quantity_on_hand - f.quantity_allocated AS available, p.safety_stock
-            FROM filled f JOIN m_products p ON p.product_id = f.product_id),
+            FROM filled f JOIN m_products p ON p.product_id = f.product_id)"""
+# Runs begin before the month: every day from a pair's first snapshot on, then those that reach the month.
+_RUNS_SQL = _CAL_SQL.replace(f"greatest(MIN(inventory_date), {d(CUR[0])})", "MIN(inventory_date)") + f""",
     bd AS (SELECT *, CAST(calendar_date - DATE '1970-01-05' AS BIGINT) AS dd FROM cal
            WHERE isodow(calendar_date) < 6 AND available < safety_stock),
     isl AS (SELECT *, (dd // 7) * 5 + least(dd - (dd // 7) * 7, 5)
@@ -145,7 +148,7 @@ _CAL_SQL = with_marts("m_inventory", "m_products", "m_purchase_orders") + f""",
     runs AS (SELECT warehouse_id, product_id, MIN(calendar_date) AS run_start, MAX(calendar_date) AS run_end,
                     COUNT(*) AS business_days, MIN(available) AS lowest_available, MIN(safety_stock) AS safety_stock_target
              FROM isl GROUP BY warehouse_id, product_id, island
-             HAVING COUNT(*) >= {R.SHORTAGE_RUN_BUSINESS_DAYS + 1})"""
+             HAVING COUNT(*) >= {R.SHORTAGE_RUN_BUSINESS_DAYS + 1} AND MAX(calendar_date) >= {d(CUR[0])})"""
 
 
 @register("synth_inventory_calendar")
@@ -242,22 +245,29 @@ ORACLE["synth_purchase_orders"] = _SYNTH + f""",
     FROM e, vs, ws"""
 
 
+def _month_runs(m):
+    """The runs that touch the current month: one month of the store and the stock state at its first day, which is
+    rolled forward from that of the month before."""
+    kept = stored(m)
+    return R.shortage_runs(kept, *CUR, state=kept.stock_state(CUR[0], first=PREV[0]))
+
+
 @register("shortage_runs")
 def q_shortage_runs(m):
     """> 3 consecutive business days below safety on available stock."""
-    return R.whole_shortage_runs(m, *CUR)
+    return _month_runs(m)
 
 
-ORACLE["shortage_runs"] = _CAL_SQL + " SELECT * FROM runs"
+ORACLE["shortage_runs"] = _RUNS_SQL + " SELECT * FROM runs"
 
 
 @register("shortage_exceptions")
 def q_shortage_exceptions(m):
     """Shortage exception records with the SKU's open PO count."""
-    return R.shortage_exceptions(R.whole_shortage_runs(m, *CUR), m)
+    return R.shortage_exceptions(_month_runs(m), m)
 
 
-ORACLE["shortage_exceptions"] = _CAL_SQL + """,
+ORACLE["shortage_exceptions"] = _RUNS_SQL + """,
     op AS (SELECT product_id, COUNT(*) AS open_po_count FROM m_purchase_orders WHERE actual_delivery_date IS NULL GROUP BY 1)
     SELECT r.warehouse_id, r.product_id, r.run_start AS first_date_below, r.business_days, r.lowest_available,
            r.safety_stock_target, COALESCE(op.open_po_count, 0) AS open_po_count

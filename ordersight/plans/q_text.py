@@ -21,20 +21,20 @@ def _hit_cols(vec_id, label):
 
 
 def vector_index(m):
-    """The ``embeddings`` table without the query rows, as a search index with hit labels."""
-    e = m.t.embeddings
-    return e.filter(F.col("vec_id") % EVERY != 0).select("vec_id", "label", *_hit_cols(F.col("vec_id"), F.col("label")),
-                                                   "embedding")
+    """The ``embeddings`` table as a search index with hit labels."""
+    return m.t.embeddings.select("vec_id", "label", *_hit_cols(F.col("vec_id"), F.col("label")), "embedding")
 
 
 def vector_queries(m):
-    """Query vectors: every 50th embedding, so the query side grows with the table."""
+    """Query vectors: every 50th embedding, so the query side grows with the table; each one is searched for among all
+    rows but its own."""
     e = m.t.embeddings
     return e.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def vector_hits(m, k, floor=-1.0):
-    return search.cosine_top_k(vector_index(m), vector_queries(m), k=k, min_similarity=floor, id_col="vec_id")
+    return search.cosine_top_k(vector_index(m), vector_queries(m), k=k, min_similarity=floor, id_col="vec_id",
+                               own_col="query_id")
 
 
 _SIM = ("CASE WHEN list_dot_product(v, v) = 0 OR list_dot_product(qv, qv) = 0 THEN 0.0 "
@@ -43,8 +43,8 @@ _SIM = ("CASE WHEN list_dot_product(v, v) = 0 OR list_dot_product(qv, qv) = 0 TH
 
 def _topk_sql(k: int, floor: float = -1.0) -> str:
     return f"""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % {EVERY} = 0),
-    ix AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % {EVERY} <> 0),
-    s AS (SELECT q.query_id, ix.vec_id, ix.label, {_SIM} AS sim FROM q CROSS JOIN ix),
+    ix AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    s AS (SELECT q.query_id, ix.vec_id, ix.label, {_SIM} AS sim FROM q JOIN ix ON ix.vec_id <> q.query_id),
     s2 AS (SELECT query_id, vec_id, label, CAST(round(sim * 1000000) AS BIGINT) / 1000000.0 AS similarity
            FROM s WHERE sim >= {floor}),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s2),

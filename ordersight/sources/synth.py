@@ -19,18 +19,25 @@ INCIDENT_MONTH = "2026-08-01"
 CRITICAL_EVERY = 5             # every fifth product is hit by the incident
 
 
-def inventory_calendar(m: Marts, start, end) -> DataFrame:
+def inventory_calendar(m: Marts, start, end, state: DataFrame | None = None) -> DataFrame:
     """Dense daily inventory for every (warehouse, product) with a snapshot
     at or before ``end``: one row per calendar day from ``start`` (or the pair's
     first snapshot, if later) to ``end``.  Stock is carried forward from the
     latest snapshot; what a pair enters the range with is its latest snapshot at
-    or before ``start`` (a ``max_by`` aggregate, combined before the shuffle).
+    or before ``start``, taken from the stock state at ``start`` if it is given, else
+    from the history (a ``max_by`` aggregate, combined before the shuffle).
     Each pair expands with ``explode(sequence(...))`` -- linear in pairs x days,
     no cross join -- and its window holds at most the days of the range."""
-    stock = F.struct("quantity_on_hand", "quantity_allocated")
+    quantities = F.struct("quantity_on_hand", "quantity_allocated")
     pair = ["warehouse_id", "product_id"]
-    carried = (in_range(m, "inventory", "inventory_date", "1900-01-01", start).groupBy(*pair)
-               .agg(F.max_by(stock, "inventory_date").alias("stock"))
+    if state is None:
+        before = m.inventory.filter(F.col("inventory_date") <= F.lit(as_date(start)))
+    else:
+        on_day = in_range(m, "inventory", "inventory_date", start, start)
+        before = on_day.select(*pair, "inventory_date", "quantity_on_hand", "quantity_allocated").unionByName(
+            state.select(*pair, F.date_sub(F.lit(as_date(start)), 1).alias("inventory_date"), "quantity_on_hand",
+                         "quantity_allocated"))
+    carried = (before.groupBy(*pair).agg(F.max_by(quantities, "inventory_date").alias("stock"))
                .select(*pair, F.lit(as_date(start)).alias("calendar_date"), "stock.*"))
     later = in_range(m, "inventory", "inventory_date", start, end).filter(
         F.col("inventory_date") > F.lit(as_date(start)))

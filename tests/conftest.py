@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 import sys
+import uuid
 
 import pytest
 
@@ -38,6 +39,7 @@ class FixtureMarts:
 
     def __init__(self, spark, **rows):
         self.spark = spark
+        self.root = f"fixture-{uuid.uuid4().hex}"
         # Columns that no case is about are filled in.
         rows["warehouses"] = [(*r, f"{r[1]} City") for r in rows.get("warehouses", [])]
         rows["inventory"] = [(*r, n) for n, r in enumerate(rows.get("inventory", []), 1)]

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from ordersight.operators.chunker import chunk_documents, load_policy_chunks, read_markdown_corpus, validate_max_characters
+from ordersight.functions.text import SPACES
+from ordersight.operators.chunker import (chunk_batch, chunk_documents, greedy_starts, load_policy_chunks,
+                                          read_markdown_corpus, validate_max_characters)
 
 MD = """Intro text before any heading.
 
@@ -84,9 +91,52 @@ def test_unicode_spaces_are_trimmed(chunks):
     assert chunks({"d": "　 text \n \nnext﻿"})[0]["text"] == "text\n\nnext"
 
 
-def test_plan_has_no_python(spark):
+def test_one_pass_over_the_rows(spark):
     df = spark.createDataFrame([("a", "b")], "document string, markdown string")
-    assert "Pandas" not in chunk_documents(df)._jdf.queryExecution().toString()
+    plan = chunk_documents(df)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Pandas" not in plan
+
+
+def test_documents_of_one_name_are_kept_apart(spark):
+    rows = [("a.md", "# One\n## S\nfirst\nlines"), ("a.md", "# Two\nsecond"), ("a.md", "no heading"), (None, "text")]
+    df = spark.createDataFrame(rows, "document string, markdown string").coalesce(1)
+    got = [tuple(r) for r in chunk_documents(df).collect()]
+    assert got == [("a.md", "One", "S", "a.md#0001", 1, "first\nlines"), ("a.md", "Two", "Overview", "a.md#0001", 1, "second"),
+                   ("a.md", "a", "Overview", "a.md#0001", 1, "no heading"), (None, "", "Overview", None, 1, "text")]
+
+
+def test_greedy_starts_against_a_plain_loop():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        n = int(rng.integers(0, 40))
+        length, opens, gap = rng.integers(0, 60, n), rng.random(n) < 0.2, int(rng.integers(0, 3))
+        opens[:1] = True
+        want, size = [], 0
+        for k in range(n):
+            if opens[k] or size + gap + length[k] > 70:
+                want.append(k)
+                size = length[k]
+            else:
+                size += gap + length[k]
+        assert np.flatnonzero(greedy_starts(length, opens, gap, 70)).tolist() == want
+
+
+def test_a_batch_is_the_sum_of_its_documents():
+    rng = random.Random(1)
+    words = ["# T", "## A", "### B b ##", "", "  ", "x" * 250, "w " * 130, "line of text", "\u3000wide\ufeff", "#no", "\r", "  lead"]
+    docs = ["\n".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(120)] + ["", "\r\n\r\na\r\nb"]
+    names = [f"d{k % 7}.md" for k in range(len(docs))]
+
+    def run(n, d):
+        return chunk_batch(pa.array(n, pa.string()), pa.array(d, pa.string()), 200).to_pylist()
+
+    alone = [r for n, d in zip(names, docs) for r in run([n], [d])]
+    assert run(names, docs) == alone and len(alone) > 500
+    assert all(0 < len(r["text"]) <= 200 and r["text"] == r["text"].strip(SPACES) for r in alone)
+    for n, d in zip(names, docs):
+        kept = "".join(line for line in d.replace("\r\n", "\n").split("\n") if not re.match(r"#+ ", line))
+        got = "".join(r["text"] for r in run([n], [d]))
+        assert re.sub(r"\s|\ufeff", "", got) == re.sub(r"\s|\ufeff", "", kept)
 
 
 def test_max_characters_validation():

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ordersight.operators import policy_rules as R
 from ordersight.operators import service, vendors
 from ordersight.plans import q_rules
-from ordersight.sources import synth
 
 
 def test_policy_on_time_is_delivery_only(fixture_marts):
@@ -66,7 +65,7 @@ def test_available_stock_tiers_and_exceptions(fixture_marts):
                       purchase_orders=[po(9, 1, 1, "2026-09-01", None)], vendors=VENDORS)
     tiers = {r.product_id: r.tier for r in R.inventory_alert_tier(m, "2026-08-01", "2026-08-31").collect()}
     assert tiers == {1: "critical", 2: "below safety stock"}
-    runs = R.shortage_runs(synth.inventory_calendar(m, "2026-08-01", "2026-08-31"))
+    runs = R.shortage_runs(m, "2026-08-01", "2026-08-31")
     ex = {r.product_id: r for r in R.shortage_exceptions(runs, m).collect()}
     assert ex[1].open_po_count == 1 and ex[2].open_po_count == 0 and ex[1].lowest_available == 5
     assert ex[1].first_date_below == D("2026-08-03")
@@ -96,7 +95,7 @@ def test_shortage_runs_reach_back_before_the_month(fixture_marts):
                     run = []
             day += dt.timedelta(days=1)
     assert want[0] == (1, D("2026-06-10"), D("2026-08-03"), 39, 3)
-    runs = R.whole_shortage_runs(m, "2026-08-01", "2026-08-31")
+    runs = R.shortage_runs(m, "2026-08-01", "2026-08-31")
     got = sorted((r.product_id, r.run_start, r.run_end, r.business_days, r.lowest_available) for r in runs.collect())
     assert got == want
     assert R.shortage_exceptions(runs, m).filter("product_id = 1").first().first_date_below == D("2026-06-10")

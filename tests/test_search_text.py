@@ -15,8 +15,9 @@ def cosine(a, b):
     return float(a @ b) / size if size else 0.0
 
 
-@pytest.mark.parametrize("tile, blocks", [(1024, 1), (3, 1), (2, 3)])
-def test_batch_top_k_equals_brute_force(spark, monkeypatch, tile, blocks):
+@pytest.mark.parametrize("tile, sizes", [(1024, {}), (3, {"ball_rows": 20, "sample": 256}),
+                                         (2, {"ball_rows": 7, "cell": 5, "probes": 4, "sample": 256})])
+def test_batch_top_k_equals_brute_force(spark, monkeypatch, tile, sizes):
     rng = np.random.default_rng(7)
     idx = rng.normal(size=(300, 16))
     qs = rng.normal(size=(11, 16))
@@ -27,8 +28,7 @@ def test_batch_top_k_equals_brute_force(spark, monkeypatch, tile, blocks):
     index = spark.createDataFrame([(i, idx[i].tolist(), f"t{i}") for i in range(300)],
                                   "id long, embedding array<double>, text string")
     queries = spark.createDataFrame([(100 + j, qs[j].tolist()) for j in range(11)], "query_id long, embedding array<double>")
-    got = search.cosine_top_k(index.repartition(7), queries, k=5, min_similarity=-0.1, cells=6,
-                              query_blocks=blocks).collect()
+    got = search.cosine_top_k(index.repartition(7), queries, k=5, min_similarity=-0.1, **sizes).collect()
     for j in range(11):
         sims = sorted(((round(cosine(qs[j], idx[i]) * 1e6), i) for i in range(300)
                        if cosine(qs[j], idx[i]) >= -0.1), key=lambda t: (-t[0], t[1]))[:5]
@@ -42,18 +42,46 @@ def test_unfit_vectors_are_errors(spark, row):
     index = spark.createDataFrame([(1, row)], "id long, embedding array<double>")
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
     with pytest.raises(Exception, match="dimensions do not match|invalid embedding"):
-        search.cosine_top_k(index, queries, cells=1).collect()
+        search.cosine_top_k(index, queries).collect()
+
+
+def clustered(rng, n, groups=24, dim=12):
+    centres = rng.normal(size=(groups, dim))
+    return centres[rng.integers(0, groups, n)] + 0.05 * rng.normal(size=(n, dim))
+
+
+def test_balls_that_cannot_win_are_skipped(spark):
+    """Clustered vectors: few balls are read, nothing is lost, and a query never finds its own row."""
+    rng = np.random.default_rng(3)
+    v = clustered(rng, 3000)
+    v[17] = 0.0
+    rows = spark.createDataFrame([(2**60 + i, x.tolist(), f"t{i}") for i, x in enumerate(v)],
+                                 "id long, embedding array<double>, text string")
+    queries = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index = search.BallIndex(rows, ball_rows=60, cell=64, sample=512)
+    got = index.search(queries, k=4, own_col="query_id").collect()
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    asked = [i for i in range(3000) if (2**60 + i) % 50 == 0]
+    for i in asked:
+        score = np.round(unit @ unit[i] * 1e6)
+        want = [j for j in np.lexsort((np.arange(3000), -score)) if j != i][:4]
+        mine = sorted((r for r in got if r.query_id == 2**60 + i), key=lambda r: r["rank"])
+        assert [(r.id, r.text) for r in mine] == [(2**60 + j, f"t{j}") for j in want]
+    read = index.blocks_read(queries, k=4, own_col="query_id").collect()
+    assert len(read) == len(asked) and {r.blocks for r in read} == {int((index.balls.rows > 0).sum())}
+    assert max(r.blocks_read for r in read) < read[0].blocks / 3
+    plan = index.search(queries, k=4)._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "Cartesian" not in plan
 
 
-def test_search_runs_no_job_while_it_is_planned(spark):
-    tracker, group = spark.sparkContext.statusTracker(), "planning"
-    spark.sparkContext.setJobGroup(group, group)
-    index = spark.range(10).selectExpr("id", "array(cast(id as double), 1.0D) AS embedding")
-    df = search.cosine_top_k(index, index.withColumnRenamed("id", "query_id"), k=2)
-    assert not tracker.getJobIdsForGroup(group)
-    plan = df._jdf.queryExecution().toString()
-    spark.sparkContext._jsc.clearJobGroup()
-    assert "Broadcast" not in plan and "Cartesian" not in plan
+def test_search_of_small_and_empty_indexes(spark):
+    empty = spark.createDataFrame([], "id string, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "query_id long, embedding array<double>")
+    assert search.cosine_top_k(empty, queries).collect() == []
+    two = spark.createDataFrame([("b", [2.0, 0.0]), ("a", [0.0, 0.0])], "id string, embedding array<double>")
+    got = sorted(tuple(r) for r in search.cosine_top_k(two, queries).collect())
+    assert got == [(1, 1, "b", 1.0), (1, 2, "a", 0.0), (2, 1, "a", 0.0), (2, 2, "b", 0.0)]
+    assert search.cosine_top_k(two, queries.limit(0)).collect() == []
 
 
 def test_search_argument_checks():

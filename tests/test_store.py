@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ordersight.operators import inventory, policy_rules, service, vendors
-from ordersight.sources import synth
 from ordersight.sources.marts import Marts
 from ordersight.sources.store import StoredMarts, _months, write_store
 
@@ -27,7 +26,9 @@ def test_store_round_trip_matches_raw_marts(spark, tmp_path):
         lambda m: service.monthly_otif(m),
         lambda m: inventory.inventory_below_safety(m, *CUR),
         lambda m: vendors.vendor_performance(m, *CUR),
-        lambda m: policy_rules.shortage_runs(synth.inventory_calendar(m, *CUR)),
+        lambda m: policy_rules.shortage_runs(m, *CUR),
+        lambda m: service.orders_with_short_lines(m, *CUR),
+        lambda m: service.orders_without_short_lines(m, *CUR),
     ]
     for case in cases:
         a, b = case(raw), case(stored)

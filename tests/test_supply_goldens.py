@@ -8,7 +8,6 @@ from conftest import PRODUCTS, VENDORS, WAREHOUSES, D
 
 from ordersight.operators import inventory, policy_rules, vendors
 from ordersight.plans.catalog import run_tool
-from ordersight.sources import synth
 
 AUG = ("2026-08-01", "2026-08-31")
 
@@ -76,13 +75,13 @@ def test_august_below_safety_golden(fixture_marts):
 
 def test_shortage_runs_business_days(fixture_marts):
     m = fixture_marts(inventory=august_inventory(), products=PRODUCTS, warehouses=WAREHOUSES)
-    runs = policy_rules.shortage_runs(synth.inventory_calendar(m, *AUG)).collect()
+    runs = policy_rules.shortage_runs(m, *AUG).collect()
     assert len(runs) == 10
     r = runs[0]
     # 7-26 Aug 2026 holds 14 business days (7 Aug is a Friday)
     assert (r.run_start, r.run_end, r.business_days) == (D("2026-08-07"), D("2026-08-26"), 14)
     # a holiday inside the run removes one business day but does not break the run
-    runs_h = policy_rules.shortage_runs(synth.inventory_calendar(m, *AUG), holidays=["2026-08-12"]).collect()
+    runs_h = policy_rules.shortage_runs(m, *AUG, holidays=["2026-08-12"]).collect()
     assert {x.business_days for x in runs_h} == {13}
 
 
