@@ -18,7 +18,9 @@ in double precision on the original vectors before anything is cut off.
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite
 component take no part, nor do those of another length than the most frequent
 one (ties: the longer); rows with a null id take no part; of rows with an equal
-id the best counts once and takes one place, and a query never finds its own id; equal scores go to
+id the best counts once and takes one place, a query id with several vectors is
+searched for all of them and keeps its best neighbours, and a query never finds
+its own id; equal scores go to
 the smaller id; with fewer candidates than neighbours asked for all are returned;
 an empty table gives an empty result; extra columns play no part.
 """
@@ -155,33 +157,44 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def brute_force(rows: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
-    """Exact (query_id, rank, vec_id, score) of a bounded list of queries against all rows."""
-    q_ids, q = [i for i, _ in queries], _matrix([v for _, v in queries])
+def _found(parts: list) -> pd.DataFrame:
+    """(query_id, vec_id, score) of (query id, scores, ids) parts."""
+    return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in parts], [len(i) for _, _, i in parts]).astype(np.int64),
+                         "vec_id": np.concatenate([i for _, _, i in parts] or [np.zeros(0, np.int64)]),
+                         "score": np.concatenate([s for _, s, _ in parts] or [np.zeros(0)])})
+
+
+def brute_force(rows: DataFrame, queries: list[tuple[int, int, np.ndarray]], k: int) -> DataFrame:
+    """Exact (query_id, rank, vec_id, score, v) of a bounded list of (number, own id, vector) against all rows;
+    query_id is the number."""
+    q = _matrix([v for _, _, v in queries])
     q_unit = unit(q)
 
     def run(batches):
         for batch in batches:
             ids, x = batch["id"].to_numpy(), _matrix(batch["v"])
-            rough = q_unit @ unit(x).T
-            out = []
-            for n, own in enumerate(q_ids):
+            rough, parts, vectors = q_unit @ unit(x).T, [], []
+            for n, (number, own, _) in enumerate(queries):
                 score, found = _best(ids, x, own, q[n], rough[n], k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": score}))
-            yield pd.concat(out)
-
-    found = rows.mapInPandas(run, FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                parts.append((number, score, found))
+                # The vector that a score belongs to: an id may have several.
+                for s, i in zip(score, found):
+                    at = np.flatnonzero(ids == i)
+                    vectors.append(x[at[np.argmax(cosines(q[n], x[at]))]].tolist())
+            yield _found(parts).assign(v=vectors)
+
+    found = rows.mapInPandas(run, FOUND + ", v array<double>").groupBy("query_id", "vec_id").agg(
+        F.max("score").alias("score"), F.max_by("v", "score").alias("v"))
     return _top(found, k)
 
 
-def calibrate(rows: DataFrame, tree: Tree, queries: list[tuple[int, np.ndarray]], k: int, recall: float) -> int:
+def calibrate(rows: DataFrame, tree: Tree, queries: list[tuple[int, int, np.ndarray]], k: int, recall: float) -> int:
     """Leaf visits at which the share ``recall`` of the queries' exact neighbours lies in visited leaves."""
-    truth = brute_force(rows, queries, k).join(rows.withColumnRenamed("id", "vec_id"), "vec_id")
-    place = {i: {leaf: n for n, leaf in enumerate(tree.visit(v))} for i, v in
-             zip([i for i, _ in queries], unit(_matrix([v for _, v in queries])))}
-    found = truth.select("query_id", "v").collect()  # k rows for each calibration query
+    found = brute_force(rows, queries, k).select("query_id", "v").collect()  # k rows for each calibration query
     if not found:
         return tree.leaves
+    place = {number: {leaf: n for n, leaf in enumerate(tree.visit(v))}
+             for (number, _, _), v in zip(queries, unit(_matrix([v for _, _, v in queries])))}
     leaf = tree.assign(unit(_matrix([r["v"] for r in found])))
     depth = np.sort([place[r["query_id"]][n] + 1 for r, n in zip(found, leaf)])
     return int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))) - 1)])
@@ -189,9 +202,10 @@ def calibrate(rows: DataFrame, tree: Tree, queries: list[tuple[int, np.ndarray]]
 
 def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5,
            recall: float = RECALL, sample: int = SAMPLE, cell: int = CELL) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row where ``is_query`` (on id) holds."""
+    """(query_id, rank, vec_id, score): the k nearest found of each row where ``is_query`` (on id) holds; an id with
+    several vectors has the best of all of them."""
     rows = written(usable(vectors, id_col, vec_col).dropDuplicates(["id", "v"]), "vectors")
-    queries = rows.where(is_query).dropDuplicates(["id"])
+    queries = rows.where(is_query)
     spark = rows.sparkSession
     one = rows.first()
     if one is None or queries.limit(1).count() == 0:
@@ -200,7 +214,8 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
     draw = F.xxhash64(F.lit("ann sample"), "id")
     picked = rows.orderBy(draw, "id").limit(most).collect()
     tree = Tree(unit(_matrix([r["v"] for r in picked])))
-    trial = [(r["id"], np.array(r["v"])) for r in queries.orderBy(draw, "id").limit(CALIBRATION).collect()]
+    trial = [(n, r["id"], np.array(r["v"]))
+             for n, r in enumerate(queries.orderBy(draw, "id").limit(CALIBRATION).collect())]
     visits = calibrate(rows, tree, trial, k, recall)
 
     @F.pandas_udf("int")
@@ -284,8 +299,8 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str =
                         rows_in = np.flatnonzero(np.isin(leaf, part["leaves"].iloc[b + n]))
                         own = int(part["id"].iloc[b + n])
                         score, found = _best(ids[rows_in], x[rows_in], own, q[b + n], rough[n][rows_in], k)
-                        out.append(pd.DataFrame({"query_id": own, "vec_id": found, "score": score}))
-                yield pd.concat(out)
+                        out.append((own, score, found))
+                yield _found(out)
 
     found = stream.mapInPandas(compare, FOUND).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return _top(found, k).select("query_id", "rank", "vec_id", "score")

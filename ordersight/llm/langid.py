@@ -6,9 +6,10 @@ rest linear support vector machines choose the language family; inside a family
 of several languages one-versus-one machines vote.  The score is the product of
 the logistic margins of both decisions.
 
-Fitting takes at most ``MAX_SAMPLE`` labelled rows, ``PER_LANGUAGE`` of each
-language at most, and at most ``MAX_LANGUAGES`` languages (the most frequent);
-whole texts, chosen by a hash of the id.  Prediction covers every row.
+Fitting takes ``PER_LANGUAGE`` labelled rows of each language at most and
+``MAX_SAMPLE`` in all, but one of each language at least; whole texts, chosen by
+a hash of the id.  A language is learned if it has the share ``MIN_SHARE`` of the
+labelled rows or more.  Prediction covers every row.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 without any labelled row every text is ``und``; a language outside ``FAMILIES``
@@ -26,12 +27,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordersight.llm.common import bounded_batches, col, free, table
+from ordersight.llm.common import bounded_batches, col, free, table, written
 
 DIM = 4096
 PER_LANGUAGE = 400
 MAX_SAMPLE = 1600
-MAX_LANGUAGES = 200
+MIN_SHARE = 0.001
+#: The pipeline stage rejects texts whose best language scores below this: no machine takes them for its own.
+REJECT = 0.02
 SLICE = 1 << 20
 #: Margins are multiplied by this before the logistic function.
 SHARPNESS = 4.0
@@ -140,13 +143,13 @@ def predict(model: dict | None, text: str | None) -> tuple[str, float]:
 
 
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-        per_language: int = PER_LANGUAGE, max_sample: int = MAX_SAMPLE,
-        max_languages: int = MAX_LANGUAGES) -> dict | None:
+        per_language: int = PER_LANGUAGE, max_sample: int = MAX_SAMPLE, min_share: float = MIN_SHARE) -> dict | None:
     """Fit on a bounded sample of the rows where ``learn`` holds."""
     rows = docs.where(learn & col(lang_col).isNotNull() & col(text_col).rlike(r"\p{L}")).select(
         col(id_col).alias("id"), col(lang_col).alias("lang"), col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
-              .limit(max_languages).collect()}
+    found = written(rows.groupBy("lang").count(), "languages")
+    least = F.lit(min_share) * found.agg(F.sum("count")).scalar()
+    counts = {r["lang"]: r["count"] for r in found.where(F.col("count") >= least).collect()}  # 1 / min_share rows at most
     if not counts:
         return None
     each = max(1, min(per_language, max_sample // len(counts)))
@@ -193,9 +196,17 @@ def op7_langid(spark, sf_dir):
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def accepted(docs: DataFrame, model: dict | None, text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """``docs`` without the texts that are in no language: those without a letter, and those whose best language
+    scores below ``reject``.  Without a model (nothing to learn from) every text with a letter stays."""
+    if model is None:
+        return docs.where(F.coalesce(col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    out = predicted(docs, model, text_col)
+    lang, score = out.columns[len(docs.columns):]
+    return out.where((col(lang) != UND) & (col(score) >= reject)).select(*[col(c) for c in docs.columns])
+
+
 def stage(spark, docs, sf_dir):
-    """Pipeline stage: documents without a language (no text, no letter) go; all others stay as they are."""
+    """Pipeline stage: documents in no language go; all others stay as they are."""
     bounded_batches(spark)
-    out = predicted(docs, fit(docs, learnable()))
-    lang = out.columns[len(docs.columns)]
-    return out.where(col(lang) != UND).select(*[col(c) for c in docs.columns])
+    return accepted(docs, fit(docs, learnable()))

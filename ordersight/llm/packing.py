@@ -4,10 +4,11 @@ Documents are tokenised once (ids, then the end id); only those longer than a
 sequence are cut.  Only (id, piece, start, length, checksum) rows travel.  Full
 pieces are sequences by themselves.  The others are dealt by row number into
 cells of about ``CELL`` pieces; a cell is packed by best-fit decreasing and then
-improved by moves, one-for-one and two-for-one exchanges from the emptiest bin
-into fuller ones, each of which raises the sum of squared fills, until bins are
-empty or the cell has no more bins than its tokens need.  Bins that stay under
-``OPEN`` full are taken apart and packed again over all cells in a second round.
+improved by moves, one-for-one and two-for-one exchanges from the emptiest bins
+into fuller ones, each of which raises the sum of squared fills, until the cell
+has no more bins than its tokens need or a whole pass over its bins empties none.
+Each cell then hands its emptiest bins on: one, and those beyond what its tokens
+need.  They are packed again over all cells, round by round, until one cell is left.
 
 Tokenising goes word by word: where a text has only plain Latin-1 characters
 and common punctuation, the tokenizer's own normalisation and splitting are
@@ -36,7 +37,6 @@ from ordersight.llm.common import col, table, written
 CAPACITY = 2048
 END_ID = 0
 CELL = 4096
-OPEN = 0.9
 MEMO = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", cell long, bin int, offset long, open boolean"
@@ -127,8 +127,29 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def _pair_sums(sizes: np.ndarray) -> np.ndarray:
+    """Sums of every two of a bin's items, each sum once."""
+    distinct, count = np.unique(sizes, return_counts=True)
+    first, second = np.triu_indices(len(distinct), 1)
+    return np.unique(np.r_[distinct[first] + distinct[second], 2 * distinct[count > 1]])
+
+
+def _two_of(items: list[int], sizes: np.ndarray, total: int) -> list[int]:
+    """Two items of ``items`` with sizes that add up to ``total``."""
+    seen: dict[int, int] = {}
+    for i in items:
+        j = seen.get(total - int(sizes[i]))
+        if j is not None:
+            return [j, i]
+        seen.setdefault(int(sizes[i]), i)
+    raise AssertionError("no such pair")
+
+
 def improve(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Local search: empty the emptiest bins into fuller ones."""
+    """Local search: empty the emptiest bins into fuller ones.
+
+    A step moves one item, or gives one or two items of the bin for one smaller item of a fuller bin: the exchange
+    that gains most among all items and all pairs.  Every step raises the sum of squared fills, so it ends."""
     sizes = sizes.astype(np.int64)
     home = np.empty(len(sizes), np.int64)
     for b, items in enumerate(bins):
@@ -136,8 +157,6 @@ def improve(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list[lis
     members = [set(x) for x in bins]
     fill = np.array([sizes[x].sum() for x in bins], np.int64)
     least = -(-int(sizes.sum()) // capacity)
-    left = len(bins)
-    steps = 20 * len(sizes) + 1000
 
     def shift(items, a, b):
         for i in items:
@@ -147,58 +166,63 @@ def improve(sizes: np.ndarray, bins: list[list[int]], capacity: int) -> list[lis
             fill[a] -= sizes[i]
             fill[b] += sizes[i]
 
-    for a in np.argsort(fill, kind="stable"):
-        if left <= least or steps <= 0:
-            break
-        a = int(a)
-        while members[a] and steps > 0:
-            steps -= 1
-            done = False
-            free = np.where(fill >= fill[a], capacity - fill, 0)
-            free[a] = 0
-            own = sorted(members[a], key=lambda i: (-sizes[i], i))
-            for i in own:  # move, to the tightest room
-                fits = np.flatnonzero(free >= sizes[i])
-                if len(fits):
-                    shift([i], a, int(fits[np.argmin(free[fits])]))
-                    done = True
-                    break
-            if done:
-                continue
-            room = free[home]
-            trades = [(int(sizes[i]), (i,)) for i in own]
-            trades += [(int(sizes[i] + sizes[j]), (i, j)) for x, i in enumerate(own[:12]) for j in own[x + 1:12]]
-            best = (0, None, None)
-            for total, give in trades:  # one or two of this bin's for one smaller item of a fuller bin
-                gain = total - sizes
-                gain = np.where((gain > 0) & (gain <= room), gain, 0)
+    def step(a: int) -> bool:
+        free = np.where(fill >= fill[a], capacity - fill, 0)
+        free[a] = 0
+        own = sorted(members[a], key=lambda i: (-sizes[i], i))
+        for i in own:  # move, to the tightest room
+            fits = np.flatnonzero(free >= sizes[i])
+            if len(fits):
+                shift([i], a, int(fits[np.argmin(free[fits])]))
+                return True
+        best = (0, 0, -1, 1)
+        for give, sums in ((1, np.unique(sizes[own])), (2, _pair_sums(sizes[own]))):
+            if len(sums):  # for every item of a fuller bin the largest sum that fits in its place
+                at = np.searchsorted(sums, sizes + free[home], side="right") - 1
+                gain = np.where((at >= 0) & (home != a) & (free[home] > 0), sums[at] - sizes, 0)
                 k = int(np.argmax(gain))
                 if gain[k] > best[0]:
-                    best = (int(gain[k]), give, k)
-            if not best[0]:
-                break
-            _, give, k = best
-            b = int(home[k])
-            shift([k], b, a)
-            shift(list(give), a, b)
-        left -= not members[a]
+                    best = (int(gain[k]), int(sums[at[k]]), k, give)
+        gain, total, k, give = best
+        if not gain:
+            return False
+        mine = [next(i for i in own if sizes[i] == total)] if give == 1 else _two_of(own, sizes, total)
+        b = int(home[k])
+        shift([k], b, a)
+        shift(mine, a, b)
+        return True
+
+    emptied = True
+    while emptied and sum(map(bool, members)) > least:
+        emptied = False
+        for a in np.argsort(fill, kind="stable").tolist():
+            if not members[a]:
+                continue
+            while members[a] and step(a):
+                pass
+            if not members[a]:
+                emptied = True
+                if sum(map(bool, members)) <= least:
+                    break
     return [sorted(x, key=lambda i: (-sizes[i], i)) for x in members if x]
 
 
-def _pack_cells(rows: DataFrame, count: int, capacity: int, cell: int, open_under: float) -> DataFrame:
-    cells = max(1, count // cell)
+def _pack_cells(rows: DataFrame, cells: int, capacity: int) -> DataFrame:
+    """The rows packed cell by cell; ``open`` are the bins that a cell hands on (none if there is one cell)."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece", "row"], kind="stable").reset_index(drop=True)
         sizes = group["length"].to_numpy()
         where, offset = np.empty(len(group), np.int64), np.empty(len(group), np.int64)
-        is_open = np.zeros(len(group), bool)
-        for b, items in enumerate(improve(sizes, best_fit(sizes, capacity), capacity)):
+        bins = improve(sizes, best_fit(sizes, capacity), capacity)
+        fill = np.array([sizes[items].sum() for items in bins])
+        hand = len(bins) - -(-int(sizes.sum()) // capacity) + 1 if cells > 1 else 0
+        handed = np.isin(np.arange(len(bins)), np.argsort(fill, kind="stable")[:hand])
+        for b, items in enumerate(bins):
             at = np.cumsum(sizes[items])
             where[items], offset[items] = b, at - sizes[items]
-            is_open[items] = at[-1] < open_under * capacity
         out = group[["doc_id", "piece", "start", "length", "ids_crc32", "cell"]].copy()
-        out["bin"], out["offset"], out["open"] = where.astype(np.int32), offset, is_open
+        out["bin"], out["offset"], out["open"] = where.astype(np.int32), offset, handed[where]
         return out
 
     return rows.withColumn("cell", F.pmod("row", F.lit(cells))).groupBy("cell").applyInPandas(run, PACKED)
@@ -212,18 +236,30 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     rows = cut.withColumn("row", F.monotonically_increasing_id())
     keep = ["doc_id", "piece", "start", "length", "ids_crc32"]
     full = rows.where(F.col("length") == capacity)
-    small = rows.where(F.col("length") < capacity)
-    first = written(_pack_cells(small, cut.where(F.col("length") < capacity).count(), capacity, cell, OPEN), "packed")
-    again = first.where("open").withColumn("row", F.xxhash64("doc_id", "piece", "cell", "bin", "offset"))
-    second = _pack_cells(again.select(*keep, "row"), first.where("open").count(), capacity, cell, 0.0)
+    small, number, done = rows.where(F.col("length") < capacity).select(*keep, "row"), 0, []
+    count = cut.where(F.col("length") < capacity).count()
 
     def named(df: DataFrame, number: int) -> DataFrame:
-        seq = F.expr(f"shiftleft({number}L, 60)") + F.shiftleft("cell", 24) + F.col("bin")
+        seq = F.expr(f"shiftleft({number}L, 56)") + F.shiftleft("cell", 24) + F.col("bin")
         return df.select(*keep, seq.alias("sequence_id"), "offset")
 
-    whole = full.select(*keep, (F.expr("shiftleft(3L, 60)") + F.col("row")).alias("sequence_id"),
-                        F.lit(0).cast("bigint").alias("offset"))
-    return whole.unionByName(named(first.where("NOT open"), 0)).unionByName(named(second, 1))
+    while True:
+        # A cell hands on few bins, so the rounds are about log(pieces) / log(bins of a cell).
+        cells = max(1, count // cell)
+        packed = _pack_cells(small, cells, capacity)
+        if cells == 1:
+            done.append(named(packed, number))
+            break
+        packed = written(packed, "packed")
+        done.append(named(packed.where("NOT open"), number))
+        small = packed.where("open").withColumn("row", F.monotonically_increasing_id()).select(*keep, "row")
+        left = packed.where("open").count()
+        cell, count, number = cell if left < count else max(count, left) + 1, left, number + 1
+    out = full.select(*keep, (F.expr("shiftleft(127L, 56)") + F.col("row")).alias("sequence_id"),
+                      F.lit(0).cast("bigint").alias("offset"))
+    for part in done:
+        out = out.unionByName(part)
+    return out
 
 
 def default_tokenizer() -> str:

@@ -5,9 +5,10 @@ Java's ``split`` and ``regexp_extract_all`` with one pattern give the gaps
 between matches and the matches themselves, so running sums of their lengths are
 the code-point positions.  Each candidate value is hashed and counted over the
 whole corpus by distinct repositories and owners: a value seen with
-``example_owners`` owners or more is a widely copied example; one that a single
-owner uses and that mixes letters and digits is live-looking, and its value
-becomes an added span of kind ``live``.
+``example_owners`` owners or more, or in ``example_repos`` repositories or more, is
+a widely copied example; any other that a single owner uses and that mixes
+letters and digits is live-looking, and its value becomes an added span of kind
+``live``.
 
 ``owner_col`` names who owns a row and ``repo_col`` the unit of publication; for
 ``documents`` they are source and doc_id.  A null owner or repository is one of
@@ -36,6 +37,8 @@ KINDS = [
 ]
 LIVE = "live"
 EXAMPLE_OWNERS = 3
+#: Copies in so many repositories are no secret, whoever owns them.
+EXAMPLE_REPOS = 25
 SALTS = 16
 MASK = "[SECRET]"
 
@@ -86,17 +89,23 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-         repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Candidates with uses, n_repos, n_owners and verdict: example, live or shared."""
+         repo_col: str = "doc_id", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
+    """Candidates with uses, n_repos, n_owners and verdict: example, live or shared.
+
+    Only rows with a candidate meet the counts; the others keep apart."""
     found = candidates(docs, id_col, text_col, owner_col, repo_col)
     freq = ownership(found).where("uses > 1").withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
-    out = found.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(freq, ["value_hash", "salt"], "left")
-    one = F.when(F.col("value_hash").isNotNull(), F.lit(1).cast("bigint"))
-    out = out.withColumns({c: F.coalesce(c, one) for c in ("uses", "n_repos", "n_owners")})
+    some = found.where("value_hash IS NOT NULL").withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    counts = ["uses", "n_repos", "n_owners"]
+    out = some.join(freq, ["value_hash", "salt"], "left").select(
+        *found.columns, *[F.coalesce(c, F.lit(1).cast("bigint")).alias(c) for c in counts])
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
-    return out.withColumn("verdict", F.when(F.col("value_hash").isNull(), None)
-                          .when(F.col("n_owners") >= example_owners, "example")
-                          .when((F.col("n_owners") == 1) & mixed, LIVE).otherwise("shared")).drop("salt")
+    copied = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
+    out = out.withColumn("verdict", F.when(copied, "example").when((F.col("n_owners") == 1) & mixed, LIVE)
+                         .otherwise("shared"))
+    none = found.where("value_hash IS NULL").select(
+        *found.columns, *[F.lit(None).cast("bigint").alias(c) for c in counts], F.lit(None).cast("string").alias("verdict"))
+    return out.unionByName(none)
 
 
 def _spans(items: Column) -> Column:
@@ -114,6 +123,7 @@ def document_spans(found: DataFrame) -> DataFrame:
         F.lit(LIVE).alias("name")))
     count = {f"n_{k[0]}": F.count_if(F.col("kind") == n) for n, k in enumerate(KINDS)}
     count |= {f"n_{v}": F.count_if(F.col("verdict") == v) for v in ("example", "live")}
+    count["n_repos"] = F.coalesce(F.max("n_repos"), F.lit(0).cast("bigint"))
     out = found.groupBy("row", "id").agg(*[c.alias(n) for n, c in count.items()],
                                          F.collect_list(base).alias("base"), F.collect_set(live).alias("live"))
     return out.select("row", "id", *count, _spans(F.col("base")).alias("base_spans"),
@@ -123,7 +133,7 @@ def document_spans(found: DataFrame) -> DataFrame:
 def op4_secret_scan(spark, sf_dir):
     out = document_spans(scan(table(spark, sf_dir, "documents")))
     return out.select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex",
-                      F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_example", "n_live")
+                      F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_example", "n_live", "n_repos")
 
 
 def masked(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -177,19 +187,22 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 m AS ({found}),
 c AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM m),
 s AS (SELECT doc_id, source, k, kind, v, CAST(e - length(hit) AS BIGINT) AS b, CAST(e AS BIGINT) AS e FROM c WHERE length(v) >= least),
-own AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM s GROUP BY v),
-j AS (SELECT s.*, owners >= {EXAMPLE_OWNERS} AS example,
-             owners = 1 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AS live FROM s JOIN own USING (v)),
+own AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT (source, doc_id)) AS repos
+        FROM s GROUP BY v),
+k AS (SELECT s.*, owners, repos, owners >= {EXAMPLE_OWNERS} OR repos >= {EXAMPLE_REPOS} AS example FROM s JOIN own USING (v)),
+j AS (SELECT *, NOT example AND owners = 1 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AS live FROM k),
 a AS (SELECT doc_id, k, kind, b, e FROM j UNION ALL
       SELECT DISTINCT doc_id, {len(KINDS)}, '{LIVE}', CAST(e - length(v) AS BIGINT), e FROM j WHERE live),
 t AS (SELECT doc_id, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k, e) FILTER (k < {len(KINDS)}) AS base,
              string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, k, e) AS spans FROM a GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access,
-             count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (example) AS n_example, count(*) FILTER (live) AS n_live
+             count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (example) AS n_example, count(*) FILTER (live) AS n_live,
+             max(repos) AS n_repos
       FROM j GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live
+       coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live,
+       coalesce(n_repos, 0) AS n_repos
 FROM d LEFT JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)"""
 
 

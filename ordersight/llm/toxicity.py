@@ -1,18 +1,19 @@
 """Toxicity by fuzzy lexicon matching in context (operator 1).
 
 A lexicon of toxic words and stems is kept in a trie.  Levenshtein automata
-run over the trie (one edit for words of 5 to 8 letters, two from 9; the first
-letter must agree, look-alike digits and signs are read as letters); their
+run over the trie from its root (one edit for words of 5 to 8 letters, two from
+9, anywhere in the word; look-alike digits and signs are read as letters); their
 product is made deterministic lazily, so a distinct word costs one table step
-per letter until it dies.  Every hit is weighed by its context window: quoting
+per letter until it dies.  A worker keeps the product over its tasks.  Every hit is weighed by its context window: quoting
 marks and verbs of reporting speak for a quotation, second-person words for
 abuse.  A logistic model over the summed context scores gives the score.
 
 The lexicon and the model are learned from at most ``SAMPLE`` labelled rows per
 class (chosen by a hash of the id; whole texts): words and 4- or 5-letter stems
-that toxic texts hold far more often than clean ones, counted once per group of
-texts with the same smallest word hash, so that copies count once.  At most
-``MAX_TERMS`` words and ``MAX_STEMS`` stems.
+that toxic texts hold far more often than clean ones and that occur in a share
+``MIN_SHARE`` of the toxic texts at least.  Both are counted in groups of near
+copies (texts that agree in ``HASHES`` smallest word hashes), and shares are of
+groups, so copies count once.  Every term that passes is in the lexicon.
 
 Defined cases: null and empty texts have no hits and get the model's base
 score; without labelled rows of both classes the lexicon is empty and the score
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 from ordersight.llm.common import col, free, table, written
 
 SAMPLE = 4000
-MAX_TERMS = 256
-MAX_STEMS = 64
+HASHES = 3
+MIN_SHARE = 0.005
 MIN_RATIO = 8.0
 WINDOW = 60
 MEMO = 1_000_000
@@ -71,7 +73,7 @@ class Lexicon:
                 self.word[node] = allowed
         self.states, self.keys, self.ends, self.moves = {}, [], [], []
         self.dead = self._state({})
-        self.first = {ch: self._state(self._skip({n: 0})) for ch, n in self.child[0].items()}
+        self.root = self._state(self._skip({0: 0}))
         self.known: dict[str, tuple | None] = {}
 
     def _skip(self, at: dict) -> dict:
@@ -113,9 +115,8 @@ class Lexicon:
         """("words" or "fuzzy" or "stems", edits) of the best reading, or None."""
         if not word.isalpha():
             word = word.translate(_LOOKALIKE)
-        state = self.first.get(word[0], self.dead)
-        stem = self.ends[state][1]
-        for ch in word[1:]:
+        state, stem = self.root, False
+        for ch in word:
             if state == self.dead:
                 break
             nxt = self.moves[state].get(ch)
@@ -139,6 +140,12 @@ class Lexicon:
         return {w: m for w in words if (m := self.known[w])}
 
 
+@lru_cache(maxsize=2)
+def lexicon_of(words: tuple[str, ...], stems: tuple[str, ...]) -> Lexicon:
+    """The lexicon's automaton, kept by a worker from task to task."""
+    return Lexicon(list(words), list(stems))
+
+
 def text_features(lexicon: Lexicon, text: str | None) -> list[float]:
     """Context-weighted sums of the hits, in the order of ``FEATURES``."""
     lower = (text or "").lower()
@@ -160,6 +167,12 @@ def text_features(lexicon: Lexicon, text: str | None) -> list[float]:
     return [float(np.log1p(sums[k])) for k in FEATURES]
 
 
+def copy_group(words: set[str]) -> int:
+    """The same number for most near copies: the smallest word hashes under ``HASHES`` seeds."""
+    return zlib.crc32(b"".join(min(zlib.crc32(w.encode(), k) for w in words).to_bytes(4, "little")
+                               for k in range(HASHES)))
+
+
 def learn_terms(sample: DataFrame) -> tuple[list[str], list[str]]:
     """Words and stems that set toxic sample texts (text, toxic) apart."""
 
@@ -168,24 +181,21 @@ def learn_terms(sample: DataFrame) -> tuple[list[str], list[str]]:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 words = {w for w in _TOKEN.findall((text or "").lower()) if w.isalpha() and len(w) >= 4}
                 if words:
-                    group = min(zlib.crc32(w.encode()) for w in words)
-                    terms = [*words, *{f"{w[:n]}*" for w in words for n in (4, 5) if len(w) > n}]
-                    yield pd.DataFrame({"term": terms, "grp": group, "toxic": int(toxic)})
+                    terms = ["", *words, *{f"{w[:n]}*" for w in words for n in (4, 5) if len(w) > n}]
+                    yield pd.DataFrame({"term": terms, "grp": copy_group(words), "toxic": int(toxic)})
 
     seen = sample.mapInPandas(run, "term string, grp long, toxic int").distinct()
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    counts = seen.groupBy("term").agg(F.sum("toxic").alias("tox"), F.sum(1 - F.col("toxic")).alias("clean"))
-    n_tox, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not n_tox or not n_clean:
+    counts = written(seen.groupBy("term").agg(F.sum("toxic").alias("tox"), F.sum(1 - F.col("toxic")).alias("clean")),
+                     "toxicity-terms")
+    groups = counts.where("term = ''").first()  # every group holds the empty term
+    if groups is None or not groups["tox"] or not groups["clean"]:
         return [], []
+    n_tox, n_clean = groups["tox"], groups["clean"]
     ratio = ((F.col("tox") + 0.5) / (n_tox + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
-    counts = counts.withColumn("ratio", ratio).where(
-        (F.col("tox") >= max(3, n_tox // 200)) & (F.col("ratio") >= MIN_RATIO))
-    order = [F.desc(F.col("tox") * F.log("ratio")), F.asc("term")]
-    stem = F.col("term").endswith("*")
-    words = [r["term"] for r in counts.where(~stem).orderBy(*order).limit(MAX_TERMS).collect()]
-    stems = [r["term"][:-1] for r in counts.where(stem).orderBy(*order).limit(MAX_STEMS).collect()]
-    return words, stems
+    # Of a bounded sample: at most as many terms as its texts hold.
+    kept = counts.where((F.col("tox") >= max(3.0, MIN_SHARE * n_tox)) & (ratio >= MIN_RATIO) & (F.col("term") != ""))
+    terms = sorted(r["term"] for r in kept.select("term").collect())
+    return [t for t in terms if not t.endswith("*")], [t[:-1] for t in terms if t.endswith("*")]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -214,11 +224,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
     rows = written(docs.select(col(id_col).alias("id"), col(text_col).alias("text"))
                    .join(picked, F.col("id") == F.col("lid")).select("text", "toxic"), "toxicity-sample")
     words, stems = learn_terms(rows)
-    lexicon = Lexicon(words, stems)
+    terms = tuple(words), tuple(stems)
 
     @F.pandas_udf("array<double>")
     def vector(text: pd.Series) -> pd.Series:
-        return pd.Series([text_features(lexicon, t) for t in text])
+        return pd.Series([text_features(lexicon_of(*terms), t) for t in text])
 
     sampled = sorted(rows.select("toxic", vector("text").alias("x")).collect())  # 2 * sample rows at most
     y = np.array([r["toxic"] for r in sampled], float)
@@ -232,11 +242,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
 def scored(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` with score added as the last column."""
-    lexicon, weights = Lexicon(model["words"], model["stems"]), model["weights"]
+    terms, weights = (tuple(model["words"]), tuple(model["stems"])), model["weights"]
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        x = np.array([text_features(lexicon, t) for t in text]).reshape(-1, len(FEATURES))
+        x = np.array([text_features(lexicon_of(*terms), t) for t in text]).reshape(-1, len(FEATURES))
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))))
 
     n_score, = free(docs, "score")

@@ -28,16 +28,17 @@ def plain_dedup(docs):
 
 
 def plain_masks(docs):
-    owners = collections.defaultdict(set)
+    owners, repos = collections.defaultdict(set), collections.defaultdict(set)
     found = {}
     for i, d in docs.items():
         found[i] = [(m.end() - len(m[2] if kind == "assign" else m[0]), m.end()) for kind, p, ok in BASE
                     for m in p.finditer(d["text"]) if ok(m)]
         for a, e in found[i]:
             owners[d["text"][a:e]].add(d["source"])
+            repos[d["text"][a:e]].add(i)
     out = {}
     for i, d in docs.items():
-        spans = sorted(s for s in found[i] if len(owners[d["text"][s[0]:s[1]]]) < 3)
+        spans = sorted(s for s in found[i] if len(owners[d["text"][s[0]:s[1]]]) < 3 and len(repos[d["text"][s[0]:s[1]]]) < 25)
         text, at, runs = d["text"], 0, []
         for a, e in spans:
             if runs and a < runs[-1][1]:

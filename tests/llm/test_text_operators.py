@@ -102,27 +102,29 @@ def test_lexicon_reads_misspelled_words():
     lex = toxicity.Lexicon(["stupid", "worthless", "bad"], ["lowei"])
     assert lex.match("stupid") == ("words", 0) and lex.match("stuupid") == ("fuzzy", 1)
     assert lex.match("5tup1d") == ("words", 0) and lex.match("stupod") == ("fuzzy", 1)
+    assert lex.match("tupid") == lex.match("xtupid") == lex.match("atupid") == ("fuzzy", 1)
+    assert lex.match("rothless") == ("fuzzy", 2) and lex.match("xxtupid") is None
     assert lex.match("worthles") == ("fuzzy", 1) and lex.match("wrthles") == ("fuzzy", 2)
     assert lex.match("bat") is None and lex.match("stuuupid") is None and lex.match("loweischaft") == ("stems", 0)
 
 
-def test_automaton_agrees_with_edit_distance():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
 
+def test_automaton_agrees_with_edit_distance():
     rng = np.random.default_rng(4)
     terms = ["abcab", "acbacb", "abcabcabc", "aab", "cabca"]
     lex = toxicity.Lexicon(terms, [])
     allowed = {t: 0 if len(t) < 5 else 1 if len(t) < 9 else 2 for t in terms}
     for _ in range(3000):
         w = "".join(rng.choice(list("abc"), rng.integers(1, 12)))
-        best = min((distance(w[1:], t[1:]) for t in terms if t[0] == w[0] and distance(w[1:], t[1:]) <= allowed[t]),
-                   default=None)
+        best = min((distance(w, t) for t in terms if distance(w, t) <= allowed[t]), default=None)
         got = lex.match(w)
         assert (got[1] if got else None) == best, w
 
@@ -147,6 +149,58 @@ def test_toxicity_held_out(spark):
     assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.01
 
 
+def test_toxicity_query_against_all_terms(spark):
+    """The registered query against plain edit distances to every term of the learned lexicon."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    allowed = {t: 0 if len(t) < 5 else 1 if len(t) < 9 else 2 for t in model["words"]}
+    known = {}
+
+    def match(word):
+        if word not in known:
+            w = word if word.isalpha() else word.translate(toxicity._LOOKALIKE)
+            near = min((d for t, a in allowed.items() if abs(len(t) - len(w)) <= a and (d := distance(w, t)) <= a), default=None)
+            stem = any(w.startswith(s) for s in model["stems"])
+            known[word] = "words" if near == 0 else "stems" if stem else "fuzzy" if near else None
+        return known[word]
+
+    def plain(text):
+        lower, sums = (text or "").lower(), dict.fromkeys(toxicity.FEATURES, 0.0)
+        found = list(re.finditer(toxicity._TOKEN, lower))
+        for m in found:
+            if kind := match(m[0]):
+                around = lower[max(0, m.start() - 60):m.end() + 60]
+                quoted, abuse = len(toxicity._QUOTE.findall(around)), len(toxicity._ABUSE.findall(around))
+                weight = (1 + 0.5 * min(abuse, 2)) / (1 + min(quoted, 2))
+                sums["hits"] += weight
+                sums["fuzzy"] += weight * (kind == "fuzzy")
+                sums["abuse"] += min(abuse, 2)
+                sums["quoted"] += quoted > 0
+        if found:
+            sums["rate"] = 100 * sums["hits"] / len(found)
+        x = np.log1p([sums[k] for k in toxicity.FEATURES])
+        return 1 / (1 + np.exp(-np.clip(x @ model["weights"][:-1] + model["weights"][-1], -30, 30)))
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = toxicity.op1_toxicity(spark, SF).collect()
+    assert model["words"] and len(rows) == len(texts)
+    for r in rows:
+        assert abs(r["score"] - plain(texts[r["doc_id"]])) < 1e-9 and r["predicted"] == (r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_learned_terms_have_no_cap_and_count_copies_once(spark):
+    rng = np.random.default_rng(6)
+    letters = list("abcdefghij")
+    name = lambda: "".join(rng.choice(letters, 9))
+    bad, filler = [name() for _ in range(400)], [name() for _ in range(3000)]
+    rows = [(" ".join([*rng.choice(bad, 12, replace=False), *rng.choice(filler, 20)]), 1) for _ in range(400)]
+    rows += [(" ".join(rng.choice(filler, 30)), 0) for _ in range(400)]
+    rows += [(" ".join([*filler[:25], "copiedword"]), 1)] * 300  # one text, copied
+    words, _ = toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    assert len(set(bad) & set(words)) > 350 and "copiedword" not in words
+
+
 def test_toxicity_defined_cases(spark):
     docs = messy(spark)
     labels = spark.createDataFrame([(1, 1, "x"), (1, 0, "x"), (3, 0, "x"), (6, None, "x"), (None, 1, "x"), (9, 0, "x")],
@@ -275,6 +329,93 @@ def test_ann_repeated_ids_take_one_place(spark):
     assert found.tolist() == np.argsort(-near[:30])[:5].tolist()
 
 
+def test_ann_query_id_with_two_vectors(spark):
+    x = np.random.default_rng(12).normal(size=(60, 8))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(0, x[41].tolist()), (0, (x[7] * 3).tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    best = np.max([ann.cosines(v, x) for v in (x[0], x[41], x[7])], axis=0)
+    best[0] = -9
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, F.col("id") == 0).collect())
+    order = np.lexsort((np.arange(60), -best))[:5]
+    assert [g[1] for g in got] == order.tolist() and {7, 41} <= {g[1] for g in got}
+    assert np.allclose([g[2] for g in got], best[order], atol=1e-12)
+
+
+def test_langid_stage_without_a_model_keeps_texts_with_letters(spark):
+    docs = messy(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.stage(spark, docs, None)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {1, 5, 6, 7, 8, None, 9, 10}
+
+
+def test_langid_stage_lets_the_model_decide(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs, langid.learnable())
+    junk = spark.createDataFrame([(-1, "qzx qzx qzx " * 30), (-2, "日本語テキスト" * 20)], "doc_id bigint, text string")
+    mixed = docs.select("doc_id", "text").unionByName(junk)
+    scores = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predicted(mixed, model).collect()}
+    kept = {r["doc_id"] for r in langid.accepted(mixed, model).select("doc_id").collect()}
+    assert kept == {i for i, (lang, score) in scores.items() if lang != "und" and score >= langid.REJECT}
+    assert {i for i, (lang, _) in scores.items() if i >= 0 and lang != "und"} <= kept
+
+
+def test_langid_learns_every_language_with_a_share(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} " * 9, f"l{k % 300}") for k in range(1200)]
+    rows.append((5000, "one rare text", "rare"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert len(model["families"]) == 300 and "=rare" not in model["families"]
+
+
+def test_secret_in_many_repositories_of_one_owner_is_an_example(spark):
+    rows = [(k, "token=PLACEHOLDER1", "hot") for k in range(500)] + [(900 + k, "token=own99key", "hot") for k in range(24)]
+    docs = spark.createDataFrame(rows + [(1000, "nothing", "hot")], "doc_id bigint, text string, source string")
+    found = secret_scan.scan(docs)
+    verdict = {(r["value"], r["verdict"], r["n_repos"]) for r in found.collect()}
+    assert verdict == {("PLACEHOLDER1", "example", 500), ("own99key", "live", 24), (None, None, None)}
+    texts = {r["doc_id"]: r["text"] for r in secret_scan.masked(docs, found).collect()}
+    assert texts[0] == "token=PLACEHOLDER1" and texts[900] == "token=[SECRET]" and len(texts) == 525
+
+
+def exact_bins(sizes, capacity):
+    """Fewest bins, by trying: each item goes to any bin opened so far or to a new one."""
+    sizes, best = sorted(sizes, reverse=True), [len(sizes)]
+
+    def place(at, fills):
+        if len(fills) >= best[0]:
+            return
+        if at == len(sizes):
+            best[0] = len(fills)
+            return
+        for k in {f: n for n, f in enumerate(fills)}.values():
+            if fills[k] + sizes[at] <= capacity:
+                place(at + 1, [*fills[:k], fills[k] + sizes[at], *fills[k + 1:]])
+        place(at + 1, [*fills, sizes[at]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_local_search_against_exact_packing():
+    rng = np.random.default_rng(13)
+    hit = 0
+    for n in range(120):
+        sizes = rng.integers(1, 60, rng.integers(3, 11)) if n % 2 else rng.integers(10, 50, 10)
+        got = packing.improve(sizes, packing.best_fit(sizes, 100), 100)
+        assert sorted(i for b in got for i in b) == list(range(len(sizes))) and all(sizes[b].sum() <= 100 for b in got)
+        least = exact_bins(sizes.tolist(), 100)
+        assert len(got) <= least + 1
+        hit += len(got) == least
+    assert hit >= 115
+
+
+def test_pairs_of_a_bin():
+    sizes = np.array([5, 5, 3, 9])
+    assert packing._pair_sums(sizes).tolist() == [8, 10, 12, 14]
+    for total in (8, 10, 12, 14):
+        assert sizes[packing._two_of([0, 1, 2, 3], sizes, total)].sum() == total
+
+
 def test_base_sha_is_of_the_joined_spans():
     assert hashlib.sha256(",".join(plain_spans(SECRETS[5])).encode()).hexdigest()
     assert len(LONG) > 100_000
