@@ -10,7 +10,9 @@ deterministic feature-hashing embedder (no model, no network).
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -112,6 +114,73 @@ def write_vector_index(index: DataFrame, base_path: str, version: str) -> str:
     return path
 
 
+def _file_system(spark, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def _put(spark, path: str, text: str) -> None:
+    """A small file, whole under its name or not there: written beside and renamed over what is there."""
+    jvm, beside = spark._jvm, f"{path}.{uuid.uuid4().hex}"
+    fs, jpath = _file_system(spark, beside)
+    out = fs.create(jpath, False)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jpath.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(jpath, jvm.org.apache.hadoop.fs.Path(path), options)
+
+
+def _get(spark, path: str) -> str | None:
+    fs, jpath = _file_system(spark, path)
+    if not fs.exists(jpath):
+        return None
+    return "\n".join(r.value for r in spark.read.text(path).collect())  # a manifest of a few lines
+
+
+def publish_vector_index(index: DataFrame, base_path: str, version: str | None = None) -> dict:
+    """Write the index as a new version and switch readers over to it; returns the manifest.
+
+    The rows go to ``v=<version>`` through the committer; then a manifest beside them says what they are
+    (schema version, model, documents, chunks, path), and last the pointer ``CURRENT`` is replaced by rename.  A
+    reader sees the old version or the new one, never a part, and one that began with the old version reads on:
+    nothing is removed.  A job that dies before the rename leaves the pointer as it was."""
+    spark, version = index.sparkSession, version or uuid.uuid4().hex
+    base = base_path.rstrip("/")
+    path = write_vector_index(index, base, version)
+    rows = spark.read.parquet(path)
+    meta = rows.groupBy("schema_version", "embedding_model", "document_count").agg(
+        F.count(F.lit(1)).alias("chunks"), F.max("created_at").cast("string").alias("created_at")).limit(2).collect()
+    if len(meta) > 1:
+        raise ValueError("An index has one schema version and one model.")
+    known = meta[0].asDict() if meta else {"schema_version": INDEX_SCHEMA_VERSION, "embedding_model": None,
+                                           "document_count": 0, "chunks": 0, "created_at": None}
+    manifest = {"version": version, "path": f"v={version}", **known}
+    _put(spark, f"{base}/manifest-{version}.json", json.dumps(manifest))
+    _put(spark, f"{base}/CURRENT", version)
+    return manifest
+
+
+def vector_index_manifest(spark, base_path: str) -> dict:
+    """The manifest of the version that readers are pointed to."""
+    base = base_path.rstrip("/")
+    version = _get(spark, f"{base}/CURRENT")
+    text = _get(spark, f"{base}/manifest-{version}.json") if version else None
+    if not text:
+        raise FileNotFoundError("Policy vector index not found. Build it first.")
+    return json.loads(text)
+
+
+def open_vector_index(spark, base_path: str, model: str) -> DataFrame:
+    """The current version of a published index, rejected unless its manifest and its rows have schema version
+    1 and the expected embedding model."""
+    manifest = vector_index_manifest(spark, base_path)
+    if manifest["schema_version"] != INDEX_SCHEMA_VERSION or manifest["embedding_model"] != model:
+        raise ValueError("Policy vector index is incompatible. Rebuild it.")
+    return read_vector_index(spark, f"{base_path.rstrip('/')}/{manifest['path']}", model)
+
+
 def read_vector_index(spark, path: str, model: str) -> DataFrame:
     """Read an index and reject it unless every row has schema version 1
     and the expected embedding model."""

@@ -166,9 +166,10 @@ def _draw(salt: str, *keys: str) -> str:
 
 
 _SPANS = """,
-    ps AS (SELECT MIN(product_id) AS p_lo, MAX(product_id) AS p_hi FROM m_products),
-    ws AS (SELECT MIN(warehouse_id) AS w_lo, MAX(warehouse_id) AS w_hi FROM m_warehouses),
-    vs AS (SELECT MIN(vendor_id) AS v_lo, MAX(vendor_id) AS v_hi FROM m_vendors)"""
+    ps AS (SELECT product_id, row_number() OVER (ORDER BY product_id) - 1 AS p_rank, COUNT(*) OVER () AS p_n FROM m_products),
+    ws AS (SELECT warehouse_id, row_number() OVER (ORDER BY warehouse_id) - 1 AS w_rank, COUNT(*) OVER () AS w_n
+           FROM m_warehouses),
+    vs AS (SELECT vendor_id, row_number() OVER (ORDER BY vendor_id) - 1 AS v_rank, COUNT(*) OVER () AS v_n FROM m_vendors)"""
 _SYNTH = with_marts("m_orders", "m_products", "m_warehouses", "m_vendors") + _SPANS
 
 
@@ -182,10 +183,10 @@ ORACLE["synth_order_lines"] = _SYNTH + f""",
     x AS (SELECT order_id, unnest(range(1, {_draw('lines', 'order_id')} % 4 + 2)) AS n FROM m_orders),
     q AS (SELECT *, CAST({_draw('qty', 'order_id', 'n')} % 20 + 1 AS INTEGER) AS qty FROM x)
     SELECT order_id * 10 + n AS order_line_id, order_id,
-           p_lo + {_draw('product', 'order_id', 'n')} % (p_hi - p_lo + 1) AS product_id, qty AS quantity_ordered,
+           product_id, qty AS quantity_ordered,
            CASE WHEN {_draw('short', 'order_id', 'n')} < 80000 THEN CAST(qty * 3 // 5 AS INTEGER) ELSE qty END AS quantity_shipped,
            {_draw('price', 'order_id', 'n')} % 50000 + 500 AS unit_price_cents
-    FROM q, ps"""
+    FROM q JOIN ps ON p_rank = {_draw('product', 'order_id', 'n')} % (SELECT COUNT(*) FROM ps)"""
 
 
 @register("synth_orders")
@@ -195,8 +196,9 @@ def q_synth_orders(m):
 
 
 _SYNTH_ORDERS = _SYNTH + f""",
-    so AS (SELECT order_id, customer_id, w_lo + {_draw('wh', 'order_id')} % (w_hi - w_lo + 1) AS warehouse_id,
-             DATE '2026-07-01' + CAST({_draw('day', 'order_id')} % 92 AS INTEGER) AS od FROM m_orders, ws),
+    so AS (SELECT o.order_id, o.customer_id, ws.warehouse_id,
+             DATE '2026-07-01' + CAST({_draw('day', 'o.order_id')} % 92 AS INTEGER) AS od
+           FROM m_orders o JOIN ws ON w_rank = {_draw('wh', 'o.order_id')} % (SELECT COUNT(*) FROM ws)),
     rq AS (SELECT *, od + CAST(1 + {_draw('ship', 'order_id')} % 2 AS INTEGER) AS rs,
                      od + CAST(3 + {_draw('del', 'order_id')} % 4 AS INTEGER) AS rd,
                      {_draw('open', 'order_id')} < 150000 AS fl FROM so),
@@ -236,13 +238,38 @@ ORACLE["synth_purchase_orders"] = _SYNTH + f""",
     e AS (SELECT *, CASE WHEN slot = 4 THEN DATE '2026-08-05' + CAST(product_id % 4 AS INTEGER)
                          ELSE DATE '2026-07-15' + CAST(product_id % 10 AS INTEGER) END AS expected,
                  CAST({_draw('qty', 'product_id', 'slot')} % 161 + 150 AS INTEGER) AS qty FROM x)
-    SELECT product_id * 10 + slot AS po_id, v_lo + {_draw('vendor', 'product_id')} % (v_hi - v_lo + 1) AS vendor_id, product_id,
-           w_lo + {_draw('site', 'product_id', 'slot')} % (w_hi - w_lo + 1) AS warehouse_id, expected - 12 AS order_date,
+    SELECT product_id * 10 + slot AS po_id, vendor_id, product_id, warehouse_id, expected - 12 AS order_date,
            expected AS expected_delivery_date,
            CASE WHEN slot = 4 THEN DATE '2026-08-27' + CAST(product_id % 3 AS INTEGER)
                 ELSE expected + CAST({_draw('delay', 'product_id', 'slot')} % 3 AS INTEGER) END AS actual_delivery_date,
            qty AS quantity_ordered, qty AS quantity_received
-    FROM e, vs, ws"""
+    FROM e JOIN vs ON v_rank = {_draw('vendor', 'product_id')} % (SELECT COUNT(*) FROM vs)
+           JOIN ws ON w_rank = {_draw('site', 'product_id', 'slot')} % (SELECT COUNT(*) FROM ws)"""
+
+
+@register("synth_inventory")
+def q_synth_inventory(m):
+    """A generated snapshot a day of every product at every site, with the August shortage."""
+    return synth.synth_inventory(m)
+
+
+# The level is the running sum less its lowest value so far, if that is below zero.
+ORACLE["synth_inventory"] = _SYNTH + f""",
+    pw AS (SELECT ps.product_id, p.safety_stock, ws.warehouse_id, w_rank, (p_rank * w_n + w_rank) * 1000 AS base,
+             CAST(floor(p.safety_stock * (155 + {_draw('open', 'ps.product_id', 'ws.warehouse_id')} % 90) / 100.0) AS BIGINT) AS opening,
+             {_draw('share', 'ps.product_id', 'ws.warehouse_id')} % 25 + 26 AS share,
+             {_draw('alloc', 'ps.product_id', 'ws.warehouse_id')} % 22 + 15 AS alloc
+           FROM ps JOIN m_products p USING (product_id) CROSS JOIN ws),
+    dy AS (SELECT *, unnest(range(0, 31)) AS dd FROM pw),
+    mv AS (SELECT *, ('0x' || substr(md5(product_id || ':' || warehouse_id || ':stock' || (dd // 8)), (dd % 8) * 4 + 1, 4))::BIGINT
+             % 41 - 20 AS move FROM dy),
+    pf AS (SELECT *, opening + SUM(move) OVER (PARTITION BY base ORDER BY dd) AS total FROM mv),
+    lv AS (SELECT *, total - least(0, MIN(total) OVER (PARTITION BY base ORDER BY dd)) AS level FROM pf),
+    oh AS (SELECT *, CAST(CASE WHEN product_id % 5 = 0 AND w_rank = 1 AND dd BETWEEN 6 AND 25
+                     THEN least(level, floor(safety_stock * share / 100.0)) ELSE level END AS INTEGER) AS q FROM lv)
+    SELECT base + dd AS inventory_id, warehouse_id, product_id, DATE '2026-08-01' + CAST(dd AS INTEGER) AS inventory_date,
+           q AS quantity_on_hand, CAST(floor(q * alloc / 100.0) AS INTEGER) AS quantity_allocated
+    FROM oh"""
 
 
 def _month_runs(m):

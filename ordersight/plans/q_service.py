@@ -78,11 +78,14 @@ ORACLE["otif_metrics_filtered"] = _otif_sql(P.YEAR, wh=P.FILTER_WAREHOUSE)
 
 @register("otif_metrics_customer")
 def q_otif_metrics_customer(m):
-    """OTIF metrics for one customer over the whole data range."""
-    return service.otif_metrics(m, "1990-01-01", "2005-12-31", customer_id=P.FILTER_CUSTOMER)
+    """OTIF metrics for one customer from the first order's day to the last one's."""
+    first, last = m.orders.agg(F.min("order_date"), F.max("order_date")).first()
+    return service.otif_metrics(m, first, last, customer_id=P.FILTER_CUSTOMER)
 
 
-ORACLE["otif_metrics_customer"] = _otif_sql(("1990-01-01", "2005-12-31"), cust=P.FILTER_CUSTOMER)
+ORACLE["otif_metrics_customer"] = _otif_sql(("0001-01-01", "9999-12-31"), cust=P.FILTER_CUSTOMER).replace(
+    f"SELECT {d('0001-01-01')} AS start_date, {d('9999-12-31')} AS end_date",
+    "SELECT (SELECT MIN(order_date) FROM m_orders) AS start_date, (SELECT MAX(order_date) FROM m_orders) AS end_date")
 
 
 @register("otif_metrics_json")
@@ -397,3 +400,17 @@ def q_warehouse_performance_stored(m):
 
 
 ORACLE["warehouse_performance_stored"] = ORACLE["warehouse_performance"]
+
+
+def _over_the_store(name: str, build) -> None:
+    """Register a raw query's store-backed form: the same result from the months' partitions."""
+    register(f"{name}_stored")(lambda m: build(stored(m)))
+    ORACLE[f"{name}_stored"] = ORACLE[name]
+
+
+_over_the_store("orders_with_short_lines", q_orders_with_short_lines)            # J1
+_over_the_store("orders_without_short_lines", q_orders_without_short_lines)      # J2
+_over_the_store("order_service_facts", q_order_service_facts)                    # J5
+_over_the_store("warehouse_period_comparison", q_warehouse_period_comparison)    # J7
+_over_the_store("customer_impact", q_customer_impact)                            # A7
+_over_the_store("overview", q_overview)                                          # C1

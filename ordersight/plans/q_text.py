@@ -8,6 +8,7 @@ from ordersight.functions.text import pad_number
 from ordersight.operators import chunker, embed, search, summaries
 from ordersight.plans import params as P
 from ordersight.plans.registry import register
+from ordersight.sources.scratch import scratch_path
 
 ORACLE: dict[str, str] = {}
 EVERY = P.QUERY_VECTOR_EVERY
@@ -230,6 +231,18 @@ ORACLE["vector_index_manifest"] = _INDEX_SQL + f"""
     FROM chunks c JOIN e USING (chunk_id)"""
 
 
+@register("vector_index_published")
+def q_vector_index_published(m):
+    """The index written as a version, published, and read back through its pointer and the gate."""
+    emb = embed.HashingEmbedder(P.EMBED_DIM)
+    base = scratch_path(m.spark, "vector-index")
+    embed.publish_vector_index(embed.index_rows(doc_chunks(m), emb, documents=m.t.documents), base)
+    return embed.open_vector_index(m.spark, base, emb.model).drop("created_at")
+
+
+ORACLE["vector_index_published"] = ORACLE["vector_index_manifest"]
+
+
 @register("policy_search")
 def q_policy_search(m):
     """X8 end to end: benchmark texts as queries against embedded document chunks; ties by

@@ -34,7 +34,7 @@ def queries() -> dict[str, QueryFn]:
 
 def _load_all() -> None:
     # Importing the modules registers their queries.
-    from ordersight.plans import q_quality, q_rules, q_service, q_supply, q_text, q_trace  # noqa: F401
+    from ordersight.plans import q_quality, q_rules, q_service, q_sql, q_supply, q_text, q_trace  # noqa: F401
 
 
 __all__ = ["register", "queries"]

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordersight.functions.scan import ordered_scan
 from ordersight.operators.facts import as_date, in_range
 from ordersight.sources.marts import Marts
 
@@ -63,10 +64,21 @@ def draw(salt: str, *keys: str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 1_000_000
 
 
-def _pick(mart: DataFrame, key: str, h: Column) -> Column:
-    """A key of a mart whose keys are a dense range: lowest + h mod (number of keys), as scalar subqueries."""
-    lo, hi = mart.agg(F.min(key)).scalar(), mart.agg(F.max(key)).scalar()
-    return lo + h % (hi - lo + 1)
+def ranks(mart: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(rank from 0, key) of a mart's distinct keys in their order, and their number.
+
+    The rank table turns a draw into a key of any key set, with gaps or without: key number ``draw mod n``.  Ranks
+    come from an ordered scan, so no task holds all keys."""
+    keys = mart.select(F.lit(0).alias("_all"), F.col(key)).where(F.col(key).isNotNull()).distinct()
+    out = ordered_scan(keys, ["_all"], [key], "_rank").select((F.col("_rank") - 1).alias("_rank"), key)
+    return out, out.count()
+
+
+def _pick(df: DataFrame, mart: DataFrame, key: str, h: Column, name: str | None = None) -> DataFrame:
+    """``df`` with a key of ``mart`` drawn by ``h``, as column ``name`` (the key's own by default)."""
+    table, n = ranks(mart, key)
+    table = table.withColumnRenamed(key, name or key)
+    return df.withColumn("_rank", h % F.lit(max(n, 1))).join(table, "_rank").drop("_rank")
 
 
 def synth_order_lines(m: Marts) -> DataFrame:
@@ -76,9 +88,10 @@ def synth_order_lines(m: Marts) -> DataFrame:
     h = lambda salt: draw(salt, "order_id", "line_number")
     qty = (h("qty") % 20 + 1).cast("int")
     short = h("short") < 80_000                                # about 8 % of lines ship short
+    x = _pick(x, m.products, "product_id", h("product"))
     return x.select(
         (F.col("order_id") * 10 + F.col("line_number")).alias("order_line_id"), "order_id",
-        _pick(m.products, "product_id", h("product")).alias("product_id"), qty.alias("quantity_ordered"),
+        "product_id", qty.alias("quantity_ordered"),
         F.when(short, F.floor(qty * 3 / 5).cast("int")).otherwise(qty).alias("quantity_shipped"),
         (h("price") % 50_000 + 500).alias("unit_price_cents"))
 
@@ -95,8 +108,8 @@ def synth_orders(m: Marts, start: str = "2026-07-01", days: int = 92) -> DataFra
     ship_delay = F.when(h("sd") < 800_000, F.lit(0)).otherwise((h("sd2") % 3 + 1).cast("int"))
     del_delay = F.when(h("dd") < 700_000, F.lit(0)).otherwise((h("dd2") % 4 + 1).cast("int"))
     in_flight = h("open") < 150_000
-    return o.select(
-        "order_id", "customer_id", _pick(m.warehouses, "warehouse_id", h("wh")).alias("warehouse_id"),
+    return _pick(o, m.warehouses, "warehouse_id", h("wh")).select(
+        "order_id", "customer_id", "warehouse_id",
         od.alias("order_date"), req_ship.alias("requested_ship_date"),
         F.date_add(req_ship, ship_delay).alias("actual_ship_date"), req_del.alias("requested_delivery_date"),
         F.when(in_flight, F.lit(None).cast("date")).otherwise(F.date_add(req_del, del_delay)).alias("actual_delivery_date"),
@@ -129,9 +142,60 @@ def synth_purchase_orders(m: Marts) -> DataFrame:
     actual = F.when(late, F.date_add(august, 26 + (F.col("product_id") % 3).cast("int"))).otherwise(
         F.date_add(expected, (h("delay") % 3).cast("int")))
     qty = (h("qty") % 161 + 150).cast("int")
+    p = _pick(p, m.vendors, "vendor_id", draw("vendor", "product_id"))
+    p = _pick(p, m.warehouses, "warehouse_id", h("site"))
     return p.select(
-        (F.col("product_id") * 10 + F.col("slot")).alias("po_id"),
-        _pick(m.vendors, "vendor_id", draw("vendor", "product_id")).alias("vendor_id"), "product_id",
-        _pick(m.warehouses, "warehouse_id", h("site")).alias("warehouse_id"), F.date_add(expected, -12).alias("order_date"),
+        (F.col("product_id") * 10 + F.col("slot")).alias("po_id"), "vendor_id", "product_id", "warehouse_id", F.date_add(expected, -12).alias("order_date"),
         expected.alias("expected_delivery_date"), actual.alias("actual_delivery_date"),
         qty.alias("quantity_ordered"), qty.alias("quantity_received"))
+
+
+DRAW_DAYS = 8      # days whose draws one MD5 gives: four hex digits each
+INCIDENT_DAYS = (7, 26)
+
+
+def synth_inventory(m: Marts, start: str = INCIDENT_MONTH, days: int = 31) -> DataFrame:
+    """A snapshot a day of every product at every site: quantities that move by drawn receipts and picks.
+
+    A pair opens with 155 to 244 % of its product's safety stock, and each day adds a movement of -20 to +20; what
+    would go below zero stays at zero.  That is a running sum less its lowest value so far below zero, folded over
+    the pair's days inside its row: pairs are expanded in place, nothing is shuffled but the products to their rows.
+    Every fifth product is short at the second site from the 7th to the 26th of the incident month: at most
+    26 to 50 % of its safety stock.  15 to 36 % of what is there is allocated.  Products and sites may have any keys;
+    ``inventory_id`` = (product rank x sites + site rank) x 1,000 + day."""
+    if not 1 <= days < 1000:
+        raise ValueError("days must be between 1 and 999")
+    products, _ = ranks(m.products, "product_id")
+    sites, n = ranks(m.warehouses, "warehouse_id")
+    pairs = products.join(m.products.select("product_id", "safety_stock"), "product_id").select(
+        "product_id", "safety_stock", (F.col("_rank") * n).alias("_base"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("_rank")) if n else None
+    if pairs is None:
+        raise ValueError("no site to keep stock at")
+    pairs = pairs.join(sites, "_rank")
+    h = lambda salt: draw(salt, "product_id", "warehouse_id")
+    digits = F.concat(*[F.md5(F.concat_ws(":", F.col("product_id").cast("string"), F.col("warehouse_id").cast("string"),
+                                          F.lit(f"stock{k}"))) for k in range(-(-days // DRAW_DAYS))])
+    moves = F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda d: (
+        F.conv(F.substring(digits, d * 4 + 1, F.lit(4)), 16, 10).cast("int") % 41 - 20))
+    opening = F.floor(F.col("safety_stock") * (155 + h("open") % 90) / 100).cast("int")
+    state = F.struct(opening.alias("level"), F.array().cast("array<int>").alias("all"))
+
+    def day(acc: Column, move: Column) -> Column:
+        level = F.greatest(F.lit(0), acc["level"] + move)
+        return F.struct(level.alias("level"), F.array_append(acc["all"], level).alias("all"))
+
+    levels = F.aggregate(F.col("_moves"), state, day)["all"]
+    rows = pairs.withColumn("_moves", moves).select(
+        "product_id", "warehouse_id", "safety_stock", "_rank", "_base", (h("share") % 25 + 26).alias("_share"),
+        (h("alloc") % 22 + 15).alias("_alloc"), F.posexplode(levels).alias("_day", "_level"))
+    date = F.date_add(F.lit(as_date(start)), F.col("_day"))
+    low = F.floor(F.col("safety_stock") * F.col("_share") / 100).cast("int")
+    short = ((F.col("product_id") % CRITICAL_EVERY == 0) & (F.col("_rank") == 1)
+             & (F.trunc(date, "month") == F.lit(as_date(INCIDENT_MONTH)))
+             & F.dayofmonth(date).between(*INCIDENT_DAYS))
+    on_hand = F.when(short, F.least(F.col("_level"), low)).otherwise(F.col("_level"))
+    return rows.select(
+        ((F.col("_base") + F.col("_rank")) * 1000 + F.col("_day")).alias("inventory_id"), "warehouse_id", "product_id",
+        date.alias("inventory_date"), on_hand.alias("quantity_on_hand"),
+        F.floor(on_hand * F.col("_alloc") / 100).cast("int").alias("quantity_allocated"))
