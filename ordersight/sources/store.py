@@ -47,14 +47,14 @@ _BUCKETED = ("orders", "order_line_facts")
 _DIMS = ("customers", "products", "warehouses", "vendors", "shipments")
 
 
-#: Bytes of a bucket over all months.
-BUCKET_BYTES = 1 << 30
+#: Bytes of a bucket over all months, about: a small table is one bucket, so its months are few files.
+BUCKET_BYTES = 256 << 20
 
 
 def _buckets(df: DataFrame) -> int:
     """Buckets of a table of this size, by Spark's own estimate."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(8, min(8192, size // BUCKET_BYTES))
+    return max(1, min(8192, size // BUCKET_BYTES))
 
 
 def _by_order(m: Marts) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ordersight.operators import inventory, policy_rules, service, vendors
+from ordersight.operators import facts, inventory, policy_rules, quality, service, vendors
+from ordersight.sources import store
 from ordersight.sources.marts import Marts
 from ordersight.sources.store import StoredMarts, _months, write_store
 
@@ -39,3 +40,39 @@ def test_store_round_trip_matches_raw_marts(spark, tmp_path):
         scans = [x for x in plan.splitlines() if "FileScan" in x and part in x.split("PartitionFilters")[0]]
         filters = [x.split("PartitionFilters: [")[1].split("]")[0] for x in plan.splitlines() if "PartitionFilters: [" in x]
         assert sum(part in f and "1996-08" in f for f in filters) >= (2 if part == "order_month" else 1), (scans, filters)
+
+
+def test_orders_and_line_facts_meet_in_their_buckets(spark, tmp_path, monkeypatch):
+    """No exchange on order_id, and one month's partitions read, whichever session opens the store."""
+    monkeypatch.setattr(store, "BUCKET_BYTES", 1 << 12)
+    raw = Marts(spark, SMOKE)
+    path = write_store(raw, str(tmp_path / "store"))
+    for name in ("orders", "order_line_facts"):       # as another session would find it
+        spark.sql(f"DROP TABLE {store._table_name(path, name)}")
+    kept = StoredMarts(spark, path)
+    assert spark.read.parquet(f"{path}/layout/orders").first()["buckets"] > 1
+    cases = {
+        "J1": service.orders_with_short_lines, "J2": service.orders_without_short_lines, "J5": facts.order_facts,
+        "A1": service.otif_metrics, "A2": service.warehouse_performance, "A7": service.customer_impact,
+        "J7": lambda m, s, e: service.warehouse_period_comparison(m, PREV, (s, e)),
+        "C1": lambda m, s, e: service.overview(m, PREV, (s, e))}
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for name, case in cases.items():
+            df = case(kept, *CUR)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(order_id" not in plan and "SortMergeJoin" in plan, (name, plan)
+            filters = [x.split("PartitionFilters: [")[1].split("]")[0] for x in plan.splitlines() if "PartitionFilters: [" in x]
+            pruned = [f for f in filters if "order_month" in f]
+            assert len(pruned) == 2 and all("1996-08" in f for f in pruned), (name, filters)
+        plan = quality.fk_violations(kept)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(order_id" not in plan
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    for case in (*cases.values(), lambda m, s, e: quality.fk_violations(m)):
+        a, b = case(raw, *CUR), case(kept, *CUR)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
