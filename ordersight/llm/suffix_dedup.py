@@ -9,7 +9,7 @@ anywhere else, in the same or another text; matches never cross texts.
    form one run: its context.  Anchors are counted over the corpus; a context
    whose anchor occurs once cannot hold a repeated string and stays behind.
 2. Shards.  Contexts are dealt by anchor, so equal windows meet; anchors with more
-   than ``HOT`` contexts are dealt over several shards.  A shard of about
+   than ``HOT`` contexts are dealt over several shards, each in a task of its own.  A shard of about
    ``SHARD`` bytes (equal contexts once, with their number) gets a suffix array by
    Larsson-Sadakane refinement: sorted by 8 bytes, then only unsorted groups by the
    ranks 8, 16, 32, ... bytes on, up to the needed depth.  Kasai's common
@@ -342,8 +342,10 @@ def repeated_starts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     seen = written(rows.select("id", "tid", "bytes", F.explode(keys_of("text")).alias("key")), "anchors")
     often = written(seen.groupBy("key").count().where("count > 1")
-                    .select("key", F.ceil(F.col("count") / hot).cast("int").alias("salts")), "repeated-anchors")
-    kept = seen.join(often, "key").groupBy("tid", "bytes").agg(
+                    .select("key", F.ceil(F.col("count") / hot).cast("int").alias("salts"), "count"), "repeated-anchors")
+    # Tasks of about ``hot`` contexts; the slices of a hot anchor go to consecutive ones, so no two share a task.
+    tasks = max(1, -(-(often.agg(F.sum("count")).first()[0] or 0) // hot))
+    kept = seen.join(often.drop("count"), "key").groupBy("tid", "bytes").agg(
         F.min("id").alias("rep"), F.collect_set(F.struct("key", "salts")).alias("keys"))
     kept = kept.select(F.col("tid").alias("k_tid"), F.col("bytes").alias("k_bytes"), "rep", "keys")
     # One text of each key, that of its smallest id.
@@ -373,7 +375,8 @@ def repeated_starts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     # Rows that repeat id and text give the same context twice.
     contexts = picked.select("text", "tid", "bytes", "keys").mapInPandas(cut_out, CONTEXTS)
-    contexts = contexts.repartition("key", "salt").sortWithinPartitions("key", "salt", "tid", "bytes", "start")
+    home = F.pmod(F.xxhash64("key") + F.col("salt"), F.lit(tasks)).cast("int")
+    contexts = contexts.repartitionById(tasks, home).sortWithinPartitions("key", "salt", "tid", "bytes", "start")
     found = written(contexts.mapInPandas(lambda it: _shards(_once(it), length, shard), FOUND), "repeats")
     again = (found.where("NOT local").repartition("d1").sortWithinPartitions("d1", "d2")
              .mapInPandas(_merge, "tid long, bytes int, first int, last int"))
