@@ -5,8 +5,10 @@ Spark's own text writer (task commit protocol, any file system; the writer's
 line separator is the CRLF CRLF that ends a WARC record).  Payload digests are
 shuffled first: of records with equal payloads of at least ``min_bytes`` bytes
 the one with the smallest page id becomes the response, the others become
-revisit records without payload.  ``read_archives`` streams records out of the
-files, one at a time, by Content-Length.  ``resolve`` joins the revisit headers
+revisit records without payload.  Files are bounded in bytes: payloads are written by
+size class, so many records to a file that it holds ``FILE_BYTES`` at most (a
+larger record has a file of its own).  ``read_archives`` streams records out of a
+file, one at a time, by Content-Length.  ``resolve`` joins the revisit headers
 to the original responses by payload digest.
 
 Defined cases: a null payload is empty; payloads under ``min_bytes`` are always
@@ -25,7 +27,10 @@ from ordersight.llm.common import col, scratch_path, table, written
 
 CRLF = "\r\n"
 MIN_BYTES = 100
-RECORDS_PER_FILE = 4096
+#: Uncompressed bytes of a file, about; Spark hands a file to Python as one value.
+FILE_BYTES = 256 << 20
+#: Upper bounds of the payload size classes; the last class has none.
+CLASSES = (1 << 16, 1 << 22, 1 << 26)
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = ("page_id bigint, record_id string, record_type string, target_uri string, payload_digest string, "
@@ -40,7 +45,7 @@ def _record_id(page_id: Column, digest: Column) -> Column:
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url",
                    payload_col: str = "html", min_bytes: int = MIN_BYTES, date: str = DATE,
-                   records_per_file: int = RECORDS_PER_FILE) -> None:
+                   file_bytes: int = FILE_BYTES, classes: tuple[int, ...] = CLASSES) -> None:
     """Write ``pages`` as deduplicated archives under ``path`` (a new folder)."""
     rows = pages.select(col(id_col).cast("bigint").alias("page_id"), col(url_col).alias("url"),
                         F.coalesce(col(payload_col), F.lit("")).alias("payload"))
@@ -74,8 +79,16 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.octet_length(F.when(is_revisit, http).otherwise(F.concat(http, F.col("payload")))).cast("string"),
         F.lit(CRLF + CRLF))
     value = F.concat(head, http, F.when(is_revisit, "").otherwise(F.col("payload")))
-    (rows.select(value.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
-     .option("maxRecordsPerFile", records_per_file).text(path))
+    at = sum(((F.col("n") > c).cast("int") for c in classes), F.lit(0))
+    held = pages.agg(*[F.count_if(size > low).alias(f"c{k}") for size in [F.octet_length(col(payload_col))]
+                       for k, low in enumerate((-1, *classes))]).first()
+    above = [*list(held)[1:], 0]
+    for k, bound in enumerate((*classes, None)):
+        if k and held[k] == above[k]:
+            continue  # no payload of this class; the first one is written in any case, nulls and empty tables too
+        part = rows if above[0] == 0 else rows.where(at == k)
+        (part.select(value.alias("value")).write.mode("append").option("lineSep", CRLF + CRLF)
+         .option("compression", "gzip").option("maxRecordsPerFile", max(1, file_bytes // bound) if bound else 1).text(path))
 
 
 def parse_records(stream):

@@ -102,7 +102,7 @@ PAGES = [(5, "http://a/1", "p" * 150), (3, "http://a/2\r\nX: y", "p" * 150), (9,
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").withColumn("digest", F.lit("x"))
     path = scratch_path(spark, "warc-test")
-    warc.write_archives(pages, path, records_per_file=3)
+    warc.write_archives(pages, path, file_bytes=3 << 16)
     records = warc.read_archives(spark, path)
     assert records.count() == len(PAGES) and records.where("NOT intact").count() == 0
     got = collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"])
@@ -130,6 +130,24 @@ def test_warc_records_are_well_formed(spark):
     assert n == len(PAGES)
 
 
+def test_warc_files_are_bounded_in_bytes(spark, tmp_path):
+    """Many small and some large payloads: no file holds more than the bound, but for a record of its own."""
+    rng = np.random.default_rng(9)
+    sizes = [*rng.integers(0, 150, 120), *rng.integers(300, 900, 40), 5000, 5001, 9000]
+    rows = [(k, None, "".join(rng.choice(list("abcdef"), n))) for k, n in enumerate(sizes)] + [(900, None, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(2)
+    path = scratch_path(spark, "warc-test")
+    warc.write_archives(pages, path, file_bytes=4000, classes=(200, 1000))
+    held = []
+    for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect():
+        held.append([len(x["payload"]) for x in warc.parse_records(io.BytesIO(gzip.decompress(r["content"])))])
+    assert sorted(n for f in held for n in f) == sorted([*sizes, 0])
+    assert all(sum(f) <= 4000 or len(f) == 1 for f in held) and len(held) > 10
+    got = {r["page_id"]: r for r in warc.resolve(warc.read_archives(spark, path)).collect()}
+    assert len(got) == len(rows) and all(r["intact"] for r in got.values())
+    assert [got[k]["payload_bytes"] for k in range(len(sizes))] == [int(n) for n in sizes]
+
+
 def test_warc_empty(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     path = scratch_path(spark, "warc-test")
