@@ -1,122 +1,13 @@
-"""Skew-safe ordered running computations per key.
-
-``row_number()`` / running ``sum()`` over ``Window.partitionBy(key)`` puts all
-rows of a key in one task; if one key holds a third of the data, that task
-holds a third of the data.  ``prefix_sums`` splits such keys instead, using a
-caller-supplied *bucket*: a deterministic column that is non-decreasing in the
-order.  Pick a calendar unit (hour of a timestamp, day of a date): then the
-number of buckets per key is bounded by the key's time span and the offsets
-window (step 3) stays small however hot the key is, while each bucket holds
-only one key's rows of one hour / day:
-
-1. local running sums within (key, bucket) -- a window whose groups are
-   bounded by the bucket width, not by the size of the key;
-2. totals per (key, bucket) -- a partial+final aggregate, one row per bucket;
-3. a running sum of those totals over the key's earlier buckets -- a window
-   over at most (number of buckets) rows per key, bounded by the order span;
-4. the offsets joined back on (key, bucket).
-
-Every step is deterministic, so a lost executor recomputes the same values.
-``order`` must be a total order within a key (include a unique tie-breaker).
-"""
+"""Zone-free times of trace rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def prefix_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column],
-                bucket: Column) -> DataFrame:
-    """Append inclusive running sums of ``values`` per key in ``order``."""
-    v = {name: F.coalesce(expr, F.lit(0)).cast("bigint") for name, expr in values.items()}
-    base = df.select("*", bucket.alias("_bucket"), *[e.alias(f"_v_{k}") for k, e in v.items()])
-    run = (Window.partitionBy(*keys, "_bucket").orderBy(*order)
-           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = base.select("*", *[F.sum(f"_v_{k}").over(run).alias(f"_l_{k}") for k in v])
-    totals = base.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in v])
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_bucket",
-                            *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0).cast("bigint")).alias(f"_o_{k}")
-                              for k in v])
-    out = local.join(offsets, keys + ["_bucket"], "inner")
-    return out.select(*df.columns, *[(F.col(f"_l_{k}") + F.col(f"_o_{k}")).alias(k) for k in v])
-
-
-def sequence_number(df: DataFrame, keys: list[str], order: list[str], bucket: Column,
-                    name: str = "seq") -> DataFrame:
-    """1-based position of each row within its key, ordered by ``order``
-    (a skew-safe ``row_number()``), as INT."""
-    out = prefix_sums(df, keys, order, {name: F.lit(1)}, bucket)
-    return out.withColumn(name, F.col(name).cast("int"))
-
-
 def epoch_micros(ts_col: str) -> Column:
     """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ column, independent of
     the session time zone (no DST shifts)."""
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return F.timestamp_diff("MICROSECOND", epoch, F.col(ts_col).cast("timestamp_ntz"))
-
-
-def hour_bucket(ts_col: str) -> Column:
-    """Hour number of a timestamp: monotone in time."""
-    return F.floor(epoch_micros(ts_col) / F.lit(3_600_000_000)).cast("bigint")
-
-
-def previous_values(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
-                    bucket: Column, prefix: str = "previous_") -> DataFrame:
-    """Skew-safe ``lag(col)`` per key in ``order`` for each of ``cols``.
-
-    Within a (key, bucket) group the previous row comes from a local ``lag``;
-    for the first row of a bucket it is the last row of the key's previous
-    non-empty bucket, taken from a per-bucket summary (one row per bucket,
-    ``max_by`` on the order) lagged over the key's buckets.  One shuffle of
-    the data (the local window); the summaries are small."""
-    base = df.select("*", bucket.alias("_bucket"))
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    local = base.select("*", F.row_number().over(w).alias("_rn"),
-                        *[F.lag(c).over(w).alias(f"_lag_{c}") for c in cols])
-    # summary from the local window's output (already partitioned by (key,
-    # bucket)): no second scan of the input and no extra shuffle of it
-    last = local.groupBy(*keys, "_bucket").agg(
-        F.max_by(F.struct(*cols), F.col("_rn")).alias("_last"))
-    prev = last.select(*keys, "_bucket", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket"))
-                       .alias("_prev"))
-    out = local.join(prev, keys + ["_bucket"], "left")
-    return out.select(*df.columns, *[F.when(F.col("_rn") == 1, F.col(f"_prev.{c}")).otherwise(F.col(f"_lag_{c}"))
-                                     .alias(f"{prefix}{c}") for c in cols])
-
-
-def gap_sessions(df: DataFrame, keys: list[str], order: list[str], time_col: str, gap: int,
-                 bucket: Column, name: str = "session") -> DataFrame:
-    """1-based session (round) number per key: a new session starts at a row
-    whose ``time_col`` exceeds the previous row's by more than ``gap`` (same
-    units).  Skew-safe in one data shuffle:
-
-    * local window per (key, bucket): lag within the bucket, local flags and
-      their running count;
-    * per-bucket summary (first / last time, local flag total) from that
-      window's output -- already partitioned by (key, bucket), no new shuffle;
-    * over the key's buckets (bounded by its time span): the boundary flag
-      (bucket's first row vs the previous bucket's last row) and the running
-      offset; joined back on (key, bucket).
-
-    ``bucket`` must be non-decreasing in ``order`` and ``order`` must sort
-    ``time_col`` ascending."""
-    t = F.col(time_col)
-    base = df.select("*", bucket.alias("_bucket"))
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    flag = F.coalesce(t - F.lag(t).over(w) > gap, F.lit(False)).cast("int")
-    local = base.withColumn("_f", flag).withColumn("_lrun", F.sum("_f").over(run))
-    summ = local.groupBy(*keys, "_bucket").agg(F.min(time_col).alias("_first"), F.max(time_col).alias("_last"),
-                                               F.sum("_f").alias("_ftot"))
-    wb = Window.partitionBy(*keys).orderBy("_bucket")
-    boundary = F.coalesce(F.col("_first") - F.lag("_last").over(wb) > gap, F.lit(False)).cast("bigint")
-    summ = summ.withColumn("_b", boundary)
-    before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = summ.select(*keys, "_bucket",
-                          (F.coalesce(F.sum(F.col("_ftot") + F.col("_b")).over(before), F.lit(0)) + F.col("_b"))
-                          .alias("_off"))
-    out = local.join(offsets, keys + ["_bucket"], "inner")
-    return out.select(*df.columns, (F.col("_off") + F.col("_lrun") + 1).cast("int").alias(name))

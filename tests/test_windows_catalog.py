@@ -6,22 +6,22 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ordersight.functions.windows import prefix_sums, sequence_number
+from ordersight.functions.scan import ordered_scan
 from ordersight.plans import catalog
 
 
 def test_sequence_number_matches_row_number_on_a_hot_key(spark):
-    # key 0 holds ~90 % of the rows; buckets split it into many sub-groups
+    # key 0 holds ~90 % of the rows
     df = spark.range(0, 5000).select((F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(0)).alias("k"),
                                      (F.col("id") * 7919 % 5003).alias("o"), F.col("id"))
-    got = sequence_number(df, ["k"], ["o", "id"], F.floor(F.col("o") / 50))
+    got = ordered_scan(df, ["k"], ["o", "id"], "seq")
     ref = df.withColumn("seq", F.row_number().over(Window.partitionBy("k").orderBy("o", "id")))
     assert sorted(got.select("id", "seq").collect()) == sorted(ref.select("id", "seq").collect())
 
 
 def test_prefix_sums_running_total(spark):
     df = spark.range(1, 3001).select(F.lit(1).alias("k"), F.col("id").alias("seq"), (F.col("id") % 3).alias("v"))
-    out = prefix_sums(df, ["k"], ["seq"], {"run": F.col("v")}, F.floor(F.col("seq") / 128))
+    out = ordered_scan(df, ["k"], ["seq"], sums={"run": F.col("v")})
     ref = df.withColumn("run", F.sum("v").over(Window.partitionBy("k").orderBy("seq")))
     assert sorted(out.select("seq", "run").collect()) == sorted(ref.select("seq", "run").collect())
 
@@ -82,23 +82,21 @@ def test_month_end_and_display_helpers(spark):
 
 
 def test_previous_values_matches_lag_on_a_hot_key(spark):
-    from ordersight.functions.windows import previous_values
     df = spark.range(0, 4000).select((F.when(F.col("id") % 9 == 0, F.col("id") % 5).otherwise(0)).alias("k"),
                                      (F.col("id") * 7919 % 4001).alias("o"), F.col("id"),
                                      (F.col("id") % 3 == 0).alias("flag"))
-    got = previous_values(df, ["k"], ["o", "id"], ["id", "flag"], F.floor(F.col("o") / 37))
+    got = ordered_scan(df, ["k"], ["o", "id"], lag=["id", "flag"])
     w = Window.partitionBy("k").orderBy("o", "id")
     ref = df.select("id", F.lag("id").over(w).alias("previous_id"), F.lag("flag").over(w).alias("previous_flag"))
     assert sorted(got.select("id", "previous_id", "previous_flag").collect()) == sorted(ref.collect())
 
 
 def test_gap_sessions_matches_plain_window(spark):
-    from ordersight.functions.windows import gap_sessions
     # times in minutes; gaps of 0-130 min, threshold 60 (gaps of exactly 60 do not split)
     df = spark.range(0, 3000).select(F.when(F.col("id") % 11 == 0, F.lit(1)).otherwise(F.lit(0)).alias("k"),
                                      F.col("id").alias("seq"), ((F.col("id") * 37) % 131).alias("g"))
     df = df.withColumn("t", F.sum("g").over(Window.partitionBy("k").orderBy("seq")))
-    got = gap_sessions(df, ["k"], ["seq"], "t", 60, F.floor(F.col("t") / 500), "s")
+    got = ordered_scan(df, ["k"], ["seq"], session=("s", "t", 60))
     w = Window.partitionBy("k").orderBy("seq")
     flag = F.coalesce(F.col("t") - F.lag("t").over(w) > 60, F.lit(False)).cast("int")
     ref = df.withColumn("f", flag).withColumn("s", (F.sum("f").over(w) + 1).cast("int"))
