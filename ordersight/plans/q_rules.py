@@ -249,8 +249,9 @@ ORACLE["synth_purchase_orders"] = _SYNTH + f""",
 
 @register("synth_inventory")
 def q_synth_inventory(m):
-    """A generated snapshot a day of every product at every site, with the August shortage."""
-    return synth.synth_inventory(m)
+    """A generated snapshot a day of every product at every site, for the eight days around the 7th of August,
+    when the shortage begins."""
+    return synth.synth_inventory(m, "2026-08-03", 8)
 
 
 # The level is the running sum less its lowest value so far, if that is below zero.
@@ -260,14 +261,14 @@ ORACLE["synth_inventory"] = _SYNTH + f""",
              {_draw('share', 'ps.product_id', 'ws.warehouse_id')} % 25 + 26 AS share,
              {_draw('alloc', 'ps.product_id', 'ws.warehouse_id')} % 22 + 15 AS alloc
            FROM ps JOIN m_products p USING (product_id) CROSS JOIN ws),
-    dy AS (SELECT *, unnest(range(0, 31)) AS dd FROM pw),
+    dy AS (SELECT *, unnest(range(0, 8)) AS dd FROM pw),
     mv AS (SELECT *, ('0x' || substr(md5(product_id || ':' || warehouse_id || ':stock' || (dd // 8)), (dd % 8) * 4 + 1, 4))::BIGINT
              % 41 - 20 AS move FROM dy),
     pf AS (SELECT *, opening + SUM(move) OVER (PARTITION BY base ORDER BY dd) AS total FROM mv),
     lv AS (SELECT *, total - least(0, MIN(total) OVER (PARTITION BY base ORDER BY dd)) AS level FROM pf),
-    oh AS (SELECT *, CAST(CASE WHEN product_id % 5 = 0 AND w_rank = 1 AND dd BETWEEN 6 AND 25
+    oh AS (SELECT *, CAST(CASE WHEN product_id % 5 = 0 AND w_rank = 1 AND dd >= 4
                      THEN least(level, floor(safety_stock * share / 100.0)) ELSE level END AS INTEGER) AS q FROM lv)
-    SELECT base + dd AS inventory_id, warehouse_id, product_id, DATE '2026-08-01' + CAST(dd AS INTEGER) AS inventory_date,
+    SELECT base + dd AS inventory_id, warehouse_id, product_id, DATE '2026-08-03' + CAST(dd AS INTEGER) AS inventory_date,
            q AS quantity_on_hand, CAST(floor(q * alloc / 100.0) AS INTEGER) AS quantity_allocated
     FROM oh"""
 

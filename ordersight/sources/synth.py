@@ -174,10 +174,12 @@ def synth_inventory(m: Marts, start: str = INCIDENT_MONTH, days: int = 31) -> Da
         raise ValueError("no site to keep stock at")
     pairs = pairs.join(sites, "_rank")
     h = lambda salt: draw(salt, "product_id", "warehouse_id")
-    digits = F.concat(*[F.md5(F.concat_ws(":", F.col("product_id").cast("string"), F.col("warehouse_id").cast("string"),
-                                          F.lit(f"stock{k}"))) for k in range(-(-days // DRAW_DAYS))])
-    moves = F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda d: (
-        F.conv(F.substring(digits, d * 4 + 1, F.lit(4)), 16, 10).cast("int") % 41 - 20))
+    # One MD5 per eight days, bound by the outer lambda, so it is hashed once and not once a day.
+    hashes = F.array(*[F.md5(F.concat_ws(":", F.col("product_id").cast("string"), F.col("warehouse_id").cast("string"),
+                                         F.lit(f"stock{k}"))) for k in range(-(-days // DRAW_DAYS))])
+    moves = F.slice(F.flatten(F.transform(hashes, lambda x: F.transform(
+        F.array(*[F.substring(x, 4 * k + 1, 4) for k in range(DRAW_DAYS)]),
+        lambda y: F.conv(y, 16, 10).cast("int") % 41 - 20))), 1, days)
     opening = F.floor(F.col("safety_stock") * (155 + h("open") % 90) / 100).cast("int")
     state = F.struct(opening.alias("level"), F.array().cast("array<int>").alias("all"))
 
@@ -185,10 +187,11 @@ def synth_inventory(m: Marts, start: str = INCIDENT_MONTH, days: int = 31) -> Da
         level = F.greatest(F.lit(0), acc["level"] + move)
         return F.struct(level.alias("level"), F.array_append(acc["all"], level).alias("all"))
 
-    levels = F.aggregate(F.col("_moves"), state, day)["all"]
-    rows = pairs.withColumn("_moves", moves).select(
-        "product_id", "warehouse_id", "safety_stock", "_rank", "_base", (h("share") % 25 + 26).alias("_share"),
-        (h("alloc") % 22 + 15).alias("_alloc"), F.posexplode(levels).alias("_day", "_level"))
+    # What a pair draws once stands below the expansion into days.
+    pairs = pairs.select("product_id", "warehouse_id", "safety_stock", "_rank", "_base", (h("share") % 25 + 26).alias("_share"),
+                         (h("alloc") % 22 + 15).alias("_alloc"), F.aggregate(moves, state, day)["all"].alias("_levels"))
+    rows = pairs.select("product_id", "warehouse_id", "safety_stock", "_rank", "_base", "_share", "_alloc",
+                        F.posexplode("_levels").alias("_day", "_level"))
     date = F.date_add(F.lit(as_date(start)), F.col("_day"))
     low = F.floor(F.col("safety_stock") * F.col("_share") / 100).cast("int")
     short = ((F.col("product_id") % CRITICAL_EVERY == 0) & (F.col("_rank") == 1)
