@@ -172,7 +172,9 @@ def synth_inventory(m: Marts, start: str = INCIDENT_MONTH, days: int = 31) -> Da
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("_rank")) if n else None
     if pairs is None:
         raise ValueError("no site to keep stock at")
-    pairs = pairs.join(sites, "_rank")
+    # The key tables are small and come in few partitions; the pairs and their days are the work.
+    tasks = int(m.spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.join(sites, "_rank").repartition(tasks, "product_id", "warehouse_id")
     h = lambda salt: draw(salt, "product_id", "warehouse_id")
     # One MD5 per eight days, bound by the outer lambda, so it is hashed once and not once a day.
     hashes = F.array(*[F.md5(F.concat_ws(":", F.col("product_id").cast("string"), F.col("warehouse_id").cast("string"),
@@ -191,7 +193,7 @@ def synth_inventory(m: Marts, start: str = INCIDENT_MONTH, days: int = 31) -> Da
     pairs = pairs.select("product_id", "warehouse_id", "safety_stock", "_rank", "_base", (h("share") % 25 + 26).alias("_share"),
                          (h("alloc") % 22 + 15).alias("_alloc"), F.aggregate(moves, state, day)["all"].alias("_levels"))
     rows = pairs.select("product_id", "warehouse_id", "safety_stock", "_rank", "_base", "_share", "_alloc",
-                        F.posexplode("_levels").alias("_day", "_level"))
+                        F.posexplode_outer("_levels").alias("_day", "_level"))  # plain explode would test levels below the join
     date = F.date_add(F.lit(as_date(start)), F.col("_day"))
     low = F.floor(F.col("safety_stock") * F.col("_share") / 100).cast("int")
     short = ((F.col("product_id") % CRITICAL_EVERY == 0) & (F.col("_rank") == 1)
