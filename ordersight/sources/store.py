@@ -47,14 +47,19 @@ _BUCKETED = ("orders", "order_line_facts")
 _DIMS = ("customers", "products", "warehouses", "vendors", "shipments")
 
 
-#: Bytes of a bucket over all months, about: a small table is one bucket, so its months are few files.
+#: Bytes and rows of a bucket over all months, at most about: a small table is one bucket, so its months are few
+#: files.  A task sorts a bucket's rows, unpacked (some 150 bytes each): their number bounds its memory, as the
+#: bytes of packed columns, a tenth of that or less, do not.
 BUCKET_BYTES = 256 << 20
+BUCKET_ROWS = 1 << 21
+#: Spark's limit (spark.sql.sources.bucketing.maxBuckets).
+MOST_BUCKETS = 100_000
 
 
 def _buckets(df: DataFrame) -> int:
-    """Buckets of a table of this size, by Spark's own estimate."""
+    """Buckets of a table of this size, by its rows and by Spark's own estimate of its bytes."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(8192, size // BUCKET_BYTES))
+    return max(1, min(MOST_BUCKETS, max(size // BUCKET_BYTES, -(-df.count() // BUCKET_ROWS))))
 
 
 def _by_order(m: Marts) -> DataFrame:
