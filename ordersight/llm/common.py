@@ -7,24 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordersight.session import checkpoint_dir
+from ordersight.session import BATCH_BYTES, bounded_batches, checkpoint_dir  # noqa: F401
 
 #: White space between words: space and the ASCII controls TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Bytes of an Arrow batch to Python at most: two tasks of an executor hold a few of them as text and objects.
-BATCH_BYTES = 4 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ``BATCH_BYTES`` (a lower one stays); narrow rows don't notice."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
-    if now > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of ``spark.checkpoint.dir``, removed when the driver ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordersight.functions.text import pad_number
+from ordersight.session import bounded_batches
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -76,19 +77,20 @@ def embed_column(df: DataFrame, text_col: str, out_col: str = "embedding",
                  embedder: Embedder | None = None, batch_size: int = EMBEDDING_BATCH_SIZE) -> DataFrame:
     """Append an ``array<double>`` embedding of ``text_col``."""
     emb = embedder or HashingEmbedder()
+    bounded_batches(df.sparkSession)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def _embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             texts = s.fillna("").tolist()
-            vecs: list[list[float]] = []
+            vecs: list[np.ndarray] = []
             for off in range(0, len(texts), batch_size):
                 part = texts[off: off + batch_size]
                 got = np.asarray(emb(part), dtype=np.float64)
                 if got.shape[0] != len(part):
                     raise RuntimeError("Embedding response count did not match submitted chunks.")
-                vecs.extend(got.tolist())
-            yield pd.Series(vecs)
+                vecs.extend(got)
+            yield pd.Series(vecs, dtype=object)
 
     return df.withColumn(out_col, _embed(F.col(text_col)))
 

@@ -1,4 +1,4 @@
-"""SparkSession construction and the shared checkpoint folder."""
+"""SparkSession construction, the bound on Arrow batches and the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -46,6 +46,18 @@ def build_session(master: str | None = None, app: str = "ordersight",
     return spark
 
 
+#: Bytes of an Arrow batch to Python at most: the tasks of an executor hold a few of them each as text and objects.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_BYTES`` (a lower one stays); narrow rows don't notice."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
