@@ -1,10 +1,10 @@
 """Heading-aware Markdown chunking over Arrow batches of documents.
 
-A task takes its documents a batch at a time and all lines of a batch together:
+A task takes its documents some ``SLICE`` bytes at a time and all lines of a slice together:
 lines, their lengths, blank lines and headings are columns; sections and
 blank-line blocks are runs of lines, found by comparing neighbours; and greedy
 packing is prefix sums, a binary search for the end of a part begun anywhere, and
-jumps from part to part for all sections of the batch at once.  Python sees single
+jumps from part to part for all sections of the slice at once.  Python sees single
 lines only where they begin with ``#`` or are over the limit.  Documents are rows:
 nothing is shuffled, and a lost executor repeats its own documents.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordersight.functions.text import SPACES
+from ordersight.session import bounded_batches
 
 # Fixed patterns and values of the chunking contract.
 DEFAULT_MAX_CHARACTERS = 1800
@@ -28,6 +29,9 @@ SOFT_CUT_FLOOR = 0.55
 OVERVIEW = "Overview"
 PATH_SEPARATOR = " > "
 
+#: Bytes of Markdown chunked together, about (a longer document alone): lines and units take several times as much.
+SLICE = 1 << 20
+
 _S = f"[{SPACES}]"
 _HEADING = re.compile(rf"(#{{1,6}}){_S}+([^\n\r\u2028\u2029]+?){_S}*#*{_S}*\Z")
 _SPACES = re.compile(f"{_S}*")
@@ -202,6 +206,19 @@ def _long_blocks(texts, size, begin, stop, blocks, limit) -> dict[int, list[str]
     return out
 
 
+def chunk_batches(batches, limit: int, size: int = SLICE):
+    """The chunks of batches of (document, markdown), some ``size`` bytes of Markdown at a time."""
+    for batch in batches:
+        bytes_ = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(bytes_) - bytes_) // size
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for s, e in zip(cuts, cuts[1:]):
+            if e > s:
+                out = chunk_batch(batch.column(0).slice(s, e - s), batch.column(1).slice(s, e - s), limit)
+                if out.num_rows:
+                    yield out
+
+
 def chunk_documents(df: DataFrame, document_col: str = "document", markdown_col: str = "markdown",
                     max_characters: int = DEFAULT_MAX_CHARACTERS) -> DataFrame:
     """Chunks of every (document, markdown) row, numbered ``document#0001`` onward.
@@ -209,12 +226,10 @@ def chunk_documents(df: DataFrame, document_col: str = "document", markdown_col:
     Rows are chunked each by itself, whatever they are named: of two documents of one name each keeps its own
     title, sections and numbers."""
     limit = validate_max_characters(max_characters)
+    bounded_batches(df.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            out = chunk_batch(batch.column(0), batch.column(1), limit)
-            if out.num_rows:
-                yield out
+        return chunk_batches(batches, limit)
 
     schema = "document string, document_title string, section string, chunk_id string, chunk_seq int, text string"
     return df.select(F.col(document_col).cast("string").alias("document"),

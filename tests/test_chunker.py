@@ -10,7 +10,8 @@ import pyarrow as pa
 import pytest
 
 from ordersight.functions.text import SPACES
-from ordersight.operators.chunker import (chunk_batch, chunk_documents, greedy_starts, load_policy_chunks,
+from ordersight.operators import embed
+from ordersight.operators.chunker import (chunk_batch, chunk_batches, chunk_documents, greedy_starts, load_policy_chunks,
                                           read_markdown_corpus, validate_max_characters)
 
 MD = """Intro text before any heading.
@@ -161,3 +162,28 @@ def test_corpus_without_files_or_text_is_an_error(spark, tmp_path):
     (tmp_path / "only.md").write_text("# Heading\n\n")
     with pytest.raises(ValueError):
         load_policy_chunks(spark, str(tmp_path))
+
+
+def test_large_batches_are_chunked_in_slices(spark):
+    """A task's memory follows the slice, whatever the batch that Spark hands over: same chunks, bounded pieces."""
+    rng = random.Random(3)
+    docs = [None if n % 17 == 5 else "# T\n\n## S\n" + "\n\n".join("word " * rng.randint(0, 900) for _ in range(n % 9))
+            for n in range(400)]
+    docs[7] = "long line " * 40_000
+    names, md = pa.array([f"d{n}.md" for n in range(400)]), pa.array(docs)
+    batch = pa.RecordBatch.from_arrays([names, md], ["document", "markdown"])
+    parts = list(chunk_batches(iter([batch.slice(0, 0), batch]), 1800, 1 << 16))
+    assert pa.Table.from_batches(parts).to_pylist() == chunk_batch(names, md, 1800).to_pylist()
+    assert len(parts) > 20
+    most = max(len(d or "") for d in docs)
+    assert max(sum(map(len, p.column(5).to_pylist())) for p in parts) <= most + (1 << 16)
+    # The batches themselves are bounded in the session that chunks or embeds.
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    df = spark.createDataFrame([("a.md", "x")], "document string, markdown string")
+    try:
+        for job in (chunk_documents, lambda d: embed.embed_column(d, "markdown")):
+            spark.conf.set(key, str(64 << 20))
+            assert job(df).count() == 1 and int(spark.conf.get(key)) <= 4 << 20
+    finally:
+        spark.conf.set(key, was)
