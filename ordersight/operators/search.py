@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordersight.functions.text import collapse_ws
+from ordersight.session import bounded_batches
 from ordersight.sources.scratch import written
 
 TILE = 1024               # probes of one product
@@ -155,6 +156,7 @@ class BallIndex:
 
     def __init__(self, index: DataFrame, id_col: str = "id", vec_col: str = "embedding", ball_rows: int = BALL_ROWS,
                  cell: int = CELL, sample: int = SAMPLE, probes: int = PROBES):
+        bounded_batches(index.sparkSession)
         self.id_col, self.cell, self.probes = id_col, cell, probes
         self.carry = [f for f in index.schema.fields if f.name != vec_col]
         self.names = [f.name for f in self.carry]
@@ -235,9 +237,11 @@ class BallIndex:
                     q, ball = np.nonzero(read)
                     q, cell = np.repeat(q, slices[ball]), np.concatenate(
                         [np.arange(first[b], first[b] + slices[b]) for b in ball] or [np.zeros(0, np.int64)])
-                    out = part.iloc[q].copy()
-                    out["cell"], out["start"] = cell.astype(np.int32), start[q]
-                    yield out[["cell", "q", "own", "start", "v"]]
+                    # The cells grow with the index: a query's vector is copied for some of them at a time.
+                    for t in range(0, len(q), CELL):
+                        out = part.iloc[q[t:t + CELL]].copy()
+                        out["cell"], out["start"] = cell[t:t + CELL].astype(np.int32), start[q[t:t + CELL]]
+                        yield out[["cell", "q", "own", "start", "v"]]
 
         schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("q", T.LongType()),
                                T.StructField("own", kind), T.StructField("start", T.DoubleType()),
