@@ -9,7 +9,8 @@ month and a query over a month reads that month and one state, not the history.
 Snapshots hold until the pair's next one; all is computed over these spans.  The
 state enters as two spans ahead of the snapshots: the open run as a whole, and the
 quantities that hold on the first day.  A window holds one pair's spans, at most
-one a day of the range.
+one a day of the range.  All spans are shuffled once, by product: a task holds whole
+products at all their sites.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from ordersight.sources.marts import Marts
 
 PAIR = ["warehouse_id", "product_id"]
 STATE = (*PAIR, "quantity_on_hand", "quantity_allocated", "run_start", "run_end", "run_days", "run_lowest")
+RUN = "struct<run_start:date,run_end:date,run_days:bigint,run_lowest:int>"
 _MONDAY = dt.date(1970, 1, 5)
 
 
@@ -66,47 +68,52 @@ def snapshots_before(m: Marts, start, until) -> DataFrame:
 
 
 def _spans(m: Marts, until, start=None, state: DataFrame | None = None, holidays=None) -> DataFrame:
-    """(pair, place, below, days, first_day, last_day, available, safety_stock, island) of spans in [start, until)."""
+    """(pair, place, on_hand, allocated, used, below, days, first_day, last_day, available, safety_stock, island) of
+    spans in [start, until).  Spans that aren't ``used`` (no business day, or no such product) only tell quantities."""
     none = lambda kind: F.lit(None).cast(kind)
     rows = snapshots_before(m, start if state is not None else None, until).select(
         *PAIR, F.struct(F.lit(2).alias("kind"), "inventory_date", F.col("inventory_id").cast("bigint").alias("id")).alias("place"),
-        "quantity_on_hand", "quantity_allocated", none("date").alias("run_start"), none("date").alias("run_end"),
-        none("bigint").alias("run_days"), none("int").alias("run_lowest"))
+        "quantity_on_hand", "quantity_allocated", none(RUN).alias("r"))
     if state is not None:
         at = lambda kind: F.struct(F.lit(kind).alias("kind"), F.lit(as_date(start)).alias("inventory_date"),
                                    none("bigint").alias("id")).alias("place")
         runs = state.filter("run_days > 0").select(
             *PAIR, at(0), none("int").alias("quantity_on_hand"), none("int").alias("quantity_allocated"),
-            "run_start", "run_end", "run_days", "run_lowest")
-        held = state.select(*PAIR, at(1), "quantity_on_hand", "quantity_allocated", none("date").alias("run_start"),
-                            none("date").alias("run_end"), none("bigint").alias("run_days"),
-                            none("int").alias("run_lowest"))
+            F.struct("run_start", "run_end", "run_days", "run_lowest").alias("r"))
+        held = state.select(*PAIR, at(1), "quantity_on_hand", "quantity_allocated", none(RUN).alias("r"))
         rows = rows.unionByName(held).unionByName(runs)
-    past = Window.partitionBy(*PAIR).orderBy("place")
+    # Dealt by product, once: the windows, the join and the aggregates below all stay in this partitioning.
+    rows = rows.repartition("product_id")
+    past = Window.partitionBy("product_id", "warehouse_id").orderBy("place")
     day, run = F.col("place.inventory_date"), F.col("place.kind") == 0
     end = F.coalesce(F.lead("place.inventory_date", 1).over(past), F.lit(as_date(until)))
     held = rows.select(
-        *PAIR, "place", "run_start", "run_end", "run_days", "run_lowest", end.alias("end"),
+        *PAIR, "place", "r", end.alias("end"),
         F.last("quantity_on_hand", ignorenulls=True).over(past).alias("on_hand"),
         F.last("quantity_allocated", ignorenulls=True).over(past).alias("allocated"))
     days = business_day_ordinal(F.col("end"), holidays) - business_day_ordinal(day, holidays)
-    held = held.join(m.products.select("product_id", "safety_stock"), "product_id").select(
-        *PAIR, "place", F.when(run, F.col("run_days")).otherwise(days).alias("days"),
-        F.when(run, F.col("run_lowest")).otherwise(F.col("on_hand") - F.col("allocated")).alias("available"),
-        F.when(run, F.col("run_start")).otherwise(next_business_day(day, holidays)).alias("first_day"),
-        F.when(run, F.col("run_end")).otherwise(next_business_day(F.date_sub("end", 1), holidays, -1)).alias("last_day"),
-        run.alias("run"), "safety_stock").filter("days > 0")
-    held = held.withColumn("below", F.col("run") | F.coalesce(F.col("available") < F.col("safety_stock"), F.lit(False)))
-    return held.withColumn("island", F.sum(F.when(F.col("below"), 0).otherwise(1)).over(past))
+    known = m.products.select("product_id", "safety_stock", F.lit(True).alias("known"))
+    held = held.join(known, "product_id", "left").select(
+        *PAIR, "place", "on_hand", "allocated", F.when(run, F.col("r.run_days")).otherwise(days).alias("days"),
+        F.when(run, F.col("r.run_lowest")).otherwise(F.col("on_hand") - F.col("allocated")).alias("available"),
+        F.when(run, F.col("r.run_start")).otherwise(next_business_day(day, holidays)).alias("first_day"),
+        F.when(run, F.col("r.run_end")).otherwise(next_business_day(F.date_sub("end", 1), holidays, -1)).alias("last_day"),
+        run.alias("run"), "safety_stock", "known")
+    held = held.withColumn("used", F.coalesce(F.col("known") & (F.col("days") > 0), F.lit(False)))
+    held = held.withColumn("below", F.col("used") & (
+        F.col("run") | F.coalesce(F.col("available") < F.col("safety_stock"), F.lit(False)))).drop("run", "known")
+    return held.withColumn("island", F.sum(F.when(F.col("used") & ~F.col("below"), 1).otherwise(0)).over(past))
 
 
 def _runs(spans: DataFrame) -> DataFrame:
-    """One row per (pair, island): the run of spans below safety stock that follows its opening span, if any."""
+    """One row per (pair, island): the run of spans below safety stock that follows its opening span, if any, and the
+    quantities of the newest span."""
     below = lambda c: F.when(F.col("below"), F.col(c))
     return spans.groupBy(*PAIR, "island").agg(
         F.min(below("first_day")).alias("run_start"), F.max(below("last_day")).alias("run_end"),
         F.sum(below("days")).alias("run_days"), F.min(below("available")).alias("run_lowest"),
-        F.first("safety_stock").alias("safety_stock"))
+        F.first("safety_stock").alias("safety_stock"),
+        F.max_by(F.struct("on_hand", "allocated"), "place").alias("newest"))
 
 
 def shortage_runs(m: Marts, start, end, min_days: int, state: DataFrame | None = None, holidays=None) -> DataFrame:
@@ -123,16 +130,11 @@ def shortage_runs(m: Marts, start, end, min_days: int, state: DataFrame | None =
 
 def state_at(m: Marts, until, start=None, state: DataFrame | None = None, holidays=None) -> DataFrame:
     """The stock state at ``until``, before that day's snapshots: from all earlier ones, or from an earlier state."""
-    runs = _runs(_spans(m, until, start, state, holidays))
     # A run is open if it is the pair's last one and its spans come after every span that isn't below.
-    last = runs.groupBy(*PAIR).agg(F.max_by(F.struct("run_start", "run_end", "run_days", "run_lowest"), "island").alias("r"))
-    snaps = snapshots_before(m, start if state is not None else None, until).select(
-        *PAIR, F.struct("inventory_date", F.col("inventory_id").cast("bigint").alias("id")).alias("place"),
-        "quantity_on_hand", "quantity_allocated")
-    if state is not None:
-        snaps = snaps.unionByName(state.select(
-            *PAIR, F.struct(F.lit(None).cast("date").alias("inventory_date"), F.lit(None).cast("bigint").alias("id")).alias("place"),
-            "quantity_on_hand", "quantity_allocated"))
-    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("place"))).alias(c)
-    stock = snaps.groupBy(*PAIR).agg(newest("quantity_on_hand"), newest("quantity_allocated"))
-    return stock.join(last, PAIR, "left").select(*PAIR, "quantity_on_hand", "quantity_allocated", "r.*")
+    runs = _runs(_spans(m, until, start, state, holidays))
+    last = runs.groupBy(*PAIR).agg(F.max_by(F.struct("newest", "run_start", "run_end", "run_days", "run_lowest"), "island")
+                                   .alias("r"))
+    # Without a site a pair has quantities, but no run that is carried on.
+    run = [F.when(F.col("warehouse_id").isNotNull(), F.col(f"r.{c}")).alias(c) for c in STATE[4:]]
+    return last.select(*PAIR, F.col("r.newest.on_hand").alias("quantity_on_hand"),
+                       F.col("r.newest.allocated").alias("quantity_allocated"), *run)

@@ -96,10 +96,11 @@ def write_mart(m: Marts, base: str, name: str, mode: str = "errorifexists") -> N
          .parquet(f"{base}/{name}"))
     elif name in _PARTITIONED:
         part, date_col, key = _PARTITIONED[name]
-        df = m.mart(name).withColumn(part, F.date_format(date_col, _MONTH))
+        month = F.date_format(date_col, _MONTH)
         # Range partitioning spreads one month over many tasks (no month-sized
-        # task) and keeps keys sorted for row-group statistics.
-        (df.repartitionByRange(F.col(part), F.col(key)).sortWithinPartitions(part, key)
+        # task) and keeps keys sorted for row-group statistics.  The month is
+        # added behind the shuffle, which then doesn't carry it.
+        (m.mart(name).repartitionByRange(month, F.col(key)).withColumn(part, month).sortWithinPartitions(part, key)
          .write.mode(mode).partitionBy(part).parquet(f"{base}/{name}"))
     else:
         m.mart(name).write.mode(mode).parquet(f"{base}/{name}")

@@ -83,3 +83,31 @@ def test_state_carries_on_without_snapshots(fixture_marts):
     got = {r.product_id: r for r in state.collect()}
     assert (got[1].run_start, got[1].run_end, got[1].run_days, got[1].run_lowest) == (D("2026-06-30"), D("2026-08-31"), 45, 5)
     assert got[2].quantity_on_hand == 50 and got[2].run_days is None
+
+
+def test_a_state_shuffles_its_spans_once(spark, fixture_marts):
+    """Every span is dealt once, by product; only the products are dealt to meet them."""
+    m = fixture_marts(inventory=snapshots(4), products=PRODUCTS, warehouses=WAREHOUSES, vendors=VENDORS)
+    kept = stored(m)
+    state = kept.stock_state("2026-08-01", first="2026-07-01")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for df in (stock.state_at(m, "2026-08-01"), stock.state_at(kept, "2026-09-01", "2026-08-01", state),
+                   R.shortage_runs(kept, "2026-08-01", "2026-08-31", state)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning(product_id") == 2 == plan.count("Exchange "), plan
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_products_that_are_not_known_keep_their_quantities(fixture_marts):
+    rows = [(1, 1, D("2026-06-30"), 5, 0), (1, 99, D("2026-06-01"), 4, 1), (1, 99, D("2026-06-09"), 3, 2), (2, 1, D("2026-06-27"), 7, 2)]
+    m = fixture_marts(inventory=rows, products=PRODUCTS, warehouses=WAREHOUSES, vendors=VENDORS)
+    got = {(r.warehouse_id, r.product_id): tuple(r)[2:] for r in stock.state_at(m, "2026-07-01").collect()}
+    assert got[1, 99] == (3, 2, None, None, None, None)
+    assert got[1, 1] == (5, 0, D("2026-06-30"), D("2026-06-30"), 1, 5)
+    assert got[2, 1] == (7, 2, D("2026-06-29"), D("2026-06-30"), 2, 5)
