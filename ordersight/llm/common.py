@@ -27,13 +27,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The plan after it starts from files that outlive any executor, is not
     computed twice, and has a known size, so Spark itself decides on broadcasts.
     """
+    return written_to(df, scratch_path(df.sparkSession, name))
+
+
+def written_to(df: DataFrame, path: str) -> DataFrame:
+    """``written`` under a path of ``scratch_path``."""
     spark = df.sparkSession
     bounded_batches(spark)
-    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Remove tables of ``written_to`` that nothing reads any more, before the driver ends."""
+    for path in paths:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """Column names close to ``names`` that ``df`` doesn't have (case-insensitively)."""
     taken = {c.lower() for c in df.columns}

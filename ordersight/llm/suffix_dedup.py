@@ -35,14 +35,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordersight.llm.common import col, table, written
+from ordersight.llm.common import col, remove, scratch_path, table, written, written_to
 
 LENGTH = 200
 GRAM = 32
 SHARD = 1 << 20
 HOT = 8192
 #: Bytes of contexts read before they are sorted, equal ones included.
-READ = 1 << 23
+READ = 1 << 22
+#: Digests handed on at once.
+SEND = 1 << 16
 #: Bytes of text hashed at once (the arrays then stay in the processor's cache).
 SLICE = 1 << 17
 CONTEXTS = "key long, salt int, salts int, tid long, bytes int, start int, context binary"
@@ -127,10 +129,11 @@ def suffix_order(b: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
     ranks hold for positions with ``depth`` of them."""
     n = len(b)
     word = words_at(b, ">")
-    slots = np.arange(n)
-    pos = np.argsort(word)
+    slots = np.arange(n, dtype=np.int32)
+    pos = np.argsort(word).astype(np.int32)
     key = word[pos]
-    rank = np.empty(n, np.int64)
+    del word
+    rank = np.empty(n, np.int32)
     h = 8
     while True:
         head = np.r_[True, key[1:] != key[:-1]]
@@ -145,7 +148,8 @@ def suffix_order(b: np.ndarray, left: np.ndarray, depth: int) -> np.ndarray:
         slots, pos = slots[keep], pos[keep]
         if not len(pos):
             return rank
-        key = (rank[pos].astype(np.uint64) << np.uint64(32)) | rank[pos + jump].astype(np.uint64)
+        key = rank[pos].astype(np.uint64) << np.uint64(32)
+        key |= rank[pos + jump].astype(np.uint64)
         # Members that went (too near their end) leave gaps; the first places stay in order.
         order = np.argsort(key)
         pos, key = pos[order], key[order]
@@ -161,7 +165,7 @@ def kasai(b: np.ndarray, begin: np.ndarray, count: np.ndarray, before: np.ndarra
     open, and the comparison starts anew.
     """
     word = words_at(b, "<")
-    lcp = np.zeros(len(b), np.int64)
+    lcp = np.zeros(len(b), np.int32)
     have = np.zeros(len(begin), np.int64)
     live = np.argsort(-count, kind="stable")
     for step in range(int(count.max(initial=0))):
@@ -186,14 +190,18 @@ def _digests(b: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np
     """Two 64-bit hashes of the ``length`` bytes from each position of ``at``."""
     out = []
     for base in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-        up = np.ones(len(b) + 1, np.uint64)
-        up[1:] = np.uint64(base)
-        down = np.ones(len(b) + 1, np.uint64)
-        down[1:] = np.uint64(pow(base, -1, 1 << 64))
-        up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        byte = _mix(np.arange(1, 257, dtype=np.uint64), np.full(256, base, np.uint64))
+        power = np.full(len(b) + 1, base, np.uint64)
+        power[0] = 1
+        np.multiply.accumulate(power, out=power)
         sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_mix(b.astype(np.uint64) + np.uint64(1), np.full(len(b), base, np.uint64)) * up[:-1], out=sums[1:])
-        h = (sums[at + length] - sums[at]) * down[at]
+        sums[1:] = byte[b]
+        sums[1:] *= power[:-1]
+        np.cumsum(sums, out=sums)
+        power[1:] = pow(base, -1, 1 << 64)
+        power[0] = 1
+        np.multiply.accumulate(power, out=power)
+        h = (sums[at + length] - sums[at]) * power[at]
         out.append(_mix(h, h >> np.uint64(31)).view(np.int64))
     return out[0], out[1]
 
@@ -207,14 +215,18 @@ def sorted_repeats(texts: list[bytes], times: np.ndarray, hot: np.ndarray, lengt
     sizes = np.array([len(t) for t in texts], np.int64)
     b = np.frombuffer(b"".join(texts), np.uint8)
     begin = np.cumsum(sizes) - sizes
-    left = np.repeat(begin + sizes, sizes) - np.arange(len(b))
+    # Positions of a shard fit 32 bits; what one step leaves behind goes before the next.
+    left = np.repeat((begin + sizes).astype(np.int32), sizes) - np.arange(len(b), dtype=np.int32)
     rank = suffix_order(b, left, length)
-    starts = np.flatnonzero(left >= length)
-    owner = np.repeat(np.arange(len(texts)), sizes - length + 1)
+    starts = np.flatnonzero(left >= length).astype(np.int32)
+    del left
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes - length + 1)
     order = starts[np.argsort(rank[starts], kind="stable")]
-    before = np.full(len(b), -1, np.int64)
+    del rank
+    before = np.full(len(b), -1, np.int32)
     before[order[1:]] = order[:-1]
     joined = kasai(b, begin, sizes - length + 1, before, length)[order[1:]] >= length
+    del before
     # A start repeats if a neighbour shares all its bytes, or its context came more than once.
     same = np.zeros(len(b), bool)
     same[order[1:][joined]] = True
@@ -232,8 +244,17 @@ def sorted_repeats(texts: list[bytes], times: np.ndarray, hot: np.ndarray, lengt
     return runs, (owner[pick], starts[pick] - begin[owner[pick]], *_digests(b, starts[pick], length))
 
 
-def shard_repeats(rows: pd.DataFrame, length: int = LENGTH, size: int = SHARD) -> pd.DataFrame:
-    """Runs of repeated window starts of whole anchors' contexts (sorted by key, salt), and digests for hot anchors."""
+def _found(rows: pd.DataFrame, first, last, d1, d2, local: bool) -> pd.DataFrame:
+    """Rows of ``FOUND``: window starts of contexts, by their places in the texts."""
+    start = rows["start"].to_numpy()
+    return pd.DataFrame({"tid": rows["tid"].to_numpy(), "bytes": rows["bytes"].to_numpy(np.int32),
+                         "first": (start + first).astype(np.int32), "last": (start + last).astype(np.int32),
+                         "d1": d1, "d2": d2, "local": local})
+
+
+def shard_repeats(rows: pd.DataFrame, length: int = LENGTH, size: int = SHARD):
+    """Runs of repeated window starts of whole anchors' contexts (sorted by key, salt), and digests for hot anchors,
+    in pieces of about ``SEND`` rows."""
     # Equal contexts of an anchor are sorted once.
     group = rows.groupby(["key", "salt", "context"], sort=False).ngroup().to_numpy()
     times = np.bincount(group)
@@ -250,7 +271,7 @@ def shard_repeats(rows: pd.DataFrame, length: int = LENGTH, size: int = SHARD) -
     sizes = rows["context"].str.len().to_numpy()[first]
     only = np.flatnonzero(alone & (times > 1))
     runs = [(only, np.zeros(len(only), np.int64), sizes[only] - length)]
-    sent = []
+    where = rows[["tid", "bytes", "start"]].assign(group=group)
     others = np.flatnonzero(~alone)
     if len(others):
         # Shards of about ``size`` bytes, cut between anchors.
@@ -260,18 +281,15 @@ def shard_repeats(rows: pd.DataFrame, length: int = LENGTH, size: int = SHARD) -
             found, digests = sorted_repeats(rows["context"].iloc[first[k]].tolist(), times[k], hot[k], length)
             runs.append((k[found[0]], *found[1:]))
             if digests is not None:
-                sent.append((k[digests[0]], *digests[1:]))
+                at, start, d1, d2 = digests
+                for s in range(0, len(at), SEND):
+                    cut = slice(s, s + SEND)
+                    yield _found(where.iloc[first[k[at[cut]]]], start[cut], start[cut], d1[cut], d2[cut], False)
     runs = pd.DataFrame(dict(zip(("group", "first", "last"), (np.concatenate(x) for x in zip(*runs)))))
-    where = rows[["tid", "bytes", "start"]].assign(group=group)
     out = where.merge(runs, on="group")
-    out = pd.DataFrame({"tid": out["tid"], "bytes": out["bytes"], "first": out["first"] + out["start"],
-                        "last": out["last"] + out["start"], "d1": 0, "d2": 0, "local": True})
-    for k, start, d1, d2 in sent:
-        row = where.iloc[first[k]]
-        place = row["start"].to_numpy() + start
-        out = pd.concat([out, pd.DataFrame({"tid": row["tid"].to_numpy(), "bytes": row["bytes"].to_numpy(),
-                                            "first": place, "last": place, "d1": d1, "d2": d2, "local": False})])
-    return out.astype({"bytes": "int32", "first": "int32", "last": "int32"})
+    for s in range(0, len(out), SEND):
+        part = out.iloc[s:s + SEND]
+        yield _found(part, part["first"].to_numpy(), part["last"].to_numpy(), 0, 0, True)
 
 
 def _shards(batches, length, size):
@@ -288,11 +306,11 @@ def _shards(batches, length, size):
                 change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
                 cut = int(change[-1]) + 1 if len(change) else 0
                 if cut:
-                    yield shard_repeats(rows.iloc[:cut].reset_index(drop=True), length, size)
+                    yield from shard_repeats(rows.iloc[:cut].reset_index(drop=True), length, size)
                     rows = rows.iloc[cut:]
                 rest, held = [rows], int(rows["context"].str.len().sum())
     if held:
-        yield shard_repeats(pd.concat(rest, ignore_index=True), length, size)
+        yield from shard_repeats(pd.concat(rest, ignore_index=True), length, size)
 
 
 def _merge(batches):
@@ -328,6 +346,13 @@ def _found_again(rows: pd.DataFrame) -> np.ndarray:
 def repeated_starts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH,
                     shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """(tid, bytes, first, last): runs of window starts whose string occurs again, for distinct texts."""
+    return _repeats(docs, scratch_path(docs.sparkSession, "repeats"), text_col, id_col, length, shard, hot)
+
+
+def _repeats(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH,
+             shard: int = SHARD, hot: int = HOT) -> DataFrame:
+    """``repeated_starts``, read from the table that is written to ``path``."""
+    spark = docs.sparkSession
     rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.xxhash64("text").alias("tid"), F.octet_length("text").alias("bytes"))
     rows = rows.where(F.col("bytes") >= length)
@@ -340,9 +365,10 @@ def repeated_starts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         key = key.view(np.int64)
         return pd.Series([key[cut[k]:cut[k + 1]] for k in range(len(data))], dtype=object)
 
-    seen = written(rows.select("id", "tid", "bytes", F.explode(keys_of("text")).alias("key")), "anchors")
-    often = written(seen.groupBy("key").count().where("count > 1")
-                    .select("key", F.ceil(F.col("count") / hot).cast("int").alias("salts"), "count"), "repeated-anchors")
+    used = [scratch_path(spark, name) for name in ("anchors", "repeated-anchors")]
+    seen = written_to(rows.select("id", "tid", "bytes", F.explode(keys_of("text")).alias("key")), used[0])
+    often = written_to(seen.groupBy("key").count().where("count > 1")
+                       .select("key", F.ceil(F.col("count") / hot).cast("int").alias("salts"), "count"), used[1])
     # Tasks of about ``hot`` contexts; the slices of a hot anchor go to consecutive ones, so no two share a task.
     tasks = max(1, -(-(often.agg(F.sum("count")).first()[0] or 0) // hot))
     kept = seen.join(often.drop("count"), "key").groupBy("tid", "bytes").agg(
@@ -377,7 +403,8 @@ def repeated_starts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     contexts = picked.select("text", "tid", "bytes", "keys").mapInPandas(cut_out, CONTEXTS)
     home = F.pmod(F.xxhash64("key") + F.col("salt"), F.lit(tasks)).cast("int")
     contexts = contexts.repartitionById(tasks, home).sortWithinPartitions("key", "salt", "tid", "bytes", "start")
-    found = written(contexts.mapInPandas(lambda it: _shards(_once(it), length, shard), FOUND), "repeats")
+    found = written_to(contexts.mapInPandas(lambda it: _shards(_once(it), length, shard), FOUND), path)
+    remove(spark, *used)
     again = (found.where("NOT local").repartition("d1").sortWithinPartitions("d1", "d2")
              .mapInPandas(_merge, "tid long, bytes int, first int, last int"))
     return found.where("local").select("tid", "bytes", "first", "last").unionByName(again)
@@ -397,13 +424,15 @@ def _once(batches):
 def without_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length: int = LENGTH,
                     **more) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, spans, kept binary) of every row; spans: (from, to) removed bytes."""
-    runs = repeated_starts(docs, text_col, id_col, length, **more)
+    found = scratch_path(docs.sparkSession, "repeats")
+    runs = _repeats(docs, found, text_col, id_col, length, **more)
     by_text = runs.groupBy("tid", "bytes").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.xxhash64("text").alias("tid"), F.octet_length("text").alias("bytes"))
     copies = rows.groupBy("tid", "bytes").count().where(f"count > 1 AND bytes >= {length}").select(
         "tid", "bytes", F.lit(True).alias("copied"))
     marks = written(by_text.join(copies, ["tid", "bytes"], "full"), "marks")
+    remove(docs.sparkSession, found)
     rows = rows.join(marks, ["tid", "bytes"], "left")
     schema = ("id long, n_bytes long, n_removed long, n_spans long, spans array<struct<a:long,b:long>>, kept binary")
 

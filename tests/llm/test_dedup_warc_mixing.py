@@ -4,8 +4,10 @@ import collections
 import gzip
 import hashlib
 import io
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +197,25 @@ def test_mix_defined_cases(spark):
     assert out.columns[:len(docs.columns) - 1] == [c for c in docs.columns if c != "_size"][:len(docs.columns) - 1]
     assert out.count() == docs.count() and mixing.mix(empty(spark)).count() == 0
     assert mixing.stage(spark, docs, None).columns == docs.columns
+
+
+def test_a_shard_is_handed_on_in_pieces():
+    """A hot anchor's windows are many times its contexts: their digests leave in pieces, and arrays are 32 bits."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 123, int(n), dtype=np.uint8).tobytes() for n in rng.integers(220, 300, 8000)]
+    texts[100:200] = texts[:100]
+    rows = pd.DataFrame({"key": 1, "salt": 0, "salts": 2, "tid": np.arange(len(texts)), "bytes": 500, "start": 7,
+                         "context": texts}).astype({"bytes": "int32", "start": "int32"})
+    tracemalloc.start()
+    seen, local, most = 0, [], 0
+    for piece in suffix_dedup.shard_repeats(rows):
+        most = max(most, len(piece))
+        seen += int((~piece["local"]).sum())
+        local.append(piece[piece["local"]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == sum(len(t) - 199 for t in texts) - sum(len(t) - 199 for t in texts[:100])
+    assert most <= suffix_dedup.SEND < seen
+    got = pd.concat(local)
+    assert sorted(got["tid"]) == list(range(200)) and set(got["first"]) == {7}
+    assert peak < 75 * sum(map(len, texts)), peak
